@@ -1,0 +1 @@
+"""riskfold streaming."""
