@@ -374,3 +374,9 @@ def q_preprocess_folds(spark, sf):
     keep = names.select("g", "feature", "safe_name", "out_pos")
     return long.join(F.broadcast(keep), ["g", "feature"]).select(
         F.col("g").cast("int").alias("g"), "row_id", F.col("safe_name").alias("feature"), "out_pos", "value")
+
+
+@register("process_dataset")
+def q_process_dataset(spark, sf):
+    from riskfold.plans.process import process_dataset
+    return process_dataset(spark, sf, LINES, SET)
