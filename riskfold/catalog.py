@@ -380,3 +380,193 @@ def q_preprocess_folds(spark, sf):
 def q_process_dataset(spark, sf):
     from riskfold.plans.process import process_dataset
     return process_dataset(spark, sf, LINES, SET)
+
+
+# =========================================================================== 2.7 metrics
+from riskfold.operators import metrics as M  # noqa: E402
+
+MODELS = (("discount", "Discount score"), ("tax", "Tax score"), ("quantity", "Quantity score"))
+
+
+def _model_score(key: str) -> F.Column:
+    return {"discount": F.coalesce(F.col("l_discount"), F.lit(0.0)) * 10.0,
+            "tax": F.col("l_tax") * 12.5,
+            "quantity": F.col("l_quantity") / 50.0}[key]
+
+
+def score_table(rows: DataFrame) -> DataFrame:
+    """(dataset_key, dataset_name, model_key, model_name, fold, row_id, y,
+    score): three datasets (order status) x three scoring rules."""
+    models = F.array(*[F.struct(F.lit(k).alias("model_key"), F.lit(n).alias("model_name"),
+                                _model_score(k).alias("score")) for k, n in MODELS])
+    return rows.select(
+        F.concat(F.lit("status_"), F.col("o_orderstatus")).alias("dataset_key"),
+        F.concat(F.lit("Order status "), F.col("o_orderstatus")).alias("dataset_name"),
+        "fold", "row_id", F.col("returned").alias("y"), F.explode(models).alias("m")) \
+        .select("dataset_key", "dataset_name", "m.model_key", "m.model_name", "fold", "row_id", "y",
+                F.col("m.score").alias("score"))
+
+
+def _scores(spark, sf):
+    a = materialize(assign(spark, sf, LINES, SET))
+    dev, test = dev_and_test(a)
+    return score_table(dev), score_table(test)
+
+
+_FK = ["dataset_key", "dataset_name", "model_key", "model_name", "fold"]
+_MSQL = lambda body: Q.with_ctes(LINES, body, Q.fold_metrics_ctes())
+
+
+@register("roc_auc", rounded=("roc_auc",), sql=_MSQL(f"SELECT {Q.KEYS_SQL}, fold, roc_auc FROM fm"))
+def q_roc_auc(spark, sf):
+    s, _ = _scores(spark, sf)
+    return M.auc_metrics(M.score_counts(s, _FK), _FK).select(*_FK, "roc_auc")
+
+
+@register("pr_auc", rounded=("pr_auc",), sql=_MSQL(f"SELECT {Q.KEYS_SQL}, fold, pr_auc FROM fm"))
+def q_pr_auc(spark, sf):
+    s, _ = _scores(spark, sf)
+    return M.auc_metrics(M.score_counts(s, _FK), _FK).select(*_FK, "pr_auc")
+
+
+@register("threshold_metrics", rounded=("recall", "f1"),
+          sql=_MSQL(f"SELECT {Q.KEYS_SQL}, fold, recall, f1 FROM fm_thr"))
+def q_threshold_metrics(spark, sf):
+    s, _ = _scores(spark, sf)
+    return M.threshold_metrics(s, _FK, SET.threshold)
+
+
+@register("metric_guards", sql=_MSQL(f"""
+SELECT {Q.KEYS_SQL}, fold, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, CAST(count(*) - sum(y) AS BIGINT) AS n_neg,
+       sum(y) > 0 AND count(*) - sum(y) > 0 AS ok FROM scores GROUP BY ALL"""))
+def q_metric_guards(spark, sf):
+    s, _ = _scores(spark, sf)
+    return M.metric_guards(s, _FK)
+
+
+@register("roc_points", rounded=("threshold", "fpr", "tpr"), sql=_MSQL(f"""
+SELECT {Q.KEYS_SQL}, fold, score AS threshold, (fp_before + neg) / n_neg AS fpr, (tp_before + pos) / n_pos AS tpr
+FROM fm_cum UNION ALL
+SELECT DISTINCT {Q.KEYS_SQL}, fold, NULL AS threshold, 0.0 AS fpr, 0.0 AS tpr FROM scores"""))
+def q_roc_points(spark, sf):
+    s, _ = _scores(spark, sf)
+    return M.roc_points(M.score_counts(s, _FK), _FK)
+
+
+_FMR = ("train_positive_rate", "validation_positive_rate", "roc_auc", "pr_auc", "recall", "f1")
+
+
+@register("fold_metrics", rounded=_FMR, sql=_MSQL("SELECT * FROM fold_metrics"))
+def q_fold_metrics(spark, sf):
+    s, _ = _scores(spark, sf)
+    return M.fold_metrics(s, SET.threshold)
+
+
+_SUMR = tuple(f"{m}_{s}" for m in M.METRICS for s in ("mean", "std", "min", "max", "range"))
+
+
+@register("cv_summary", rounded=_SUMR, sql=_MSQL("SELECT * FROM cv_summary"))
+def q_cv_summary(spark, sf):
+    s, _ = _scores(spark, sf)
+    return M.cv_summary(M.fold_metrics(s, SET.threshold))
+
+
+@register("dataset_ranks", rounded=("pr_auc_mean", "roc_auc_mean", "f1_mean", "pr_auc_std"), sql=_MSQL(
+    "SELECT dataset_key, model_key, pr_auc_mean, roc_auc_mean, f1_mean, pr_auc_std, cv_rank FROM mranked"))
+def q_dataset_ranks(spark, sf):
+    s, _ = _scores(spark, sf)
+    r = M.dataset_ranks(M.cv_summary(M.fold_metrics(s, SET.threshold)), SET.primary_metric)
+    return r.select("dataset_key", "model_key", "pr_auc_mean", "roc_auc_mean", "f1_mean", "pr_auc_std", "cv_rank")
+
+
+_OVR = ("mean_dataset_rank",) + tuple(f"{m}_{s}" for s in ("mean", "std") for m in M.METRICS)
+
+
+@register("overall_comparison", rounded=_OVR, sql=_MSQL(
+    "SELECT model_key, model_name, avg(cv_rank) AS mean_dataset_rank, "
+    + ", ".join(f"avg({m}_mean) AS {m}_mean" for m in M.METRICS) + ", "
+    + ", ".join(f"avg({m}_std) AS {m}_std" for m in M.METRICS) + " FROM mranked GROUP BY model_key, model_name"))
+def q_overall_comparison(spark, sf):
+    s, _ = _scores(spark, sf)
+    return M.overall_comparison(M.dataset_ranks(M.cv_summary(M.fold_metrics(s, SET.threshold))))
+
+
+_CMPR = tuple(f"{m}_mean" for m in M.METRICS) + tuple(f"test_{m}" for m in M.METRICS)
+
+
+@register("model_comparison", rounded=_CMPR, sql=_MSQL(
+    "SELECT r.dataset_key, r.model_key, r.cv_rank, " + ", ".join(f"r.{m}_mean" for m in M.METRICS) + ", "
+    + ", ".join(f"t.{m} AS test_{m}" for m in M.METRICS)
+    + " FROM mranked r LEFT JOIN test_metrics t ON r.dataset_key = t.dataset_key AND r.model_key = t.model_key"))
+def q_model_comparison(spark, sf):
+    s, t = _scores(spark, sf)
+    keys = ["dataset_key", "dataset_name", "model_key", "model_name"]
+    ranked = M.dataset_ranks(M.cv_summary(M.fold_metrics(s, SET.threshold)))
+    test = M.binary_metrics(t, keys, SET.threshold)
+    out = M.model_comparison(ranked, test)
+    return out.select("dataset_key", "model_key", "cv_rank", *[f"{m}_mean" for m in M.METRICS],
+                      *[f"test_{m}" for m in M.METRICS])
+
+
+@register("dataset_overview", sql=Q.with_ctes(LINES, """
+SELECT d.dataset_key, d.n_development, t.n_test, round_even(100.0 * d.pos / d.n_development, 2) AS development_positive_pct,
+       round_even(100.0 * t.pos / t.n_test, 2) AS test_positive_pct
+FROM (SELECT 'status_' || o_orderstatus AS dataset_key, count(*) AS n_development, sum(returned) AS pos FROM dev GROUP BY 1) d
+JOIN (SELECT 'status_' || o_orderstatus AS dataset_key, count(*) AS n_test, sum(returned) AS pos FROM test GROUP BY 1) t
+USING (dataset_key)"""))
+def q_dataset_overview(spark, sf):
+    a = materialize(assign(spark, sf, LINES, SET))
+    k = F.concat(F.lit("status_"), F.col("o_orderstatus")).alias("dataset_key")
+    agg = a.groupBy(k).agg(
+        F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).cast("long").alias("n_development"),
+        F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).cast("long").alias("n_test"),
+        F.sum(F.when(F.col("split") == "train", F.col("returned")).otherwise(0)).alias("_dp"),
+        F.sum(F.when(F.col("split") == "test", F.col("returned")).otherwise(0)).alias("_tp"))
+    return agg.select("dataset_key", "n_development", "n_test",
+                      F.bround(100.0 * F.col("_dp") / F.col("n_development"), 2).alias("development_positive_pct"),
+                      F.bround(100.0 * F.col("_tp") / F.col("n_test"), 2).alias("test_positive_pct"))
+
+
+@register("rq_tables", sql=_MSQL(
+    "SELECT dataset_key, model_key, cv_rank, " + ", ".join(
+        f"round_even({m}_mean, 4) AS {m}_mean, round_even({m}_std, 4) AS {m}_std" for m in M.METRICS)
+    + " FROM mranked"))
+def q_rq_tables(spark, sf):
+    s, _ = _scores(spark, sf)
+    r = M.dataset_ranks(M.cv_summary(M.fold_metrics(s, SET.threshold)))
+    return r.select("dataset_key", "model_key", "cv_rank",
+                    *[F.bround(F.col(f"{m}_{x}"), 4).alias(f"{m}_{x}") for m in M.METRICS for x in ("mean", "std")])
+
+
+@register("best_by_metric", rounded=("value",), sql=_MSQL("""
+SELECT metric, dataset_key, model_key, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, dataset_key, model_key) AS k FROM (
+    UNPIVOT (SELECT dataset_key, model_key, roc_auc_mean, pr_auc_mean, recall_mean, f1_mean FROM cv_summary)
+    ON roc_auc_mean, pr_auc_mean, recall_mean, f1_mean INTO NAME metric VALUE value)) WHERE k = 1"""))
+def q_best_by_metric(spark, sf):
+    s, _ = _scores(spark, sf)
+    summ = M.cv_summary(M.fold_metrics(s, SET.threshold))
+    cols = [f"{m}_mean" for m in M.METRICS]
+    lv = summ.select("dataset_key", "model_key", *cols).unpivot(["dataset_key", "model_key"], cols, "metric", "value")
+    w = Window.partitionBy("metric").orderBy(F.desc("value"), "dataset_key", "model_key")
+    return lv.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+@register("fold_pivot", rounded=tuple(f"fold_{i}" for i in range(SET.n_folds)), sql=_MSQL(
+    "SELECT dataset_key, model_key, " + ", ".join(f"avg(CASE WHEN fold = {i} THEN pr_auc END) AS fold_{i}"
+                                                  for i in range(SET.n_folds))
+    + " FROM fold_metrics GROUP BY dataset_key, model_key"))
+def q_fold_pivot(spark, sf):
+    s, _ = _scores(spark, sf)
+    fm = M.fold_metrics(s, SET.threshold)
+    p = fm.groupBy("dataset_key", "model_key").pivot("fold", list(range(SET.n_folds))).agg(F.avg("pr_auc"))
+    return p.select("dataset_key", "model_key", *[F.col(str(i)).alias(f"fold_{i}") for i in range(SET.n_folds)])
+
+
+@register("dataset_variability", rounded=tuple(f"{m}_std" for m in M.METRICS), sql=_MSQL(
+    "SELECT dataset_key, " + ", ".join(f"avg({m}_std) AS {m}_std" for m in M.METRICS)
+    + " FROM cv_summary GROUP BY dataset_key"))
+def q_dataset_variability(spark, sf):
+    s, _ = _scores(spark, sf)
+    summ = M.cv_summary(M.fold_metrics(s, SET.threshold))
+    return summ.groupBy("dataset_key").agg(*[F.avg(f"{m}_std").alias(f"{m}_std") for m in M.METRICS])

@@ -205,3 +205,69 @@ def na_case(col: str, text: bool) -> str:
 
 __all__ = ["RAW_SQL", "clean_sql", "split_ctes", "with_ctes", "fitted_ctes", "transform_long_sql",
            "unpivot_sql", "na_case", "COHORTS", "LINES", "ACCOUNTS", "DOCS", "key_text_sql"]
+
+
+# ----------------------------------------------------------------------------- scores and metrics
+MODELS_SQL = ("(VALUES ('discount', 'Discount score'), ('tax', 'Tax score'), ('quantity', 'Quantity score'))"
+              " AS m(model_key, model_name)")
+SCORE_SQL = ("CASE m.model_key WHEN 'discount' THEN coalesce(l_discount, 0.0) * 10.0 "
+             "WHEN 'tax' THEN l_tax * 12.5 ELSE l_quantity / 50.0 END")
+
+
+def scores_cte(src: str = "dev", name: str = "scores") -> str:
+    fold = "fold" if src == "dev" else "CAST(NULL AS INTEGER) AS fold"
+    return f"""
+{name} AS (SELECT 'status_' || o_orderstatus AS dataset_key, 'Order status ' || o_orderstatus AS dataset_name,
+                  m.model_key, m.model_name, {fold}, row_id, returned AS y, {SCORE_SQL} AS score
+           FROM {src}, {MODELS_SQL})"""
+
+
+def metrics_cte(src: str, by: str, name: str, thr: float = 0.5) -> str:
+    """(by..., roc_auc, pr_auc, recall, f1) from a score table."""
+    return f"""
+{name}_sc AS (SELECT {by}, score, sum(y) AS pos, count(*) - sum(y) AS neg FROM {src} GROUP BY {by}, score),
+{name}_cum AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS tp_before, coalesce(sum(neg) OVER w, 0) AS fp_before,
+                 sum(pos) OVER (PARTITION BY {by}) AS n_pos, sum(neg) OVER (PARTITION BY {by}) AS n_neg
+               FROM {name}_sc
+               WINDOW w AS (PARTITION BY {by} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_auc AS (SELECT {by},
+                 CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN
+                   sum(neg * (tp_before + pos / 2.0)) / (max(n_pos) * max(n_neg)) END AS roc_auc,
+                 CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN
+                   sum(pos * ((tp_before + pos) / (tp_before + pos + fp_before + neg)
+                       + CASE WHEN tp_before + fp_before = 0 THEN 1.0 ELSE tp_before / (tp_before + fp_before) END)
+                       / 2.0) / max(n_pos) END AS pr_auc
+               FROM {name}_cum GROUP BY {by}),
+{name}_thr AS (SELECT {by},
+                 coalesce(sum(CASE WHEN score >= {thr!r} AND y = 1 THEN 1 ELSE 0 END)
+                          / nullif(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END), 0), 0.0) AS recall,
+                 coalesce(2 * sum(CASE WHEN score >= {thr!r} AND y = 1 THEN 1 ELSE 0 END)
+                          / nullif(2 * sum(CASE WHEN score >= {thr!r} AND y = 1 THEN 1 ELSE 0 END)
+                                   + sum(CASE WHEN score >= {thr!r} AND y = 0 THEN 1 ELSE 0 END)
+                                   + sum(CASE WHEN score < {thr!r} AND y = 1 THEN 1 ELSE 0 END), 0), 0.0) AS f1
+               FROM {src} GROUP BY {by}),
+{name} AS (SELECT * FROM {name}_auc JOIN {name}_thr USING ({by}))"""
+
+
+KEYS_SQL = "dataset_key, dataset_name, model_key, model_name"
+
+
+def fold_metrics_ctes() -> str:
+    return scores_cte() + "," + scores_cte("test", "tscores") + "," + metrics_cte(
+        "scores", KEYS_SQL + ", fold", "fm") + "," + f"""
+fsz AS (SELECT {KEYS_SQL}, fold, count(*) AS n_validation, sum(y) AS vp FROM scores GROUP BY {KEYS_SQL}, fold),
+fold_metrics AS (
+  SELECT fsz.dataset_key, fsz.dataset_name, fsz.model_key, fsz.model_name, fsz.fold,
+         CAST(sum(n_validation) OVER k - n_validation AS BIGINT) AS n_train, n_validation,
+         (sum(vp) OVER k - vp) / (sum(n_validation) OVER k - n_validation) AS train_positive_rate,
+         vp / n_validation AS validation_positive_rate, fm.roc_auc, fm.pr_auc, fm.recall, fm.f1
+  FROM fsz JOIN fm USING ({KEYS_SQL}, fold)
+  WINDOW k AS (PARTITION BY fsz.dataset_key, fsz.model_key)),
+cv_summary AS (
+  SELECT {KEYS_SQL},
+    {", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std, min({m}) AS {m}_min, max({m}) AS {m}_max, "
+               f"max({m}) - min({m}) AS {m}_range" for m in ("roc_auc", "pr_auc", "recall", "f1"))}
+  FROM fold_metrics GROUP BY {KEYS_SQL}),
+mranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_key ORDER BY pr_auc_mean DESC, roc_auc_mean DESC,
+                                          f1_mean DESC, pr_auc_std ASC, model_key) AS cv_rank FROM cv_summary),""" + \
+        metrics_cte("tscores", KEYS_SQL, "test_metrics")
