@@ -570,3 +570,158 @@ def q_dataset_variability(spark, sf):
     s, _ = _scores(spark, sf)
     summ = M.cv_summary(M.fold_metrics(s, SET.threshold))
     return summ.groupBy("dataset_key").agg(*[F.avg(f"{m}_std").alias(f"{m}_std") for m in M.METRICS])
+
+
+# =========================================================================== 2.8 attribution ranking stability
+from riskfold.operators import stability as ST  # noqa: E402
+
+IMP_MODELS = (("mean_abs", "Mean absolute value"), ("rms", "Root mean square"))
+
+
+def importance_frame(spark, sf) -> DataFrame:
+    """Importance frame from ``embeddings``: fold = label, feature = vector
+    position, importance = mean |x| or root mean square per (fold, position)."""
+    e = table(spark, sf, "embeddings", ["label", "embedding"])
+    x = e.select(F.col("label").alias("fold"), F.posexplode("embedding").alias("pos", "x")) \
+         .withColumn("x", F.col("x").cast("double"))
+    agg = x.groupBy("fold", "pos").agg(F.avg(F.abs("x")).alias("mean_abs"),
+                                       F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    models = F.array(*[F.struct(F.lit(k).alias("model_key"), F.lit(n).alias("model_name"), F.col(k).alias("v"))
+                       for k, n in IMP_MODELS])
+    imp = agg.select("fold", F.format_string("f%02d", F.col("pos")).alias("feature"), F.explode(models).alias("m")) \
+             .select(F.lit("embeddings").alias("dataset_key"), F.lit("Embedding vectors").alias("dataset_name"),
+                     "m.model_key", "m.model_name", "fold", "feature", F.col("m.v").alias("mean_abs_shap"))
+    return ST.importance_ranks(imp)
+
+
+_IMP = lambda body, extra="": "WITH " + Q.IMP_CTES + extra + "\n" + body
+_PW = lambda body: "WITH " + Q.pairwise_ctes(SET.top_k) + "\n" + body
+
+
+@register("feature_importance", rounded=("mean_abs_shap",), sql=_IMP("SELECT * FROM imp"))
+def q_feature_importance(spark, sf):
+    return importance_frame(spark, sf)
+
+
+@register("attribution_log", sql=f"""
+SELECT 'embeddings' AS dataset_key, m.model_key, label AS fold, m.model_key AS explainer,
+       count(*) AS n_explained, CAST(0 AS BIGINT) AS n_background, max(len(embedding)) AS n_features
+FROM embeddings, (VALUES ('mean_abs'), ('rms')) AS m(model_key) GROUP BY m.model_key, label""")
+def q_attribution_log(spark, sf):
+    e = table(spark, sf, "embeddings", ["label", "embedding"])
+    g = e.groupBy(F.col("label").alias("fold")).agg(F.count(F.lit(1)).alias("n_explained"),
+                                                     F.max(F.size("embedding")).alias("n_features"))
+    models = F.array(*[F.lit(k) for k, _ in IMP_MODELS])
+    return g.select(F.lit("embeddings").alias("dataset_key"), F.explode(models).alias("model_key"), "fold",
+                    "n_explained", "n_features") \
+            .select("dataset_key", "model_key", "fold", F.col("model_key").alias("explainer"), "n_explained",
+                    F.lit(0).cast("long").alias("n_background"), "n_features")
+
+
+@register("pairwise_spearman", rounded=("spearman_rho",),
+          sql=_PW(f"SELECT {Q.GK_SQL}, fold_a, fold_b, n_features, rho AS spearman_rho FROM sp"))
+def q_pairwise_spearman(spark, sf):
+    pairs = ST.fold_pairs(_first_imp(spark, sf), SET.top_k)
+    return ST.pairwise_spearman(pairs).drop("_pa", "_pb")
+
+
+def _first_imp(spark, sf):
+    return importance_frame(spark, sf)
+
+
+@register("pairwise_kendall", rounded=("kendall_tau",),
+          sql=_PW("SELECT dataset_key, model_key, fold_a, fold_b, tau AS kendall_tau FROM kd"))
+def q_pairwise_kendall(spark, sf):
+    pairs = ST.fold_pairs(_first_imp(spark, sf), SET.top_k)
+    return ST.pairwise_kendall(pairs).select("dataset_key", "model_key", "fold_a", "fold_b", "kendall_tau")
+
+
+@register("topk_jaccard", rounded=("top_k_jaccard",),
+          sql=_PW("SELECT dataset_key, model_key, fold_a, fold_b, top_k, jac AS top_k_jaccard FROM jc"))
+def q_topk_jaccard(spark, sf):
+    pairs = ST.fold_pairs(_first_imp(spark, sf), SET.top_k)
+    return ST.topk_jaccard(pairs, SET.top_k).select("dataset_key", "model_key", "fold_a", "fold_b", "top_k",
+                                                    "top_k_jaccard")
+
+
+@register("rank_guards", sql=_IMP("""
+SELECT dataset_key, model_key, fold, count(*) AS n_rows, count(DISTINCT feature) AS n_features,
+       count(*) = count(DISTINCT feature) AS unique_features FROM imp GROUP BY dataset_key, model_key, fold"""))
+def q_rank_guards(spark, sf):
+    imp = _first_imp(spark, sf)
+    ST._check(imp, SET.top_k)
+    return imp.groupBy("dataset_key", "model_key", "fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("feature").alias("n_features")) \
+        .withColumn("unique_features", F.col("n_rows") == F.col("n_features"))
+
+
+@register("pairwise_stability", rounded=("kendall_tau", "spearman_rho", "top_k_jaccard"), sql=_PW("SELECT * FROM pw"))
+def q_pairwise_stability(spark, sf):
+    return ST.pairwise_stability(_first_imp(spark, sf), SET.top_k)
+
+
+_STS = tuple(f"{n}_{s}" for n in ("kendall_tau", "spearman", "top_k_jaccard") for s in ("mean", "std", "min", "max"))
+
+
+@register("stability_summary", rounded=_STS, sql=_PW(f"""
+SELECT {Q.GK_SQL}, top_k, count(*) AS pair_count, any_value(n_features) AS n_features,
+  """ + ", ".join(f"avg({c}) AS {n}_mean, coalesce(stddev_samp({c}), 0.0) AS {n}_std, min({c}) AS {n}_min, "
+                  f"max({c}) AS {n}_max" for c, n in (("kendall_tau", "kendall_tau"), ("spearman_rho", "spearman"),
+                                                      ("top_k_jaccard", "top_k_jaccard"))) + """,
+  CAST(round((1 + sqrt(1 + 8 * count(*))) / 2) AS INTEGER) AS n_folds
+FROM pw GROUP BY dataset_key, dataset_name, model_key, model_name, top_k"""))
+def q_stability_summary(spark, sf):
+    return ST.stability_summary(ST.pairwise_stability(_first_imp(spark, sf), SET.top_k))
+
+
+@register("consensus_ranking", rounded=("mean_abs_shap", "mean_rank", "rank_std", "top_k_frequency"), sql=_IMP(f"""
+SELECT {Q.GK_SQL}, feature, mean_abs_shap, mean_rank, rank_std, top_k_frequency, folds_observed,
+       row_number() OVER (PARTITION BY dataset_key, model_key ORDER BY mean_rank, feature) AS consensus_rank
+FROM (SELECT {Q.GK_SQL}, feature, avg(mean_abs_shap) AS mean_abs_shap, avg(rank) AS mean_rank,
+             stddev_samp(rank) AS rank_std, avg(CASE WHEN rank <= {SET.top_k} THEN 1.0 ELSE 0.0 END) AS top_k_frequency,
+             count(DISTINCT fold) AS folds_observed FROM imp GROUP BY {Q.GK_SQL}, feature)"""))
+def q_consensus_ranking(spark, sf):
+    return ST.consensus_ranking(_first_imp(spark, sf), SET.top_k)
+
+
+@register("rank_matrix", rounded=("rank",), sql=_IMP(f"""
+SELECT m.*, o.feature_order FROM
+  (SELECT {Q.GK_SQL}, fold, feature, avg(rank) AS rank FROM imp GROUP BY {Q.GK_SQL}, fold, feature) m
+JOIN (SELECT dataset_key, model_key, feature, row_number() OVER (PARTITION BY dataset_key, model_key
+             ORDER BY avg(rank), avg(mean_abs_shap) DESC, feature) AS feature_order
+      FROM imp GROUP BY dataset_key, model_key, feature) o USING (dataset_key, model_key, feature)"""))
+def q_rank_matrix(spark, sf):
+    return ST.rank_matrix(_first_imp(spark, sf))
+
+
+@register("fold_correlation_matrix", rounded=("value",), sql=_PW(f"""
+SELECT {Q.GK_SQL}, fold_a, fold_b, rho AS value FROM sp UNION ALL
+SELECT {Q.GK_SQL}, fold_b AS fold_a, fold_a AS fold_b, rho AS value FROM sp UNION ALL
+SELECT DISTINCT {Q.GK_SQL}, fold AS fold_a, fold AS fold_b, 1.0 AS value FROM imp"""))
+def q_fold_correlation_matrix(spark, sf):
+    imp = _first_imp(spark, sf)
+    pw = ST.pairwise_spearman(ST.fold_pairs(imp, SET.top_k))
+    return ST.fold_correlation_matrix(pw, imp.select(*ST.GK, "fold").distinct())
+
+
+_OV = _IMP(f"""
+SELECT a.dataset_key, a.dataset_name, a.model_key, a.model_name, a.fold AS fold_a, b.fold AS fold_b,
+       1 - 6 * sum((a.rank - b.rank) * (a.rank - b.rank)) / (count(*) * (count(*) * count(*) - 1)) AS spearman,
+       sum(CASE WHEN a.rank <= 3 AND b.rank <= 3 THEN 1 ELSE 0 END) / 3.0 AS overlap
+FROM imp a JOIN imp b ON a.dataset_key = b.dataset_key AND a.model_key = b.model_key AND a.feature = b.feature
+     AND a.fold < b.fold
+GROUP BY a.dataset_key, a.dataset_name, a.model_key, a.model_name, a.fold, b.fold""")
+
+
+@register("ranking_overlap", rounded=("spearman", "overlap"), sql=_OV)
+def q_ranking_overlap(spark, sf):
+    return ST.ranking_overlap(ST.ranking_lists(_first_imp(spark, sf)), 3)
+
+
+@register("ranking_stability", rounded=("spearman", "top_k_overlap"), sql=
+          "WITH ov AS (" + _OV + f""")
+SELECT {Q.GK_SQL}, avg(spearman) AS spearman, avg(overlap) AS top_k_overlap,
+       CAST(count(DISTINCT fold_a) + 1 AS DOUBLE) AS n_rankings FROM ov GROUP BY {Q.GK_SQL}""")
+def q_ranking_stability(spark, sf):
+    lists = ST.ranking_lists(_first_imp(spark, sf))
+    return ST.ranking_stability(ST.ranking_overlap(lists, 3), lists)

@@ -271,3 +271,44 @@ cv_summary AS (
 mranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_key ORDER BY pr_auc_mean DESC, roc_auc_mean DESC,
                                           f1_mean DESC, pr_auc_std ASC, model_key) AS cv_rank FROM cv_summary),""" + \
         metrics_cte("tscores", KEYS_SQL, "test_metrics")
+
+
+# ----------------------------------------------------------------------------- importance frame
+IMP_CTES = """
+ex AS (SELECT label AS fold, unnest(generate_series(0, len(embedding) - 1)) AS pos, unnest(embedding) AS x
+       FROM embeddings),
+iagg AS (SELECT fold, pos, avg(abs(CAST(x AS DOUBLE))) AS mean_abs,
+                sqrt(avg(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS rms FROM ex GROUP BY fold, pos),
+imp0 AS (SELECT 'embeddings' AS dataset_key, 'Embedding vectors' AS dataset_name, 'mean_abs' AS model_key,
+                'Mean absolute value' AS model_name, fold, printf('f%02d', pos) AS feature, mean_abs AS mean_abs_shap
+         FROM iagg
+         UNION ALL
+         SELECT 'embeddings', 'Embedding vectors', 'rms', 'Root mean square', fold, printf('f%02d', pos), rms FROM iagg),
+imp AS (SELECT *, row_number() OVER (PARTITION BY dataset_key, model_key, fold ORDER BY mean_abs_shap DESC, feature)
+               AS rank FROM imp0)"""
+
+GK_SQL = "dataset_key, dataset_name, model_key, model_name"
+
+
+def pairwise_ctes(top_k: int = 10) -> str:
+    j = " AND ".join(f"p.{c} = q.{c}" for c in ("dataset_key", "model_key", "fold_a", "fold_b"))
+    return IMP_CTES + f""",
+xr AS (SELECT *, CAST(rank AS DOUBLE) AS ar,
+              row_number() OVER (PARTITION BY dataset_key, model_key, fold ORDER BY rank, feature)
+                <= least({top_k}, count(*) OVER (PARTITION BY dataset_key, model_key, fold)) AS top FROM imp),
+pairs AS (SELECT a.dataset_key, a.dataset_name, a.model_key, a.model_name, a.fold AS fold_a, b.fold AS fold_b,
+                 a.feature, a.ar AS ra, b.ar AS rb, a.top AS ta, b.top AS tb
+          FROM xr a JOIN xr b ON a.dataset_key = b.dataset_key AND a.model_key = b.model_key
+                              AND a.feature = b.feature AND a.fold < b.fold),
+sp AS (SELECT {GK_SQL}, fold_a, fold_b, count(*) AS n_features, corr(ra, rb) AS rho FROM pairs
+       GROUP BY {GK_SQL}, fold_a, fold_b),
+kd AS (SELECT p.dataset_key, p.model_key, p.fold_a, p.fold_b,
+              sum(sign(p.ra - q.ra) * sign(p.rb - q.rb)) / sqrt(sum(abs(sign(p.ra - q.ra))) * sum(abs(sign(p.rb - q.rb))))
+              AS tau
+       FROM pairs p JOIN pairs q ON {j} AND p.feature < q.feature GROUP BY p.dataset_key, p.model_key, p.fold_a, p.fold_b),
+jc AS (SELECT dataset_key, model_key, fold_a, fold_b, CAST(least({top_k}, count(*)) AS INTEGER) AS top_k,
+              sum(CASE WHEN ta AND tb THEN 1 ELSE 0 END) / sum(CASE WHEN ta OR tb THEN 1 ELSE 0 END) AS jac
+       FROM pairs GROUP BY dataset_key, model_key, fold_a, fold_b),
+pw AS (SELECT sp.dataset_key, sp.dataset_name, sp.model_key, sp.model_name, sp.fold_a, sp.fold_b, sp.n_features,
+              jc.top_k, kd.tau AS kendall_tau, sp.rho AS spearman_rho, jc.jac AS top_k_jaccard
+       FROM sp JOIN kd USING (dataset_key, model_key, fold_a, fold_b) JOIN jc USING (dataset_key, model_key, fold_a, fold_b))"""
