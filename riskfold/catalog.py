@@ -725,3 +725,176 @@ SELECT {Q.GK_SQL}, avg(spearman) AS spearman, avg(overlap) AS top_k_overlap,
 def q_ranking_stability(spark, sf):
     lists = ST.ranking_lists(_first_imp(spark, sf))
     return ST.ranking_stability(ST.ranking_overlap(lists, 3), lists)
+
+
+# =========================================================================== 2.5 exploratory aggregates
+from riskfold.operators import profile as PR  # noqa: E402
+
+_RAWL = lambda body: "WITH raw AS (" + Q.RAW_SQL["lines"] + ")\n" + body
+_RAWA = lambda body: "WITH raw AS (" + Q.RAW_SQL["accounts"] + ")\n" + body
+_NUML = list(LINES.numeric)
+_ACC_TYPES = {"c_custkey": "bigint", "n_orders": "double", "avg_order_value": "double", "total_order_value": "double",
+              "c_mktsegment": "string", "n_name": "string", "r_name": "string", "negative_balance": "string"}
+
+
+@register("table_profile", sql=_RAWA(" UNION ALL ".join(
+    f"SELECT {i} AS pos, '{c}' AS column, '{_ACC_TYPES[c]}' AS dtype, count({c}) AS non_null, count(*) AS rows "
+    f"FROM raw" for i, c in enumerate(_ACC_COLS))))
+def q_table_profile(spark, sf):
+    raw = raw_cohort(spark, sf, "accounts")
+    types = spark.createDataFrame([(c, t) for c, t in raw.dtypes], "column string, dtype string")
+    prof = C.column_profile(raw)
+    return prof.join(F.broadcast(types), "column").select(F.col("pos").cast("int").alias("pos"), "column", "dtype",
+                                                          "non_null", "rows")
+
+
+@register("missing_profile", sql=_RAWA(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count(*) - count({c}) AS n_missing, "
+        f"round_even(100.0 * (count(*) - count({c})) / count(*), 2) AS pct_missing FROM raw" for c in _ACC_COLS)
+    + ") WHERE n_missing > 0"))
+def q_missing_profile(spark, sf):
+    return PR.missing_profile(raw_cohort(spark, sf, "accounts"), _ACC_COLS)
+
+
+@register("describe_numeric", rounded=("mean", "std", "min", "q25", "q50", "q75", "max"), sql=_RAWL(
+    "SELECT column, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, "
+    "quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, "
+    f"max(value) AS max FROM ({Q.unpivot_sql('raw', [], _NUML)}) GROUP BY column".replace("SELECT , ", "SELECT ")))
+def q_describe_numeric(spark, sf):
+    return PR.describe_numeric(raw_cohort(spark, sf, "lines"), _NUML)
+
+
+@register("value_counts", rounded=("pct",), sql=_RAWL("""
+SELECT column, value, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY column) AS pct FROM (
+  SELECT 'o_orderpriority' AS column, o_orderpriority AS value FROM raw UNION ALL
+  SELECT 'p_brand', p_brand FROM raw) WHERE value IS NOT NULL GROUP BY column, value"""))
+def q_value_counts(spark, sf):
+    return PR.value_counts(raw_cohort(spark, sf, "lines"), ["o_orderpriority", "p_brand"])
+
+
+@register("correlation_matrix", rounded=("r",), sql=_RAWL(" UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r FROM raw"
+    for i, a in enumerate(_NUML) for b in _NUML[i + 1:])))
+def q_correlation_matrix(spark, sf):
+    return PR.correlation_matrix(raw_cohort(spark, sf, "lines"), _NUML)
+
+
+@register("rate_by_category", rounded=("rate",), sql=_RAWA("""
+SELECT c_mktsegment, count(*) AS n, 100.0 * avg(CASE WHEN negative_balance = 'Yes' THEN 1.0 ELSE 0.0 END) AS rate
+FROM raw WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment"""))
+def q_rate_by_category(spark, sf):
+    return PR.rate_by_category(raw_cohort(spark, sf, "accounts"), "c_mktsegment", "negative_balance")
+
+
+@register("box_stats", rounded=("q1", "median", "q3", "whisker_low", "whisker_high"), sql=_RAWL("""
+SELECT r.o_orderpriority, q.q1, q.median, q.q3,
+       min(CASE WHEN l_extendedprice >= q1 - 1.5 * (q3 - q1) THEN l_extendedprice END) AS whisker_low,
+       max(CASE WHEN l_extendedprice <= q3 + 1.5 * (q3 - q1) THEN l_extendedprice END) AS whisker_high,
+       count(*) FILTER (WHERE l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1))
+         AS n_outliers
+FROM raw r JOIN (SELECT o_orderpriority, quantile_cont(l_extendedprice, 0.25) AS q1,
+                        quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3
+                 FROM raw GROUP BY o_orderpriority) q USING (o_orderpriority)
+GROUP BY r.o_orderpriority, q.q1, q.median, q.q3"""))
+def q_box_stats(spark, sf):
+    return PR.box_stats(raw_cohort(spark, sf, "lines"), "l_extendedprice", "o_orderpriority")
+
+
+@register("zero_counts", rounded=("pct_zero",), sql=_RAWL(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} = 0) AS n_zero, "
+    f"100.0 * count(*) FILTER (WHERE {c} = 0) / count(*) AS pct_zero FROM raw" for c in ("l_discount", "l_tax"))))
+def q_zero_counts(spark, sf):
+    return PR.zero_counts(raw_cohort(spark, sf, "lines"), ["l_discount", "l_tax"])
+
+
+@register("outlier_counts", rounded=("lower", "upper"), sql="WITH raw AS (" + Q.RAW_SQL["lines"] + "), clean AS ("
+          + Q.clean_sql(LINES) + "), lv AS (" + Q.unpivot_sql("clean", ["row_id"], ["l_extendedprice", "l_discount"])
+          + """), q AS (SELECT column, quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lower,
+       quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS upper
+       FROM lv WHERE value IS NOT NULL GROUP BY column)
+SELECT column, lower, upper, count(*) FILTER (WHERE value < lower OR value > upper) AS n_outliers
+FROM lv JOIN q USING (column) GROUP BY column, lower, upper""")
+def q_outlier_counts(spark, sf):
+    return PR.outlier_counts(clean_rows(spark, sf, LINES), ["l_extendedprice", "l_discount"], SET.iqr_multiplier)
+
+
+@register("duplicate_count", rounded=("pct_duplicates",), sql="WITH raw AS (" + Q.RAW_SQL["docs"] + """)
+SELECT count(*) AS n_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS n_duplicates,
+       100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw))) / count(*) AS pct_duplicates FROM raw""")
+def q_duplicate_count(spark, sf):
+    return PR.duplicate_count(raw_cohort(spark, sf, "docs"))
+
+
+# =========================================================================== 2.9 declared with a test
+from riskfold.operators import checks as CK  # noqa: E402
+
+EVENT_KINDS = ["click", "error", "purchase", "signup", "view"]
+_ENT = ["n_events"] + [f"{k}_{s}" for k in EVENT_KINDS for s in ("mean", "std", "min", "max")]
+
+
+@register("entity_aggregates", rounded=tuple(c for c in _ENT if c != "n_events"), sql=(
+    "SELECT user_id, count(*) AS n_events, " + ", ".join(
+        f"avg(value) FILTER (WHERE event_type = '{k}') AS {k}_mean, "
+        f"stddev_samp(value) FILTER (WHERE event_type = '{k}') AS {k}_std, "
+        f"min(value) FILTER (WHERE event_type = '{k}') AS {k}_min, "
+        f"max(value) FILTER (WHERE event_type = '{k}') AS {k}_max" for k in EVENT_KINDS)
+    + " FROM events GROUP BY user_id"))
+def q_entity_aggregates(spark, sf):
+    ev = table(spark, sf, "events", ["user_id", "event_type", "value"])
+    return CK.entity_aggregates(ev, "user_id", "event_type", "value", EVENT_KINDS)
+
+
+@register("entity_features", rounded=("purchase_mean", "purchase_max"), sql="""
+SELECT c_custkey, c_mktsegment, a.n_events, a.purchase_mean, a.purchase_max FROM customer LEFT JOIN (
+  SELECT user_id, count(*) AS n_events, avg(value) FILTER (WHERE event_type = 'purchase') AS purchase_mean,
+         max(value) FILTER (WHERE event_type = 'purchase') AS purchase_max FROM events GROUP BY user_id) a
+ON c_custkey = a.user_id""")
+def q_entity_features(spark, sf):
+    ev = table(spark, sf, "events", ["user_id", "event_type", "value"])
+    agg = CK.entity_aggregates(ev, "user_id", "event_type", "value", EVENT_KINDS)
+    cu = table(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
+    return cu.join(agg, cu.c_custkey == agg.user_id, "left").select("c_custkey", "c_mktsegment", "n_events",
+                                                                    "purchase_mean", "purchase_max")
+
+
+_LFEAT = list(LINES.numeric) + list(LINES.categorical)
+
+
+@register("leakage_checks", sql="WITH raw AS (" + Q.RAW_SQL["lines"] + "), clean AS (" + Q.clean_sql(LINES) + ")\n"
+          + " UNION ALL ".join(
+              f"SELECT '{c}' AS feature, {'true' if c.endswith('_id') else 'false'} AS id_like, false AS is_target, "
+              f"bool_and(coalesce(TRY_CAST({c} AS DOUBLE) = CAST(returned AS DOUBLE), false)) AS equals_target FROM clean"
+              for c in _LFEAT))
+def q_leakage_checks(spark, sf):
+    return CK.leakage_checks(clean_rows(spark, sf, LINES), "returned", _LFEAT)
+
+
+@register("split_overlap", sql=Q.with_ctes(LINES, f"""
+SELECT CAST(sum(least(tr, te)) AS BIGINT) AS n_overlap, CAST(sum(c - 1) AS BIGINT) AS n_duplicates,
+       sum(least(tr, te)) <= sum(c - 1) AS ok FROM (
+  SELECT count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'test') AS te, count(*) AS c
+  FROM split GROUP BY {', '.join(_LFEAT + ['returned'])})"""))
+def q_split_overlap(spark, sf):
+    return CK.split_overlap(clean_and_split(spark, sf, LINES, SET), _LFEAT + ["returned"])
+
+
+@register("leakage_probe", rounded=("fitted", "train_stat", "full_stat"), sql=Q.with_ctes(ACCOUNTS, """
+SELECT m.column, m.median AS fitted, t.v AS train_stat, f.v AS full_stat,
+       m.median = t.v AS equals_train, m.median <> f.v AS differs_full FROM med m
+JOIN (SELECT column, quantile_cont(value, 0.5) AS v FROM (""" + Q.unpivot_sql("dev", ["row_id"], ACCOUNTS.numeric)
+    + """) WHERE value IS NOT NULL GROUP BY column) t USING (column)
+JOIN (SELECT column, quantile_cont(value, 0.5) AS v FROM (""" + Q.unpivot_sql("clean", ["row_id"], ACCOUNTS.numeric)
+    + """) WHERE value IS NOT NULL GROUP BY column) f USING (column)
+WHERE m.g = -1""", Q.fitted_ctes(ACCOUNTS)))
+def q_leakage_probe(spark, sf):
+    from riskfold.functions.quantiles import exact_quantiles
+    dev, test, _, f = _fitted(spark, sf, ACCOUNTS)
+    allrows = dev.unionByName(test)
+    num = list(ACCOUNTS.numeric)
+    tr = exact_quantiles(P.long_values(dev, [], num), ["column"], "value", [0.5]).select("column", F.col("q").alias("train_stat"))
+    fu = exact_quantiles(P.long_values(allrows, [], num), ["column"], "value", [0.5]).select("column", F.col("q").alias("full_stat"))
+    m = f.num.where("g = -1").select("column", F.col("median").alias("fitted"))
+    return m.join(tr, "column").join(fu, "column").select(
+        "column", "fitted", "train_stat", "full_stat", (F.col("fitted") == F.col("train_stat")).alias("equals_train"),
+        (F.col("fitted") != F.col("full_stat")).alias("differs_full"))

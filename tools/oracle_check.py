@@ -28,6 +28,8 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
+        if v.is_integer():
+            return int(v)
         return round(v, 6)
     if hasattr(v, "item"):
         return v.item()
