@@ -78,7 +78,9 @@ def medians(train: DataFrame, numeric: tuple[str, ...] | list[str]) -> DataFrame
 
 def category_counts(train: DataFrame, categorical: tuple[str, ...] | list[str]) -> DataFrame:
     """(g, column, value, n) for non-null categories (hash aggregate,
-    combined map-side)."""
+    combined map-side).  No categorical columns: an empty table."""
+    if not categorical:
+        return train.sparkSession.createDataFrame([], "g int, column string, value string, n long")
     lv = long_values(train, ["g"], categorical, cast="string").where(F.col("value").isNotNull())
     return lv.groupBy("g", "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
