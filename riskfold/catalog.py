@@ -19,7 +19,7 @@ from riskfold.config import Settings
 from riskfold.operators import clean as C
 from riskfold.operators import prep as P
 from riskfold.operators import split as S
-from riskfold.session import materialize
+from riskfold.session import materialize, settle
 from riskfold.plans.assign import assign, clean_and_split, clean_rows, dev_and_test
 from riskfold.sources.files import normalise_missing
 from riskfold.sources.tables import ACCOUNTS, DOCS, LINES, raw_cohort, table
@@ -66,6 +66,14 @@ def _lines_split(spark, sf):
     return dev_and_test(a)
 
 
+def _train(spark, sf, cohort):
+    """Development/test rows and the fold-expanded training view, for queries
+    that need only part of the fitted state."""
+    a = materialize(assign(spark, sf, cohort, SET))
+    dev, test = dev_and_test(a)
+    return dev, test, S.train_view(dev, SET.n_folds)
+
+
 def _fitted(spark, sf, cohort):
     # every fitted statistic re-reads the assigned rows: cut the lineage once
     a = materialize(assign(spark, sf, cohort, SET))
@@ -244,8 +252,8 @@ def q_row_weights(spark, sf):
 @register("iqr_bounds", rounded=("q1", "q3", "lower", "upper"),
           sql=Q.with_ctes(LINES, "SELECT g, column, q1, q3, lower, upper FROM bounds", Q.fitted_ctes(LINES)))
 def q_iqr_bounds(spark, sf):
-    _, _, _, f = _fitted(spark, sf, LINES)
-    return f.bounds.select(F.col("g").cast("int").alias("g"), "column", "q1", "q3", "lower", "upper")
+    _, _, tr = _train(spark, sf, LINES)
+    return P.iqr_bounds(tr, LINES.iqr_columns, SET.iqr_multiplier).select(F.col("g").cast("int").alias("g"), "column", "q1", "q3", "lower", "upper")
 
 
 @register("iqr_clip", rounded=("l_extendedprice", "p_retailprice"), sql=Q.with_ctes(LINES, """
@@ -258,30 +266,33 @@ SELECT a.g, a.row_id,
        AS p_retailprice
 FROM applied a JOIN bwide b ON a.g = b.g""", Q.fitted_ctes(LINES)))
 def q_iqr_clip(spark, sf):
-    dev, test, _, f = _fitted(spark, sf, LINES)
+    dev, test, tr = _train(spark, sf, LINES)
+    bounds = settle(P.iqr_bounds(tr, LINES.iqr_columns, SET.iqr_multiplier))
     rows = S.apply_view(dev, test)
-    out = P.iqr_clip(rows, f.bounds, LINES.iqr_columns)
+    out = P.iqr_clip(rows, bounds, LINES.iqr_columns)
     return out.select(F.col("g").cast("int").alias("g"), "row_id", "l_extendedprice", "p_retailprice")
 
 
 @register("impute_median", rounded=("median",),
           sql=Q.with_ctes(LINES, "SELECT g, column, median FROM med", Q.fitted_ctes(LINES)))
 def q_impute_median(spark, sf):
-    _, _, _, f = _fitted(spark, sf, LINES)
-    return f.num.select(F.col("g").cast("int").alias("g"), "column", "median")
+    _, _, tr = _train(spark, sf, LINES)
+    bounds = settle(P.iqr_bounds(tr, LINES.iqr_columns, SET.iqr_multiplier))
+    med = P.medians(P.iqr_clip(tr, bounds, LINES.iqr_columns), LINES.numeric)
+    return med.select(F.col("g").cast("int").alias("g"), "column", "median")
 
 
 @register("impute_mode", sql=Q.with_ctes(ACCOUNTS, "SELECT g, column, mode FROM catst", Q.fitted_ctes(ACCOUNTS)))
 def q_impute_mode(spark, sf):
-    _, _, _, f = _fitted(spark, sf, ACCOUNTS)
-    return f.cat.select(F.col("g").cast("int").alias("g"), "column", "mode")
+    _, _, tr = _train(spark, sf, ACCOUNTS)
+    return P.category_stats(P.category_counts(tr, ACCOUNTS.categorical)).select(F.col("g").cast("int").alias("g"), "column", "mode")
 
 
 @register("encode_binary", sql=Q.with_ctes(LINES, """
 SELECT g, column, v0, v1, fallback FROM catst WHERE is_binary""", Q.fitted_ctes(LINES)))
 def q_encode_binary(spark, sf):
-    _, _, _, f = _fitted(spark, sf, LINES)
-    return f.cat.where("is_binary").select(F.col("g").cast("int").alias("g"), "column", "v0", "v1",
+    _, _, tr = _train(spark, sf, LINES)
+    return P.category_stats(P.category_counts(tr, LINES.categorical)).where("is_binary").select(F.col("g").cast("int").alias("g"), "column", "v0", "v1",
                                             F.col("fallback").cast("int").alias("fallback"))
 
 
@@ -295,8 +306,11 @@ def q_encode_onehot(spark, sf):
 @register("standardise", rounded=("mean", "sd"),
           sql=Q.with_ctes(LINES, "SELECT g, column, mean, sd FROM numst", Q.fitted_ctes(LINES)))
 def q_standardise(spark, sf):
-    _, _, _, f = _fitted(spark, sf, LINES)
-    return f.num.select(F.col("g").cast("int").alias("g"), "column", "mean", "sd")
+    _, _, tr = _train(spark, sf, LINES)
+    bounds = settle(P.iqr_bounds(tr, LINES.iqr_columns, SET.iqr_multiplier))
+    clipped = P.iqr_clip(tr, bounds, LINES.iqr_columns)
+    num = P.numeric_stats(clipped, settle(P.medians(clipped, LINES.numeric)), LINES.numeric)
+    return num.select(F.col("g").cast("int").alias("g"), "column", "mean", "sd")
 
 
 @register("preprocess_fit", sql=Q.with_ctes(ACCOUNTS, "SELECT g, pos, feature, kind FROM feats",

@@ -18,6 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket_digits(n_rows: int) -> int:
+    """Hex digits of the bucket prefix: about sqrt(n) buckets of about sqrt(n)
+    rows, so both the bucket table's running sum and each bucket's window stay
+    near sqrt(n) rows (1e6 each at 1e12 rows)."""
+    import math
+    return max(1, min(8, math.ceil(math.log(max(n_rows, 2)) / (2 * math.log(16)))))
+
+
 def hashed_rank(df: DataFrame, by: list[str], order_hex: str, tiebreak: str,
                 out: str = "rank", digits: int = 4) -> DataFrame:
     """Add ``out`` = 0-based rank of each row inside its ``by`` group, ordered

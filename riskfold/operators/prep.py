@@ -184,7 +184,8 @@ def fit(train: DataFrame, numeric, categorical, iqr_columns=(), multiplier: floa
     num = settle(numeric_stats(clipped, med, numeric))
     counts = settle(category_counts(train, categorical))
     cat = settle(category_stats(counts))
-    groups = settle(train.select("g").distinct())
+    # group ids from the (small, settled) statistics: no extra pass over the rows
+    groups = num.select("g").unionByName(cat.select("g")).distinct()
     feats = settle(candidate_features(numeric, categorical, cat, counts, groups))
     return Fitted(numeric, categorical, iqr_columns, bounds, num, cat, counts, feats)
 

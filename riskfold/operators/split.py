@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfold.functions.ranking import hashed_rank
+from riskfold.functions.ranking import bucket_digits, hashed_rank
 from riskfold.functions.rowid import seeded_order
 
 
@@ -53,9 +53,12 @@ def stratified_split(df: DataFrame, target: str, seed: int, test_size: float,
     """Add ``split`` in {'train','test'}: exhaustive, disjoint, per-class
     exact quotas, seeded."""
     quotas = test_quotas(df, target, test_size)
+    counts = quotas.collect()   # a row per class
     if validate:
-        _check_split(quotas.collect(), test_size)   # a row per class
-    ranked = hashed_rank(df.withColumn("_u", seeded_order("row_id", seed)), [target], "_u", "row_id", out="_r")
+        _check_split(counts, test_size)
+    digits = bucket_digits(sum(r["n_class"] for r in counts))
+    ranked = hashed_rank(df.withColumn("_u", seeded_order("row_id", seed)), [target], "_u", "row_id", out="_r",
+                         digits=digits)
     out = ranked.join(F.broadcast(quotas.select(target, "n_test_class")), target)
     return (out.withColumn("split", F.when(F.col("_r") < F.col("n_test_class"), "test").otherwise("train"))
                .drop("_u", "_r", "n_test_class"))
@@ -102,7 +105,7 @@ def stratified_folds(df: DataFrame, target: str, k: int, seed: int, shuffle: boo
     for cls, off in offsets.items():
         offset_col = F.when(F.col(target) == F.lit(cls), F.lit(off).cast("long")).otherwise(offset_col)
     order = seeded_order("row_id", seed) if shuffle else F.col("row_id")
-    ranked = hashed_rank(df.withColumn("_u", order), [target], "_u", "row_id", out="_r")
+    ranked = hashed_rank(df.withColumn("_u", order), [target], "_u", "row_id", out="_r", digits=bucket_digits(n))
     if shuffle:
         fold = ((offset_col + F.col("_r")) % F.lit(k)).cast("int")
     else:
