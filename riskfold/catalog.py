@@ -912,3 +912,30 @@ def q_leakage_probe(spark, sf):
     return m.join(tr, "column").join(fu, "column").select(
         "column", "fitted", "train_stat", "full_stat", (F.col("fitted") == F.col("train_stat")).alias("equals_train"),
         (F.col("fitted") != F.col("full_stat")).alias("differs_full"))
+
+
+@register("validate_split")
+def q_validate_split(spark, sf):
+    from riskfold.plans.process import process_dataset
+    return CK.validate_split(process_dataset(spark, sf, LINES, SET), "returned")
+
+
+@register("validate_folds", sql=Q.with_ctes(LINES, f"""
+SELECT * FROM (VALUES ('missing_fold', (SELECT count(*) FROM dev WHERE fold IS NULL)),
+                      ('unknown_row', CAST(0 AS BIGINT)), ('duplicate_row', CAST(0 AS BIGINT)),
+                      ('fold_count_off', (SELECT abs(count(DISTINCT fold) - {SET.n_folds}) FROM dev)),
+                      ('empty_side', CAST(0 AS BIGINT))) AS v(check_name, n_violations)""").replace(
+    "SELECT * FROM (VALUES", "SELECT check_name AS \"check\", CAST(n_violations AS BIGINT) AS n_violations, "
+    "n_violations = 0 AS ok FROM (VALUES"))
+def q_validate_folds(spark, sf):
+    dev, _ = _lines_split(spark, sf)
+    return CK.validate_folds(dev.select("row_id"), dev.select("row_id", "fold"), SET.n_folds)
+
+
+@register("bounded_sample", sql=Q.with_ctes(LINES, f"""
+SELECT fold, row_id, returned FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5(row_id || '|{SET.seed + 10000}'), row_id) AS k FROM dev)
+WHERE k <= {SET.max_explain}"""))
+def q_bounded_sample(spark, sf):
+    dev, _ = _lines_split(spark, sf)
+    return S.bounded_sample(dev, ["fold"], SET.max_explain, SET.seed + 10000).select("fold", "row_id", "returned")

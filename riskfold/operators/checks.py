@@ -40,3 +40,41 @@ def split_overlap(assigned: DataFrame, content: list[str]) -> DataFrame:
     agg = g.agg(F.sum(F.least("_tr", "_te")).alias("n_overlap"), F.sum(F.col("_c") - 1).alias("n_duplicates"))
     return agg.select(F.col("n_overlap").cast("long"), F.col("n_duplicates").cast("long"),
                       (F.col("n_overlap") <= F.col("n_duplicates")).alias("ok"))
+
+
+def _violations(*parts: tuple[str, DataFrame]) -> DataFrame:
+    """Union of one-row aggregates into (check, n_violations, ok)."""
+    out = None
+    for name, one in parts:
+        row = one.select(F.lit(name).alias("check"), F.col(one.columns[0]).cast("long").alias("n_violations"))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("ok", F.col("n_violations") == 0)
+
+
+def validate_split(processed: DataFrame, target: str) -> DataFrame:
+    """Violations of a processed long split table ``(split, row_id, target,
+    feature, value)``: NULL targets, labels outside {0, 1}, features present
+    in one split only, NULL feature values; zeros everywhere when clean."""
+    per_row = processed.groupBy("split", "row_id").agg(F.first(target).alias("_t"))
+    n_split = processed.select("split").distinct().count()    # two rows
+    feats = processed.groupBy("feature").agg(F.countDistinct("split").alias("_s"))
+    return _violations(
+        ("null_target", per_row.agg(F.count_if(F.col("_t").isNull()))),
+        ("bad_label", per_row.agg(F.count_if(~F.col("_t").isin(0, 1)))),
+        ("feature_mismatch", feats.agg(F.count_if(F.col("_s") != n_split))),
+        ("null_value", processed.agg(F.count_if(F.col("value").isNull()))))
+
+
+def validate_folds(rows: DataFrame, manifest: DataFrame, k: int) -> DataFrame:
+    """Fold manifest ``(row_id, fold)`` against the training rows: every row
+    has exactly one non-null fold, no manifest row is unknown, exactly k fold
+    ids, no fold leaves an empty training or validation side."""
+    ids = rows.select("row_id").withColumn("_r", F.lit(True))
+    j = ids.join(manifest.select("row_id", "fold").withColumn("_m", F.lit(True)), "row_id", "full_outer")
+    sizes = manifest.groupBy("fold").count()
+    return _violations(
+        ("missing_fold", j.agg(F.count_if(F.col("fold").isNull()))),
+        ("unknown_row", j.agg(F.count_if(F.col("_r").isNull()))),
+        ("duplicate_row", manifest.groupBy("row_id").count().agg(F.count_if(F.col("count") > 1))),
+        ("fold_count_off", manifest.agg(F.abs(F.countDistinct("fold") - F.lit(k)))),
+        ("empty_side", sizes.agg(F.when(F.count(F.lit(1)) < 2, 1).otherwise(0))))

@@ -178,3 +178,16 @@ def fold_expand(dev: DataFrame, k: int, include_full: bool = True, fold: str = "
     tr = train_view(dev, k, include_full, fold).withColumn("role", F.lit("train"))
     va = dev.withColumn("g", F.col(fold)).withColumn("role", F.lit("validation"))
     return tr.unionByName(va)
+
+
+def bounded_sample(df: DataFrame, by: list[str], n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows per group, chosen by the seeded md5 order of
+    ``row_id`` (deterministic, retry-safe); a group with at most n rows is
+    returned whole.  The limit is the operator.  Ranks come from
+    ``hashed_rank`` so a large group is never ranked in one task."""
+    if n <= 0:
+        raise ValueError("max_samples must be positive")
+    counts = df.groupBy(*by).count().agg(F.sum("count")).first()[0] or 0
+    ranked = hashed_rank(df.withColumn("_u", seeded_order("row_id", seed)), by, "_u", "row_id", out="_r",
+                         digits=bucket_digits(counts))
+    return ranked.where(F.col("_r") < n).drop("_u", "_r")
