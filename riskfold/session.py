@@ -46,11 +46,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, keep_cached: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder
-    (survives executor loss, unlike local checkpoints)."""
+    (survives executor loss, unlike local checkpoints).  The input is
+    persisted while the checkpoint is written so the plan runs once, not
+    twice; the result is kept cached (memory, spilling to disk) because it is
+    re-read by several statistics jobs, and its lineage is the checkpoint."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # a table re-read by many jobs should use every core: a scan of one large
+    # row group (or a narrow plan) can leave it in fewer partitions than slots
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if keep_cached else out
 
 
 def settle(df: DataFrame) -> DataFrame:
