@@ -939,3 +939,62 @@ WHERE k <= {SET.max_explain}"""))
 def q_bounded_sample(spark, sf):
     dev, _ = _lines_split(spark, sf)
     return S.bounded_sample(dev, ["fold"], SET.max_explain, SET.seed + 10000).select("fold", "row_id", "returned")
+
+
+# =========================================================================== 2.6 training and scoring
+from riskfold.operators import boost as BO  # noqa: E402
+from riskfold.plans import experiments as EX  # noqa: E402
+
+# Quick configuration for registered queries: the study's rounds x 0.05
+QUICK = 0.05
+
+
+def _mats(spark, sf):
+    return EX.matrices(spark, sf, ACCOUNTS, SET)
+
+
+@register("boost_stumps")
+def q_boost_stumps(spark, sf):
+    m = _mats(spark, sf)
+    kind, cuts, model = EX.fit_model(m, "adaboost", QUICK)
+    return BO.model_table(spark, model, kind)
+
+
+@register("boost_depthwise")
+def q_boost_depthwise(spark, sf):
+    m = _mats(spark, sf)
+    kind, cuts, model = EX.fit_model(m, "xgboost", QUICK)
+    return BO.model_table(spark, model, kind)
+
+
+@register("boost_leafwise")
+def q_boost_leafwise(spark, sf):
+    m = _mats(spark, sf)
+    kind, cuts, model = EX.fit_model(m, "lightgbm", QUICK)
+    return BO.model_table(spark, model, kind)
+
+
+@register("score_rows")
+def q_score_rows(spark, sf):
+    m = _mats(spark, sf)
+    kind, cuts, model = EX.fit_model(m, "adaboost", QUICK)
+    return BO.score_rows(m.apply, cuts, model, kind)
+
+
+@register("cv_scores")
+def q_cv_scores(spark, sf):
+    m = _mats(spark, sf)
+    return EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK).where("g >= 0")
+
+
+@register("holdout_scores")
+def q_holdout_scores(spark, sf):
+    m = _mats(spark, sf)
+    return EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK).where("g = -1")
+
+
+@register("cv_fold_metrics")
+def q_cv_fold_metrics(spark, sf):
+    m = _mats(spark, sf)
+    sc = EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK)
+    return M.fold_metrics(sc.where("g >= 0"), SET.threshold)
