@@ -949,52 +949,190 @@ from riskfold.plans import experiments as EX  # noqa: E402
 QUICK = 0.05
 
 
+_MEMO: dict = {}
+
+
 def _mats(spark, sf):
-    return EX.matrices(spark, sf, ACCOUNTS, SET)
+    """Matrices are checkpointed; reuse them across queries of one session."""
+    key = ("mats", spark.sparkContext.applicationId, sf)
+    if key not in _MEMO:
+        _MEMO[key] = EX.matrices(spark, sf, ACCOUNTS, SET)
+    return _MEMO[key]
+
+
+def _model(spark, sf, model_key):
+    key = ("model", spark.sparkContext.applicationId, sf, model_key)
+    if key not in _MEMO:
+        _MEMO[key] = EX.fit_model(_mats(spark, sf), model_key, QUICK)
+    return _MEMO[key]
 
 
 @register("boost_stumps")
 def q_boost_stumps(spark, sf):
-    m = _mats(spark, sf)
-    kind, cuts, model = EX.fit_model(m, "adaboost", QUICK)
+    kind, cuts, model = _model(spark, sf, "adaboost")
     return BO.model_table(spark, model, kind)
 
 
 @register("boost_depthwise")
 def q_boost_depthwise(spark, sf):
-    m = _mats(spark, sf)
-    kind, cuts, model = EX.fit_model(m, "xgboost", QUICK)
+    kind, cuts, model = _model(spark, sf, "xgboost")
     return BO.model_table(spark, model, kind)
 
 
 @register("boost_leafwise")
 def q_boost_leafwise(spark, sf):
-    m = _mats(spark, sf)
-    kind, cuts, model = EX.fit_model(m, "lightgbm", QUICK)
+    kind, cuts, model = _model(spark, sf, "lightgbm")
     return BO.model_table(spark, model, kind)
 
 
 @register("score_rows")
 def q_score_rows(spark, sf):
     m = _mats(spark, sf)
-    kind, cuts, model = EX.fit_model(m, "adaboost", QUICK)
+    kind, cuts, model = _model(spark, sf, "adaboost")
     return BO.score_rows(m.apply, cuts, model, kind)
 
 
 @register("cv_scores")
 def q_cv_scores(spark, sf):
     m = _mats(spark, sf)
-    return EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK).where("g >= 0")
+    return EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK, fitted=_all_models(spark, sf)).where("g >= 0")
 
 
 @register("holdout_scores")
 def q_holdout_scores(spark, sf):
     m = _mats(spark, sf)
-    return EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK).where("g = -1")
+    return EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK, fitted=_all_models(spark, sf)).where("g = -1")
 
 
 @register("cv_fold_metrics")
 def q_cv_fold_metrics(spark, sf):
     m = _mats(spark, sf)
-    sc = EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK)
+    sc = EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK, fitted=_all_models(spark, sf))
     return M.fold_metrics(sc.where("g >= 0"), SET.threshold)
+
+
+def _all_models(spark, sf):
+    return {k: _model(spark, sf, k) for k in ("adaboost", "xgboost", "lightgbm")}
+
+
+# =========================================================================== 2.8 attributions
+from riskfold.operators import attrib as AT  # noqa: E402
+
+
+def _explained(spark, sf):
+    """Validation rows of each fold, at most max_explain per fold (seed + fold
+    order), and a background of at most max_background training rows per fold."""
+    key = ("explain", spark.sparkContext.applicationId, sf)
+    if key not in _MEMO:
+        m = _mats(spark, sf)
+        rows = S.bounded_sample(m.apply.where("g >= 0"), ["g"], SET.max_explain, SET.seed)
+        bg_rows = S.bounded_sample(m.train.where("g >= 0"), ["g"], SET.max_background, SET.seed + 10000) \
+            .select("g", "x").collect()                                     # <= 50 x p per fold
+        import numpy as np
+        bg: dict = {}
+        for r in bg_rows:
+            bg.setdefault(int(r["g"]), []).append(r["x"])
+        _MEMO[key] = (materialize(rows), {g: np.asarray(v, dtype=float) for g, v in bg.items()})
+    return _MEMO[key]
+
+
+def _names(spark, sf):
+    m = _mats(spark, sf)
+    return spark.createDataFrame(list(enumerate(m.features)), "j int, feature string")
+
+
+def _phi(spark, sf, model_key, interventional=False):
+    m = _mats(spark, sf)
+    rows, bg = _explained(spark, sf)
+    kind, cuts, model = _model(spark, sf, model_key)
+    model = {g: v for g, v in model.items() if g >= 0}
+    if kind == "stumps":
+        return AT.permutation_attributions(rows, cuts, model, m.n_features, bg, SET.seed)
+    return AT.tree_attributions(rows, cuts, model, m.n_features, background=bg if interventional else None)
+
+
+@register("tree_attributions")
+def q_tree_attributions(spark, sf):
+    return _phi(spark, sf, "xgboost")
+
+
+@register("permutation_attributions")
+def q_permutation_attributions(spark, sf):
+    return _phi(spark, sf, "adaboost")
+
+
+@register("interventional_attributions")
+def q_interventional_attributions(spark, sf):
+    return _phi(spark, sf, "xgboost", interventional=True)
+
+
+def model_importance(spark, sf) -> DataFrame:
+    """Importance frame of the three models (tree attributions for the tree
+    models, permutation attributions for AdaBoost), one fold = one group."""
+    out = None
+    for key in ("adaboost", "xgboost", "lightgbm"):
+        imp = AT.importance(_phi(spark, sf, key), _names(spark, sf)).select(
+            F.lit(ACCOUNTS.key).alias("dataset_key"), F.lit(ACCOUNTS.name).alias("dataset_name"),
+            F.lit(key).alias("model_key"), F.lit(EX.MODEL_SPECS[key]["display"]).alias("model_name"),
+            F.col("g").alias("fold"), "feature", "mean_abs_shap", "rank")
+        out = imp if out is None else out.unionByName(imp)
+    return out
+
+
+@register("model_feature_importance")
+def q_model_feature_importance(spark, sf):
+    return model_importance(spark, sf)
+
+
+@register("model_stability_summary")
+def q_model_stability_summary(spark, sf):
+    return ST.stability_summary(ST.pairwise_stability(model_importance(spark, sf), SET.top_k))
+
+
+@register("model_attribution_log")
+def q_model_attribution_log(spark, sf):
+    rows, bg = _explained(spark, sf)
+    m = _mats(spark, sf)
+    n = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n_explained"))
+    explainer = {"adaboost": "permutation", "xgboost": "tree", "lightgbm": "tree"}
+    out = None
+    for key, ex in explainer.items():
+        part = n.select(F.lit(key).alias("model_key"), F.col("g").alias("fold"), F.lit(ex).alias("explainer"),
+                        "n_explained",
+                        F.lit(0).alias("n_background") if ex == "tree" else
+                        F.element_at(F.create_map(*[x for g, v in bg.items() for x in (F.lit(g), F.lit(len(v)))]),
+                                     F.col("g")).alias("n_background"),
+                        F.lit(m.n_features).alias("n_features"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("attribution_long")
+def q_attribution_long(spark, sf):
+    """Stacked (model, fold, row, feature, value, attribution) for the top-k
+    features of each model's consensus ranking (the data behind beeswarm,
+    bar and violin charts)."""
+    imp = model_importance(spark, sf)
+    top = ST.consensus_ranking(imp, SET.top_k).where(F.col("consensus_rank") <= SET.top_k) \
+        .select("model_key", "feature")
+    rows, _ = _explained(spark, sf)
+    names = _names(spark, sf)
+    vals = rows.select("g", "row_id", F.posexplode("x").alias("j", "value"))
+    out = None
+    for key in ("adaboost", "xgboost", "lightgbm"):
+        ph = _phi(spark, sf, key).select("g", "row_id", "j", "phi").join(vals, ["g", "row_id", "j"]) \
+            .join(F.broadcast(names), "j").withColumn("model_key", F.lit(key))
+        out = ph if out is None else out.unionByName(ph)
+    return out.join(F.broadcast(top), ["model_key", "feature"]).select(
+        "model_key", F.col("g").alias("fold"), "row_id", "feature", "value", F.col("phi").alias("attribution"))
+
+
+@register("per_fold_rankings")
+def q_per_fold_rankings(spark, sf):
+    """Per-fold rankings from interventional attributions with the fold's own
+    training rows as background (development rows only)."""
+    imp = AT.importance(_phi(spark, sf, "xgboost", interventional=True), _names(spark, sf)).select(
+        F.lit(ACCOUNTS.key).alias("dataset_key"), F.lit(ACCOUNTS.name).alias("dataset_name"),
+        F.lit("xgboost").alias("model_key"), F.lit("XGBoost").alias("model_name"),
+        F.col("g").alias("fold"), "feature", "mean_abs_shap", "rank")
+    return ST.ranking_lists(imp)

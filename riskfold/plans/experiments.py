@@ -80,12 +80,12 @@ def fit_model(m: Matrices, model_key: str, scale: float = 1.0, seed: int = 42):
 
 
 def cv_scores(spark: SparkSession, m: Matrices, cohort: Cohort, model_keys=("adaboost", "xgboost", "lightgbm"),
-              scale: float = 1.0) -> DataFrame:
+              scale: float = 1.0, fitted: dict | None = None) -> DataFrame:
     """(dataset_key, dataset_name, model_key, model_name, g, fold, row_id, y,
     score): out-of-fold scores (g = fold) and hold-out scores (g = -1)."""
     out = None
     for key in model_keys:
-        kind, cuts, model = fit_model(m, key, scale)
+        kind, cuts, model = fitted[key] if fitted else fit_model(m, key, scale)
         sc = B.score_rows(m.apply, cuts, model, kind).select(
             F.lit(cohort.key).alias("dataset_key"), F.lit(cohort.name).alias("dataset_name"),
             F.lit(key).alias("model_key"), F.lit(MODEL_SPECS[key]["display"]).alias("model_name"),
