@@ -1136,3 +1136,18 @@ def q_per_fold_rankings(spark, sf):
         F.lit("xgboost").alias("model_key"), F.lit("XGBoost").alias("model_name"),
         F.col("g").alias("fold"), "feature", "mean_abs_shap", "rank")
     return ST.ranking_lists(imp)
+
+
+@register("sink_processed")
+def q_sink_processed(spark, sf):
+    """Write the processed splits and fold manifest into the shared
+    checkpoint folder and read the training split back (round trip)."""
+    import uuid
+    from riskfold.plans.process import process_dataset, write_outputs
+    from riskfold.session import ensure_checkpoint_dir
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-out-{uuid.uuid4().hex}"
+    processed = materialize(process_dataset(spark, sf, LINES, SET))
+    write_outputs(processed, folder, "returned")
+    back = spark.read.parquet(f"{folder}/processed")
+    folds = spark.read.parquet(f"{folder}/folds")
+    return back.where("split = 'train'").join(folds, "row_id")

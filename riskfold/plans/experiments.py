@@ -65,8 +65,17 @@ def matrices(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Setting
     return Matrices(materialize(train), materialize(app), len(flist), names)
 
 
+def select_keys(requested, available) -> list[str]:
+    """Subset selection of datasets or models; an unknown key raises."""
+    requested = list(available) if requested is None else list(requested)
+    unknown = [k for k in requested if k not in available]
+    if unknown:
+        raise KeyError(f"Unknown keys {unknown}; available: {sorted(available)}")
+    return requested
+
+
 def fit_model(m: Matrices, model_key: str, scale: float = 1.0, seed: int = 42):
-    spec = dict(MODEL_SPECS[model_key])
+    spec = dict(MODEL_SPECS[select_keys([model_key], MODEL_SPECS)[0]])
     if spec["kind"] == "stumps":
         rounds = max(1, int(spec["rounds"] * scale))
         cuts, model = B.fit_stumps(m.train, m.n_features, rounds=rounds, rate=spec["rate"])
