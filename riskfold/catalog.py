@@ -373,13 +373,18 @@ def _selector(spark, sf, cohort):
     return dev, test, tr, f, flist, sel
 
 
-@register("correlation_prune")
+@register("correlation_prune", rounded=("var_samp",), sql=Q.with_ctes(
+    ACCOUNTS, "SELECT g, pos, feature, var_samp, kept, reason FROM sel",
+    Q.fitted_ctes(ACCOUNTS) + "," + Q.selection_ctes(ACCOUNTS)))
 def q_correlation_prune(spark, sf):
     *_, sel = _selector(spark, sf, ACCOUNTS)
     return sel.select("g", "pos", "feature", "var_samp", "kept", "reason")
 
 
-@register("preprocess_folds")
+@register("preprocess_folds", rounded=("value",), sql=Q.with_ctes(LINES, f"""
+SELECT t.g, t.row_id, k.safe_name AS feature, k.out_pos, t.value
+FROM ({Q.transform_long_sql(LINES, "applied")}) t JOIN kept_names k ON k.g = t.g AND k.feature = t.feature""",
+    Q.fitted_ctes(LINES) + "," + Q.selection_ctes(LINES)))
 def q_preprocess_folds(spark, sf):
     dev, test, tr, f, flist, sel = _selector(spark, sf, LINES)
     names = P.kept_names(sel)
@@ -390,7 +395,14 @@ def q_preprocess_folds(spark, sf):
         F.col("g").cast("int").alias("g"), "row_id", F.col("safe_name").alias("feature"), "out_pos", "value")
 
 
-@register("process_dataset")
+_PROCESSED_SQL = f"""
+SELECT a.split, a.fold, t.row_id, a.returned, k.out_pos, k.safe_name AS feature, round(t.value, 6) AS value
+FROM ({Q.transform_long_sql(LINES, "applied")}) t JOIN applied a ON a.row_id = t.row_id
+JOIN kept_names k ON k.g = t.g AND k.feature = t.feature"""
+_PROCESSED_CTES = Q.fitted_ctes(LINES) + "," + Q.selection_ctes(LINES)
+
+
+@register("process_dataset", sql=Q.with_ctes(LINES, _PROCESSED_SQL, _PROCESSED_CTES, full_fit=True))
 def q_process_dataset(spark, sf):
     from riskfold.plans.process import process_dataset
     return process_dataset(spark, sf, LINES, SET)
@@ -914,7 +926,19 @@ def q_leakage_probe(spark, sf):
         (F.col("fitted") != F.col("full_stat")).alias("differs_full"))
 
 
-@register("validate_split")
+@register("validate_split", sql=Q.with_ctes(LINES, """
+SELECT check_name AS "check", CAST(n_violations AS BIGINT) AS n_violations, n_violations = 0 AS ok FROM (
+  SELECT 'null_target' AS check_name,
+         (SELECT count(*) FROM (SELECT split, row_id, any_value(returned) AS t FROM processed GROUP BY split, row_id)
+          WHERE t IS NULL) AS n_violations
+  UNION ALL SELECT 'bad_label',
+         (SELECT count(*) FROM (SELECT split, row_id, any_value(returned) AS t FROM processed GROUP BY split, row_id)
+          WHERE t NOT IN (0, 1))
+  UNION ALL SELECT 'feature_mismatch',
+         (SELECT count(*) FROM (SELECT feature, count(DISTINCT split) AS s FROM processed GROUP BY feature)
+          WHERE s <> (SELECT count(DISTINCT split) FROM processed))
+  UNION ALL SELECT 'null_value', (SELECT count(*) FROM processed WHERE value IS NULL))""",
+    _PROCESSED_CTES + ",\nprocessed AS (" + _PROCESSED_SQL + ")", full_fit=True))
 def q_validate_split(spark, sf):
     from riskfold.plans.process import process_dataset
     return CK.validate_split(process_dataset(spark, sf, LINES, SET), "returned")

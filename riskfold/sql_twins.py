@@ -68,9 +68,21 @@ def clean_sql(c: Cohort) -> str:
             f"FROM {src} WHERE {t} IS NOT NULL")
 
 
-def split_ctes(c: Cohort, s: Settings = S) -> str:
-    """CTEs raw, clean, quota, split, dev (with fold), test."""
+def split_ctes(c: Cohort, s: Settings = S, full_fit: bool = False) -> str:
+    """CTEs raw, clean, quota, split, dev (with fold), test, and the fit
+    groups: every fold plus the hold-out refit (g = -1), or with
+    ``full_fit`` only g = -1 fitted on the whole training split and applied
+    to every row (the batch job)."""
     t = c.target
+    if full_fit:
+        groups = """grp AS (SELECT CAST(-1 AS INTEGER) AS g),
+train AS (SELECT CAST(-1 AS INTEGER) AS g, dev.* FROM dev),
+applied AS (SELECT CAST(-1 AS INTEGER) AS g, dev.* FROM dev
+            UNION ALL SELECT CAST(-1 AS INTEGER) AS g, test.*, NULL AS fold FROM test)"""
+    else:
+        groups = f"""grp AS (SELECT CAST(unnest(range(-1, {s.n_folds})) AS INTEGER) AS g),
+train AS (SELECT grp.g, dev.* FROM dev JOIN grp ON dev.fold <> grp.g),
+applied AS (SELECT fold AS g, dev.* FROM dev UNION ALL SELECT -1 AS g, test.*, NULL AS fold FROM test)"""
     return f"""
 raw AS ({RAW_SQL[c.key]}),
 clean AS ({clean_sql(c)}),
@@ -93,13 +105,12 @@ dr AS (SELECT tr0.*, row_number() OVER (PARTITION BY {t} ORDER BY md5(row_id ||
        FROM tr0),
 dev AS (SELECT dr.* EXCLUDE (r), CAST((off + r) % {s.n_folds} AS INTEGER) AS fold FROM dr JOIN fo ON dr.{t} = fo.cls),
 test AS (SELECT * FROM split WHERE split = 'test'),
-grp AS (SELECT CAST(unnest(range(-1, {s.n_folds})) AS INTEGER) AS g),
-train AS (SELECT grp.g, dev.* FROM dev JOIN grp ON dev.fold <> grp.g),
-applied AS (SELECT fold AS g, dev.* FROM dev UNION ALL SELECT -1 AS g, test.*, NULL AS fold FROM test)"""
+{groups}"""
 
 
-def with_ctes(c: Cohort, body: str, extra: str = "") -> str:
-    return "WITH " + split_ctes(c) + (("," + extra) if extra else "") + "\n" + body
+def with_ctes(c: Cohort, body: str, extra: str = "", full_fit: bool = False) -> str:
+    head = "WITH RECURSIVE " if "RECURSIVE_CTE" in extra else "WITH "
+    return head + split_ctes(c, full_fit=full_fit) + (("," + extra) if extra else "") + "\n" + body
 
 
 def unpivot_sql(src: str, ids: list[str], cols, cast: str = "DOUBLE") -> str:
@@ -312,3 +323,51 @@ jc AS (SELECT dataset_key, model_key, fold_a, fold_b, CAST(least({top_k}, count(
 pw AS (SELECT sp.dataset_key, sp.dataset_name, sp.model_key, sp.model_name, sp.fold_a, sp.fold_b, sp.n_features,
               jc.top_k, kd.tau AS kendall_tau, sp.rho AS spearman_rho, jc.jac AS top_k_jaccard
        FROM sp JOIN kd USING (dataset_key, model_key, fold_a, fold_b) JOIN jc USING (dataset_key, model_key, fold_a, fold_b))"""
+
+
+# ----------------------------------------------------------------------------- feature selection
+def selection_ctes(c: Cohort, s: Settings = S) -> str:
+    """After ``fitted_ctes``: ptrain (transformed training rows), per-feature
+    sample variance, |Pearson r| edges between candidate pairs, the greedy
+    walk in candidate order (a recursive CTE carrying the kept list: a
+    feature is dropped when an earlier kept feature is an edge neighbour;
+    low-variance features are dropped first and drop nobody), ``sel``
+    (g, pos, feature, var_samp, kept, reason) and ``kept_names``
+    (g, feature, out_pos, safe_name)."""
+    return f"""
+ptrain AS MATERIALIZED ({transform_long_sql(c, "train")}),
+pvar AS (SELECT g, feature, var_samp(value) AS var_samp FROM ptrain GROUP BY g, feature),
+pcand AS MATERIALIZED (
+  SELECT f.g, f.pos, f.feature, v.var_samp, coalesce(v.var_samp < {float(s.variance_threshold)!r}, false) AS low
+  FROM feats f LEFT JOIN pvar v ON v.g = f.g AND v.feature = f.feature),
+pk AS (SELECT g, pos, CAST(row_number() OVER (PARTITION BY g ORDER BY pos) AS INTEGER) AS k FROM pcand WHERE NOT low),
+pvec AS MATERIALIZED (
+  SELECT p.g, p.row_id, list(p.value ORDER BY c.pos) AS x
+  FROM ptrain p JOIN pcand c ON c.g = p.g AND c.feature = p.feature WHERE NOT c.low GROUP BY p.g, p.row_id),
+ppair AS (SELECT a.g, a.k AS ka, b.k AS kb, a.pos AS pa, b.pos AS pb FROM pk a JOIN pk b ON a.g = b.g AND a.k < b.k),
+pedge AS MATERIALIZED (SELECT pr.g, pr.pa, pr.pb FROM pvec v JOIN ppair pr ON pr.g = v.g
+          GROUP BY pr.g, pr.pa, pr.pb
+          HAVING abs(corr(v.x[pr.ka], v.x[pr.kb])) > {float(s.correlation_threshold)!r}
+             AND NOT isnan(abs(corr(v.x[pr.ka], v.x[pr.kb])))),
+pstep AS MATERIALIZED (SELECT c.g, c.pos, CAST(row_number() OVER (PARTITION BY c.g ORDER BY c.pos) AS INTEGER) AS k,
+                 coalesce(e.nb, []) AS nb
+          FROM pcand c LEFT JOIN (SELECT g, pb, list(pa) AS nb FROM pedge GROUP BY g, pb) e
+            ON e.g = c.g AND e.pb = c.pos
+          WHERE NOT c.low),
+walk(g, k, kept) AS (
+  SELECT g, 0, CAST([] AS INTEGER[]) FROM grp
+  UNION ALL
+  SELECT w.g, w.k + 1,
+         CASE WHEN len(list_intersect(w.kept, p.nb)) > 0 THEN w.kept ELSE list_append(w.kept, p.pos) END
+  FROM walk w JOIN pstep p ON p.g = w.g AND p.k = w.k + 1),
+pkept AS (SELECT g, arg_max(kept, k) AS kept FROM walk GROUP BY g),
+sel AS (SELECT c.g, c.pos, c.feature, c.var_samp, NOT c.low AND list_contains(k.kept, c.pos) AS kept,
+               CASE WHEN c.low THEN 'low_variance' WHEN list_contains(k.kept, c.pos) THEN NULL
+                    ELSE 'correlated' END AS reason
+        FROM pcand c JOIN pkept k ON k.g = c.g),
+kept0 AS (SELECT g, pos, feature, CAST(row_number() OVER (PARTITION BY g ORDER BY pos) - 1 AS INTEGER) AS out_pos,
+                 regexp_replace(feature, '[^A-Za-z0-9_]+', '_', 'g') AS safe FROM sel WHERE kept),
+kept_names AS (SELECT g, feature, out_pos,
+                      CASE WHEN d = 0 THEN safe ELSE safe || '_' || CAST(d AS VARCHAR) END AS safe_name
+               FROM (SELECT *, row_number() OVER (PARTITION BY g, safe ORDER BY out_pos) - 1 AS d FROM kept0))
+/* RECURSIVE_CTE */"""
