@@ -243,10 +243,16 @@ def fit_trees(train: DataFrame, n_features: int, trees: int = 10, rate: float =
         frontier = {g: [0] for g in cuts}
         node_stats: dict = {}
         for level in range(depth):
+            if not any(frontier.values()):
+                break
             done = {g: [a.arrays() for a in model[g]] for g in cuts}
             partial = {g: cur[g].arrays() for g in cuts}
 
-            def stats(g, part, done=done, partial=partial, t=t, level=level):
+            growing = frozenset(g for g, f in frontier.items() if f)
+
+            def stats(g, part, done=done, partial=partial, t=t, level=level, growing=growing):
+                if g not in growing:
+                    return None
                 bins = _bins(_x(part), cuts[g])
                 m = _margin(bins, done[g])
                 p = 1.0 / (1.0 + np.exp(-m))
@@ -263,19 +269,21 @@ def fit_trees(train: DataFrame, n_features: int, trees: int = 10, rate: float =
                 g = int(g)
                 tree = cur[g]
                 new_frontier = []
+                by_node = {int(k): v for k, v in hg.groupby("node", sort=False)}
                 for nd in frontier[g]:
-                    hn = hg[hg["node"] == nd]
-                    if hn.empty:
+                    hn = by_node.get(nd)
+                    if hn is None:
                         continue
-                    tot = hn[hn["j"] == hn["j"].iloc[0]]
+                    by_j = {int(k): v for k, v in hn.groupby("j", sort=False)}
+                    tot = by_j[int(hn["j"].iloc[0])]
                     G, H, N = tot["s0"].sum(), tot["s1"].sum(), tot["n"].sum()
                     tree.value[nd] = _leaf(G, H, lam, rate)
                     tree.cover[nd] = H
                     node_stats[(g, nd)] = (G, H, N)
                     best = None
                     for j in cols[g]:
-                        hj = hn[hn["j"] == j]
-                        if hj.empty:
+                        hj = by_j.get(int(j))
+                        if hj is None:
                             continue
                         gb = np.zeros(max_bins)
                         hb = np.zeros(max_bins)
@@ -291,32 +299,17 @@ def fit_trees(train: DataFrame, n_features: int, trees: int = 10, rate: float =
                         gain = np.where(ok, gain, -np.inf)
                         k = int(np.argmax(gain))
                         if np.isfinite(gain[k]) and gain[k] > 1e-12 and (best is None or gain[k] > best[0]):
-                            best = (float(gain[k]), int(j), k)
+                            best = (float(gain[k]), int(j), k, float(gl[k]), float(hl[k]))
                     if best is not None:
                         a, b_ = tree.split(nd, best[1], best[2], best[0])
+                        # the children's sums are the two sides of the chosen cut: their values
+                        # need no pass over the rows (deeper levels overwrite them with the same sums)
+                        gls, hls = best[3], best[4]
+                        for child, gs, hs in ((a, gls, hls), (b_, G - gls, H - hls)):
+                            tree.value[child] = _leaf(gs, hs, lam, rate)
+                            tree.cover[child] = hs
                         new_frontier += [a, b_]
                 frontier[g] = new_frontier
-        # last level: values of the deepest nodes
-        done = {g: [a.arrays() for a in model[g]] for g in cuts}
-        partial = {g: cur[g].arrays() for g in cuts}
-
-        def leaf_stats(g, part, done=done, partial=partial, t=t):
-            bins = _bins(_x(part), cuts[g])
-            p = 1.0 / (1.0 + np.exp(-_margin(bins, done[g])))
-            y, w = part["y"].to_numpy(), part["w0"].to_numpy()
-            keep = _mix(part["h"].to_numpy(), seed * 1000003 + t) < subsample
-            node = _route(bins, partial[g])
-            zero_bins = np.zeros((len(part), 1), dtype=np.int32)
-            return zero_bins, node, np.where(keep, w * (p - y), 0.0), np.where(keep, w * p * (1 - p), 0.0), \
-                keep.astype(np.float64), 1
-
-        h = _histograms(train, leaf_stats)
-        for g, hg in h.groupby("g"):
-            tree = cur[int(g)]
-            for r in hg.itertuples():
-                if tree.feat[r.node] < 0:
-                    tree.value[r.node] = _leaf(r.s0, r.s1, lam, rate)
-                    tree.cover[r.node] = r.s1
         for g in cuts:
             tr = cur[g]
             if leaves is not None:
