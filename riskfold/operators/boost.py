@@ -25,10 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskfold.functions.batches import by_group, to_batch
 from riskfold.session import ship_package
 
 HIST_SCHEMA = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("node", T.IntegerType()),
@@ -36,6 +38,10 @@ HIST_SCHEMA = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("
                             T.StructField("s0", T.DoubleType()), T.StructField("s1", T.DoubleType()),
                             T.StructField("n", T.DoubleType())])
 SCORE_SCHEMA = "g int, row_id string, y int, score double, margin double"
+HIST_ARROW = pa.schema([("g", pa.int32()), ("node", pa.int32()), ("j", pa.int32()), ("b", pa.int32()),
+                        ("s0", pa.float64()), ("s1", pa.float64()), ("n", pa.float64())])
+SCORE_ARROW = pa.schema([("g", pa.int32()), ("row_id", pa.string()), ("y", pa.int32()), ("score", pa.float64()),
+                         ("margin", pa.float64())])
 
 
 # --------------------------------------------------------------------------- binning
@@ -127,26 +133,24 @@ def _histograms(train: DataFrame, make_stats) -> pd.DataFrame:
 
     def task(batches):
         acc: dict = {}
-        for pdf in batches:
-            for g, part in pdf.groupby("g", sort=False):
-                g = int(g)
-                res = make_stats(g, part)
-                if res is None:
-                    continue
-                bins, node, s0, s1, cnt, width = res
-                p, nb = bins.shape[1], width
-                key = (node[:, None] * p + np.arange(p)[None, :]) * nb + bins
-                size = int((node.max() + 1) * p * nb) if len(node) else 0
-                a = acc.setdefault(g, [np.zeros(0), np.zeros(0), np.zeros(0), p, nb])
-                if a[0].size < size:
-                    for k in range(3):
-                        grown = np.zeros(size)
-                        grown[:a[k].size] = a[k]
-                        a[k] = grown
-                flat = key.ravel()
-                a[0] += np.bincount(flat, weights=np.repeat(s0, p), minlength=a[0].size)[:a[0].size]
-                a[1] += np.bincount(flat, weights=np.repeat(s1, p), minlength=a[1].size)[:a[1].size]
-                a[2] += np.bincount(flat, weights=np.repeat(cnt, p), minlength=a[2].size)[:a[2].size]
+        for g, part in by_group(batches, ["g", "y", "w0", "h"]):
+            res = make_stats(g, part)
+            if res is None:
+                continue
+            bins, node, s0, s1, cnt, width = res
+            p, nb = bins.shape[1], width
+            key = (node[:, None] * p + np.arange(p)[None, :]) * nb + bins
+            size = int((node.max() + 1) * p * nb) if len(node) else 0
+            a = acc.setdefault(g, [np.zeros(0), np.zeros(0), np.zeros(0), p, nb])
+            if a[0].size < size:
+                for k in range(3):
+                    grown = np.zeros(size)
+                    grown[:a[k].size] = a[k]
+                    a[k] = grown
+            flat = key.ravel()
+            a[0] += np.bincount(flat, weights=np.repeat(s0, p), minlength=a[0].size)[:a[0].size]
+            a[1] += np.bincount(flat, weights=np.repeat(s1, p), minlength=a[1].size)[:a[1].size]
+            a[2] += np.bincount(flat, weights=np.repeat(cnt, p), minlength=a[2].size)[:a[2].size]
         out = []
         for g, (h0, h1, hn, p, nb) in acc.items():
             nz = np.nonzero(hn)[0]
@@ -155,15 +159,18 @@ def _histograms(train: DataFrame, make_stats) -> pd.DataFrame:
             out.append(pd.DataFrame({"g": np.int32(g), "node": node.astype(np.int32), "j": j.astype(np.int32),
                                      "b": b.astype(np.int32), "s0": h0[nz], "s1": h1[nz], "n": hn[nz]}))
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield to_batch(pd.concat(out, ignore_index=True), HIST_ARROW)
 
     ship_package(train.sparkSession)
-    parts = train.mapInPandas(task, HIST_SCHEMA)
+    parts = train.select("g", "y", "w0", "h", "x").mapInArrow(task, HIST_SCHEMA)
     return parts.groupBy("g", "node", "j", "b").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"),
                                                    F.sum("n").alias("n")).toPandas()
 
 
 def _x(part: pd.DataFrame) -> np.ndarray:
+    """Feature block of a group's rows (from the Arrow batch when present)."""
+    if "X" in part.attrs:
+        return part.attrs["X"]
     return np.vstack(part["x"].to_numpy()).astype(np.float64)
 
 
@@ -351,10 +358,9 @@ def score_rows(rows: DataFrame, cuts: dict, model: dict, kind: str) -> DataFrame
         packed = {g: [t.arrays() for t in v] for g, v in model.items()}
 
     def task(batches):
-        for pdf in batches:
+        for batch in batches:
             outs = []
-            for g, part in pdf.groupby("g", sort=False):
-                g = int(g)
+            for g, part in by_group(iter([batch]), ["g", "row_id", "y"]):
                 bins = _bins(_x(part), cuts[g])
                 if kind == "stumps":
                     f = np.zeros(len(part))
@@ -370,10 +376,10 @@ def score_rows(rows: DataFrame, cuts: dict, model: dict, kind: str) -> DataFrame
                                           "y": part["y"].to_numpy().astype(np.int32), "score": prob,
                                           "margin": margin}))
             if outs:
-                yield pd.concat(outs, ignore_index=True)
+                yield to_batch(pd.concat(outs, ignore_index=True), SCORE_ARROW)
 
     ship_package(rows.sparkSession)
-    return rows.select("g", "row_id", "y", "x").mapInPandas(task, SCORE_SCHEMA)
+    return rows.select("g", "row_id", "y", "x").mapInArrow(task, SCORE_SCHEMA)
 
 
 def model_table(spark, model: dict, kind: str) -> DataFrame:

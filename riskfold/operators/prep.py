@@ -16,11 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskfold.functions.quantiles import quantile_columns
+from riskfold.functions.batches import by_group, to_batch
 from riskfold.session import settle, ship_package
 
 KIND_RANK = {"numeric": 0, "binary": 1, "dummy": 2}
@@ -277,19 +279,19 @@ GRAM_SCHEMA = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("
                             T.StructField("j", T.IntegerType()), T.StructField("s", T.DoubleType())])
 
 
+GRAM_ARROW = pa.schema([("g", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64())])
+
+
 def _partial_gram(batches):
     """Per task: n, sum x and sum x x' per group, from Arrow batches with
     numpy.  Emits O(p^2) rows per group and task, never the rows."""
     acc: dict[int, list] = {}
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        for g, part in pdf.groupby("g", sort=False):
-            x = np.vstack(part["x"].to_numpy()).astype(np.float64)
-            a = acc.setdefault(int(g), [0, 0.0, 0.0])
-            a[0] += x.shape[0]
-            a[1] = a[1] + x.sum(axis=0)
-            a[2] = a[2] + x.T @ x
+    for g, part in by_group(batches, ["g"]):
+        x = part.attrs["X"]
+        a = acc.setdefault(g, [0, 0.0, 0.0])
+        a[0] += x.shape[0]
+        a[1] = a[1] + x.sum(axis=0)
+        a[2] = a[2] + x.T @ x
     out = []
     for g, (n, sx, sxx) in acc.items():
         p = len(sx)
@@ -300,14 +302,16 @@ def _partial_gram(batches):
     if out:
         res = pd.concat(out, ignore_index=True)
         res["g"] = res["g"].astype(np.int32)
-        yield res
+        res["i"] = res["i"].astype(np.int32)
+        yield to_batch(res, GRAM_ARROW)
 
 
 def gram(x_rows: DataFrame) -> DataFrame:
     """(g, i, j, s) sums: i=j=-1 row count, i=-1 column sums, i<=j cross
-    products.  Per-task numpy partials, then one small group-by."""
+    products.  Per-task numpy partials over zero-copy Arrow blocks, then one
+    small group-by."""
     ship_package(x_rows.sparkSession)
-    parts = x_rows.select(F.col("g").cast("int").alias("g"), "x").mapInPandas(_partial_gram, GRAM_SCHEMA)
+    parts = x_rows.select(F.col("g").cast("int").alias("g"), "x").mapInArrow(_partial_gram, GRAM_SCHEMA)
     return parts.groupBy("g", "i", "j").agg(F.sum("s").alias("s"))
 
 
