@@ -985,10 +985,12 @@ def _mats(spark, sf):
 
 
 def _model(spark, sf, model_key):
-    key = ("model", spark.sparkContext.applicationId, sf, model_key)
+    """The three model families are fitted together (shared histogram jobs)
+    the first time any of them is asked for."""
+    key = ("models", spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
-        _MEMO[key] = EX.fit_model(_mats(spark, sf), model_key, QUICK)
-    return _MEMO[key]
+        _MEMO[key] = EX.fit_models(_mats(spark, sf), ("adaboost", "xgboost", "lightgbm"), QUICK)
+    return _MEMO[key][model_key]
 
 
 @register("boost_stumps")

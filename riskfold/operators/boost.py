@@ -33,12 +33,13 @@ from pyspark.sql import types as T
 from riskfold.functions.batches import by_group, to_batch
 from riskfold.session import ship_package
 
-HIST_SCHEMA = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("node", T.IntegerType()),
+HIST_SCHEMA = T.StructType([T.StructField("m", T.IntegerType()),
+                            T.StructField("g", T.IntegerType()), T.StructField("node", T.IntegerType()),
                             T.StructField("j", T.IntegerType()), T.StructField("b", T.IntegerType()),
                             T.StructField("s0", T.DoubleType()), T.StructField("s1", T.DoubleType()),
                             T.StructField("n", T.DoubleType())])
 SCORE_SCHEMA = "g int, row_id string, y int, score double, margin double"
-HIST_ARROW = pa.schema([("g", pa.int32()), ("node", pa.int32()), ("j", pa.int32()), ("b", pa.int32()),
+HIST_ARROW = pa.schema([("m", pa.int32()), ("g", pa.int32()), ("node", pa.int32()), ("j", pa.int32()), ("b", pa.int32()),
                         ("s0", pa.float64()), ("s1", pa.float64()), ("n", pa.float64())])
 SCORE_ARROW = pa.schema([("g", pa.int32()), ("row_id", pa.string()), ("y", pa.int32()), ("score", pa.float64()),
                          ("margin", pa.float64())])
@@ -126,45 +127,86 @@ def _margin(bins: np.ndarray, trees: list) -> np.ndarray:
 
 
 # --------------------------------------------------------------------------- one histogram job
-def _histograms(train: DataFrame, make_stats) -> pd.DataFrame:
-    """Run one pass: ``make_stats(g, bins, part) -> (node, s0, s1, cnt)``;
-    returns the summed histogram (g, node, j, b, s0, s1, n) on the driver
-    (bounded by groups x nodes x features x bins)."""
+HIST_COLS = ["g", "node", "j", "b", "s0", "s1", "n"]
+
+
+def _histograms(train: DataFrame, makers: dict) -> dict[int, pd.DataFrame]:
+    """Run ONE pass for several fitters: ``makers[m](g, part)`` returns
+    ``(bins, node, s0, s1, cnt, width)`` or None; returns the summed
+    histogram (g, node, j, b, s0, s1, n) per fitter m on the driver (bounded
+    by fitters x groups x nodes x features x bins)."""
 
     def task(batches):
         acc: dict = {}
         for g, part in by_group(batches, ["g", "y", "w0", "h"]):
-            res = make_stats(g, part)
-            if res is None:
-                continue
-            bins, node, s0, s1, cnt, width = res
-            p, nb = bins.shape[1], width
-            key = (node[:, None] * p + np.arange(p)[None, :]) * nb + bins
-            size = int((node.max() + 1) * p * nb) if len(node) else 0
-            a = acc.setdefault(g, [np.zeros(0), np.zeros(0), np.zeros(0), p, nb])
-            if a[0].size < size:
-                for k in range(3):
-                    grown = np.zeros(size)
-                    grown[:a[k].size] = a[k]
-                    a[k] = grown
-            flat = key.ravel()
-            a[0] += np.bincount(flat, weights=np.repeat(s0, p), minlength=a[0].size)[:a[0].size]
-            a[1] += np.bincount(flat, weights=np.repeat(s1, p), minlength=a[1].size)[:a[1].size]
-            a[2] += np.bincount(flat, weights=np.repeat(cnt, p), minlength=a[2].size)[:a[2].size]
+            for m, make_stats in makers.items():
+                res = make_stats(g, part)
+                if res is None:
+                    continue
+                bins, node, s0, s1, cnt, width = res
+                p, nb = bins.shape[1], width
+                key = (node[:, None] * p + np.arange(p)[None, :]) * nb + bins
+                size = int((node.max() + 1) * p * nb) if len(node) else 0
+                a = acc.setdefault((m, g), [np.zeros(0), np.zeros(0), np.zeros(0), p, nb])
+                if a[0].size < size:
+                    for k in range(3):
+                        grown = np.zeros(size)
+                        grown[:a[k].size] = a[k]
+                        a[k] = grown
+                flat = key.ravel()
+                a[0] += np.bincount(flat, weights=np.repeat(s0, p), minlength=a[0].size)[:a[0].size]
+                a[1] += np.bincount(flat, weights=np.repeat(s1, p), minlength=a[1].size)[:a[1].size]
+                a[2] += np.bincount(flat, weights=np.repeat(cnt, p), minlength=a[2].size)[:a[2].size]
         out = []
-        for g, (h0, h1, hn, p, nb) in acc.items():
+        for (m, g), (h0, h1, hn, p, nb) in acc.items():
             nz = np.nonzero(hn)[0]
             node, rest = np.divmod(nz, p * nb)
             j, b = np.divmod(rest, nb)
-            out.append(pd.DataFrame({"g": np.int32(g), "node": node.astype(np.int32), "j": j.astype(np.int32),
-                                     "b": b.astype(np.int32), "s0": h0[nz], "s1": h1[nz], "n": hn[nz]}))
+            out.append(pd.DataFrame({"m": np.int32(m), "g": np.int32(g), "node": node.astype(np.int32),
+                                     "j": j.astype(np.int32), "b": b.astype(np.int32),
+                                     "s0": h0[nz], "s1": h1[nz], "n": hn[nz]}))
         if out:
             yield to_batch(pd.concat(out, ignore_index=True), HIST_ARROW)
 
     ship_package(train.sparkSession)
     parts = train.select("g", "y", "w0", "h", "x").mapInArrow(task, HIST_SCHEMA)
-    return parts.groupBy("g", "node", "j", "b").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"),
-                                                   F.sum("n").alias("n")).toPandas()
+    h = parts.groupBy("m", "g", "node", "j", "b").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"),
+                                                     F.sum("n").alias("n")).toPandas()
+    return {int(m): hm[HIST_COLS].reset_index(drop=True) for m, hm in h.groupby("m")}
+
+
+def _drive(train: DataFrame, fitters: dict) -> dict:
+    """Run fitters (generators that yield a per-group statistics function and
+    receive its histogram) in lock-step: every pass is one Spark job serving
+    all fitters that still have work, so models of different families share
+    the scans instead of queueing their own."""
+    pending, results = {}, {}
+    for k, gen in fitters.items():
+        try:
+            pending[k] = next(gen)
+        except StopIteration as stop:
+            results[k] = stop.value
+    empty = pd.DataFrame({c: pd.Series(dtype="int32" if c in ("g", "node", "j", "b") else "float64")
+                          for c in HIST_COLS})
+    while pending:
+        keys = list(pending)
+        hs = _histograms(train, {i: pending[k] for i, k in enumerate(keys)})
+        for i, k in enumerate(keys):
+            try:
+                pending[k] = fitters[k].send(hs.get(i, empty))
+            except StopIteration as stop:
+                results[k] = stop.value
+                del pending[k]
+    return results
+
+
+def _part_bins(part: pd.DataFrame, cuts_g: np.ndarray) -> np.ndarray:
+    """Bins of a group's rows, computed once per batch and shared by every
+    fitter that uses the same cuts."""
+    memo = part.attrs.setdefault("bins", {})
+    if id(cuts_g) not in memo:
+        memo[id(cuts_g)] = _bins(_x(part), cuts_g)
+    return memo[id(cuts_g)]
 
 
 def _x(part: pd.DataFrame) -> np.ndarray:
@@ -179,6 +221,11 @@ def fit_stumps(train: DataFrame, n_features: int, rounds: int = 20, rate: float
                max_bins: int = 32) -> tuple[dict, dict]:
     """Returns ({g: cuts}, {g: [(j, b, left_label, alpha), ...]})."""
     cuts = bin_cuts(train, n_features, max_bins)
+    return cuts, _drive(train, {0: stump_steps(cuts, rounds, rate, max_bins)})[0]
+
+
+def stump_steps(cuts: dict, rounds: int = 20, rate: float = 0.1, max_bins: int = 32):
+    """Fitter generator (see ``_drive``); returns {g: stumps}."""
     model: dict[int, list] = {g: [] for g in cuts}
     active = set(cuts)
     for _ in range(rounds):
@@ -189,7 +236,7 @@ def fit_stumps(train: DataFrame, n_features: int, rounds: int = 20, rate: float
         def stats(g, part, snap=snap, cuts=cuts, act=frozenset(active)):
             if g not in act:
                 return None
-            bins = _bins(_x(part), cuts[g])
+            bins = _part_bins(part, cuts[g])
             ypm = part["y"].to_numpy() * 2 - 1
             f = np.zeros(len(part))
             for j, b, lab, a in snap[g]:
@@ -198,7 +245,7 @@ def fit_stumps(train: DataFrame, n_features: int, rounds: int = 20, rate: float
             node = np.zeros(len(part), dtype=np.int64)
             return bins, node, w * (ypm > 0), w * (ypm < 0), np.ones(len(part)), max_bins
 
-        h = _histograms(train, stats)
+        h = yield stats
         for g, hg in h.groupby("g"):
             g = int(g)
             best = None
@@ -227,7 +274,7 @@ def fit_stumps(train: DataFrame, n_features: int, rounds: int = 20, rate: float
                 active.discard(g)
             else:
                 model[g].append((j, b, lab, rate * math.log((1 - err) / err)))
-    return cuts, model
+    return model
 
 
 # --------------------------------------------------------------------------- gradient boosting
@@ -241,6 +288,18 @@ def fit_trees(train: DataFrame, n_features: int, trees: int = 10, rate: float =
               max_bins: int = 32, seed: int = 42) -> tuple[dict, dict]:
     """Returns ({g: cuts}, {g: [Tree, ...]}); base margin 0 (probability 0.5)."""
     cuts = bin_cuts(train, n_features, max_bins)
+    steps = tree_steps(cuts, n_features, trees=trees, rate=rate, depth=depth, lam=lam,
+                       min_child_weight=min_child_weight, min_child_rows=min_child_rows, subsample=subsample,
+                       colsample=colsample, leaves=leaves, max_bins=max_bins, seed=seed)
+    return cuts, _drive(train, {0: steps})[0]
+
+
+def tree_steps(cuts: dict, n_features: int, trees: int = 10, rate: float = 0.05, depth: int = 4,
+               lam: float = 1.0, min_child_weight: float = 1.0, min_child_rows: int = 0,
+               subsample: float = 0.8, colsample: float = 0.8, leaves: int | None = None,
+               max_bins: int = 32, seed: int = 42):
+    """Fitter generator (see ``_drive``): one histogram per tree level;
+    returns {g: [Tree, ...]}."""
     model: dict[int, list] = {g: [] for g in cuts}
     rng = np.random.default_rng(seed)
     for t in range(trees):
@@ -260,7 +319,7 @@ def fit_trees(train: DataFrame, n_features: int, trees: int = 10, rate: float =
             def stats(g, part, done=done, partial=partial, t=t, level=level, growing=growing):
                 if g not in growing:
                     return None
-                bins = _bins(_x(part), cuts[g])
+                bins = _part_bins(part, cuts[g])
                 m = _margin(bins, done[g])
                 p = 1.0 / (1.0 + np.exp(-m))
                 y = part["y"].to_numpy()
@@ -271,7 +330,7 @@ def fit_trees(train: DataFrame, n_features: int, trees: int = 10, rate: float =
                 he = np.where(keep, w * p * (1 - p), 0.0)
                 return bins, node, gr, he, keep.astype(np.float64), max_bins
 
-            h = _histograms(train, stats)
+            h = yield stats
             for g, hg in h.groupby("g"):
                 g = int(g)
                 tree = cur[g]
@@ -322,7 +381,22 @@ def fit_trees(train: DataFrame, n_features: int, trees: int = 10, rate: float =
             if leaves is not None:
                 tr = _best_first(tr, leaves)
             model[g].append(tr)
-    return cuts, model
+    return model
+
+
+def fit_many(train: DataFrame, n_features: int, specs: dict, max_bins: int = 32) -> dict:
+    """Fit several models on the same fit groups in shared passes:
+    ``specs[key] = ("stumps" | "trees", kwargs)``; one set of bin cuts, and
+    every histogram job serves all models still growing.  Returns
+    {key: (cuts, model)}."""
+    cuts = bin_cuts(train, n_features, max_bins)
+    gens = {}
+    for key, (kind, kw) in specs.items():
+        if kind == "stumps":
+            gens[key] = stump_steps(cuts, max_bins=max_bins, **kw)
+        else:
+            gens[key] = tree_steps(cuts, n_features, max_bins=max_bins, **kw)
+    return {key: (cuts, model) for key, model in _drive(train, gens).items()}
 
 
 def _best_first(tree: Tree, n_leaves: int) -> Tree:

@@ -74,18 +74,26 @@ def select_keys(requested, available) -> list[str]:
     return requested
 
 
-def fit_model(m: Matrices, model_key: str, scale: float = 1.0, seed: int = 42):
-    spec = dict(MODEL_SPECS[select_keys([model_key], MODEL_SPECS)[0]])
+def _fit_args(spec: dict, scale: float, seed: int) -> tuple[str, dict]:
     if spec["kind"] == "stumps":
-        rounds = max(1, int(spec["rounds"] * scale))
-        cuts, model = B.fit_stumps(m.train, m.n_features, rounds=rounds, rate=spec["rate"])
-    else:
-        trees = max(1, int(spec["trees"] * scale))
-        cuts, model = B.fit_trees(m.train, m.n_features, trees=trees, rate=spec["rate"], depth=spec["depth"],
-                                  lam=spec["lam"], min_child_weight=spec["min_child_weight"],
-                                  min_child_rows=spec.get("min_child_rows", 0), subsample=spec["subsample"],
-                                  colsample=spec["colsample"], leaves=spec.get("leaves"), seed=seed)
-    return spec["kind"], cuts, model
+        return "stumps", dict(rounds=max(1, int(spec["rounds"] * scale)), rate=spec["rate"])
+    return "trees", dict(trees=max(1, int(spec["trees"] * scale)), rate=spec["rate"], depth=spec["depth"],
+                         lam=spec["lam"], min_child_weight=spec["min_child_weight"],
+                         min_child_rows=spec.get("min_child_rows", 0), subsample=spec["subsample"],
+                         colsample=spec["colsample"], leaves=spec.get("leaves"), seed=seed)
+
+
+def fit_models(m: Matrices, model_keys=("adaboost", "xgboost", "lightgbm"), scale: float = 1.0,
+               seed: int = 42) -> dict:
+    """{key: (kind, cuts, model)}: all requested models trained together, so
+    each histogram job serves every model that is still growing."""
+    keys = select_keys(model_keys, MODEL_SPECS)
+    fitted = B.fit_many(m.train, m.n_features, {k: _fit_args(MODEL_SPECS[k], scale, seed) for k in keys})
+    return {k: (MODEL_SPECS[k]["kind"], *fitted[k]) for k in keys}
+
+
+def fit_model(m: Matrices, model_key: str, scale: float = 1.0, seed: int = 42):
+    return fit_models(m, [model_key], scale, seed)[model_key]
 
 
 def cv_scores(spark: SparkSession, m: Matrices, cohort: Cohort, model_keys=("adaboost", "xgboost", "lightgbm"),

@@ -49,3 +49,32 @@ def test_best_first_selection_order():
     kept = B._best_first(t, 3)
     assert sum(1 for f in kept.feat if f < 0) == 3
     assert 2 in kept.feat and 1 not in kept.feat      # the higher-gain child split is made first
+
+
+def test_shared_passes_equal_separate_fits(planted):
+    """Models trained together (one histogram job per step for all of them)
+    equal the same models trained alone."""
+    both = B.fit_many(planted, 5, {"s": ("stumps", dict(rounds=4, rate=0.5)),
+                                   "t": ("trees", dict(trees=2, rate=0.3, depth=3, subsample=0.8, colsample=0.8))})
+    _, stumps = B.fit_stumps(planted, 5, rounds=4, rate=0.5)
+    _, trees = B.fit_trees(planted, 5, trees=2, rate=0.3, depth=3, subsample=0.8, colsample=0.8)
+    assert both["s"][1] == stumps
+    for g, lst in trees.items():
+        for a, b in zip(lst, both["t"][1][g]):
+            assert a.feat == b.feat and a.thr == b.thr
+            assert np.allclose(a.value, b.value, rtol=1e-12, atol=1e-15)
+
+
+def test_leaf_values_equal_a_pass_over_rows(planted):
+    """Leaf values taken from the parent's histogram equal -G/(H+lambda)*rate
+    summed directly over each leaf's rows."""
+    cuts, model = B.fit_trees(planted, 5, trees=1, rate=0.3, depth=3, subsample=1.0, colsample=1.0)
+    pdf = planted.where("g = -1").toPandas()
+    bins = B._bins(np.vstack(pdf["x"].to_numpy()), cuts[-1])
+    tr = model[-1][0]
+    leaf = B._route(bins, tr.arrays())
+    p, y = 0.5, pdf["y"].to_numpy()
+    for nd in np.unique(leaf):
+        m = leaf == nd
+        G, H = float(np.sum(p - y[m])), float(np.sum(np.full(m.sum(), p * (1 - p))))
+        assert abs(tr.value[nd] - (-G / (H + 1.0) * 0.3)) < 1e-9
