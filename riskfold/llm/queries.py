@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskfold.llm import quality
+from riskfold.llm import pii, quality
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
