@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from riskfold.llm import pii, quality
+from riskfold.llm import bpe, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_bpe": bpe.op2_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
