@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskfold.llm import bpe, pii, quality
+from riskfold.llm import bpe, pii, quality, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
