@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from riskfold.llm import bpe, pii, quality, toxicity
+from riskfold.llm import bpe, langid, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
+    "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op8_language_id": langid.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
