@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfold.llm import bpe, langid, pii, quality, simhash, toxicity
+from riskfold.llm import bpe, langid, pii, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op8_language_id": langid.op8_language_id,
+    "op10_token_output": tokens.op10_token_output,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
