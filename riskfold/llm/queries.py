@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskfold.llm import bpe, langid, packing, pii, quality, simhash, tokens, toxicity
+from riskfold.llm import bpe, langid, packing, pii, quality, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_topk": topk.op5_topk,
     "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
     "op10_token_output": tokens.op10_token_output,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_topk": topk.SQL,
     "op9_quality_rules": quality.SQL,
 }
