@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfold.llm import bpe, langid, packing, pii, quality, simhash, tokens, topk, toxicity
+from riskfold.llm import bpe, langid, packing, pii, quality, secrets, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_topk": topk.op5_topk,
+    "op6_secrets": secrets.op6_secrets,
     "op7_packing": packing.op7_packing,
     "op8_language_id": langid.op8_language_id,
     "op10_token_output": tokens.op10_token_output,
