@@ -46,6 +46,8 @@ from riskfold.session import ship_package
 ORDER, DISCOUNT, WINDOW = 9, 0.75, 24
 #: Discount of a class's own counts: what a class has seen that seldom is left to the shared counts.
 CLASS_DISCOUNT = 3.5
+#: Grams seen less often in all are left out of the model (no class count would outlive its discount).
+LEAST_COUNT = 3
 MARGIN = 1.5
 #: Orders of the backoff chain.
 LEVELS = (2, 4, 6, ORDER)
@@ -94,7 +96,8 @@ def count_grams(labelled: DataFrame) -> DataFrame:
         yield flush()
 
     words = labelled.select("text", "toxic").mapInArrow(run, "w string, t long, o long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    return words.select(F.explode(_grams_of(F.col("w"))).alias("g"), "t", "o").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    each = words.select(F.explode(_grams_of(F.col("w"))).alias("g"), "t", "o").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return each.where(F.col("t") + F.col("o") >= LEAST_COUNT)
 
 
 def pooled_model(counts: DataFrame) -> DataFrame:
@@ -266,7 +269,7 @@ def train(learn: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, calibration_
     hash, is left out of the counts and fits the link."""
     learn = learn.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    table = stash(ratio_table(count_grams(learn.where(~aside))), "tox-ratios")
+    table = stash(ratio_table(stash(count_grams(learn.where(~aside)), "tox-counts")), "tox-ratios")
     model = Model(table, table.count() <= broadcast_grams, np.zeros((3, 5)))
     if model.small:
         model.packed = _pack(table)
