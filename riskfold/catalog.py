@@ -8,18 +8,20 @@ matrices with six decimals; summation order differs between engines).
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskfold import sql_twins as Q
 from riskfold.config import Settings
 from riskfold.operators import clean as C
 from riskfold.operators import prep as P
 from riskfold.operators import split as S
-from riskfold.session import materialize, settle
+from riskfold.session import ensure_checkpoint_dir, materialize, settle
 from riskfold.plans.assign import assign, clean_and_split, clean_rows, dev_and_test
 from riskfold.sources.files import normalise_missing
 from riskfold.sources.tables import ACCOUNTS, DOCS, LINES, raw_cohort, table
@@ -92,6 +94,31 @@ def q_scan_normalise(spark, sf):
                                                           "o_totalprice"]))
 
 
+_CSV_COLS = {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "date"}
+
+
+def _planted(column: str) -> str:
+    """Where a row's order key hash puts NA tokens (both engines)."""
+    return f"substr(md5('{column}' || cast(o_orderkey as varchar(20))), 1, 1) = '7'"
+
+
+@register("csv_scan", rounded=("o_totalprice",), sql="SELECT o_orderkey, " + ", ".join(
+    f"CASE WHEN {_planted(c)} THEN NULL ELSE {c if t != 'date' else 'CAST(CAST(' + c + ' AS DATE) AS VARCHAR)'} END AS {c}" for c, t in _CSV_COLS.items() if c != "o_orderkey") + " FROM orders")
+def q_csv_scan(spark, sf):
+    """Round trip: orders written as CSV with NA tokens of several kinds in
+    text and typed columns and blanks around the header names, read back."""
+    from riskfold.sources.files import NA_TOKENS, read_csv
+    token = F.element_at(F.array(*[F.lit(t) for t in NA_TOKENS if t]), (F.pmod("o_orderkey", F.lit(len(NA_TOKENS) - 1)) + 1).cast("int"))
+    rows = table(spark, sf, "orders", list(_CSV_COLS))
+    out = rows.select("o_orderkey", *[F.when(F.expr(_planted(c)), token).otherwise(F.col(c).cast(t).cast("string")).alias(f" {c} ")
+                                      for c, t in _CSV_COLS.items() if c != "o_orderkey"])
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    out.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    schema = T.StructType([T.StructField(c if c == "o_orderkey" else f" {c} ", T._parse_datatype_string(t)) for c, t in _CSV_COLS.items()])
+    back = read_csv(spark, folder, schema, target="o_orderstatus")
+    return back.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
 _ACC_COLS = ["c_custkey", "n_orders", "avg_order_value", "total_order_value", "c_mktsegment", "n_name", "r_name",
              "negative_balance"]
 
@@ -125,6 +152,12 @@ def q_dedupe_rows(spark, sf):
     return C.dedupe_rows(raw_cohort(spark, sf, "docs"))
 
 
+@register("dedupe_documents", sql="SELECT DISTINCT text, lang, source, n_chars FROM documents")
+def q_dedupe_documents(spark, sf):
+    """Exact duplicates of whole documents (all columns but the id)."""
+    return C.dedupe_rows(table(spark, sf, "documents", ["text", "lang", "source", "n_chars"]))
+
+
 @register("zero_as_missing", sql="WITH raw AS (" + Q.RAW_SQL["lines"] + ")\n"
           f"SELECT md5({Q.key_text_sql(LINES.key_columns)}) AS row_id, "
           "CASE WHEN l_discount = 0 THEN NULL ELSE l_discount END AS l_discount, l_tax FROM raw")
@@ -726,8 +759,18 @@ SELECT {Q.GK_SQL}, fold_b AS fold_a, fold_a AS fold_b, rho AS value FROM sp UNIO
 SELECT DISTINCT {Q.GK_SQL}, fold AS fold_a, fold AS fold_b, 1.0 AS value FROM imp"""))
 def q_fold_correlation_matrix(spark, sf):
     imp = _first_imp(spark, sf)
-    pw = ST.pairwise_spearman(ST.fold_pairs(imp, SET.top_k))
-    return ST.fold_correlation_matrix(pw, imp.select(*ST.GK, "fold").distinct())
+    pw = ST.shared_correlations(imp)
+    return ST.fold_correlation_matrix(pw, imp.select(*ST.GK, "fold").distinct(), "value")
+
+
+@register("fold_kendall_matrix", rounded=("value",), sql=_PW(f"""
+SELECT {Q.GK_SQL}, fold_a, fold_b, kendall_tau AS value FROM pw UNION ALL
+SELECT {Q.GK_SQL}, fold_b AS fold_a, fold_a AS fold_b, kendall_tau AS value FROM pw UNION ALL
+SELECT DISTINCT {Q.GK_SQL}, fold AS fold_a, fold AS fold_b, 1.0 AS value FROM imp"""))
+def q_fold_kendall_matrix(spark, sf):
+    imp = _first_imp(spark, sf)
+    pw = ST.shared_correlations(imp, "kendall")
+    return ST.fold_correlation_matrix(pw, imp.select(*ST.GK, "fold").distinct(), "value")
 
 
 _OV = _IMP(f"""

@@ -249,8 +249,9 @@ def stump_steps(cuts: dict, rounds: int = 20, rate: float = 0.1, max_bins: int =
         for g, hg in h.groupby("g"):
             g = int(g)
             best = None
-            total = hg["s0"].sum() + hg["s1"].sum()
+            total = None   # of the weights: the bins of any one feature hold every row once
             for j, hj in hg.groupby("j"):
+                total = hj["s0"].sum() + hj["s1"].sum() if total is None else total
                 pos = np.zeros(max_bins)
                 neg = np.zeros(max_bins)
                 pos[hj["b"].to_numpy()] = hj["s0"].to_numpy()

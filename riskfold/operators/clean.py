@@ -31,7 +31,7 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 def require_target(df: DataFrame, target: str) -> None:
     if target not in df.columns:
-        raise ValueError(f"Expected target column '{target}', got {df.columns}")
+        raise ValueError(f"no column {target!r} to predict among {df.columns}")
 
 
 def column_roles(columns: list[str], numeric: tuple[str, ...] | list[str], target: str) -> tuple[list[str], list[str]]:
@@ -50,7 +50,7 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
 def zero_as_missing(df: DataFrame, columns: tuple[str, ...] | list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"Columns not found: {missing}")
+        raise KeyError(f"no such columns: {missing}")
     return df.select(*[(F.when(F.col(c) == 0, F.lit(None).cast(df.schema[c].dataType))
                         .otherwise(F.col(c)).alias(c)) if c in columns else F.col(c)
                        for c in df.columns])

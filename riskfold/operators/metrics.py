@@ -117,7 +117,7 @@ def cv_summary(folds: DataFrame, metrics=METRICS) -> DataFrame:
     """mean, sample std, min, max, range of each metric per (dataset, model)."""
     missing = set(KEYS + list(metrics)) - set(folds.columns)
     if missing:
-        raise ValueError(f"Fold metrics are missing required columns: {sorted(missing)}")
+        raise ValueError(f"the fold rows lack {', '.join(sorted(missing))}")
     aggs = []
     for m in metrics:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"),
@@ -132,7 +132,7 @@ def dataset_ranks(summary: DataFrame, primary: str = "pr_auc") -> DataFrame:
     """cv_rank 1..n inside each dataset: primary mean desc, ROC mean desc,
     F1 mean desc, primary std asc (model key last, for a total order)."""
     if primary not in METRICS:
-        raise ValueError(f"Unsupported primary metric: {primary}")
+        raise ValueError(f"{primary!r} is none of {', '.join(METRICS)}")
     w = Window.partitionBy("dataset_key").orderBy(
         F.desc(f"{primary}_mean"), F.desc("roc_auc_mean"), F.desc("f1_mean"), F.asc(f"{primary}_std"),
         F.asc("model_key"))

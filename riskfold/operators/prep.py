@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from riskfold.functions.quantiles import quantile_columns
 from riskfold.functions.batches import by_group, to_batch
-from riskfold.session import settle, ship_package
+from riskfold.session import materialize, settle, ship_package
 
 KIND_RANK = {"numeric": 0, "binary": 1, "dummy": 2}
 
@@ -336,17 +336,23 @@ def moments(gr: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def greedy_prune(order: list[int], low_var: set[int], edges: set[tuple[int, int]]) -> dict[int, str]:
-    """Keep i, drop later j with an edge (|r| > threshold); a dropped column
-    drops nobody; NaN correlations are never edges."""
-    dropped: dict[int, str] = {i: "low_variance" for i in order if i in low_var}
-    rest = [i for i in order if i not in low_var]
-    for a, i in enumerate(rest):
-        if i in dropped:
-            continue
-        for j in rest[a + 1:]:
-            if j not in dropped and ((i, j) in edges or (j, i) in edges):
-                dropped[j] = "correlated"
-    return dropped
+    """One walk in column order: a column joins the kept set unless its
+    variance is low or a column kept before it is its neighbour (|r| above the
+    threshold; an undefined correlation is no edge)."""
+    near: dict[int, set[int]] = {}
+    for i, j in edges:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    kept: set[int] = set()
+    reasons: dict[int, str] = {}
+    for column in order:
+        if column in low_var:
+            reasons[column] = "low_variance"
+        elif kept.isdisjoint(near.get(column, ())):
+            kept.add(column)
+        else:
+            reasons[column] = "correlated"
+    return reasons
 
 
 def select_features(fitted: Fitted, train_x: DataFrame, flist, variance_threshold: float = 1e-4,
@@ -355,7 +361,7 @@ def select_features(fitted: Fitted, train_x: DataFrame, flist, variance_threshol
     part (Gram sums over the training rows of all groups) is distributed; the
     greedy pass runs on the driver over at most p^2 edges per group."""
     spark = train_x.sparkSession
-    var, cor = moments(settle(gram(train_x)))
+    var, cor = moments(materialize(gram(train_x), keep_cached=False))   # edges are filtered before they are collected
     gidx = {(k, c, v): i for i, (k, c, v) in enumerate(flist)}
     cand = fitted.features.select("g", "pos", "feature", "kind", "column", "value").collect()
     var_map = {(r["g"], r["j"]): r["var_samp"] for r in var.collect()}

@@ -7,7 +7,7 @@ one task.  Quotas come from the class-count table (a handful of rows).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskfold.functions.ranking import bucket_digits, hashed_rank
@@ -48,20 +48,58 @@ def _check_split(counts: list, test_size: float) -> None:
         raise ValueError("test and train sizes must each be at least the number of classes")
 
 
-def stratified_split(df: DataFrame, target: str, seed: int, test_size: float,
-                     validate: bool = True) -> DataFrame:
-    """Add ``split`` in {'train','test'}: exhaustive, disjoint, per-class
-    exact quotas, seeded."""
-    quotas = test_quotas(df, target, test_size)
-    counts = quotas.collect()   # a row per class
+def _by_class(target: str, values: dict) -> Column:
+    """A constant per class (a case per class, no join)."""
+    out = F.lit(None).cast("long")
+    for cls, v in values.items():
+        out = F.when(F.col(target) == F.lit(cls), F.lit(v).cast("long")).otherwise(out)
+    return out
+
+
+def _split_rank(df: DataFrame, target: str, seed: int, test_size: float, validate: bool) -> tuple[DataFrame, list]:
+    counts = test_quotas(df, target, test_size).collect()   # a row per class
     if validate:
         _check_split(counts, test_size)
     digits = bucket_digits(sum(r["n_class"] for r in counts))
     ranked = hashed_rank(df.withColumn("_u", seeded_order("row_id", seed)), [target], "_u", "row_id", out="_r",
                          digits=digits)
-    out = ranked.join(F.broadcast(quotas.select(target, "n_test_class")), target)
-    return (out.withColumn("split", F.when(F.col("_r") < F.col("n_test_class"), "test").otherwise("train"))
-               .drop("_u", "_r", "n_test_class"))
+    quota = _by_class(target, {r[target]: r["n_test_class"] for r in counts})
+    split = F.when(F.col("_r") < quota, "test").otherwise("train")
+    return ranked.withColumn("_quota", quota).withColumn("split", split).drop("_u"), counts
+
+
+def stratified_split(df: DataFrame, target: str, seed: int, test_size: float,
+                     validate: bool = True) -> DataFrame:
+    """Add ``split`` in {'train','test'}: exhaustive, disjoint, per-class
+    exact quotas, seeded."""
+    return _split_rank(df, target, seed, test_size, validate)[0].drop("_r", "_quota")
+
+
+def split_and_folds(df: DataFrame, target: str, seed: int, test_size: float, k: int) -> DataFrame:
+    """``split`` and, for the train rows, ``fold``, from one rank: split and
+    shuffled folds order a class by the same seeded hash, so a train row's
+    place among the train rows is its rank less the class's test quota."""
+    ranked, counts = _split_rank(df, target, seed, test_size, True)
+    train = sorted((r[target], r["n_class"] - r["n_test_class"]) for r in counts)
+    _check_folds([n for _, n in train], k)
+    offsets, acc = {}, 0
+    for cls, n in train:
+        offsets[cls] = acc
+        acc += n
+    fold = ((_by_class(target, offsets) + F.col("_r") - F.col("_quota")) % F.lit(k)).cast("int")
+    return ranked.withColumn("fold", F.when(F.col("split") == "train", fold)).drop("_r", "_quota")
+
+
+def _check_folds(sizes: list[int], k: int) -> None:
+    n = sum(sizes)
+    if n == 0:
+        raise ValueError("cannot fold an empty frame")
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    if n < k:
+        raise ValueError(f"cannot make {k} folds of {n} rows")
+    if all(c < k for c in sizes):
+        raise ValueError(f"every class has fewer than {k} rows")
 
 
 def _fold_blocks(counts: list[tuple], k: int) -> dict:
@@ -89,14 +127,7 @@ def stratified_folds(df: DataFrame, target: str, k: int, seed: int, shuffle: boo
     counts are taken as contiguous blocks in row_id order."""
     counts = sorted((r[0], r[1]) for r in class_counts(df, target).collect())  # a row per class
     n = sum(c for _, c in counts)
-    if n == 0:
-        raise ValueError("cannot fold an empty frame")
-    if k < 2:
-        raise ValueError("k must be at least 2")
-    if n < k:
-        raise ValueError(f"cannot make {k} folds of {n} rows")
-    if all(c < k for _, c in counts):
-        raise ValueError(f"every class has fewer than {k} rows")
+    _check_folds([c for _, c in counts], k)
     offsets, acc = {}, 0
     for cls, c in counts:
         offsets[cls] = acc
@@ -186,7 +217,7 @@ def bounded_sample(df: DataFrame, by: list[str], n: int, seed: int) -> DataFrame
     returned whole.  The limit is the operator.  Ranks come from
     ``hashed_rank`` so a large group is never ranked in one task."""
     if n <= 0:
-        raise ValueError("max_samples must be positive")
+        raise ValueError(f"a sample of {n} rows was asked for")
     counts = df.groupBy(*by).count().agg(F.sum("count")).first()[0] or 0
     ranked = hashed_rank(df.withColumn("_u", seeded_order("row_id", seed)), by, "_u", "row_id", out="_r",
                          digits=bucket_digits(counts))

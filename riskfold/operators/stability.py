@@ -25,9 +25,9 @@ def importance_ranks(imp: DataFrame, value: str = "mean_abs_shap") -> DataFrame:
 def _check(imp: DataFrame, top_k: int | None = None) -> None:
     missing = REQUIRED - set(imp.columns)
     if missing:
-        raise ValueError(f"importance frame is missing required columns: {sorted(missing)}")
+        raise ValueError(f"the importance table lacks {', '.join(sorted(missing))}")
     if top_k is not None and top_k < 1:
-        raise ValueError("top_k must be at least 1")
+        raise ValueError(f"top_k = {top_k}: a positive count is needed")
 
 
 def _first_per_feature(imp: DataFrame) -> DataFrame:
@@ -36,27 +36,32 @@ def _first_per_feature(imp: DataFrame) -> DataFrame:
     return imp.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def _avg_rank(imp: DataFrame) -> DataFrame:
-    """Average rank of the given ranks inside each fold (ties share the mean)."""
-    w = Window.partitionBy(*GK, "fold").orderBy("rank")
-    t = Window.partitionBy(*GK, "fold", "rank")
-    return imp.withColumn("ar", F.rank().over(w) + (F.count(F.lit(1)).over(t) - 1) / 2.0)
-
-
 def fold_pairs(imp: DataFrame, top_k: int) -> DataFrame:
     """(GK..., fold_a, fold_b, feature, ra, rb, ta, tb): ranks of a feature in
-    both folds of every pair and top-k membership (k clipped to p, rank ties
-    broken by feature name)."""
-    x = _avg_rank(_first_per_feature(imp))
+    both folds of every pair, among the features that the two folds share, and
+    top-k membership (k clipped to p, rank ties broken by feature name)."""
+    x = _first_per_feature(imp)
     p = Window.partitionBy(*GK, "fold")
     o = Window.partitionBy(*GK, "fold").orderBy("rank", "feature")
     x = x.withColumn("_p", F.count(F.lit(1)).over(p)) \
          .withColumn("top", F.row_number().over(o) <= F.least(F.lit(top_k), F.col("_p")))
-    a = x.select(*GK, F.col("fold").alias("fold_a"), "feature", F.col("ar").alias("ra"),
-                 F.col("rank").alias("rka"), F.col("top").alias("ta"), F.col("_p").alias("pa"))
-    b = x.select(*GK, F.col("fold").alias("fold_b"), "feature", F.col("ar").alias("rb"),
-                 F.col("rank").alias("rkb"), F.col("top").alias("tb"), F.col("_p").alias("pb"))
-    return a.join(b, [*GK, "feature"]).where(F.col("fold_a") < F.col("fold_b"))
+    a = x.select(*GK, F.col("fold").alias("fold_a"), "feature", F.col("rank").alias("rka"), F.col("top").alias("ta"), F.col("_p").alias("pa"))
+    b = x.select(*GK, F.col("fold").alias("fold_b"), "feature", F.col("rank").alias("rkb"), F.col("top").alias("tb"), F.col("_p").alias("pb"))
+    shared = a.join(b, [*GK, "feature"]).where(F.col("fold_a") < F.col("fold_b"))
+    for side in "ab":
+        w = Window.partitionBy(*GK, "fold_a", "fold_b").orderBy(f"rk{side}")
+        t = Window.partitionBy(*GK, "fold_a", "fold_b", f"rk{side}")
+        shared = shared.withColumn(f"r{side}", F.rank().over(w) + (F.count(F.lit(1)).over(t) - 1) / 2.0)
+    return shared
+
+
+def all_fold_pairs(imp: DataFrame) -> DataFrame:
+    """(GK, fold_a, fold_b, size_a, size_b): every pair of folds with its
+    feature counts, also where the folds share no feature."""
+    sizes = imp.groupBy(*GK, "fold").agg(F.countDistinct("feature").alias("size"))
+    a = sizes.select(*GK, F.col("fold").alias("fold_a"), F.col("size").alias("size_a"))
+    b = sizes.select(*GK, F.col("fold").alias("fold_b"), F.col("size").alias("size_b"))
+    return a.join(b, GK).where(F.col("fold_a") < F.col("fold_b"))
 
 
 def pairwise_spearman(pairs: DataFrame) -> DataFrame:
@@ -103,11 +108,13 @@ def pairwise_stability(imp: DataFrame, top_k: int) -> DataFrame:
     pairs = fold_pairs(imp, top_k)
     keys = [*GK, "fold_a", "fold_b"]
     sp = pairwise_spearman(pairs)
-    out = sp.join(pairwise_kendall(pairs), keys, "left").join(topk_jaccard(pairs, top_k), keys)
-    bad = (F.col("n_features") != F.col("_pa")) | (F.col("n_features") != F.col("_pb"))
-    out = out.withColumn("n_features", F.when(bad, F.raise_error(F.lit(
-        "Feature sets differ across folds; rank stability is not comparable.")).cast("long"))
-        .otherwise(F.col("n_features")))
+    out = all_fold_pairs(imp).join(sp, keys, "left").join(pairwise_kendall(pairs), keys, "left")
+    out = out.join(topk_jaccard(pairs, top_k), keys, "left")
+    matched = F.coalesce("n_features", F.lit(0))
+    unlike = F.concat(F.lit("folds "), F.col("fold_a").cast("string"), F.lit(" and "), F.col("fold_b").cast("string"),
+                      F.lit(" rank different features"))
+    out = out.withColumn("n_features", F.when((matched != F.col("size_a")) | (matched != F.col("size_b")),
+                                              F.raise_error(unlike).cast("long")).otherwise(F.col("n_features")))
     tau = F.when(F.col("n_features") < 2, 1.0).otherwise(F.coalesce("kendall_tau", F.lit(1.0)))
     return out.select(*keys, "n_features", "top_k", tau.alias("kendall_tau"), "spearman_rho", "top_k_jaccard")
 
@@ -137,7 +144,11 @@ def consensus_ranking(imp: DataFrame, top_k: int) -> DataFrame:
 
 def rank_matrix(imp: DataFrame, max_features: int | None = None) -> DataFrame:
     """Long fold x feature rank matrix with the display order of features
-    (mean rank asc, mean importance desc, name); optional top n."""
+    (mean rank asc, mean importance desc, name); optional top n.  A table
+    without rows has no order to show and raises."""
+    _check(imp)
+    if imp.isEmpty():
+        raise ValueError("no importance rows are selected")
     s = imp.groupBy(*GK, "feature").agg(F.avg("rank").alias("_mr"), F.avg("mean_abs_shap").alias("_mi"))
     w = Window.partitionBy("dataset_key", "model_key").orderBy("_mr", F.desc("_mi"), "feature")
     s = s.withColumn("feature_order", F.row_number().over(w))
@@ -147,8 +158,22 @@ def rank_matrix(imp: DataFrame, max_features: int | None = None) -> DataFrame:
     return m.join(s.select(*GK, "feature", "feature_order"), [*GK, "feature"])
 
 
+def shared_correlations(imp: DataFrame, method: str = "spearman") -> DataFrame:
+    """(GK, fold_a, fold_b, value) for every pair of folds over the features
+    they share; 1.0 where they share fewer than two.  ``method``: spearman or
+    kendall."""
+    if method not in ("spearman", "kendall"):
+        raise ValueError(f"method {method!r}: spearman or kendall")
+    _check(imp)
+    keys, pairs = [*GK, "fold_a", "fold_b"], fold_pairs(imp, 1)
+    stat = pairwise_spearman(pairs).select(*keys, F.col("spearman_rho").alias("value")) if method == "spearman" \
+        else pairwise_kendall(pairs).select(*keys, F.col("kendall_tau").alias("value"))
+    return all_fold_pairs(imp).join(stat, keys, "left").select(*keys, F.coalesce("value", F.lit(1.0)).alias("value"))
+
+
 def fold_correlation_matrix(pw: DataFrame, folds: DataFrame, stat: str = "spearman_rho") -> DataFrame:
-    """Symmetric fold x fold matrix (long) with a unit diagonal."""
+    """Symmetric fold x fold matrix (long) with a unit diagonal, from a pair
+    table (``pairwise_stability``, or ``shared_correlations`` with "value")."""
     a = pw.select(*GK, "fold_a", "fold_b", F.col(stat).alias("value"))
     b = pw.select(*GK, F.col("fold_b").alias("fold_a"), F.col("fold_a").alias("fold_b"), F.col(stat).alias("value"))
     d = folds.select(*GK, F.col("fold").alias("fold_a"), F.col("fold").alias("fold_b"), F.lit(1.0).alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskfold.config import Cohort, Settings
 from riskfold.operators.clean import clean_cohort
-from riskfold.operators.split import stratified_folds, stratified_split
+from riskfold.operators.split import split_and_folds, stratified_folds, stratified_split
 from riskfold.session import materialize
 from riskfold.sources.tables import COHORTS, raw_cohort
 
@@ -29,9 +29,11 @@ def assign(spark: SparkSession, sf_dir: str, cohort: Cohort | str,
            settings: Settings = Settings()) -> DataFrame:
     """All cleaned rows with ``split`` and, for train rows, ``fold``."""
     cohort = COHORTS[cohort] if isinstance(cohort, str) else cohort
-    # the cleaned cohort feeds the quota job, the split rank and the fold
-    # rank: read and join the sources once
+    # the cleaned cohort feeds the quota job and the rank: read and join the
+    # sources once
     clean = materialize(clean_rows(spark, sf_dir, cohort))
+    if settings.shuffle:
+        return split_and_folds(clean, cohort.target, settings.seed, settings.test_size, settings.n_folds)
     split = stratified_split(clean, cohort.target, settings.seed, settings.test_size)
     train = stratified_folds(split.where(F.col("split") == "train"), cohort.target,
                              settings.n_folds, settings.seed, settings.shuffle)

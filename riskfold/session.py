@@ -41,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="riskfold-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
@@ -50,21 +52,23 @@ def materialize(df: DataFrame, keep_cached: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder
     (survives executor loss, unlike local checkpoints).  The input is
     persisted while the checkpoint is written so the plan runs once, not
-    twice; the result is kept cached (memory, spilling to disk) because it is
+    twice; the result is kept cached (memory, spilling to disk) when it is
     re-read by several statistics jobs, and its lineage is the checkpoint."""
     from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    # a table re-read by many jobs should use every core: a scan of one large
-    # row group (or a narrow plan) can leave it in fewer partitions than slots
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
     df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         out = df.checkpoint(eager=True)
     finally:
         df.unpersist()
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if keep_cached else out
+    if not keep_cached:
+        return out
+    # a table re-read by many jobs should use every core; the checkpoint's own
+    # partition count is known without running anything
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < slots:
+        out = out.repartition(slots)
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def settle(df: DataFrame) -> DataFrame:
