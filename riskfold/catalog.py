@@ -1089,19 +1089,20 @@ from riskfold.operators import attrib as AT  # noqa: E402
 
 
 def _explained(spark, sf):
-    """Validation rows of each fold, at most max_explain per fold (seed + fold
-    order), and a background of at most max_background training rows per fold."""
+    """All validation rows of each fold (the study's bounded sample of them is
+    the ``bounded_sample`` operator), and a background of at most
+    max_background training rows per fold."""
     key = ("explain", spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
         m = _mats(spark, sf)
-        rows = S.bounded_sample(m.apply.where("g >= 0"), ["g"], SET.max_explain, SET.seed)
+        rows = m.apply.where("g >= 0")
         bg_rows = S.bounded_sample(m.train.where("g >= 0"), ["g"], SET.max_background, SET.seed + 10000) \
             .select("g", "x").collect()                                     # <= 50 x p per fold
         import numpy as np
         bg: dict = {}
         for r in bg_rows:
             bg.setdefault(int(r["g"]), []).append(r["x"])
-        _MEMO[key] = (materialize(rows), {g: np.asarray(v, dtype=float) for g, v in bg.items()})
+        _MEMO[key] = (rows, {g: np.asarray(v, dtype=float) for g, v in bg.items()})
     return _MEMO[key]
 
 
@@ -1135,6 +1136,38 @@ def q_interventional_attributions(spark, sf):
     return _phi(spark, sf, "xgboost", interventional=True)
 
 
+def _additive(phi: DataFrame, output: DataFrame, column: str) -> DataFrame:
+    """(fold, n_rows, n_additive): rows whose attributions and base add up to
+    the model's output."""
+    total = phi.groupBy("g", "row_id").agg((F.sum("phi") + F.first("base")).alias("total"))
+    both = output.select("g", "row_id", F.col(column).alias("out")).where("g >= 0").join(total, ["g", "row_id"], "left")
+    good = F.coalesce((F.abs(F.col("total") - F.col("out")) < 1e-6).cast("long"), F.lit(0))
+    return both.groupBy(F.col("g").alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(good).alias("n_additive"))
+
+
+_ADDITIVE_SQL = Q.with_ctes(ACCOUNTS, "SELECT fold, count(*) AS n_rows, count(*) AS n_additive FROM dev GROUP BY fold")
+
+
+def _scored(spark, sf, key):
+    kind, cuts, model = _model(spark, sf, key)
+    return BO.score_rows(_mats(spark, sf).apply, cuts, model, kind)
+
+
+@register("tree_additivity", sql=_ADDITIVE_SQL)
+def q_tree_additivity(spark, sf):
+    return _additive(_phi(spark, sf, "xgboost"), _scored(spark, sf, "xgboost"), "margin")
+
+
+@register("interventional_additivity", sql=_ADDITIVE_SQL)
+def q_interventional_additivity(spark, sf):
+    return _additive(_phi(spark, sf, "lightgbm", interventional=True), _scored(spark, sf, "lightgbm"), "margin")
+
+
+@register("permutation_additivity", sql=_ADDITIVE_SQL)
+def q_permutation_additivity(spark, sf):
+    return _additive(_phi(spark, sf, "adaboost"), _scored(spark, sf, "adaboost"), "score")
+
+
 def model_importance(spark, sf) -> DataFrame:
     """Importance frame of the three models (tree attributions for the tree
     models, permutation attributions for AdaBoost), one fold = one group."""
@@ -1207,16 +1240,15 @@ def q_per_fold_rankings(spark, sf):
     return ST.ranking_lists(imp)
 
 
-@register("sink_processed")
+@register("sink_processed", sql=Q.with_ctes(LINES, _PROCESSED_SQL, _PROCESSED_CTES, full_fit=True))
 def q_sink_processed(spark, sf):
-    """Write the processed splits and fold manifest into the shared
-    checkpoint folder and read the training split back (round trip)."""
-    import uuid
-    from riskfold.plans.process import process_dataset, write_outputs
-    from riskfold.session import ensure_checkpoint_dir
+    """Write the processed splits and the fold manifest into the shared
+    checkpoint folder, read both back (round trip) and show them in long form."""
+    from riskfold.plans.process import process, write_outputs
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-out-{uuid.uuid4().hex}"
-    processed = materialize(process_dataset(spark, sf, LINES, SET))
-    write_outputs(processed, folder, "returned")
-    back = spark.read.parquet(f"{folder}/processed")
-    folds = spark.read.parquet(f"{folder}/folds")
-    return back.where("split = 'train'").join(folds, "row_id")
+    done = process(spark, sf, LINES, SET)
+    write_outputs(done, folder)
+    back = spark.read.parquet(f"{folder}/processed").join(spark.read.parquet(f"{folder}/folds"), "row_id", "left")
+    each = F.array(*[F.struct(F.lit(pos).alias("out_pos"), F.lit(name).alias("feature"), F.col(f"`{name}`").alias("value"))
+                     for _, pos, name in done.kept])
+    return back.select("split", "fold", "row_id", "returned", F.inline(each))

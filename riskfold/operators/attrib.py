@@ -12,9 +12,9 @@
   x on the switched features and the background row elsewhere; sums
   telescope to f(x) - mean f(background).
 
-Explained rows are a bounded deterministic sample per fold and background
-rows a bounded sample of the fold's training rows, so the work per task is
-bounded by the sample sizes, never by the table.
+Rows are explained one by one (the caller passes all of them or a sample), in
+blocks, against a background that is a bounded sample of the fold's training
+rows; memory per task is bounded by the block.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from riskfold.operators import boost as B
 from riskfold.session import ship_package
 
 PHI_SCHEMA = "g int, row_id string, j int, phi double, base double"
+#: Rows explained together against the whole background.
+ROW_BLOCK = 128
 
 
 def leaf_paths(tree: B.Tree, n_bins: int) -> list[tuple[float, dict]]:
@@ -91,6 +93,9 @@ def tree_phi(bins: np.ndarray, paths_per_tree: list, n_features: int, bg_bins: n
                     _leaf_phi(v, feats, o, z, phi)
         return phi, np.full(n, base)
     m = bg_bins.shape[0]
+    if n > ROW_BLOCK:   # blocks of rows bound the rows x background x features array
+        halves = [tree_phi(bins[lo:lo + ROW_BLOCK], paths_per_tree, n_features, bg_bins) for lo in range(0, n, ROW_BLOCK)]
+        return tuple(np.concatenate(x) for x in zip(*halves))
     xb = np.repeat(bins, m, axis=0)
     bb = np.tile(bg_bins, (n, 1))
     phi = np.zeros((n * m, n_features))
@@ -147,7 +152,7 @@ def permutation_attributions(rows: DataFrame, cuts: dict, model: dict, n_feature
     """(g, row_id, j, phi, base) on the probability scale of a stump model."""
 
     def task(batches):
-        for pdf in batches:
+        for pdf in (b.iloc[lo:lo + ROW_BLOCK] for b in batches for lo in range(0, len(b), ROW_BLOCK)):
             outs = []
             for g, part in pdf.groupby("g", sort=False):
                 g = int(g)
