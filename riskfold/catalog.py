@@ -497,6 +497,8 @@ def q_threshold_metrics(spark, sf):
 
 @register("metric_guards", sql=_MSQL(f"""
 SELECT {Q.KEYS_SQL}, fold, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, CAST(count(*) - sum(y) AS BIGINT) AS n_neg,
+       count(*) FILTER (WHERE y IS NULL OR y NOT IN (0, 1)) AS n_bad_label,
+       count(*) FILTER (WHERE score IS NULL OR isnan(score)) AS n_bad_score,
        sum(y) > 0 AND count(*) - sum(y) > 0 AS ok FROM scores GROUP BY ALL"""))
 def q_metric_guards(spark, sf):
     s, _ = _scores(spark, sf)
@@ -914,17 +916,19 @@ def q_entity_aggregates(spark, sf):
     return CK.entity_aggregates(ev, "user_id", "event_type", "value", EVENT_KINDS)
 
 
-@register("entity_features", rounded=("purchase_mean", "purchase_max"), sql="""
-SELECT c_custkey, c_mktsegment, a.n_events, a.purchase_mean, a.purchase_max FROM customer LEFT JOIN (
-  SELECT user_id, count(*) AS n_events, avg(value) FILTER (WHERE event_type = 'purchase') AS purchase_mean,
-         max(value) FILTER (WHERE event_type = 'purchase') AS purchase_max FROM events GROUP BY user_id) a
-ON c_custkey = a.user_id""")
+@register("entity_features", rounded=tuple(c for c in _ENT if c != "n_events"), sql=(
+    "SELECT c_custkey, c_mktsegment, " + ", ".join(f"a.{c}" for c in _ENT) + " FROM customer LEFT JOIN ("
+    "SELECT user_id, count(*) AS n_events, " + ", ".join(
+        f"avg(value) FILTER (WHERE event_type = '{k}') AS {k}_mean, "
+        f"stddev_samp(value) FILTER (WHERE event_type = '{k}') AS {k}_std, "
+        f"min(value) FILTER (WHERE event_type = '{k}') AS {k}_min, "
+        f"max(value) FILTER (WHERE event_type = '{k}') AS {k}_max" for k in EVENT_KINDS)
+    + " FROM events GROUP BY user_id) a ON c_custkey = a.user_id"))
 def q_entity_features(spark, sf):
     ev = table(spark, sf, "events", ["user_id", "event_type", "value"])
     agg = CK.entity_aggregates(ev, "user_id", "event_type", "value", EVENT_KINDS)
     cu = table(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
-    return cu.join(agg, cu.c_custkey == agg.user_id, "left").select("c_custkey", "c_mktsegment", "n_events",
-                                                                    "purchase_mean", "purchase_max")
+    return cu.join(agg, cu.c_custkey == agg.user_id, "left").select("c_custkey", "c_mktsegment", *_ENT)
 
 
 _LFEAT = list(LINES.numeric) + list(LINES.categorical)
@@ -932,11 +936,14 @@ _LFEAT = list(LINES.numeric) + list(LINES.categorical)
 
 @register("leakage_checks", sql="WITH raw AS (" + Q.RAW_SQL["lines"] + "), clean AS (" + Q.clean_sql(LINES) + ")\n"
           + " UNION ALL ".join(
-              f"SELECT '{c}' AS feature, {'true' if c.endswith('_id') else 'false'} AS id_like, false AS is_target, "
+              f"SELECT '{c}' AS feature, {'true' if c.endswith('_id') else 'false'} AS id_like, '{c}' = 'returned' AS is_target, "
               f"bool_and(coalesce(TRY_CAST({c} AS DOUBLE) = CAST(returned AS DOUBLE), false)) AS equals_target FROM clean"
-              for c in _LFEAT))
+              for c in [*_LFEAT, "returned", "copy_id"]).replace("TRY_CAST(copy_id AS", "TRY_CAST(returned AS"))
 def q_leakage_checks(spark, sf):
-    return CK.leakage_checks(clean_rows(spark, sf, LINES), "returned", _LFEAT)
+    """With two offenders planted among the features: the target itself, and
+    its copy under an identifier's name."""
+    rows = clean_rows(spark, sf, LINES).withColumn("copy_id", F.col("returned"))
+    return CK.leakage_checks(rows, "returned", [*_LFEAT, "returned", "copy_id"])
 
 
 @register("split_overlap", sql=Q.with_ctes(LINES, f"""
@@ -989,9 +996,10 @@ def q_validate_split(spark, sf):
 
 @register("validate_folds", sql=Q.with_ctes(LINES, f"""
 SELECT * FROM (VALUES ('missing_fold', (SELECT count(*) FROM dev WHERE fold IS NULL)),
-                      ('unknown_row', CAST(0 AS BIGINT)), ('duplicate_row', CAST(0 AS BIGINT)),
+                      ('unknown_row', (SELECT count(*) FROM dev WHERE row_id NOT IN (SELECT row_id FROM clean))),
+                      ('duplicate_row', (SELECT count(*) FROM (SELECT row_id FROM dev GROUP BY row_id HAVING count(*) > 1))),
                       ('fold_count_off', (SELECT abs(count(DISTINCT fold) - {SET.n_folds}) FROM dev)),
-                      ('empty_side', CAST(0 AS BIGINT))) AS v(check_name, n_violations)""").replace(
+                      ('empty_side', (SELECT CASE WHEN count(DISTINCT fold) < 2 THEN 1 ELSE 0 END FROM dev))) AS v(check_name, n_violations)""").replace(
     "SELECT * FROM (VALUES", "SELECT check_name AS \"check\", CAST(n_violations AS BIGINT) AS n_violations, "
     "n_violations = 0 AS ok FROM (VALUES"))
 def q_validate_folds(spark, sf):
@@ -1076,12 +1084,15 @@ def q_holdout_scores(spark, sf):
 @register("cv_fold_metrics")
 def q_cv_fold_metrics(spark, sf):
     m = _mats(spark, sf)
-    sc = EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK, fitted=_all_models(spark, sf))
-    return M.fold_metrics(sc.where("g >= 0"), SET.threshold)
+    fitted = _all_models(spark, sf)
+    sc = EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK, fitted=fitted)
+    rows = M.fold_metrics(sc.where("g >= 0"), SET.threshold)
+    return EX.with_fit_seconds(rows.withColumn("fold", F.col("fold") + 1), fitted)
 
 
 def _all_models(spark, sf):
-    return {k: _model(spark, sf, k) for k in ("adaboost", "xgboost", "lightgbm")}
+    _model(spark, sf, "adaboost")
+    return _MEMO[("models", spark.sparkContext.applicationId, sf)]
 
 
 # =========================================================================== 2.8 attributions
@@ -1252,3 +1263,6 @@ def q_sink_processed(spark, sf):
     each = F.array(*[F.struct(F.lit(pos).alias("out_pos"), F.lit(name).alias("feature"), F.col(f"`{name}`").alias("value"))
                      for _, pos, name in done.kept])
     return back.select("split", "fold", "row_id", "returned", F.inline(each))
+
+
+from riskfold import catalog_reports  # noqa: E402, F401  (registers its queries)

@@ -11,13 +11,14 @@ ID_LIKE = re.compile(r"^(id|patient_id|record_id|.*_id)$")
 
 
 def entity_aggregates(events: DataFrame, entity: str, kind: str, value: str, kinds: list[str]) -> DataFrame:
-    """One row per entity: mean/std/min/max of each kind's values (pivot with
-    an explicit value list, so the schema is fixed and no extra job runs)."""
-    p = events.groupBy(entity).pivot(kind, kinds).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        F.max(value).alias("max"))
-    n = events.groupBy(entity).agg(F.count(F.lit(1)).alias("n_events"))
-    return n.join(p, entity)
+    """One row per entity: event count, and mean/std/min/max of each kind's
+    values, in one conditional aggregation (one exchange, no join)."""
+    aggs = [F.count(F.lit(1)).alias("n_events")]
+    for k in kinds:
+        own = F.when(F.col(kind) == F.lit(k), F.col(value))
+        aggs += [F.avg(own).alias(f"{k}_mean"), F.stddev_samp(own).alias(f"{k}_std"), F.min(own).alias(f"{k}_min"),
+                 F.max(own).alias(f"{k}_max")]
+    return events.groupBy(entity).agg(*aggs)
 
 
 def leakage_checks(df: DataFrame, target: str, features: list[str]) -> DataFrame:

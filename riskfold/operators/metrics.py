@@ -80,10 +80,14 @@ def binary_metrics(scores: DataFrame, by: list[str], threshold: float = 0.5) ->
 
 
 def metric_guards(scores: DataFrame, by: list[str], y: str = "y") -> DataFrame:
-    """(by..., n, n_pos, n_neg, ok): both classes are required."""
-    agg = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).cast("long").alias("n_pos"))
-    return agg.withColumn("n_neg", F.col("n") - F.col("n_pos")) \
-              .withColumn("ok", (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+    """(by..., n, n_pos, n_neg, n_bad_label, n_bad_score, ok): both classes are
+    required, labels are 0 or 1, scores are numbers."""
+    bad_label = ~F.coalesce(F.col(y).isin(0, 1), F.lit(False))
+    bad_score = F.col("score").isNull() | F.isnan("score")
+    agg = scores.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) == 0).alias("n_neg"),
+        F.count_if(bad_label).alias("n_bad_label"), F.count_if(bad_score).alias("n_bad_score"))
+    return agg.withColumn("ok", (F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_bad_label") == 0) & (F.col("n_bad_score") == 0))
 
 
 def roc_points(counts: DataFrame, by: list[str]) -> DataFrame:

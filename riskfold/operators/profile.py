@@ -28,11 +28,17 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return base.join(q, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n, pct) over non-null values, pct of the column's non-null rows."""
+def value_counts(df: DataFrame, columns: list[str], nulls: bool = False, ordered: bool = False) -> DataFrame:
+    """(column, value, n, pct[, place]): pct of the counted rows of the column;
+    ``nulls`` counts the missing value, too; ``ordered`` adds the place by
+    count, then value (missing last)."""
     lv = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    c = lv.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("column")))
+    c = (lv if nulls else lv.where(F.col("value").isNotNull())).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    c = c.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("column")))
+    if not ordered:
+        return c
+    place = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
+    return c.withColumn("place", F.row_number().over(place))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,12 +49,18 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return agg.selectExpr(f"stack({len(pairs)}, {stack}) as (column_a, column_b, r)")
 
 
-def rate_by_category(df: DataFrame, category: str, target: str, positive="Yes") -> DataFrame:
+def rate_by_category(df: DataFrame, category: str, target: str, positive="Yes", order: list[str] | None = None) -> DataFrame:
     """Event rate (%) per category; NULL categories dropped; NULL labels stay in
-    the denominator (the share of rows equal to the positive label)."""
-    return df.where(F.col(category).isNotNull()).groupBy(category).agg(
+    the denominator (the share of rows equal to the positive label).  ``order``
+    fixes the categories and their ``position``; one without rows has n = 0
+    and no rate."""
+    rates = df.where(F.col(category).isNotNull()).groupBy(category).agg(
         F.count(F.lit(1)).alias("n"),
         (100.0 * F.avg(F.when(F.col(target) == F.lit(positive), 1.0).otherwise(0.0))).alias("rate"))
+    if order is None:
+        return rates
+    places = df.sparkSession.createDataFrame(list(enumerate(order)), f"position int, `{category}` string")
+    return places.join(rates, category, "left").select("position", category, F.coalesce("n", F.lit(0)).alias("n"), "rate")
 
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -69,14 +81,21 @@ def zero_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return lv.select("column", "n_zero", (100.0 * F.col("n_zero") / F.col("_n")).alias("pct_zero"))
 
 
-def outlier_counts(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFrame:
-    """Tukey fences of each column over all rows, and how many rows fall outside."""
-    lv = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    q = quantile_columns(lv, ["column"], "value", {"q1": 0.25, "q3": 0.75})
+def outlier_counts(df: DataFrame, columns: list[str], multiplier: float = 1.5, fit: str | None = None,
+                   by: str | None = None) -> DataFrame:
+    """Tukey fences of each column over all rows (or those where ``fit``
+    holds), and how many rows fall outside (per value of ``by``)."""
+    ids = [by] if by else []
+
+    def long(rows: DataFrame) -> DataFrame:
+        return rows.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(ids, columns, "column", "value")
+
+    lv = long(df)
+    q = quantile_columns(long(df.where(fit)) if fit else lv, ["column"], "value", {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     q = q.select("column", (F.col("q1") - multiplier * iqr).alias("lower"), (F.col("q3") + multiplier * iqr).alias("upper"))
     j = lv.join(F.broadcast(q), "column")
-    return j.groupBy("column", "lower", "upper").agg(
+    return j.groupBy("column", "lower", "upper", *ids).agg(
         F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("n_outliers"))
 
 

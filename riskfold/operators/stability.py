@@ -75,6 +75,13 @@ def pairwise_spearman(pairs: DataFrame) -> DataFrame:
     return agg.select(*GK, "fold_a", "fold_b", "n_features", rho.alias("spearman_rho"), "_pa", "_pb")
 
 
+def spearman_of_given_ranks(pairs: DataFrame) -> DataFrame:
+    """(GK, fold_a, fold_b, spearman_rho): Pearson of the ranks as they are
+    given, without ranking anew; no value below two features."""
+    agg = pairs.groupBy(*GK, "fold_a", "fold_b").agg(F.count(F.lit(1)).alias("_n"), F.corr("rka", "rkb").alias("_r"))
+    return agg.select(*GK, "fold_a", "fold_b", F.when(F.col("_n") >= 2, F.col("_r")).alias("spearman_rho"))
+
+
 def pairwise_kendall(pairs: DataFrame) -> DataFrame:
     """(GK, fold_a, fold_b, kendall_tau): tau-b over feature pairs j < j'."""
     left = pairs.select(*GK, "fold_a", "fold_b", F.col("feature").alias("f1"), F.col("ra").alias("a1"),

@@ -3,6 +3,7 @@ groups of the same jobs (see operators/boost.py)."""
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,8 +89,23 @@ def fit_models(m: Matrices, model_keys=("adaboost", "xgboost", "lightgbm"), scal
     """{key: (kind, cuts, model)}: all requested models trained together, so
     each histogram job serves every model that is still growing."""
     keys = select_keys(model_keys, MODEL_SPECS)
+    began = time.monotonic()
     fitted = B.fit_many(m.train, m.n_features, {k: _fit_args(MODEL_SPECS[k], scale, seed) for k in keys})
-    return {k: (MODEL_SPECS[k]["kind"], *fitted[k]) for k in keys}
+    return FittedModels({k: (MODEL_SPECS[k]["kind"], *fitted[k]) for k in keys}, time.monotonic() - began)
+
+
+class FittedModels(dict):
+    """{key: (kind, cuts, model)} and the seconds of the fit.  All folds and
+    the refit of all models share their passes, so a model's share is the
+    whole divided by the models."""
+
+    def __init__(self, models: dict, seconds: float) -> None:
+        super().__init__(models)
+        self.fit_seconds = seconds
+
+
+def with_fit_seconds(rows: DataFrame, fitted: FittedModels) -> DataFrame:
+    return rows.withColumn("fit_seconds", F.lit(round(fitted.fit_seconds / max(1, len(fitted)), 6)))
 
 
 def fit_model(m: Matrices, model_key: str, scale: float = 1.0, seed: int = 42):
