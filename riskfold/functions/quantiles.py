@@ -77,12 +77,14 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
             .agg(F.sum(w).cast("long").alias("_w"))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = settle(vc.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_d"), F.sum("_w").alias("_n")))
-        if not sizes.isEmpty() and sizes.agg(F.max("_d")).first()[0] <= direct_limit:
+        most = sizes.agg(F.max("_d")).first()[0] or 0
+        if not sizes.isEmpty() and most <= direct_limit:
             return settle(_direct(vc, sizes, group_cols, probs))
-        # approximate equal-count cuts over the distinct values (bounded sketch)
+        # approximate equal-count cuts over the distinct values, as many as keep a bucket within the direct limit
+        buckets = max(buckets, -(-2 * most // direct_limit) if direct_limit else 0)
         fracs = [i / buckets for i in range(1, buckets)]
         cuts = settle(vc.groupBy(*group_cols).agg(
-            F.percentile_approx("_v", fracs, 10000).alias("_cuts"),
+            F.percentile_approx("_v", fracs, max(10000, 20 * buckets)).alias("_cuts"),
             F.sum("_w").alias("_n")))
         vb = _with_bucket(vc.join(F.broadcast(cuts), on=group_cols, how="inner"),
                           "_v", "_cuts", buckets - 1, "_b")

@@ -11,22 +11,30 @@ whole group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("roc_auc", "pr_auc", "recall", "f1")
-SCORE_BUCKETS = 1024
+#: Buckets per doubling of the odds.
+ODDS_BUCKETS = 256
+
+
+def _score_bucket(score: Column, buckets: int) -> Column:
+    """Order-preserving bucket by the odds of the score: as fine among the
+    small scores of a rare event as in the middle.  Scores outside (0, 1) fall
+    in a bucket at either end."""
+    odds = F.floor(F.log2(score / (1 - score)) * buckets)
+    return F.when(score <= 0, F.lit(-(1 << 40))).when(score >= 1, F.lit(1 << 40)).otherwise(odds).cast("long")
 
 
 def score_counts(scores: DataFrame, by: list[str], score: str = "score", y: str = "y",
-                 buckets: int = SCORE_BUCKETS) -> DataFrame:
+                 buckets: int = ODDS_BUCKETS) -> DataFrame:
     """(by..., score, pos, neg, tp_before, fp_before, n_pos, n_neg): counts of
     positives/negatives with a strictly higher score."""
     d = scores.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(y)).cast("long").alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(y))).cast("long").alias("neg"))
-    b = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    d = d.withColumn("_b", b)
+    d = d.withColumn("_b", _score_bucket(F.col("score").cast("double"), buckets))
     bt = d.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     higher = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     alls = Window.partitionBy(*by)

@@ -87,6 +87,22 @@ def category_counts(train: DataFrame, categorical: tuple[str, ...] | list[str])
     return lv.groupBy("g", "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Values that one column may have in one fit group: each becomes a feature.
+MAX_CATEGORIES = 10_000
+
+
+def bounded_categories(counts: DataFrame, most: int = MAX_CATEGORIES) -> DataFrame:
+    """``counts`` as it is, or an error that names the column whose values are
+    too many to be categories (an id-like column): nothing is cut off, and the
+    driver and the broadcasts never get more than groups x columns x ``most``."""
+    counts = materialize(counts, keep_cached=False)
+    wide = counts.groupBy("g", "column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    worst = wide.groupBy("column").agg(F.max("n").alias("n")).orderBy("column").limit(5).collect()
+    if worst:
+        raise ValueError("not categorical: " + ", ".join(f"{r['column']} has {r['n']} values" for r in worst) + f" (at most {most})")
+    return counts
+
+
 def category_stats(counts: DataFrame) -> DataFrame:
     """(g, column, mode, n_distinct, v0, v1, fallback, is_binary): mode ties
     go to the smallest value; a column with exactly two values is binary,
@@ -184,7 +200,7 @@ def fit(train: DataFrame, numeric, categorical, iqr_columns=(), multiplier: floa
     clipped = iqr_clip(train, bounds, iqr_columns) if iqr_columns else train
     med = settle(medians(clipped, numeric))
     num = settle(numeric_stats(clipped, med, numeric))
-    counts = settle(category_counts(train, categorical))
+    counts = settle(bounded_categories(category_counts(train, categorical)))
     cat = settle(category_stats(counts))
     # group ids from the (small, settled) statistics: no extra pass over the rows
     groups = num.select("g").unionByName(cat.select("g")).distinct()

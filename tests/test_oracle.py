@@ -15,7 +15,9 @@ SF = "/root/testdata/sf0.001"
 FAST = ["scan_normalise", "dedupe_rows", "clean_target", "stratified_split", "stratified_folds", "folds_unshuffled",
         "fold_report", "inner_folds", "class_weights", "impute_mode", "encode_onehot", "preprocess_apply",
         "roc_auc", "pr_auc", "fold_metrics", "model_comparison", "pairwise_stability", "stability_summary",
-        "describe_numeric", "box_stats", "entity_aggregates", "leakage_checks"]
+        "describe_numeric", "box_stats", "entity_aggregates", "leakage_checks", "csv_scan", "dedupe_documents",
+        "fold_kendall_matrix", "value_counts_all", "rate_by_category_ordered", "metric_guards_planted",
+        "validate_folds_planted", "stability_extremes", "outlier_counts_train", "entity_features"]
 
 
 @pytest.fixture(scope="module")

@@ -101,3 +101,22 @@ def test_one_rank_equals_split_then_folds(spark):
     split = S.stratified_split(df, "t", 42, 0.2)
     folds = {r.row_id: r.fold for r in S.stratified_folds(split.where("split = 'train'"), "t", 5, 42).collect()}
     assert one == {r.row_id: (r.split, folds.get(r.row_id)) for r in split.collect()}
+
+
+def test_an_id_like_column_is_refused_by_name(spark):
+    from riskfold.operators import prep as P
+    counts = spark.createDataFrame([(0, "code", str(i), 1) for i in range(12)] + [(0, "flag", "a", 9)], "g int, column string, value string, n long")
+    assert P.bounded_categories(counts, 12).count() == 13
+    with pytest.raises(ValueError, match="code has 12 values"):
+        P.bounded_categories(counts, 11)
+
+
+def test_scores_of_a_rare_event_rank_exactly(spark):
+    """Tiny, equal, middle and edge scores against the pair count."""
+    from riskfold.operators import metrics as M
+    scores = [0.0, 1e-9, 2e-9, 2e-9, 1e-4, 1.1e-4, 0.3, 0.3000001, 0.9999999, 1.0, 1.0, 0.5]
+    rows = [(1, s, int(i % 3 == 0)) for i, s in enumerate(scores)]
+    got = M.auc_metrics(M.score_counts(spark.createDataFrame(rows, "k int, score double, y int"), ["k"]), ["k"]).first()
+    pos, neg = [s for _, s, y in rows if y], [s for _, s, y in rows if not y]
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(got.roc_auc - want) < 1e-12
