@@ -34,18 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
+from riskfold.llm.bpe import byte_letters
 from riskfold.llm.common import add_columns, documents, shared_folder, slices, stash
 from riskfold.session import ship_package
 
 MAGIC, HEADER = b"HUF1", struct.Struct("<4sIIII")
 LIMIT, BLOCK, SHARD_IDS, PART_IDS = 18, 512, 1 << 20, 4_000_000
-CACHED = 150_000
+CACHED = 500_000
 NO_ID = -(1 << 63)
 SHARDS = "part int, place long, first_id long, n_ids long, shard binary"
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same cut for texts whose letters, digits and white space the faster module classes alike.
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _RARE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 
 
@@ -60,6 +61,7 @@ class Encoder:
         special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.special = {s: struct.pack("<I", i) for s, i in special.items()}
         self.at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
@@ -67,19 +69,22 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids as little-endian uint32, with the end id."""
-        if len(self.known) > CACHED:
-            self.known = {}
+        known = self.known
+        if len(known) > CACHED:
+            known.clear()
+        if not known:
+            known.update(self.special)
         cut = []
         for t in texts:
             parts = self.at.split(t) if t and self.at and "<|" in t else [t or ""]
             cut.append([p for part in parts for p in ([part] if part in self.special else self._pieces(part))])
-        known = self.known
-        known.update(self.special)
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for p, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False) if new else ()):
-            known[p] = np.array(e.ids, "<u4").tobytes()
+        model, letters = self.lib.model, self.letters
+        for pieces in cut:
+            for p in set(pieces).difference(known):
+                found = model.tokenize("".join([letters[b] for b in p.encode()]))  # the piece as byte letters
+                known[p] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         last = struct.pack("<I", end)
-        return [b"".join([known[p] for p in pieces]) + last for pieces in cut]
+        return [b"".join(map(known.__getitem__, pieces)) + last for pieces in cut]
 
 
 _LOADED: dict[str, Encoder] = {}
