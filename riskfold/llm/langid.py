@@ -62,9 +62,22 @@ def script(word: str) -> int:
     return OTHER
 
 
+class _Places(dict):
+    """Slot of each trigram; the hash is taken once per trigram in use."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        at = self[gram] = xxhash.xxh64_intdigest(gram.encode(), 42) % SLOTS
+        return at
+
+
+_PLACES = _Places()
+
+
 def slots(word: str) -> list[int]:
-    w = f"^{word}$"
-    return [xxhash.xxh64_intdigest(w[i:i + 3].encode(), 42) % SLOTS for i in range(len(w) - 2)]
+    w, place = f"^{word}$", _PLACES
+    return [place[w[i:i + 3]] for i in range(len(w) - 2)]
 
 
 def count_trigrams(learn: DataFrame) -> DataFrame:
@@ -138,7 +151,7 @@ class Scores:
         if len(self.place) > 200_000:
             self.place, self.rows = {}, self.rows[:0]
         place = self.place
-        new = [w for w in dict.fromkeys(words) if w not in place]
+        new = sorted(set(words).difference(place))
         if new:
             every = [slots(w) for w in new]
             starts = np.cumsum([0, *map(len, every[:-1])])
@@ -219,6 +232,34 @@ def _flush(group: list, words: list[str], known: Scores) -> Iterator[list[tuple[
         at += len(spans)
 
 
+def shares(texts: list[str | None], known: Scores) -> Iterator[np.ndarray]:
+    """(letters by language) of each text, a block of texts at a time; the
+    same labels as ``label`` without the places of the spans."""
+    lengths: list[int] = []
+    words: list[str] = []
+    for text in texts:
+        low = (text or "").lower()
+        found = _WORD.findall(low)
+        if not low.isascii():
+            found = [w for w in found if w[0].isalpha() or any(map(str.isalpha, w))]
+        lengths.append(len(found))
+        words += found
+        if len(words) >= BLOCK_WORDS:
+            yield _letters(words, lengths, known)
+            lengths, words = [], []
+    yield _letters(words, lengths, known)
+
+
+def _letters(words: list[str], lengths: list[int], known: Scores) -> np.ndarray:
+    k = len(known.model.langs)
+    if not words:
+        return np.zeros((len(lengths), k))
+    best = viterbi(known.of(words), np.array(lengths, np.int64))
+    place = np.repeat(np.arange(len(lengths)), lengths) * k + best
+    sizes = np.fromiter(map(len, words), np.float64, len(words))
+    return np.bincount(place, sizes, len(lengths) * k).reshape(-1, k)
+
+
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]))
 FIELDS = [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_spans", SPANS)]
 
@@ -236,6 +277,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tr
         def work(texts: list) -> list:
             if not langs:
                 return [["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]][:len(fields)]
+            if not spans:
+                letters = np.concatenate(list(shares(texts, known)))
+                best, total = letters.argmax(1), letters.sum(1)
+                share = letters.max(1) / np.maximum(total, 1.0)
+                return [[langs[k] if n else "und" for k, n in zip(best.tolist(), total.tolist())], share.tolist()]
             pred, share, out = [], [], []
             for found in label(texts, known):
                 letters = np.zeros(len(langs))
@@ -244,9 +290,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tr
                 k = int(letters.argmax())
                 pred.append(langs[k] if found else "und")
                 share.append(float(letters[k] / letters.sum()) if found else 0.0)
-                if spans:
-                    out.append([{"start": s, "end": e, "lang": langs[k]} for s, e, k, _ in found])
-            return [pred, share, out][:len(fields)]
+                out.append([{"start": s, "end": e, "lang": langs[k]} for s, e, k, _ in found])
+            return [pred, share, out]
         return work
 
     return add_columns(docs, [text], fields, make, rows=4096)
