@@ -40,7 +40,7 @@ from riskfold.session import ship_package
 
 MAGIC, HEADER = b"HUF1", struct.Struct("<4sIIII")
 LIMIT, BLOCK, SHARD_IDS, PART_IDS = 18, 512, 1 << 20, 4_000_000
-CACHED = 500_000
+CACHED = 900_000
 NO_ID = -(1 << 63)
 SHARDS = "part int, place long, first_id long, n_ids long, shard binary"
 
@@ -48,6 +48,28 @@ _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: The same cut for texts whose letters, digits and white space the faster module classes alike.
 _PLAIN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _RARE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
+_RARE_BYTES = [bytes([b]) for b in (0x1c, 0x1d, 0x1e, 0x1f, 0xb2, 0xb3, 0xb9, 0xbc, 0xbd, 0xbe)]
+
+
+def _is_plain(text: str) -> bool:
+    try:
+        raw = text.encode("latin-1")  # single searches for bytes are far faster than the pattern
+    except UnicodeEncodeError:
+        return not _RARE.search(text)
+    return not any(b in raw for b in _RARE_BYTES)
+
+
+class Pieces(dict):
+    """Packed ids of pieces; a piece not met lately goes through the library."""
+
+    def __init__(self, model, code: str) -> None:
+        super().__init__()
+        self.model, self.code, self.letters = model, code, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))  # the piece as byte letters
+        made = self[piece] = struct.pack(f"<{len(found)}{self.code}", *[t.id for t in found])
+        return made
 
 
 class Encoder:
@@ -59,16 +81,17 @@ class Encoder:
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
-        self.special = {s: struct.pack("<I", i) for s, i in special.items()}
+        top = max([self.lib.get_vocab_size(), *special.values()])
+        self.code, self.width = ("H", "<u2") if top < 1 << 16 else ("I", "<u4")
+        self.special = {s: struct.pack(f"<{self.code}", i) for s, i in special.items()}
         self.at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self.lib.model, self.code)
 
     def _pieces(self, text: str) -> list[str]:
-        return (_SPLIT if _RARE.search(text) else _PLAIN).findall(text)
+        return (_PLAIN if _is_plain(text) else _SPLIT).findall(text)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """Ids as little-endian uint32, with the end id."""
+        """Ids in little-endian ``width``, with the end id."""
         known = self.known
         if len(known) > CACHED:
             known.clear()
@@ -78,12 +101,7 @@ class Encoder:
         for t in texts:
             parts = self.at.split(t) if t and self.at and "<|" in t else [t or ""]
             cut.append([p for part in parts for p in ([part] if part in self.special else self._pieces(part))])
-        model, letters = self.lib.model, self.letters
-        for pieces in cut:
-            for p in set(pieces).difference(known):
-                found = model.tokenize("".join([letters[b] for b in p.encode()]))  # the piece as byte letters
-                known[p] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        last = struct.pack("<I", end)
+        last = struct.pack(f"<{self.code}", end)
         return [b"".join(map(known.__getitem__, pieces)) + last for pieces in cut]
 
 
@@ -193,11 +211,11 @@ def tokenize(docs: DataFrame, path: str, end: int, text: str = "text", doc_id: s
         if path not in _LOADED:
             _LOADED[path] = Encoder(path)
         enc = _LOADED[path]
-        width = "<u2" if max(enc.lib.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+        size = struct.calcsize(f"<{enc.code}")
 
         def work(texts: list) -> list:
             made = enc.encode(texts, end)
-            return [[len(m) // 4 for m in made], [np.frombuffer(m, "<u4").astype(width).tobytes() for m in made]]
+            return [[len(m) // size for m in made], made]
         return work
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
@@ -211,11 +229,12 @@ def count_ids(coded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in slices(batches, 4096):
-            for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen = np.bincount(np.frombuffer(raw, f"<u{len(raw) // n}"))
-                if len(seen) > len(total):
-                    total = np.pad(total, (0, max(1 << 16, len(seen)) - len(total)))
-                total[:len(seen)] += seen
+            rows = b.column(1).to_pylist()
+            raw = b"".join(rows)
+            seen = np.bincount(np.frombuffer(raw, f"<u{len(rows[0]) // b.column(0)[0].as_py()}"))
+            if len(seen) > len(total):
+                total = np.pad(total, (0, max(1 << 16, len(seen)) - len(total)))
+            total[:len(seen)] += seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
 

@@ -122,7 +122,7 @@ def test_pieces_equal_the_library():
     enc, lib = tokens.Encoder(BYTES), Tokenizer.from_file(BYTES)
     texts = ["it's  two\n\n spaces ", "a\x1cb \x85 ½ ², x_y __ 12ab", "ÀÉß ñandú", "<|endoftext|>a<|endoftext|>", "東京 ok", "", "  ", "\xa0x 　y"]
     for t, raw in zip(texts, enc.encode(texts, 2)):
-        assert np.frombuffer(raw, "<u4").tolist() == [*lib.encode(t, add_special_tokens=False).ids, 2], t
+        assert np.frombuffer(raw, enc.width).tolist() == [*lib.encode(t, add_special_tokens=False).ids, 2], t
 
 
 def test_round_trip_edges(spark, clashing, nothing, monkeypatch):
