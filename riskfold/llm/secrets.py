@@ -4,11 +4,15 @@ expressions.
 A candidate is a run of 16 or more characters of keys and tokens with a digit.
 Its features: length, shares of character classes, transitions between classes
 and letter pairs, coverage by words of the corpus, path and host marks, and
-the neighbouring words.  ``weak_labels`` marks findings whose form or context
+the neighbouring words.  A word of the corpus stands outside the candidates in
+``LEAST_TEXTS`` distinct texts or the share ``TEXT_SHARE`` of them, whichever
+is more, so that neither a secret's copies nor the table's size make its pieces
+words.  ``weak_labels`` marks findings whose form or context
 is beyond doubt (vendor formats, assignments to a secret's name; against them
 card numbers, hosts, paths, ids, dictionary text); the forest is trained on a
 bounded sample of them (``SAMPLE`` of each class, smallest hash) and decides on
-every candidate.  With one class only, the weak label itself decides.
+every candidate but the certain vendor formats, which need no vote.  With one
+class only, the weak label itself decides.
 
 Null or empty text has no candidate.  Spans are code points, end exclusive.
 Repeated rows are judged each by itself; null ids stay; an empty table gives
@@ -28,7 +32,8 @@ from riskfold.llm.common import documents, stash
 SAMPLE, TREES, DEPTH, SEED, THRESHOLD = 5000, 20, 6, 11, 0.5
 #: Pieces of candidates are broadcast as a filter up to this count, joined by exchange beyond it.
 BROADCAST_PIECES = 500_000
-FREQUENT = 5
+#: A corpus word is in so many distinct texts at least, and in that share of them.
+LEAST_TEXTS, TEXT_SHARE = 5, 0.001
 MASK = "[SECRET]"
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*+[0-9])[A-Za-z0-9_+/.~-]{16,}+={0,2}"
@@ -64,14 +69,18 @@ def candidates(held: DataFrame, text: str = "text") -> DataFrame:
 
 
 def coverage(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(value, covered): letters of each distinct value in words that the
-    corpus has at least ``FREQUENT`` times."""
+    """(value, covered): letters of each distinct value in words of the corpus:
+    counted once per distinct text, outside all candidates."""
     values = found.select("value").distinct()
     pieces = values.select("value", F.explode(F.split(F.lower("value"), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
     named = stash(pieces.select("w").distinct(), "secret-pieces")
     few = named.count() <= BROADCAST_PIECES
-    spoken = docs.select(F.explode(F.split(F.lower(F.col(text)), "[^a-z]+")).alias("w")).join(F.broadcast(named) if few else named, "w", "left_semi")
-    common = spoken.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT).select("w")
+    whole = F.xxhash64(F.col(text))
+    least = max(LEAST_TEXTS, TEXT_SHARE * docs.where(F.col(text).isNotNull()).select(whole).distinct().count())
+    prose = F.when(F.col(text).rlike(CANDIDATE), F.array_join(F.regexp_extract_all(F.col(text), F.lit(_CUT), F.lit(1)), " ")).otherwise(F.col(text))
+    spoken = docs.select(whole.alias("h"), F.explode(F.array_distinct(F.split(F.lower(prose), "[^a-z]+"))).alias("w"))
+    spoken = spoken.join(F.broadcast(named) if few else named, "w", "left_semi")
+    common = spoken.groupBy("w").agg(F.count_distinct("h").alias("c")).where(F.col("c") >= least).select("w")
     return pieces.join(common, "w").groupBy("value").agg(F.sum(F.length("w")).alias("covered"))
 
 
@@ -113,9 +122,10 @@ def features(found: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def weak_labels(featured: DataFrame) -> DataFrame:
-    """Adds ``label``: 1.0, 0.0, or null where nothing is certain."""
-    sure = (F.col("named") + F.col("vendor") > 0) & (F.col("coverage") < 0.5)
-    wrong = (F.col("host") + F.col("plain") + F.col("after_at") + F.col("right_at") > 0) | (F.col("coverage") >= 0.5)
+    """Adds ``label``: 1.0, 0.0, or null where nothing is certain.  Words of the
+    corpus speak against a value only if neither its form nor its name does for it."""
+    sure = F.col("named") + F.col("vendor") > 0
+    wrong = (F.col("host") + F.col("plain") + F.col("after_at") + F.col("right_at") > 0) | ((F.col("coverage") >= 0.5) & ~sure)
     return featured.withColumn("label", F.when(sure & ~wrong, 1.0).when(wrong & ~sure, 0.0))
 
 
@@ -138,11 +148,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificati
 
 
 def judge(featured: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """Adds ``score`` (share of the forest's votes) and ``secret``."""
+    """Adds ``score`` (share of the forest's votes; 1 for a certain vendor format) and ``secret``."""
     if model is None:
         return featured.withColumn("score", F.coalesce("label", F.lit(0.0))).withColumn("secret", F.col("score") >= THRESHOLD)
     out = model.transform(_vectors(featured))
-    out = out.withColumn("score", F.round(vector_to_array("probability")[1], 6))
+    certain = (F.col("vendor") > 0) & F.coalesce(F.col("label") == 1.0, F.lit(False))
+    out = out.withColumn("score", F.when(certain, 1.0).otherwise(F.round(vector_to_array("probability")[1], 6)))
     return out.withColumn("secret", F.col("score") >= THRESHOLD).drop("_x", "rawPrediction", "probability", "prediction")
 
 

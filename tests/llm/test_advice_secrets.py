@@ -1,0 +1,35 @@
+"""Secrets that earlier versions lost: copied vendor keys, short and digit-free values."""
+
+from riskfold.llm import secrets
+
+GH = "ghp_" + "harborWindowGarden7copperValleyLantern"
+AK = "AKIA" + "HARBORWINDOW7ABC"
+PROSE = "the release notes for each version of the text name the id 123e4567-e89b-12d3-a456-426614174000 and card 4532-0151-1283-0366 today"
+
+
+def test_a_vendor_key_copied_a_thousand_times_is_found(spark):
+    rows = [(i, f"the note says {GH} here, also {AK} was left") for i in range(1000)]
+    rows += [(1000 + i, f"text {i} leaks {GH} again") for i in range(20)]
+    rows += [(2000 + i, f"text number {i}: {PROSE} and release-notes-for-version-{i}-of-the-text") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(docs).collect()
+    where = {}
+    for r in found:
+        where.setdefault(r.doc_id, set()).add((r.start, r.end))
+    text = dict(rows)
+    for i in [*range(1000), *range(1000, 1020)]:
+        want = {(text[i].index(k), text[i].index(k) + len(k)) for k in (GH, AK) if k in text[i]}
+        assert where.get(i, set()) == want, i
+    assert not set(where) & set(range(2000, 2300))
+
+
+def test_dictionary_words_stand_outside_candidates_in_distinct_texts(spark):
+    rows = [(i, f"copied text with token {GH} inside") for i in range(50)] + [(100 + i, f"plain harbor of text {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.candidates(secrets.suspects(docs))
+    covered = {r.value: r.covered for r in secrets.coverage(found, docs).collect()}
+    assert covered == {}  # letter runs of the key are no words, whatever its copies
+    words = spark.createDataFrame([(1, "some-harbor-and-copied-2024-word")], "doc_id long, text string")
+    found = secrets.candidates(secrets.suspects(words))
+    covered = {r.value: r.covered for r in secrets.coverage(found, docs).collect()}
+    assert covered == {"some-harbor-and-copied-2024-word": len("harbor")}  # "copied": fifty copies of one text
