@@ -1,7 +1,11 @@
 """Secret scans: candidate strings judged by a random forest, all in built-in
 expressions.
 
-A candidate is a run of 16 or more characters of keys and tokens with a digit.
+A candidate is a run of 16 or more characters of keys and tokens with a digit,
+a vendor's format with or without one, or the value after a secret's name: any
+6 or more non-blank characters after ``=`` or ``:`` (up to the quote that ends
+it), after a mere blank such with a digit or 16 characters of keys, as prose
+goes on after those names, too.
 Its features: length, shares of character classes, transitions between classes
 and letter pairs, coverage by words of the corpus, path and host marks, and
 the neighbouring words.  A word of the corpus stands outside the candidates in
@@ -36,12 +40,22 @@ BROADCAST_PIECES = 500_000
 LEAST_TEXTS, TEXT_SHARE = 5, 0.001
 MASK = "[SECRET]"
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*+[0-9])[A-Za-z0-9_+/.~-]{16,}+={0,2}"
-_CUT = rf"(?s)(.*?)({CANDIDATE}|\z)"
-
 #: Names that secrets are assigned to, and public formats of keys.
 NAMED = r"""(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)["']?\s*[=: ]\s*["']?$"""
 VENDOR = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[baprs]-[A-Za-z0-9-]{10,}$|^sk[-_](live|test|proj)?[-_]?[A-Za-z0-9]{20,}$|^AIza[0-9A-Za-z_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+$|^glpat-[A-Za-z0-9_-]{20}$"
+_KEY = r"[A-Za-z0-9_+/.~-]"
+_NAME = r"""(?=[pPsStTaAbBcC])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)["']?"""
+_ASSIGNED, _BESIDE = r"""\s{0,8}[=:]\s{0,8}["']?""", r"""\s{1,4}["']?"""
+#: Marks that end a sentence or a bracket are no part of an unquoted value's end.
+_VALUE = r"""(?![=:>])[^\s"'`]{5,}[^\s"'`.,;:)\]}>]"""
+_BESIDE_VALUE = rf"""(?=[^\s"'`0-9]*+[0-9]|{_KEY}{{16}}){_VALUE}"""
+#: A run that ends in a name and an assignment is the name, not a value.
+_RUN = rf"(?<!{_KEY})(?=[A-Za-z_+/.~-]*+[0-9])(?={_KEY}{{16}})(?!{_KEY}*{_NAME}{_ASSIGNED}[^\s\"'`=:>]){_KEY}{{16,}}+={{0,2}}"
+_FORM = rf"(?<!{_KEY})(?:{VENDOR.replace('^', '').replace('$', '').replace('(', '(?:')})(?![A-Za-z0-9_+/~-]|\.[A-Za-z0-9])"
+_BEFORE = rf"(?:{_NAME}(?:{_ASSIGNED}(?={_VALUE})|{_BESIDE}(?={_BESIDE_VALUE})))"
+CANDIDATE = rf"{_BEFORE}|{_FORM}|{_RUN}"
+#: Text up to a candidate (a secret's name included), then the candidate.
+_CUT = rf"(?s)(.*?(?:{_BEFORE}|(?={_FORM}|{_RUN})|\z))((?<={_NAME}{_ASSIGNED}){_VALUE}|(?<={_NAME}{_BESIDE}){_BESIDE_VALUE}|{_FORM}|{_RUN}|)"
 HOST = r"(?i)\.(com|org|net|io|edu|gov|info|html?|php|png|jpe?g|gif|pdf|py|js|css|json|xml|txt|zip|gz)\.?$"
 PLAIN = r"^[0-9./_-]+$|^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^(v|V)?[0-9]+(\.[0-9]+)+|^/|//|^\d{4}-\d{2}-\d{2}"
 
@@ -124,8 +138,9 @@ def features(found: DataFrame, covered: DataFrame) -> DataFrame:
 def weak_labels(featured: DataFrame) -> DataFrame:
     """Adds ``label``: 1.0, 0.0, or null where nothing is certain.  Words of the
     corpus speak against a value only if neither its form nor its name does for it."""
-    sure = F.col("named") + F.col("vendor") > 0
-    wrong = (F.col("host") + F.col("plain") + F.col("after_at") + F.col("right_at") > 0) | ((F.col("coverage") >= 0.5) & ~sure)
+    spoken = F.col("coverage") >= 0.5
+    sure = (F.col("vendor") > 0) | ((F.col("named") > 0) & (~spoken | (F.col("digits") > 0)))  # words alone after a name are left to the forest
+    wrong = (F.col("host") + F.col("plain") + F.col("after_at") + F.col("right_at") > 0) | (spoken & (F.col("named") + F.col("vendor") == 0))
     return featured.withColumn("label", F.when(sure & ~wrong, 1.0).when(wrong & ~sure, 0.0))
 
 
