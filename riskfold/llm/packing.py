@@ -1,16 +1,19 @@
 """Best-fit packing with several permitted sequence lengths.
 
-A document is its words and one end mark; one that exceeds the largest
+A document is its blank-separated words and one end mark, or as many units as
+``length`` says (token counts, say); one that exceeds the largest
 capacity is cut to pieces of that capacity and a rest, so nothing is lost.
 Packing works on the counts of each piece length (at most the largest capacity
 rows, whatever the corpus): longest first, each length goes into the open bins
 of least remaining room that take it; where none does, a bin is opened of the
 capacity with the least cost per token, judged for all permitted capacities
-jointly by what the lengths still waiting would fill.  At the end each bin
+jointly by what the lengths still waiting would fill.  Only as many bins are
+opened at once as those fillers last for; the fillers are then taken as spoken
+for and the capacities judged again.  At the end each bin
 shrinks to the smallest permitted capacity that holds its contents.
 
 Bins that are filled alike stay one interval of bin numbers, so the plan has
-at most 2 x lengths x sqrt(2 x capacity) rows, whatever the corpus.  A piece
+at most 6 x lengths x sqrt(2 x capacity) rows, whatever the corpus.  A piece
 finds its place by its rank among the pieces of its length; ranks come from
 hash buckets of about ``BUCKET`` rows, so a length that very many share is
 spread over tasks.
@@ -29,7 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskfold.llm.common import documents, stash, words
@@ -60,18 +63,29 @@ class _Waiting:
         self.counts, self.lengths = dict(counts), sorted(counts)
 
     def drop(self, length: int) -> None:
-        del self.lengths[bisect_left(self.lengths, length)]
+        at = bisect_left(self.lengths, length)
+        if at < len(self.lengths) and self.lengths[at] == length:
+            del self.lengths[at]
 
-    def fill(self, room: int) -> int:
-        used, at = 0, len(self.lengths)
+    def fill(self, room: int) -> list[tuple[int, int]]:
+        """(length, pieces) that a bin's room would take."""
+        taken, at = [], len(self.lengths)
         while room and at:
             at = bisect_left(self.lengths, room + 1, 0, at) - 1
             if at < 0:
                 break
             length = self.lengths[at]
             n = min(room // length, self.counts[length])
-            used, room = used + n * length, room - n * length
-        return used
+            taken.append((length, n))
+            room -= n * length
+        return taken
+
+    def reserve(self, taken: list[tuple[int, int]], bins: int) -> None:
+        """The fillers of so many bins don't wait any longer."""
+        for length, n in taken:
+            self.counts[length] -= n * bins
+            if not self.counts[length]:
+                self.drop(length)
 
 
 def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES) -> Plan:
@@ -103,7 +117,7 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES) -> Plan
         return whole * per + part
 
     for length in sorted(waiting.counts, reverse=True):
-        n, lo = waiting.counts[length], 0
+        n, lo = counts[length], 0
         waiting.drop(length)
         while lo < n:
             at = bisect_left(rooms, length)
@@ -118,11 +132,14 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES) -> Plan
 
             def per_token(c: int) -> float:
                 k = min(c // length, n - lo)
-                used = k * length + waiting.fill(c - k * length)
+                used = k * length + sum(x * m for x, m in waiting.fill(c - k * length))
                 return cost(next(s for s in sizes if s >= used)) / used
 
             capacity = min(fits, key=lambda c: (per_token(c), c))
-            count = -(-(n - lo) // (capacity // length))
+            per = min(capacity // length, n - lo)
+            taken = waiting.fill(capacity - per * length)
+            count = min([(n - lo) // per, *[waiting.counts[x] // m for x, m in taken]])
+            waiting.reserve(taken, count)
             first, bins = bins, bins + count
             lo += place(length, lo, n - lo, capacity, first, count, capacity)
     for room in rooms:
@@ -133,9 +150,10 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES) -> Plan
     return out
 
 
-def pieces(docs: DataFrame, largest: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, _k, piece, start, length): words and the end mark, cut at ``largest``."""
-    n = F.size(words(F.col(text))).cast("long") + 1
+def pieces(docs: DataFrame, largest: int, text: str = "text", doc_id: str = "doc_id", length: Column | None = None) -> DataFrame:
+    """(doc_id, _k, piece, start, length): ``length`` units (words and the end
+    mark if not given; at least 1), cut at ``largest``."""
+    n = F.size(words(F.col(text))).cast("long") + 1 if length is None else F.greatest(F.coalesce(length.cast("long"), F.lit(1)), F.lit(1))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_k"), n.alias("n"))
     each = own.select("doc_id", "_k", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / largest))).alias("piece"))
     start = F.col("piece") * largest
@@ -154,11 +172,13 @@ def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
     return dealt.withColumn("own", own).join(before, ["length", "_b"]).withColumn("rank", F.col("own") - 1 + F.col("before")).drop("own", "before", "_b")
 
 
-def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, start, length, bin_id, capacity, offset) for every piece."""
+def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, text: str = "text", doc_id: str = "doc_id",
+         length: Column | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, bin_id, capacity, offset) for every piece;
+    ``length`` is each document's units, end mark included (default: words + 1)."""
     spark = docs.sparkSession
     ship_package(spark)
-    rows = stash(pieces(docs, max(capacities), text, doc_id), "pack-pieces")
+    rows = stash(pieces(docs, max(capacities), text, doc_id, length), "pack-pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most the largest capacity
     made = plan(counts, capacities)
     places = np.array(sorted(made.places), np.int64).reshape(-1, 6)
