@@ -36,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField
 
@@ -46,8 +46,6 @@ from riskfold.session import ship_package
 ORDER, DISCOUNT, WINDOW = 9, 0.75, 24
 #: Discount of a class's own counts: what a class has seen that seldom is left to the shared counts.
 CLASS_DISCOUNT = 3.5
-#: Grams seen less often in all are left out of the model (no class count would outlive its discount).
-LEAST_COUNT = 3
 MARGIN = 1.5
 #: Orders of the backoff chain.
 LEVELS = (2, 4, 6, ORDER)
@@ -96,40 +94,58 @@ def count_grams(labelled: DataFrame) -> DataFrame:
         yield flush()
 
     words = labelled.select("text", "toxic").mapInArrow(run, "w string, t long, o long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    each = words.select(F.explode(_grams_of(F.col("w"))).alias("g"), "t", "o").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    return each.where(F.col("t") + F.col("o") >= LEAST_COUNT)
+    return words.select(F.explode(_grams_of(F.col("w"))).alias("g"), "t", "o").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+
+def _by_history(table: DataFrame, order: int, **sums: Column) -> DataFrame:
+    """``table`` plus sums over the grams of the same history: one exchange,
+    and no more rows a history than there are characters."""
+    alike = Window.partitionBy("h")
+    table = table.withColumn("h", F.expr(f"substring(g, 1, {order - 1})"))
+    return table.select("*", *[c.over(alike).alias(name) for name, c in sums.items()]).drop("h")
+
+
+def _smoothed(table: DataFrame, order: int, below: DataFrame | None, last: int) -> DataFrame:
+    """``table`` (g, a, all, kinds) plus ``p``, backed off to ``below`` (g, p) of order ``last``."""
+    if below is None:
+        lower = F.lit(1.0) / F.col("kinds")
+    else:
+        table = table.withColumn("s", F.expr(f"substring(g, {order - last + 1})")).join(below.select(F.col("g").alias("s"), F.col("p").alias("q")), "s").drop("s")
+        lower = F.col("q")
+    return table.withColumn("p", (F.greatest(F.col("a") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * lower) / F.col("all"))
+
+
+def _below(counts: DataFrame) -> DataFrame:
+    """(g, p) of the order below the highest, from continuation counts of all grams."""
+    levels, above = {}, counts.select("g")
+    for k, longer in zip(LEVELS[-2::-1], LEVELS[:0:-1]):
+        above = levels[k] = above.groupBy(F.expr(f"substring(g, {longer - k + 1})").alias("g")).agg(F.count("*").cast("double").alias("a"))
+    below, last = None, 0
+    for k in LEVELS[:-1]:
+        table = _by_history(levels[k], k, all=F.sum("a"), kinds=F.count("*"))
+        below, last = _smoothed(table, k, below, last).select("g", "p"), k
+    return below
 
 
 def pooled_model(counts: DataFrame) -> DataFrame:
     """(g, p): interpolated Kneser-Ney probability of each seen gram's last
     character after the others; ``counts`` has (g, n)."""
-    levels = {ORDER: counts.select("g", F.col("n").cast("double").alias("a"))}
-    for k, above in zip(LEVELS[-2::-1], LEVELS[:0:-1]):
-        levels[k] = levels[above].groupBy(F.expr(f"substring(g, {above - k + 1})").alias("g")).agg(F.count("*").cast("double").alias("a"))
-    below = None
-    for k in LEVELS:
-        table = levels[k].withColumn("h", F.expr(f"substring(g, 1, {k - 1})"))
-        table = table.join(table.groupBy("h").agg(F.sum("a").alias("all"), F.count("*").alias("kinds")), "h")
-        if below is None:
-            lower = F.lit(1.0) / F.col("kinds")
-        else:
-            table = table.withColumn("s", F.expr(f"substring(g, {k - last + 1})")).join(below.select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
-            lower = F.col("q")
-        below, last = table.select("g", ((F.greatest(F.col("a") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * lower) / F.col("all")).alias("p")), k
-    return below
+    table = _by_history(counts.select("g", F.col("n").cast("double").alias("a")), ORDER, all=F.sum("a"), kinds=F.count("*"))
+    return _smoothed(table, ORDER, _below(counts), LEVELS[-2]).select("g", "p")
 
 
 def ratio_table(counts: DataFrame) -> DataFrame:
-    """(g, r): log ratio of the class models for each seen gram."""
-    shared = pooled_model(counts.select("g", (F.col("t") + F.col("o")).alias("n")))
-    sides = counts.withColumn("h", F.expr(f"substring(g, 1, {ORDER - 1})"))
-    total = sides.groupBy("h").agg(*[e for c in "to" for e in (F.sum(c).cast("double").alias(f"{c}_all"), F.sum(F.least(F.col(c), F.lit(CLASS_DISCOUNT))).alias(f"{c}_free"))])
+    """(g, r): log ratio of the class models for each seen gram.  Totals and
+    freed mass of the pooled and both class models come from all grams, in one
+    exchange by history."""
+    own = {f"{c}_{n}": e for c in "to" for n, e in (("all", F.sum(F.col(c).cast("double"))), ("free", F.sum(F.least(F.col(c), F.lit(CLASS_DISCOUNT)))))}
+    table = _by_history(counts, ORDER, kinds=F.count("*"), **own).withColumn("a", (F.col("t") + F.col("o")).cast("double")).withColumn("all", F.col("t_all") + F.col("o_all"))
+    seen = _smoothed(table, ORDER, _below(counts), LEVELS[-2])
 
     def probability(c: str) -> Column:
         own = (F.greatest(F.col(c) - CLASS_DISCOUNT, F.lit(0.0)) + F.col(f"{c}_free") * F.col("p")) / F.col(f"{c}_all")
         return F.when(F.col(f"{c}_all") > 0, own).otherwise(F.col("p"))
 
-    seen = sides.join(total, "h").join(shared, "g")
     return seen.select("g", (F.log(probability("t")) - F.log(probability("o"))).alias("r")).where(F.abs("r") >= LEAST_RATIO)
 
 
