@@ -13,10 +13,10 @@ text, over the window of ``WINDOW`` words where the ratio (what exceeds
 ``MARGIN`` a word, so that chance does not add up) is highest, and over its
 three strongest words, so that a few words in a long text still show.  A
 logistic link, fitted on
-learning rows that the counts left out (at most ``CALIBRATION_ROWS``, those of
-smallest id hash), turns both and the length into a score between 0 and 1.
+learning rows that the counts left out (at most ``CALIBRATION_ROWS``, and a
+fifth of all), turns both and the length into a score between 0 and 1.
 
-All counts are gathered over every learning row.  The model is broadcast while
+All counts are gathered over every other learning row.  The model is broadcast while
 it has at most ``BROADCAST_GRAMS`` rows; beyond that words are scored by joins
 (``word_ratios``) and the same formulas run on the joined ratios.
 
@@ -280,17 +280,36 @@ def scored(featured: DataFrame, link: np.ndarray) -> DataFrame:
     return featured.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def set_aside(learn: DataFrame, most: int) -> Column:
+    """Whether a learning row fits the link and not the counts: a fifth of the
+    rows by id hash, of these no more than ``most``, smallest hash first.  Ids
+    with more than a hundredth of ``most`` rows are always counted."""
+    own = F.xxhash64("doc_id")
+    fifth = F.pmod(own, F.lit(5)) == 0
+    n = learn.count()
+    # hashes spread evenly: this range holds slightly more than is needed, whatever n
+    reach = min(int(-2**63 + 2**64 * min(1.0, (5.5 * most + 500) / max(n, 1))), 2**63 - 1)
+    seen = learn.where(fifth & (own <= F.lit(reach))).groupBy(own.alias("h")).agg(F.count("*").alias("n")).collect()
+    large = [r["h"] for r in seen if r["n"] > max(most // 100, 1)]
+    taken, last = 0, -2**63
+    for h, n in sorted((r["h"], r["n"]) for r in seen if r["n"] <= max(most // 100, 1)):
+        if taken + n > most:
+            break
+        taken, last = taken + n, h
+    return fifth & (own <= F.lit(last)) & ~own.isin(large) if taken else F.lit(False)
+
+
 def train(learn: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Model from learning rows (doc_id, text, toxic); a fifth of them, by id
-    hash, is left out of the counts and fits the link."""
+    """Model from learning rows (doc_id, text, toxic); those ``set_aside``
+    fit the link, all others are counted."""
     learn = learn.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    aside = set_aside(learn, calibration_rows)
     table = stash(ratio_table(stash(count_grams(learn.where(~aside)), "tox-counts")), "tox-ratios")
     model = Model(table, table.count() <= broadcast_grams, np.zeros((3, 5)))
     if model.small:
         model.packed = _pack(table)
-    rows = with_features(learn.where(aside).select("doc_id", "text", "toxic"), model).drop("text")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).toArrow()
+    rows = with_features(learn.where(aside).select("doc_id", "text", "toxic"), model).drop("text").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "toxic", *[f.name for f in FEATURES])])
     x = np.column_stack([rows.column(f.name).to_numpy() for f in FEATURES]) if rows.num_rows else np.zeros((0, 4))
     model.link = fit_link(x, rows.column("toxic").to_numpy().astype(float))
     return model
