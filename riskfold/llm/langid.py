@@ -4,7 +4,8 @@ Each word (letter run, lower case) has a script by the code-point ranges of
 its letters; only languages whose learning texts use that script (at least
 ``SCRIPT_SHARE`` of their letters) are candidates.  A candidate's score is the
 sum of log probabilities of the word's character trigrams (edges included), as
-differences from the best candidate, no lower than ``-FLOOR``.  Viterbi with a
+differences from the best candidate, no lower than ``-FLOOR``; a language that
+the script rules out can't label the word at all.  Viterbi with a
 penalty ``SWITCH`` per change of language labels every word, so a text of
 several languages comes out as spans; the language with most letters wins.
 
@@ -161,7 +162,7 @@ class Scores:
             allowed = allowed | ~allowed.any(1, keepdims=True)  # a script that nobody uses rules nobody out
             raw = np.where(allowed, raw, -np.inf)
             place.update(zip(new, range(len(place), len(place) + len(new))))
-            self.rows = np.vstack([self.rows, np.maximum(raw - raw.max(1, keepdims=True), -FLOOR)])
+            self.rows = np.vstack([self.rows, np.where(allowed, np.maximum(raw - raw.max(1, keepdims=True), -FLOOR), -np.inf)])
         return self.rows[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
 
@@ -202,62 +203,51 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return out
 
 
-def label(texts: list[str | None], known: Scores) -> Iterator[list[tuple[int, int, int]]]:
-    """Spans (start, end, language place) of each text, whole texts."""
-    group: list[list[tuple[int, int]]] = []
-    words: list[str] = []
-    for text in texts:
-        low = (text or "").lower()
-        if len(low) != len(text or ""):  # the few letters whose lower case is longer stay, so that places hold
-            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        found = [m.span() for m in _WORD.finditer(low)]
-        if not low.isascii():  # other numerals are word characters, too
-            found = [(s, e) for s, e in found if low[s].isalpha() or any(map(str.isalpha, low[s:e]))]
-        group.append(found)
-        words += [low[s:e] for s, e in group[-1]]
-        if len(words) >= BLOCK_WORDS:
-            yield from _flush(group, words, known)
-            group, words = [], []
-    yield from _flush(group, words, known)
+def _cut(text: str) -> list[tuple[int, int]]:
+    """Places of the words of a text in lower case."""
+    found = [m.span() for m in _WORD.finditer(text)]
+    if not text.isascii():  # other numerals are word characters, too
+        found = [(s, e) for s, e in found if text[s].isalpha() or any(map(str.isalpha, text[s:e]))]
+    return found
 
 
-def _flush(group: list, words: list[str], known: Scores) -> Iterator[list[tuple[int, int, int]]]:
-    lengths = np.array([len(g) for g in group], np.int64)
-    best = viterbi(known.of(words), lengths) if words else np.zeros(0, np.int16)
-    at = 0
-    for spans in group:
-        lang = best[at:at + len(spans)]
-        cuts = [0, *(np.flatnonzero(lang[1:] != lang[:-1]) + 1).tolist(), len(spans)] if spans else [0]
-        yield [(spans[a][0], spans[b - 1][1], int(lang[a]), sum(e - s for s, e in spans[a:b])) for a, b in zip(cuts, cuts[1:])]
-        at += len(spans)
-
-
-def shares(texts: list[str | None], known: Scores) -> Iterator[np.ndarray]:
-    """(letters by language) of each text, a block of texts at a time; the
-    same labels as ``label`` without the places of the spans."""
+def label(texts: list[str | None], known: Scores) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Spans (start, end, language place, letters) of each text, whole texts."""
+    lows: list[str] = []
     lengths: list[int] = []
     words: list[str] = []
     for text in texts:
         low = (text or "").lower()
+        if len(low) != len(text or ""):  # the few letters whose lower case is longer stay, so that places hold
+            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         found = _WORD.findall(low)
-        if not low.isascii():
+        if not low.isascii():  # other numerals are word characters, too
             found = [w for w in found if w[0].isalpha() or any(map(str.isalpha, w))]
+        lows.append(low)
         lengths.append(len(found))
         words += found
         if len(words) >= BLOCK_WORDS:
-            yield _letters(words, lengths, known)
-            lengths, words = [], []
-    yield _letters(words, lengths, known)
+            yield from _flush(lows, lengths, words, known)
+            lows, lengths, words = [], [], []
+    yield from _flush(lows, lengths, words, known)
 
 
-def _letters(words: list[str], lengths: list[int], known: Scores) -> np.ndarray:
-    k = len(known.model.langs)
-    if not words:
-        return np.zeros((len(lengths), k))
-    best = viterbi(known.of(words), np.array(lengths, np.int64))
-    place = np.repeat(np.arange(len(lengths)), lengths) * k + best
-    sizes = np.fromiter(map(len, words), np.float64, len(words))
-    return np.bincount(place, sizes, len(lengths) * k).reshape(-1, k)
+def _flush(lows: list[str], lengths: list[int], words: list[str], known: Scores) -> Iterator[list[tuple[int, int, int, int]]]:
+    best = viterbi(known.of(words), np.array(lengths, np.int64)) if words else np.zeros(0, np.int16)
+    before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    at = 0
+    for low, n in zip(lows, lengths):
+        lang = best[at:at + n]
+        turns = np.flatnonzero(lang[1:] != lang[:-1]) + 1
+        if not n:
+            yield []
+        elif not len(turns):  # one language: from the first word to the end of the last
+            last = words[at + n - 1]
+            yield [(low.find(words[at]), low.rfind(last) + len(last), int(lang[0]), int(before[at + n] - before[at]))]
+        else:
+            places, cuts = _cut(low), [0, *turns.tolist(), n]
+            yield [(places[a][0], places[b - 1][1], int(lang[a]), int(before[at + b] - before[at + a])) for a, b in zip(cuts, cuts[1:])]
+        at += n
 
 
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]))
@@ -277,11 +267,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tr
         def work(texts: list) -> list:
             if not langs:
                 return [["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]][:len(fields)]
-            if not spans:
-                letters = np.concatenate(list(shares(texts, known)))
-                best, total = letters.argmax(1), letters.sum(1)
-                share = letters.max(1) / np.maximum(total, 1.0)
-                return [[langs[k] if n else "und" for k, n in zip(best.tolist(), total.tolist())], share.tolist()]
             pred, share, out = [], [], []
             for found in label(texts, known):
                 letters = np.zeros(len(langs))
@@ -291,7 +276,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tr
                 pred.append(langs[k] if found else "und")
                 share.append(float(letters[k] / letters.sum()) if found else 0.0)
                 out.append([{"start": s, "end": e, "lang": langs[k]} for s, e, k, _ in found])
-            return [pred, share, out]
+            return [pred, share, out][:len(fields)]
         return work
 
     return add_columns(docs, [text], fields, make, rows=4096)
