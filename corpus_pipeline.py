@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from riskfold.llm import langid, packing, secrets, simhash, toxicity
 from riskfold.llm.common import held_out, stash
 
-#: A text whose letters belong to no one language by at least this share is rejected.
-LEAST_LANGUAGE_SHARE = 0.5
-
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text): the operators' columns can't clash with the table's."""
@@ -29,10 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or without one that has the larger share, go."""
+    """Documents in which no learned language is found go; a text of several languages stays."""
     model = langid.train(docs.select("doc_id", "text", "lang").where(~held_out("doc_id", 5, 0) & F.col("doc_id").isNotNull()))
-    kept = (F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SHARE)
-    return langid.identify(_rows(docs), model, spans=False).where(kept).select("row.*")
+    return langid.identify(_rows(docs), model, spans=False).where("lang_pred != 'und'").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
