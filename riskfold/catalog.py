@@ -1020,10 +1020,6 @@ def q_bounded_sample(spark, sf):
 from riskfold.operators import boost as BO  # noqa: E402
 from riskfold.plans import experiments as EX  # noqa: E402
 
-# Quick configuration for registered queries: the study's rounds x 0.05
-QUICK = 0.05
-
-
 _MEMO: dict = {}
 
 
@@ -1040,7 +1036,7 @@ def _model(spark, sf, model_key):
     the first time any of them is asked for."""
     key = ("models", spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
-        _MEMO[key] = EX.fit_models(_mats(spark, sf), ("adaboost", "xgboost", "lightgbm"), QUICK)
+        _MEMO[key] = EX.fit_models(_mats(spark, sf))
     return _MEMO[key][model_key]
 
 
@@ -1072,20 +1068,20 @@ def q_score_rows(spark, sf):
 @register("cv_scores")
 def q_cv_scores(spark, sf):
     m = _mats(spark, sf)
-    return EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK, fitted=_all_models(spark, sf)).where("g >= 0")
+    return EX.cv_scores(spark, m, ACCOUNTS, fitted=_all_models(spark, sf)).where("g >= 0")
 
 
 @register("holdout_scores")
 def q_holdout_scores(spark, sf):
     m = _mats(spark, sf)
-    return EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK, fitted=_all_models(spark, sf)).where("g = -1")
+    return EX.cv_scores(spark, m, ACCOUNTS, fitted=_all_models(spark, sf)).where("g = -1")
 
 
 @register("cv_fold_metrics")
 def q_cv_fold_metrics(spark, sf):
     m = _mats(spark, sf)
     fitted = _all_models(spark, sf)
-    sc = EX.cv_scores(spark, m, ACCOUNTS, scale=QUICK, fitted=fitted)
+    sc = EX.cv_scores(spark, m, ACCOUNTS, fitted=fitted)
     rows = M.fold_metrics(sc.where("g >= 0"), SET.threshold)
     return EX.with_fit_seconds(rows.withColumn("fold", F.col("fold") + 1), fitted)
 
@@ -1122,6 +1118,11 @@ def _names(spark, sf):
     return spark.createDataFrame(list(enumerate(m.features)), "j int, feature string")
 
 
+def _kept(spark, sf):
+    """(g, j): features that each fold's selector kept."""
+    return spark.createDataFrame([(g, j) for g, at in _mats(spark, sf).kept.items() for j in at], "g int, j int")
+
+
 def _phi(spark, sf, model_key, interventional=False):
     m = _mats(spark, sf)
     rows, bg = _explained(spark, sf)
@@ -1184,7 +1185,7 @@ def model_importance(spark, sf) -> DataFrame:
     models, permutation attributions for AdaBoost), one fold = one group."""
     out = None
     for key in ("adaboost", "xgboost", "lightgbm"):
-        imp = AT.importance(_phi(spark, sf, key), _names(spark, sf)).select(
+        imp = AT.importance(_phi(spark, sf, key), _names(spark, sf), _kept(spark, sf)).select(
             F.lit(ACCOUNTS.key).alias("dataset_key"), F.lit(ACCOUNTS.name).alias("dataset_name"),
             F.lit(key).alias("model_key"), F.lit(EX.MODEL_SPECS[key]["display"]).alias("model_name"),
             F.col("g").alias("fold"), "feature", "mean_abs_shap", "rank")
@@ -1244,7 +1245,7 @@ def q_attribution_long(spark, sf):
 def q_per_fold_rankings(spark, sf):
     """Per-fold rankings from interventional attributions with the fold's own
     training rows as background (development rows only)."""
-    imp = AT.importance(_phi(spark, sf, "xgboost", interventional=True), _names(spark, sf)).select(
+    imp = AT.importance(_phi(spark, sf, "xgboost", interventional=True), _names(spark, sf), _kept(spark, sf)).select(
         F.lit(ACCOUNTS.key).alias("dataset_key"), F.lit(ACCOUNTS.name).alias("dataset_name"),
         F.lit("xgboost").alias("model_key"), F.lit("XGBoost").alias("model_name"),
         F.col("g").alias("fold"), "feature", "mean_abs_shap", "rank")

@@ -155,14 +155,14 @@ def q_pairwise_spearman_given(spark, sf):
 
 # --------------------------------------------------------------------------- the models end to end
 def _model_scores(spark, sf):
-    return EX.cv_scores(spark, C._mats(spark, sf), ACCOUNTS, scale=C.QUICK, fitted=C._all_models(spark, sf))
+    return EX.cv_scores(spark, C._mats(spark, sf), ACCOUNTS, fitted=C._all_models(spark, sf))
 
 
 @register("model_holdout_metrics")
 def q_model_holdout_metrics(spark, sf):
     """Hold-out row of each boosted model: sizes, positive rates, metrics, fit seconds."""
     sc = _model_scores(spark, sf)
-    sizes = sc.groupBy(*M.KEYS).agg(F.count_if("g >= 0").alias("n_development"), F.count_if("g = -1").alias("n_test"),
+    sizes = sc.groupBy(*M.KEYS).agg(F.count_if(F.col("g") >= 0).alias("n_development"), F.count_if(F.col("g") == -1).alias("n_test"),
                                     F.avg(F.when(F.col("g") >= 0, F.col("y"))).alias("development_positive_rate"),
                                     F.avg(F.when(F.col("g") == -1, F.col("y"))).alias("test_positive_rate"))
     return EX.with_fit_seconds(sizes.join(M.binary_metrics(sc.where("g = -1"), M.KEYS, SET.threshold), M.KEYS), C._all_models(spark, sf))

@@ -1,38 +1,43 @@
-"""Feature attributions as per-task numpy over sampled rows.
-
-* path-dependent tree attributions (margin scale): for each leaf L with
-  value v and the distinct features U on its path (x satisfies feature j's
-  splits: o_j; fraction of training cover that follows them: z_j),
-  phi_i += v * sum_{S in U-{i}} |S|!(|U|-|S|-1)!/|U|! * prod_S o_j *
-  prod_{U-S-{i}} z_j * (o_i - z_i).  Sum of phi + expected value = margin.
-* interventional tree attributions: the same with z_j replaced by the
-  background row's indicator, averaged over the background rows.
+"""Feature attributions as per-task numpy over Arrow blocks of rows.
+
+* path-dependent tree attributions (margin scale): a leaf of value v with the
+  distinct features U on its path (o_j: the row passes feature j's splits,
+  z_j: share of the training cover that does) adds
+  v (o_i - z_i) sum_k k!(|U|-k-1)!/|U|! q_k to feature i, where q_k are the
+  coefficients of the product of (z_j + o_j t) over the other features.  The
+  product over all features is extended one by one, and each feature is
+  divided out again: |U|^2 steps a leaf, no subsets.  Attributions + expected
+  value = margin.
+* interventional tree attributions: against one background row a feature
+  matters only where exactly one of the two rows passes its splits.
+  Background rows are grouped by their pattern of passes at each leaf, rows
+  too; each pair of patterns is worked out once and weighted by its count, so
+  the cost does not grow with rows x background.
 * permutation attributions: one seeded feature order walked forward and
-  backward (2p + 1 model evaluations per background row), masked rows take
-  x on the switched features and the background row elsewhere; sums
-  telescope to f(x) - mean f(background).
+  backward (rows take x on the switched features and the background row
+  elsewhere).  A stump model is a sum of one term a feature, so a step changes
+  one term; sums telescope to f(x) - mean f(background).
 
-Rows are explained one by one (the caller passes all of them or a sample), in
-blocks, against a background that is a bounded sample of the fold's training
-rows; memory per task is bounded by the block.
+All validation rows are explained, in blocks (``ROW_BLOCK``), against a
+background that is a bounded sample of the fold's training rows.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfold.functions.batches import x_block
 from riskfold.operators import boost as B
 from riskfold.session import ship_package
 
 PHI_SCHEMA = "g int, row_id string, j int, phi double, base double"
-#: Rows explained together against the whole background.
-ROW_BLOCK = 128
+#: Rows explained together; attributions of rows x background x 8 bytes are the largest array.
+ROW_BLOCK = 2048
 
 
 def leaf_paths(tree: B.Tree, n_bins: int) -> list[tuple[float, dict]]:
@@ -56,62 +61,99 @@ def leaf_paths(tree: B.Tree, n_bins: int) -> list[tuple[float, dict]]:
     return out
 
 
-def _coef(s: int, u: int) -> float:
-    return math.factorial(s) * math.factorial(u - s - 1) / math.factorial(u)
-
-
-def _leaf_phi(v: float, feats: list, o: dict, z: dict, phi: np.ndarray) -> None:
-    """Add one leaf's Shapley contributions; o[j], z[j] are arrays (rows)."""
-    u = len(feats)
-    for i in feats:
-        others = [j for j in feats if j != i]
-        acc = np.zeros_like(phi[:, 0])
-        for r in range(len(others) + 1):
-            c = _coef(r, u)
-            for S in itertools.combinations(others, r):
-                term = np.full_like(acc, c)
-                for j in others:
-                    term = term * (o[j] if j in S else z[j])
-                acc += term
-        phi[:, i] += v * acc * (o[i] - z[i])
+def _shares(u: int) -> np.ndarray:
+    """k!(u-k-1)!/u! for k = 0..u-1."""
+    return np.array([math.factorial(k) * math.factorial(u - k - 1) / math.factorial(u) for k in range(u)])
+
+
+def _passes(bins: np.ndarray, cons: dict) -> np.ndarray:
+    """Row x feature: whether the row passes the path's splits of the feature."""
+    at = list(cons)
+    low, high = (np.array([cons[j][k] for j in at]) for k in (0, 1))
+    own = bins[:, at]
+    return (own >= low) & (own <= high)
+
+
+def _path_leaf(v: float, cons: dict, passes: np.ndarray, phi: np.ndarray) -> None:
+    """Add one leaf's path-dependent attributions."""
+    feats, u = list(cons), len(cons)
+    o, z = passes.astype(np.float64).T, np.array([cons[j][2] for j in feats])
+    whole = np.zeros((u + 1, len(passes)))
+    whole[0] = 1.0
+    for n in range(u):   # extend by feature n
+        whole[1:n + 2] = whole[1:n + 2] * z[n] + whole[:n + 1] * o[n]
+        whole[0] *= z[n]
+    shares = _shares(u)
+    for n, j in enumerate(feats):   # unwind feature n: from the top where it passes, else by its share alone
+        down, total_pass, total_fail = np.zeros(len(passes)), np.zeros(len(passes)), np.zeros(len(passes))
+        for k in range(u - 1, -1, -1):
+            down = whole[k + 1] - z[n] * down
+            total_pass += shares[k] * down
+            if z[n] > 0:
+                total_fail += shares[k] * whole[k] / z[n]
+        phi[:, j] += v * np.where(passes[:, n], (1.0 - z[n]) * total_pass, -z[n] * total_fail)
+
+
+def _patterns(passes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct patterns of passes, each row's place among them, and counts."""
+    code = passes @ (1 << np.arange(passes.shape[1], dtype=np.int64)) if passes.shape[1] < 63 else np.unique(passes, axis=0, return_inverse=True)[1].ravel()
+    _, first, place, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    return passes[first], place.ravel(), count
+
+
+def _background_leaf(v: float, cons: dict, passes: np.ndarray, bg_passes: np.ndarray, phi: np.ndarray) -> float:
+    """Add one leaf's interventional attributions; returns its mean value over the background."""
+    feats, u = list(cons), len(cons)
+    rows, place, _ = _patterns(passes)
+    back, _, count = _patterns(bg_passes)
+    weight = count / count.sum()
+    only_row = rows[:, None, :] & ~back[None, :, :]
+    only_back = ~rows[:, None, :] & back[None, :, :]
+    reach = ~(~rows[:, None, :] & ~back[None, :, :]).any(2)
+    x, y = only_row.sum(2), only_back.sum(2)
+    f = np.array([float(math.factorial(k)) for k in range(u + 1)])
+    gain = np.where(x > 0, f[np.maximum(x - 1, 0)] * f[y] / f[x + y], 0.0) * reach * weight
+    loss = np.where(y > 0, f[x] * f[np.maximum(y - 1, 0)] / f[x + y], 0.0) * reach * weight
+    part = v * ((gain[:, :, None] * only_row).sum(1) - (loss[:, :, None] * only_back).sum(1))
+    phi[:, feats] += part[place]
+    return v * float(weight[back.all(1)].sum())
 
 
 def tree_phi(bins: np.ndarray, paths_per_tree: list, n_features: int, bg_bins: np.ndarray | None = None):
     """(phi rows x p, base rows) on the margin scale; path-dependent when
     ``bg_bins`` is None, else interventional averaged over background rows."""
     n = bins.shape[0]
-    if bg_bins is None:
-        phi = np.zeros((n, n_features))
-        base = 0.0
-        for paths in paths_per_tree:
-            for v, cons in paths:
-                feats = list(cons)
-                o = {j: ((bins[:, j] >= lo) & (bins[:, j] <= hi)).astype(np.float64) for j, (lo, hi, _) in cons.items()}
-                z = {j: np.full(n, zc) for j, (_, _, zc) in cons.items()}
-                base += v * float(np.prod([zc for (_, _, zc) in cons.values()])) if cons else v
-                if feats:
-                    _leaf_phi(v, feats, o, z, phi)
-        return phi, np.full(n, base)
-    m = bg_bins.shape[0]
-    if n > ROW_BLOCK:   # blocks of rows bound the rows x background x features array
-        halves = [tree_phi(bins[lo:lo + ROW_BLOCK], paths_per_tree, n_features, bg_bins) for lo in range(0, n, ROW_BLOCK)]
-        return tuple(np.concatenate(x) for x in zip(*halves))
-    xb = np.repeat(bins, m, axis=0)
-    bb = np.tile(bg_bins, (n, 1))
-    phi = np.zeros((n * m, n_features))
-    base = np.zeros(n * m)
+    phi, base = np.zeros((n, n_features)), 0.0
     for paths in paths_per_tree:
         for v, cons in paths:
-            feats = list(cons)
-            o = {j: ((xb[:, j] >= lo) & (xb[:, j] <= hi)).astype(np.float64) for j, (lo, hi, _) in cons.items()}
-            z = {j: ((bb[:, j] >= lo) & (bb[:, j] <= hi)).astype(np.float64) for j, (lo, hi, _) in cons.items()}
-            ind = np.ones(n * m)
-            for j in feats:
-                ind = ind * z[j]
-            base += v * ind
-            if feats:
-                _leaf_phi(v, feats, o, z, phi)
-    return phi.reshape(n, m, n_features).mean(axis=1), base.reshape(n, m).mean(axis=1)
+            if not cons:
+                base += v
+            elif bg_bins is None:
+                base += v * math.prod(z for _, _, z in cons.values())
+                _path_leaf(v, cons, _passes(bins, cons), phi)
+            else:
+                base += _background_leaf(v, cons, _passes(bins, cons), _passes(bg_bins, cons), phi)
+    return phi, np.full(n, base)
+
+
+def _explain(rows: DataFrame, cuts: dict, n_features: int, of) -> DataFrame:
+    """(g, row_id, j, phi, base): ``of(g, bins)`` explains a block of a group's rows."""
+
+    def task(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(lo, ROW_BLOCK)
+                x, g, ids = x_block(part), part.column("g").to_numpy(zero_copy_only=False), part.column("row_id")
+                for gv in np.unique(g).tolist():
+                    at = np.flatnonzero(g == gv)
+                    phi, base = of(gv, B._bins(x[at], cuts[gv]))
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n * n_features, gv, np.int32)), ids.take(pa.array(np.repeat(at, n_features))),
+                                                      pa.array(np.tile(np.arange(n_features, dtype=np.int32), n)), pa.array(phi.ravel()),
+                                                      pa.array(np.repeat(base, n_features))], ["g", "row_id", "j", "phi", "base"])
+
+    ship_package(rows.sparkSession)
+    return rows.select("g", "row_id", "x").mapInArrow(task, PHI_SCHEMA)
 
 
 def tree_attributions(rows: DataFrame, cuts: dict, model: dict, n_features: int, n_bins: int = 32,
@@ -119,71 +161,52 @@ def tree_attributions(rows: DataFrame, cuts: dict, model: dict, n_features: int,
     """(g, row_id, j, phi, base) for the rows' groups; ``background`` maps g
     to a small array of background feature rows (interventional)."""
     paths = {g: [leaf_paths(t, n_bins) for t in trees] for g, trees in model.items()}
+    bg = None if background is None else {g: B._bins(b, cuts[g]) for g, b in background.items()}
+    return _explain(rows, cuts, n_features, lambda g, bins: tree_phi(bins, paths[g], n_features, None if bg is None else bg[g]))
 
-    def task(batches):
-        for pdf in batches:
-            outs = []
-            for g, part in pdf.groupby("g", sort=False):
-                g = int(g)
-                bins = B._bins(B._x(part), cuts[g])
-                bg = None if background is None else B._bins(background[g], cuts[g])
-                phi, base = tree_phi(bins, paths[g], n_features, bg)
-                n = len(part)
-                outs.append(pd.DataFrame({"g": np.int32(g), "row_id": np.repeat(part["row_id"].to_numpy(), n_features),
-                                          "j": np.tile(np.arange(n_features, dtype=np.int32), n),
-                                          "phi": phi.ravel(), "base": np.repeat(base, n_features)}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
 
-    ship_package(rows.sparkSession)
-    return rows.select("g", "row_id", "x").mapInPandas(task, PHI_SCHEMA)
+def stump_terms(bins: np.ndarray, stumps: list, n_features: int) -> np.ndarray:
+    """Row x feature: the sum of the feature's stumps."""
+    out = np.zeros((len(bins), n_features))
+    for j, b, sign, weight in stumps:
+        out[:, j] += weight * np.where(bins[:, j] <= b, sign, -sign)
+    return out
 
 
-def _stump_prob(bins: np.ndarray, stumps: list) -> np.ndarray:
-    f = np.zeros(bins.shape[0])
+def permutation_phi(bins: np.ndarray, bg_bins: np.ndarray, stumps: list, n_features: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phi, base) on the probability scale, forward and backward order."""
+    own, back = stump_terms(bins, stumps, n_features), stump_terms(bg_bins, stumps, n_features)
     total = sum(a for *_, a in stumps) or 1.0
-    for j, b, lab, a in stumps:
-        f += a * np.where(bins[:, j] <= b, lab, -lab)
-    return 1.0 / (1.0 + np.exp(-2.0 * f / total))
+    phi = np.zeros((len(bins), n_features))
+    used = {j for j, *_ in stumps}
+    base = 1.0 / (1.0 + np.exp(-2.0 * back.sum(1) / total))
+    for direction in (order, order[::-1]):
+        margin = np.repeat(back.sum(1)[None, :], len(bins), axis=0)
+        before = np.full(len(bins), base.mean())
+        for j in direction:
+            if j in used:
+                margin += own[:, j][:, None] - back[:, j][None, :]
+                now = (1.0 / (1.0 + np.exp(-2.0 * margin / total))).mean(1)
+                phi[:, j] += (now - before) / 2.0
+                before = now
+    return phi, np.full(len(bins), base.mean())
 
 
 def permutation_attributions(rows: DataFrame, cuts: dict, model: dict, n_features: int, background: dict,
                              seed: int = 42) -> DataFrame:
     """(g, row_id, j, phi, base) on the probability scale of a stump model."""
-
-    def task(batches):
-        for pdf in (b.iloc[lo:lo + ROW_BLOCK] for b in batches for lo in range(0, len(b), ROW_BLOCK)):
-            outs = []
-            for g, part in pdf.groupby("g", sort=False):
-                g = int(g)
-                x = B._x(part)
-                bg = background[g]
-                order = np.random.default_rng(seed + max(g, 0)).permutation(n_features)
-                n, m = x.shape[0], bg.shape[0]
-                phi = np.zeros((n, n_features))
-                for direction in (order, order[::-1]):
-                    cur = np.repeat(bg[None, :, :], n, axis=0).copy()           # n x m x p, all background
-                    prev = _stump_prob(B._bins(cur.reshape(n * m, -1), cuts[g]), model[g]).reshape(n, m).mean(1)
-                    for j in direction:
-                        cur[:, :, j] = x[:, j][:, None]
-                        now = _stump_prob(B._bins(cur.reshape(n * m, -1), cuts[g]), model[g]).reshape(n, m).mean(1)
-                        phi[:, j] += (now - prev) / 2.0
-                        prev = now
-                base = _stump_prob(B._bins(bg, cuts[g]), model[g]).mean()
-                outs.append(pd.DataFrame({"g": np.int32(g), "row_id": np.repeat(part["row_id"].to_numpy(), n_features),
-                                          "j": np.tile(np.arange(n_features, dtype=np.int32), n),
-                                          "phi": phi.ravel(), "base": base}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    ship_package(rows.sparkSession)
-    return rows.select("g", "row_id", "x").mapInPandas(task, PHI_SCHEMA)
+    bg = {g: B._bins(b, cuts[g]) for g, b in background.items()}
+    return _explain(rows, cuts, n_features, lambda g, bins: permutation_phi(
+        bins, bg[g], model[g], n_features, np.random.default_rng(seed + max(g, 0)).permutation(n_features)))
 
 
-def importance(phi: DataFrame, names: DataFrame) -> DataFrame:
+def importance(phi: DataFrame, names: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(g, feature, mean_abs_shap, rank): mean |phi| per group and feature,
-    unique ranks 1..p (importance desc, ties in feature order)."""
-    from pyspark.sql import Window
+    unique ranks 1..p (importance desc, ties in feature order).  ``kept``
+    (g, j) are the features that the group's selector kept: others are no
+    features of its model and get no row."""
     agg = phi.groupBy("g", "j").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
+    if kept is not None:
+        agg = agg.join(F.broadcast(kept), ["g", "j"])   # at most groups x features
     w = Window.partitionBy("g").orderBy(F.desc("mean_abs_shap"), "j")
     return agg.join(F.broadcast(names), "j").withColumn("rank", F.row_number().over(w))

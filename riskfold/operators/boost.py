@@ -1,60 +1,71 @@
-"""Histogram boosting as Spark jobs, all fit groups batched.
-
-Training rows carry ``(g, row_id, y, w0, x)`` with ``x`` the processed
-feature array.  Features are cut into at most ``max_bins`` bins at
-approximate quantiles per (g, feature) (the histogram tree method).  Every
-boosting step is ONE Spark job: each task turns its Arrow batches into
-numpy, evaluates the current model (a small table, shipped with the task),
-and emits partial histograms per (g, node, feature, bin); a group-by sums
-them.  Rows never leave their task and the shuffle carries
-groups x nodes x features x bins numbers.  The driver only reads those
-histograms and picks splits (the model is a few hundred numbers).
-
-* ``fit_stumps``: discrete AdaBoost (SAMME, two classes) of depth-1 trees with
-  weights w0 * exp(-y F / 2), the closed form of the multiplicative update.
-* ``fit_trees``: second-order gradient boosting with logistic loss, L2 leaf
-  penalty, row subsampling by a row hash and per-tree column sampling;
-  ``leaves=None`` grows level by level (depth-wise), ``leaves=n`` grows to the
-  depth cap and keeps the n best leaves best-first (leaf-wise).
+"""Histogram boosting as Spark jobs, all fit groups and models batched.
+
+Training rows carry ``(g, row_id, y, w0, h, x)`` with ``x`` the processed
+feature array.  ``bin_cuts`` places at most ``max_bins`` bins per (g, feature)
+from a mergeable sketch (``functions/sketch.py``) whose result does not depend
+on the partitioning.
+
+**State.**  The rows are turned once into a table of blocks: per block one
+byte of bin code a feature, label, weight, row hash and, per model, the margin
+so far.  A new version of the state is made once a cycle (one tree of every
+model): the trees grown since are added to the margins, so a row meets every
+tree once and a fit is linear in its trees.  A version is cached when its
+first pass reads it, the version before is released then; every ``KEEP``
+cycles the state is written to the checkpoint folder and the write before
+deleted, so the loss of executors costs at most ``KEEP`` cycles.
+
+**Pass.**  One job serves every model and group that still grows.  Map tasks
+route their blocks through the tree under growth and add up histograms of
+whole numbers (gradients and weights in fixed point, so that sums do not
+depend on order).  Below the root only the smaller child of a split is added
+up; the other is its parent's histogram, kept by the pass before, less that
+child.  Histograms are exchanged by (model, group, node, tile of features),
+the receiving task adds them, searches the best split by running sums, and
+the driver gets one row per (model, group, node).
+
+* stumps: discrete AdaBoost (SAMME, two classes) of depth-1 trees with weights
+  w0 * exp(-y F / 2), the closed form of the multiplicative update, divided by
+  the total of the round before.
+* trees: second-order gradient boosting with logistic loss, L2 leaf penalty,
+  row subsampling by a row hash and per-tree column sampling; ``leaves=None``
+  grows level by level (depth-wise), ``leaves=n`` grows to the depth cap and
+  keeps the n best leaves best-first (leaf-wise).
 """
 
 from __future__ import annotations
 
 import math
+import time
+import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from riskfold.functions.batches import by_group, to_batch
-from riskfold.session import ship_package
+from riskfold.functions.batches import by_group, to_batch, x_block
+from riskfold.functions.sketch import feature_cuts
+from riskfold.session import discard, ensure_checkpoint_dir, ship_package
 
-HIST_SCHEMA = T.StructType([T.StructField("m", T.IntegerType()),
-                            T.StructField("g", T.IntegerType()), T.StructField("node", T.IntegerType()),
-                            T.StructField("j", T.IntegerType()), T.StructField("b", T.IntegerType()),
-                            T.StructField("s0", T.DoubleType()), T.StructField("s1", T.DoubleType()),
-                            T.StructField("n", T.DoubleType())])
 SCORE_SCHEMA = "g int, row_id string, y int, score double, margin double"
-HIST_ARROW = pa.schema([("m", pa.int32()), ("g", pa.int32()), ("node", pa.int32()), ("j", pa.int32()), ("b", pa.int32()),
-                        ("s0", pa.float64()), ("s1", pa.float64()), ("n", pa.float64())])
 SCORE_ARROW = pa.schema([("g", pa.int32()), ("row_id", pa.string()), ("y", pa.int32()), ("score", pa.float64()),
                          ("margin", pa.float64())])
+#: Rows of a state block, features of a histogram tile, bytes of histograms a receiving task takes on.
+BLOCK_ROWS, TILE, TASK_BYTES = 4096, 256, 16_000_000
+#: Cycles between two writes of the state, rows below which a state partition is not worth a task.
+KEEP, PART_ROWS = 25, 16_384
+_LEVEL = "m int, g int, node int, tile int, hist binary, feat int, bin int, side int, gain double, left_s0 long, left_s1 long, left_n long, s0 long, s1 long, n long, ns long"
+_PART = "m int, g int, parent int, child int, tile int, hist binary, ns long"
 
 
 # --------------------------------------------------------------------------- binning
 def bin_cuts(train: DataFrame, n_features: int, max_bins: int = 32) -> dict[int, np.ndarray]:
-    """Approximate quantile cuts per (g, feature): {g: array (p, max_bins-1)}."""
-    fr = [i / max_bins for i in range(1, max_bins)]
-    lv = train.select("g", F.posexplode("x").alias("j", "v"))
-    rows = lv.groupBy("g", "j").agg(F.percentile_approx("v", fr, 1000).alias("c")).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(int(r["g"]), np.zeros((n_features, max_bins - 1)))[int(r["j"])] = np.asarray(r["c"])
-    return out
+    """Weighted quantile cuts per (g, feature): {g: array (p, max_bins-1)}."""
+    return feature_cuts(train, n_features, max_bins)
 
 
 def _bins(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -126,278 +137,506 @@ def _margin(bins: np.ndarray, trees: list) -> np.ndarray:
     return m
 
 
-# --------------------------------------------------------------------------- one histogram job
-HIST_COLS = ["g", "node", "j", "b", "s0", "s1", "n"]
+# --------------------------------------------------------------------------- the state
+def _state(train: DataFrame, cuts: dict) -> DataFrame:
+    """Blocks (g, n, codes, y, w, h, margins) of the training rows; codes are
+    one byte a feature, row by row.  Margins are null: all zero."""
+    rows = train.count()
+    parts = max(1, min(train.rdd.getNumPartitions(), -(-rows // PART_ROWS)))
+
+    def task(batches):
+        held: dict[int, list] = {}
+
+        def block(g, parts):
+            codes, y, w, h = (np.concatenate(x) for x in zip(*parts))
+            return pa.RecordBatch.from_pydict({"g": pa.array([g], pa.int32()), "n": pa.array([len(y)], pa.int32()), **{
+                k: pa.array([v.tobytes()], pa.binary()) for k, v in (("codes", codes), ("y", y), ("w", w), ("h", h))}, "margins": pa.array([None], pa.binary())})
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                g, y, w, h = (part.column(c).to_numpy(zero_copy_only=False) for c in ("g", "y", "w0", "h"))
+                x = x_block(part)
+                for gv in np.unique(g):
+                    at = g == gv
+                    mine = held.setdefault(int(gv), [])
+                    mine.append((_bins(x[at], cuts[int(gv)]).astype(np.uint8), y[at].astype(np.uint8), w[at].astype(np.float64), h[at].astype(np.int64)))
+                    if sum(len(m[1]) for m in mine) >= BLOCK_ROWS:
+                        yield block(int(gv), held.pop(int(gv)))
+        for gv, mine in held.items():
+            yield block(gv, mine)
+
+    ship_package(train.sparkSession)
+    return train.select("g", "y", "w0", "h", "x").coalesce(parts).mapInArrow(task, "g int, n int, codes binary, y binary, w binary, h binary, margins binary")
 
 
-def _histograms(train: DataFrame, makers: dict) -> dict[int, pd.DataFrame]:
-    """Run ONE pass for several fitters: ``makers[m](g, part)`` returns
-    ``(bins, node, s0, s1, cnt, width)`` or None; returns the summed
-    histogram (g, node, j, b, s0, s1, n) per fitter m on the driver (bounded
-    by fitters x groups x nodes x features x bins)."""
+def _write(state: DataFrame) -> tuple[DataFrame, str]:
+    """The state as a written table in the shared folder: its lineage ends there."""
+    spark = state.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/boost-state-{uuid.uuid4().hex}"
+    state.write.parquet(folder)
+    return spark.read.schema(state.schema).parquet(folder), folder
+
+
+def _open(row: dict, p: int) -> tuple:
+    n = row["n"]
+    codes = np.frombuffer(row["codes"], np.uint8).reshape(n, p)
+    return codes, np.frombuffer(row["y"], np.uint8), np.frombuffer(row["w"], np.float64), np.frombuffer(row["h"], np.int64)
+
+
+def _grown(state: DataFrame, added: dict, n_models: int, p: int) -> DataFrame:
+    """The next version: ``added[(m, g)]`` are trees (or stumps) whose values
+    go on the margins."""
+    kept = [c for c in state.columns if c != "margins"]
 
     def task(batches):
-        acc: dict = {}
-        for g, part in by_group(batches, ["g", "y", "w0", "h"]):
-            for m, make_stats in makers.items():
-                res = make_stats(g, part)
-                if res is None:
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                margins = _margins(row, n_models)
+                codes = _open(row, p)[0]
+                for m in range(n_models):
+                    for one in added.get((m, row["g"]), ()):
+                        margins[m] += _value(codes, one)
+                made.append(margins.tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(made, pa.binary())], [*kept, "margins"])
+
+    return state.mapInArrow(task, state.schema)
+
+
+def _margins(row: dict, n_models: int) -> np.ndarray:
+    if row["margins"] is None:
+        return np.zeros((n_models, row["n"]))
+    return np.frombuffer(row["margins"], np.float64).reshape(n_models, row["n"]).copy()
+
+
+def _value(codes: np.ndarray, one: tuple) -> np.ndarray:
+    """What a stump (feature, bin, left sign, weight) or the arrays of a tree give each row."""
+    if len(one) == 4:
+        j, b, sign, weight = one
+        return weight * np.where(codes[:, j] <= b, sign, -sign)
+    return one[4][_route(codes, one)]
+
+
+# --------------------------------------------------------------------------- one pass
+@dataclass
+class Ask:
+    """What a model wants of one pass for one group: histograms of ``nodes``
+    (child: its split parent, -1 for the root) of the tree under growth."""
+
+    kind: str
+    nodes: dict[int, int]
+    columns: np.ndarray                 # features that may be split on
+    pending: list = field(default_factory=list)   # finished since the state's version
+    tree: tuple | None = None
+    depth: int = 0
+    sibling: dict[int, int] = field(default_factory=dict)   # child asked for -> its larger sibling
+    norm: float = 1.0                   # stumps: total weight of the round before over the first
+    salt: int = 0
+    subsample: float = 1.0
+    lam: float = 1.0
+    least_weight: float = 0.0
+    least_rows: int = 1
+
+
+def _weights(ask: Ask, margin: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, scale: float) -> tuple:
+    """Fixed-point (s0, s1, n) of the rows: gradient and hessian, or the weights of either label."""
+    if ask.kind == "stumps":
+        q = np.rint(w * np.exp(-(y * 2.0 - 1.0) * margin / 2.0) / ask.norm * scale)
+        return np.where(y > 0, q, 0.0), np.where(y > 0, 0.0, q), np.ones(len(y))
+    p = 1.0 / (1.0 + np.exp(-margin))
+    keep = np.ones(len(y), bool) if ask.subsample >= 1 else _mix(h, ask.salt) < ask.subsample
+    return np.where(keep, np.rint(w * (p - y) * scale), 0.0), np.where(keep, np.rint(w * p * (1 - p) * scale), 0.0), keep.astype(np.float64)
+
+
+def _partials(state: DataFrame, asks: dict, n_models: int, p: int, bins: int, scale: float) -> DataFrame:
+    """Each task's histograms by (m, g, parent, child, tile)."""
+
+    def task(batches):
+        total, spent = {}, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                g, margins = row["g"], None
+                for m in range(n_models):
+                    ask = asks.get((m, g))
+                    if ask is None:
+                        continue
+                    began = time.perf_counter_ns()
+                    if margins is None:
+                        margins = _margins(row, n_models)
+                        codes, y, w, h = _open(row, p)
+                        flat = codes.astype(np.int64) + np.arange(p) * bins
+                    margin = margins[m]
+                    for one in ask.pending:
+                        margin = margin + _value(codes, one)
+                    stats = _weights(ask, margin, y, w, h, scale)
+                    node = np.zeros(len(y), np.int64) if ask.tree is None else _route(codes, ask.tree, stop_at_depth=ask.depth)
+                    slots = np.full(int(node.max()) + 1, -1)
+                    for s, child in enumerate(ask.nodes):
+                        if child < len(slots):
+                            slots[child] = s
+                    slot = slots[node]
+                    at = np.flatnonzero((slot >= 0) & (stats[2] > 0))
+                    if (m, g) not in total:
+                        total[(m, g)] = np.zeros((3, len(ask.nodes) * p * bins), np.int64)
+                    if len(at):
+                        key = (flat[at] + (slot[at] * p * bins)[:, None]).ravel()
+                        for k in range(3):  # a block's sums are whole numbers below 2^53
+                            total[(m, g)][k] += np.bincount(key, np.repeat(stats[k][at], p), total[(m, g)].shape[1]).astype(np.int64)
+                    spent[(m, g)] = spent.get((m, g), 0) + time.perf_counter_ns() - began
+        out = {c: [] for c in ("m", "g", "parent", "child", "tile", "hist", "ns")}
+        for (m, g), sums in total.items():
+            sums = sums.reshape(3, -1, p, bins)
+            for s, (child, parent) in enumerate(asks[(m, g)].nodes.items()):
+                for tile, lo in enumerate(range(0, p, TILE)):
+                    values = (m, g, parent, child, tile, np.ascontiguousarray(sums[:, s, lo:lo + TILE]).tobytes(), spent[(m, g)] if s == tile == 0 else 0)
+                    for c, v in zip(out, values):
+                        out[c].append(v)
+        if out["m"]:
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "hist" else pa.int64() if c == "ns" else pa.int32()) for c, v in out.items()})
+
+    return state.mapInArrow(task, _PART)
+
+
+def best_split(ask: Ask, hist: np.ndarray, first: int, scale: float) -> tuple:
+    """(feature, bin, side, gain, left s0, s1, n) of the best split in a tile
+    whose first feature is ``first``; feature -1 if none is allowed.  Equal
+    gains go to the smaller feature, then bin.  For stumps the gain is minus
+    the weighted error and side the label of the left."""
+    left = hist.cumsum(axis=2)[:, :, :-1]
+    whole = hist[:, :, :].sum(axis=2)[:, 0]
+    none = (-1, 0, 0, 0.0, 0, 0, 0)
+    allowed = np.isin(np.arange(first, first + hist.shape[1]), ask.columns)
+    if not allowed.any() or not left.shape[2]:
+        return none
+    if ask.kind == "stumps":
+        pos, neg = left[0] / scale, left[1] / scale
+        all_pos, all_neg = whole[0] / scale, whole[1] / scale
+        total = all_pos + all_neg
+        if total <= 0:
+            return none
+        errors = np.stack([(neg + all_pos - pos) / total, (pos + all_neg - neg) / total], axis=1)  # left is 1, left is 0
+        errors = np.where(allowed[:, None, None], errors, np.inf)
+        at = int(errors.argmin())
+        j, rest = divmod(at, errors.shape[1] * errors.shape[2])
+        side, b = divmod(rest, errors.shape[2])
+        return (first + j, b, 1 if side == 0 else -1, -float(errors[j, side, b]), *[int(left[k, j, b]) for k in range(3)])
+    grad, hess = left[0] / scale, left[1] / scale
+    g_all, h_all = whole[0] / scale, whole[1] / scale
+    gain = grad ** 2 / (hess + ask.lam) + (g_all - grad) ** 2 / (h_all - hess + ask.lam) - g_all ** 2 / (h_all + ask.lam)
+    least = max(ask.least_rows, 1)
+    good = (hess >= ask.least_weight) & (h_all - hess >= ask.least_weight) & (left[2] >= least) & (whole[2] - left[2] >= least) & allowed[:, None]
+    gain = np.where(good, gain, -np.inf)
+    j, b = divmod(int(gain.argmax()), gain.shape[1])
+    if not gain[j, b] > 1e-12:
+        return none
+    return (first + j, b, 0, float(gain[j, b]), *[int(left[k, j, b]) for k in range(3)])
+
+
+def _levels(partials: DataFrame, before: DataFrame | None, asks: dict, p: int, bins: int, scale: float, tasks: int, alone: bool) -> DataFrame:
+    """One row per (m, g, node, tile) with the node's histogram and its best
+    split; the larger sibling's histogram is the parent's less the child's.
+    ``alone``: the state is one partition, so that there is nothing to exchange."""
+    if before is not None:
+        own = before.select("m", "g", F.col("node").alias("parent"), F.lit(-1).alias("child"), "tile", "hist", F.lit(0).cast("long").alias("ns"))
+        partials = partials.unionByName(own)
+
+    def task(batches):
+        sums, parents, spent = {}, {}, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                hist = np.frombuffer(r["hist"], np.int64)
+                if r["child"] < 0:
+                    parents[(r["m"], r["g"], r["parent"], r["tile"])] = hist
                     continue
-                bins, node, s0, s1, cnt, width = res
-                p, nb = bins.shape[1], width
-                key = (node[:, None] * p + np.arange(p)[None, :]) * nb + bins
-                size = int((node.max() + 1) * p * nb) if len(node) else 0
-                a = acc.setdefault((m, g), [np.zeros(0), np.zeros(0), np.zeros(0), p, nb])
-                if a[0].size < size:
-                    for k in range(3):
-                        grown = np.zeros(size)
-                        grown[:a[k].size] = a[k]
-                        a[k] = grown
-                flat = key.ravel()
-                a[0] += np.bincount(flat, weights=np.repeat(s0, p), minlength=a[0].size)[:a[0].size]
-                a[1] += np.bincount(flat, weights=np.repeat(s1, p), minlength=a[1].size)[:a[1].size]
-                a[2] += np.bincount(flat, weights=np.repeat(cnt, p), minlength=a[2].size)[:a[2].size]
+                key = (r["m"], r["g"], r["parent"], r["tile"], r["child"])
+                spent[key] = spent.get(key, 0) + r["ns"]
+                sums[key] = sums[key] + hist if key in sums else hist
         out = []
-        for (m, g), (h0, h1, hn, p, nb) in acc.items():
-            nz = np.nonzero(hn)[0]
-            node, rest = np.divmod(nz, p * nb)
-            j, b = np.divmod(rest, nb)
-            out.append(pd.DataFrame({"m": np.int32(m), "g": np.int32(g), "node": node.astype(np.int32),
-                                     "j": j.astype(np.int32), "b": b.astype(np.int32),
-                                     "s0": h0[nz], "s1": h1[nz], "n": hn[nz]}))
+        for (m, g, parent, tile, child), hist in sums.items():
+            began = time.perf_counter_ns()
+            ask, first = asks[(m, g)], tile * TILE
+            found = [(child, hist)]
+            if child in ask.sibling:
+                found.append((ask.sibling[child], parents[(m, g, parent, tile)] - hist))
+            for node, h in found:
+                shaped = h.reshape(3, -1, bins)
+                whole = shaped[:, 0].sum(axis=1)
+                out.append([m, g, node, tile, h.tobytes(), *best_split(ask, shaped, first, scale), *[int(v) for v in whole], 0])
+            out[-1][-1] = spent[(m, g, parent, tile, child)] + time.perf_counter_ns() - began
         if out:
-            yield to_batch(pd.concat(out, ignore_index=True), HIST_ARROW)
+            names = [x.split()[0] for x in _LEVEL.split(", ")]
+            kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[x.split()[1]]) for v, x in zip(zip(*out), _LEVEL.split(", "))], names)
 
-    ship_package(train.sparkSession)
-    parts = train.select("g", "y", "w0", "h", "x").mapInArrow(task, HIST_SCHEMA)
-    h = parts.groupBy("m", "g", "node", "j", "b").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"),
-                                                     F.sum("n").alias("n")).toPandas()
-    return {int(m): hm[HIST_COLS].reset_index(drop=True) for m, hm in h.groupby("m")}
-
-
-def _drive(train: DataFrame, fitters: dict) -> dict:
-    """Run fitters (generators that yield a per-group statistics function and
-    receive its histogram) in lock-step: every pass is one Spark job serving
-    all fitters that still have work, so models of different families share
-    the scans instead of queueing their own."""
-    pending, results = {}, {}
-    for k, gen in fitters.items():
-        try:
-            pending[k] = next(gen)
-        except StopIteration as stop:
-            results[k] = stop.value
-    empty = pd.DataFrame({c: pd.Series(dtype="int32" if c in ("g", "node", "j", "b") else "float64")
-                          for c in HIST_COLS})
-    while pending:
-        keys = list(pending)
-        hs = _histograms(train, {i: pending[k] for i, k in enumerate(keys)})
-        for i, k in enumerate(keys):
-            try:
-                pending[k] = fitters[k].send(hs.get(i, empty))
-            except StopIteration as stop:
-                results[k] = stop.value
-                del pending[k]
-    return results
-
-
-def _part_bins(part: pd.DataFrame, cuts_g: np.ndarray) -> np.ndarray:
-    """Bins of a group's rows, computed once per batch and shared by every
-    fitter that uses the same cuts."""
-    memo = part.attrs.setdefault("bins", {})
-    if id(cuts_g) not in memo:
-        memo[id(cuts_g)] = _bins(_x(part), cuts_g)
-    return memo[id(cuts_g)]
-
-
-def _x(part: pd.DataFrame) -> np.ndarray:
-    """Feature block of a group's rows (from the Arrow batch when present)."""
-    if "X" in part.attrs:
-        return part.attrs["X"]
-    return np.vstack(part["x"].to_numpy()).astype(np.float64)
-
-
-# --------------------------------------------------------------------------- AdaBoost (SAMME) stumps
-def fit_stumps(train: DataFrame, n_features: int, rounds: int = 20, rate: float = 0.1,
-               max_bins: int = 32) -> tuple[dict, dict]:
-    """Returns ({g: cuts}, {g: [(j, b, left_label, alpha), ...]})."""
-    cuts = bin_cuts(train, n_features, max_bins)
-    return cuts, _drive(train, {0: stump_steps(cuts, rounds, rate, max_bins)})[0]
+    dealt = partials.coalesce(1) if alone else partials.repartition(tasks, "m", "g", "parent", "tile")
+    return dealt.mapInArrow(task, _LEVEL)
 
 
-def stump_steps(cuts: dict, rounds: int = 20, rate: float = 0.1, max_bins: int = 32):
-    """Fitter generator (see ``_drive``); returns {g: stumps}."""
-    model: dict[int, list] = {g: [] for g in cuts}
-    active = set(cuts)
-    for _ in range(rounds):
-        if not active:
-            break
-        snap = {g: list(v) for g, v in model.items()}
-
-        def stats(g, part, snap=snap, cuts=cuts, act=frozenset(active)):
-            if g not in act:
-                return None
-            bins = _part_bins(part, cuts[g])
-            ypm = part["y"].to_numpy() * 2 - 1
-            f = np.zeros(len(part))
-            for j, b, lab, a in snap[g]:
-                f += a * np.where(bins[:, j] <= b, lab, -lab)
-            w = part["w0"].to_numpy() * np.exp(-ypm * f / 2.0)
-            node = np.zeros(len(part), dtype=np.int64)
-            return bins, node, w * (ypm > 0), w * (ypm < 0), np.ones(len(part)), max_bins
-
-        h = yield stats
-        for g, hg in h.groupby("g"):
-            g = int(g)
-            best = None
-            total = None   # of the weights: the bins of any one feature hold every row once
-            for j, hj in hg.groupby("j"):
-                total = hj["s0"].sum() + hj["s1"].sum() if total is None else total
-                pos = np.zeros(max_bins)
-                neg = np.zeros(max_bins)
-                pos[hj["b"].to_numpy()] = hj["s0"].to_numpy()
-                neg[hj["b"].to_numpy()] = hj["s1"].to_numpy()
-                lp, ln = np.cumsum(pos)[:-1], np.cumsum(neg)[:-1]
-                rp, rn = pos.sum() - lp, neg.sum() - ln
-                err_left_pos = (ln + rp) / total      # left predicts +1
-                err_left_neg = (lp + rn) / total      # left predicts -1
-                for errs, lab in ((err_left_pos, 1), (err_left_neg, -1)):
-                    k = int(np.argmin(errs))
-                    if best is None or errs[k] < best[0] - 1e-15:
-                        best = (float(errs[k]), int(j), k, lab)
-            if best is None:
-                active.discard(g)
+@dataclass
+class Found:
+    """A node's best split and sums, in units."""
+
+    feat: int
+    bin: int
+    side: int
+    gain: float
+    left: tuple[float, float, int]
+    whole: tuple[float, float, int]
+
+
+@contextmanager
+def _plain_plans(spark):
+    """Passes are short jobs of a fixed shape: no re-planning between their
+    stages.  Their rows are whole blocks, so batches hold few of them."""
+    want = {"spark.sql.adaptive.enabled": "false", "spark.sql.inMemoryColumnarStorage.batchSize": "64",
+            "spark.sql.parquet.columnarReaderBatchSize": "64", "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
+    had = {k: spark.conf.get(k) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+
+
+class Passes:
+    """Runs passes over the state and keeps its versions."""
+
+    def __init__(self, written: DataFrame, folder: str, heaviest: float, p: int, bins: int, n_models: int) -> None:
+        self.spark, self.p, self.bins, self.n_models = written.sparkSession, p, bins, n_models
+        # sums of a group's weights stay whole numbers below 2^52
+        self.scale = 2.0 ** min(40, math.floor(51 - math.log2(max(heaviest, 1.0))))
+        self.state, self.folder = written, folder
+        self.old: list[DataFrame] = []
+        self.old_folder: str | None = None
+        self.levels: DataFrame | None = None
+        self.cycles, self.count = 0, 0
+        self.alone = written.rdd.getNumPartitions() == 1
+        self.seconds = [0.0] * n_models
+
+    def advance(self, added: dict) -> None:
+        """Next version of the state; earlier ones are released after its first pass."""
+        self.cycles += 1
+        fresh = _grown(self.state, added, self.n_models, self.p)
+        self.old.append(self.state)
+        if self.levels is not None:
+            self.old.append(self.levels)
+            self.levels = None
+        if self.cycles % KEEP == 0:
+            self.old_folder = self.folder
+            fresh, self.folder = _write(fresh)
+        self.state = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def run(self, asks: dict) -> dict:
+        """{(m, g, node): Found} for the asked nodes and their siblings."""
+        began = time.monotonic()
+        self.count += 1
+        wide = self.p * self.bins * 24
+        tasks = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(len(a.nodes) for a in asks.values()) * wide // TASK_BYTES)))
+        below = any(a.sibling for a in asks.values())
+        partials = _partials(self.state, asks, self.n_models, self.p, self.bins, self.scale)
+        level = _levels(partials, self.levels if below else None, asks, self.p, self.bins, self.scale, tasks, self.alone and tasks == 1).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = level.select("m", "g", "node", "tile", "feat", "bin", "side", "gain", "left_s0", "left_s1", "left_n", "s0", "s1", "n", "ns")
+        if self.p > TILE:  # the best of all tiles, found by the tasks
+            best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("m", "g", "node", "ns")]),
+                            F.struct((F.col("feat") >= 0).alias("any"), "gain", (-F.col("feat")).alias("first")))
+            rows = rows.groupBy("m", "g", "node").agg(best.alias("b"), F.sum("ns").alias("ns")).select("m", "g", "node", "b.*", "ns")
+        s, out, own = self.scale, {}, [0.0] * self.n_models
+        for r in rows.collect():
+            out[(r["m"], r["g"], r["node"])] = Found(r["feat"], r["bin"], r["side"], r["gain"], (r["left_s0"] / s, r["left_s1"] / s, r["left_n"]),
+                                                     (r["s0"] / s, r["s1"] / s, r["n"]))
+            own[r["m"]] += r["ns"] / 1e9
+        for df in self.old:
+            df.unpersist()
+        if self.old_folder is not None:
+            discard(self.spark, self.old_folder)
+            self.old_folder = None
+        self.old = [self.levels] if self.levels is not None else []
+        self.levels = level
+        # the pass belongs to its models by their share of the tasks' own time
+        total = sum(own) or 1.0
+        for m in range(self.n_models):
+            self.seconds[m] += (time.monotonic() - began) * own[m] / total
+        return out
+
+    def close(self) -> None:
+        for df in [*self.old, self.state, *([self.levels] if self.levels is not None else [])]:
+            df.unpersist()
+        for folder in {self.folder, self.old_folder} - {None}:
+            discard(self.spark, folder)
+
+
+# --------------------------------------------------------------------------- growers
+def _leaf(gs, hs, lam, rate):
+    return -gs / (hs + lam) * rate
+
+
+class Stumps:
+    """AdaBoost over the passes: one round a pass."""
+
+    depth = 1
+
+    def __init__(self, groups: list[int], columns: dict, rounds: int = 20, rate: float = 0.1) -> None:
+        self.model: dict[int, list] = {g: [] for g in groups}
+        self.columns, self.rounds, self.rate = columns, rounds, rate
+        self.active, self.norm, self.first, self.pending = set(groups), {g: 1.0 for g in groups}, {}, {g: [] for g in groups}
+
+    def done(self) -> bool:
+        return not self.active or self.rounds <= 0
+
+    def asks(self, cycle: int, level: int) -> dict:
+        if self.done():
+            return {}
+        return {g: Ask("stumps", {0: -1}, self.columns[g], pending=list(self.pending[g]), norm=self.norm[g]) for g in self.active}
+
+    def take(self, found: dict) -> None:
+        self.rounds -= 1
+        for g in sorted(self.active):
+            f = found.get((g, 0))
+            if f is None or f.feat < 0:
+                self.active.discard(g)
                 continue
-            err, j, b, lab = best
+            err = -f.gain
+            total = (f.whole[0] + f.whole[1]) * self.norm[g]
+            self.norm[g] = total / self.first.setdefault(g, total)
             if err <= 0:
-                model[g].append((j, b, lab, 1.0))
-                active.discard(g)
+                self._add(g, (f.feat, f.bin, f.side, 1.0))
+                self.active.discard(g)
             elif err >= 0.5:
-                active.discard(g)
+                self.active.discard(g)
             else:
-                model[g].append((j, b, lab, rate * math.log((1 - err) / err)))
-    return model
+                self._add(g, (f.feat, f.bin, f.side, self.rate * math.log((1 - err) / err)))
+
+    def _add(self, g: int, stump: tuple) -> None:
+        self.model[g].append(stump)
+        self.pending[g].append(stump)
+
+    def settle(self) -> dict:
+        """What the next version of the state adds."""
+        out, self.pending = self.pending, {g: [] for g in self.model}
+        return out
+
+
+class Trees:
+    """Gradient boosting over the passes: one level a pass, one tree a cycle."""
+
+    def __init__(self, groups: list[int], columns: dict, trees: int = 10, rate: float = 0.05, depth: int = 4, lam: float = 1.0,
+                 min_child_weight: float = 1.0, min_child_rows: int = 0, subsample: float = 0.8, colsample: float = 0.8,
+                 leaves: int | None = None, seed: int = 42) -> None:
+        self.model: dict[int, list] = {g: [] for g in groups}
+        self.groups, self.columns, self.trees, self.rate, self.depth, self.lam = groups, columns, trees, rate, depth, lam
+        self.least_weight, self.least_rows, self.subsample, self.colsample = min_child_weight, min_child_rows, subsample, colsample
+        self.leaves, self.seed = leaves, seed
+        self.cur: dict[int, Tree] = {}
+
+    def done(self) -> bool:
+        return all(len(v) >= self.trees for v in self.model.values()) and not self.cur
+
+    def asks(self, cycle: int, level: int) -> dict:
+        if level == 0:
+            if self.done():
+                return {}
+            self.cur, self.t = {g: Tree() for g in self.groups}, cycle
+            self.frontier = {g: [(0, -1, None)] for g in self.groups}   # (child to add up, split parent, sibling)
+            self.level = 0
+            self.cols = {}
+            for g in self.groups:
+                own = self.columns[g]
+                n = max(1, int(round(self.colsample * len(own)))) if len(own) else 0
+                self.cols[g] = np.sort(np.random.default_rng([self.seed, cycle, g + 1]).choice(own, n, replace=False))
+        if not self.cur or level >= self.depth:
+            return {}
+        self.level = level
+        return {g: Ask("trees", {c: q for c, q, _ in f}, self.cols[g], tree=self.cur[g].arrays() if level else None, depth=level,
+                       sibling={c: s for c, _, s in f if s is not None}, salt=self.seed * 1000003 + self.t, subsample=self.subsample,
+                       lam=self.lam, least_weight=self.least_weight, least_rows=self.least_rows)
+                for g, f in self.frontier.items() if f}
+
+    def take(self, found: dict) -> None:
+        for g, asked in self.frontier.items():
+            tree, fresh = self.cur[g], []
+            for node in sorted([n for c, _, s in asked for n in (c, s) if n is not None]):
+                f = found.get((g, node))
+                if f is None:
+                    continue
+                whole = f.whole
+                if self.level == 0:
+                    tree.value[node], tree.cover[node] = _leaf(whole[0], whole[1], self.lam, self.rate), whole[1]
+                if f.feat < 0:
+                    continue
+                a, b = tree.split(node, f.feat, f.bin, f.gain)
+                # the children's sums are the two sides of the chosen cut: their values need no pass over the rows
+                right = tuple(x - y for x, y in zip(whole, f.left))
+                for child, (gs, hs, _) in ((a, f.left), (b, right)):
+                    tree.value[child], tree.cover[child] = _leaf(gs, hs, self.lam, self.rate), hs
+                fresh.append((a, node, b) if f.left[2] <= right[2] else (b, node, a))
+            self.frontier[g] = fresh
+
+    def settle(self) -> dict:
+        out = {}
+        for g, tree in self.cur.items():
+            if self.leaves is not None:
+                tree = _best_first(tree, self.leaves)
+            self.model[g].append(tree)
+            out[g] = [tree.arrays()]
+        self.cur = {}
+        return out
+
+
+def fit_many(train: DataFrame, n_features: int, specs: dict, max_bins: int = 32, columns: dict | None = None, seconds: dict | None = None,
+             watch=None) -> dict:
+    """Fit several models on the same fit groups in shared passes:
+    ``specs[key] = ("stumps" | "trees", kwargs)``; one set of bin cuts, one
+    state, and every pass serves all models still growing.  ``columns`` limits
+    a group's splits to the features it kept.  ``seconds`` receives each
+    model's share of the passes' time, ``watch`` is called with the passes
+    after each cycle.  Returns {key: (cuts, model)}."""
+    if max_bins > 256:
+        raise ValueError("bin codes are one byte: at most 256 bins")
+    spark = train.sparkSession
+    cuts = bin_cuts(train, n_features, max_bins)
+    groups = sorted(cuts)
+    own = {g: np.asarray(sorted(columns[g]) if columns is not None else range(n_features), dtype=np.int64) for g in groups}
+    growers = [Stumps(groups, own, **kw) if kind == "stumps" else Trees(groups, own, **kw) for kind, kw in specs.values()]
+    if not groups:
+        return {key: (cuts, grower.model) for key, grower in zip(specs, growers)}
+    ship_package(spark)
+    heaviest = max(float(r["w"]) for r in train.groupBy("g").agg(F.sum("w0").alias("w")).collect())
+    written, folder = _write(_state(train, cuts))
+    with _plain_plans(spark):
+        passes, cycle = Passes(written.persist(StorageLevel.MEMORY_AND_DISK), folder, heaviest, n_features, max_bins, len(growers)), 0
+        levels = max(g.depth for g in growers) if any(isinstance(g, Trees) for g in growers) else 8
+        while not all(g.done() for g in growers):
+            for level in range(levels):
+                asks = {(m, g): a for m, grower in enumerate(growers) for g, a in grower.asks(cycle, level).items()}
+                if not asks:
+                    break
+                found = passes.run(asks)
+                for m in sorted({m for m, _ in asks}):
+                    growers[m].take({(g, n): f for (k, g, n), f in found.items() if k == m})
+            added = {(m, g): v for m, grower in enumerate(growers) for g, v in grower.settle().items() if v}
+            cycle += 1
+            if watch is not None:
+                watch(passes)
+            if not all(g.done() for g in growers):
+                passes.advance(added)
+        passes.close()
+        if seconds is not None:
+            seconds.update(zip(specs, passes.seconds))
+    return {key: (cuts, grower.model) for key, grower in zip(specs, growers)}
 
 
-# --------------------------------------------------------------------------- gradient boosting
-def _leaf(gs, hs, lam, rate):
-    return -gs / (hs + lam) * rate
+def fit_stumps(train: DataFrame, n_features: int, rounds: int = 20, rate: float = 0.1,
+               max_bins: int = 32) -> tuple[dict, dict]:
+    """Returns ({g: cuts}, {g: [(j, b, left_label, alpha), ...]})."""
+    return fit_many(train, n_features, {0: ("stumps", dict(rounds=rounds, rate=rate))}, max_bins)[0]
 
 
-def fit_trees(train: DataFrame, n_features: int, trees: int = 10, rate: float = 0.05, depth: int = 4,
-              lam: float = 1.0, min_child_weight: float = 1.0, min_child_rows: int = 0,
-              subsample: float = 0.8, colsample: float = 0.8, leaves: int | None = None,
-              max_bins: int = 32, seed: int = 42) -> tuple[dict, dict]:
+def fit_trees(train: DataFrame, n_features: int, max_bins: int = 32, **kw) -> tuple[dict, dict]:
     """Returns ({g: cuts}, {g: [Tree, ...]}); base margin 0 (probability 0.5)."""
-    cuts = bin_cuts(train, n_features, max_bins)
-    steps = tree_steps(cuts, n_features, trees=trees, rate=rate, depth=depth, lam=lam,
-                       min_child_weight=min_child_weight, min_child_rows=min_child_rows, subsample=subsample,
-                       colsample=colsample, leaves=leaves, max_bins=max_bins, seed=seed)
-    return cuts, _drive(train, {0: steps})[0]
-
-
-def tree_steps(cuts: dict, n_features: int, trees: int = 10, rate: float = 0.05, depth: int = 4,
-               lam: float = 1.0, min_child_weight: float = 1.0, min_child_rows: int = 0,
-               subsample: float = 0.8, colsample: float = 0.8, leaves: int | None = None,
-               max_bins: int = 32, seed: int = 42):
-    """Fitter generator (see ``_drive``): one histogram per tree level;
-    returns {g: [Tree, ...]}."""
-    model: dict[int, list] = {g: [] for g in cuts}
-    rng = np.random.default_rng(seed)
-    for t in range(trees):
-        ncol = max(1, int(round(colsample * n_features)))
-        cols = {g: np.sort(rng.choice(n_features, ncol, replace=False)) for g in cuts}
-        cur = {g: Tree() for g in cuts}
-        frontier = {g: [0] for g in cuts}
-        node_stats: dict = {}
-        for level in range(depth):
-            if not any(frontier.values()):
-                break
-            done = {g: [a.arrays() for a in model[g]] for g in cuts}
-            partial = {g: cur[g].arrays() for g in cuts}
-
-            growing = frozenset(g for g, f in frontier.items() if f)
-
-            def stats(g, part, done=done, partial=partial, t=t, level=level, growing=growing):
-                if g not in growing:
-                    return None
-                bins = _part_bins(part, cuts[g])
-                m = _margin(bins, done[g])
-                p = 1.0 / (1.0 + np.exp(-m))
-                y = part["y"].to_numpy()
-                w = part["w0"].to_numpy()
-                keep = _mix(part["h"].to_numpy(), seed * 1000003 + t) < subsample
-                node = _route(bins, partial[g], stop_at_depth=level)
-                gr = np.where(keep, w * (p - y), 0.0)
-                he = np.where(keep, w * p * (1 - p), 0.0)
-                return bins, node, gr, he, keep.astype(np.float64), max_bins
-
-            h = yield stats
-            for g, hg in h.groupby("g"):
-                g = int(g)
-                tree = cur[g]
-                new_frontier = []
-                by_node = {int(k): v for k, v in hg.groupby("node", sort=False)}
-                for nd in frontier[g]:
-                    hn = by_node.get(nd)
-                    if hn is None:
-                        continue
-                    by_j = {int(k): v for k, v in hn.groupby("j", sort=False)}
-                    tot = by_j[int(hn["j"].iloc[0])]
-                    G, H, N = tot["s0"].sum(), tot["s1"].sum(), tot["n"].sum()
-                    tree.value[nd] = _leaf(G, H, lam, rate)
-                    tree.cover[nd] = H
-                    node_stats[(g, nd)] = (G, H, N)
-                    best = None
-                    for j in cols[g]:
-                        hj = by_j.get(int(j))
-                        if hj is None:
-                            continue
-                        gb = np.zeros(max_bins)
-                        hb = np.zeros(max_bins)
-                        nb = np.zeros(max_bins)
-                        gb[hj["b"].to_numpy()] = hj["s0"].to_numpy()
-                        hb[hj["b"].to_numpy()] = hj["s1"].to_numpy()
-                        nb[hj["b"].to_numpy()] = hj["n"].to_numpy()
-                        gl, hl, nl = np.cumsum(gb)[:-1], np.cumsum(hb)[:-1], np.cumsum(nb)[:-1]
-                        gr_, hr, nr = G - gl, H - hl, N - nl
-                        gain = gl ** 2 / (hl + lam) + gr_ ** 2 / (hr + lam) - G ** 2 / (H + lam)
-                        ok = (hl >= min_child_weight) & (hr >= min_child_weight) & (nl >= max(min_child_rows, 1)) \
-                            & (nr >= max(min_child_rows, 1))
-                        gain = np.where(ok, gain, -np.inf)
-                        k = int(np.argmax(gain))
-                        if np.isfinite(gain[k]) and gain[k] > 1e-12 and (best is None or gain[k] > best[0]):
-                            best = (float(gain[k]), int(j), k, float(gl[k]), float(hl[k]))
-                    if best is not None:
-                        a, b_ = tree.split(nd, best[1], best[2], best[0])
-                        # the children's sums are the two sides of the chosen cut: their values
-                        # need no pass over the rows (deeper levels overwrite them with the same sums)
-                        gls, hls = best[3], best[4]
-                        for child, gs, hs in ((a, gls, hls), (b_, G - gls, H - hls)):
-                            tree.value[child] = _leaf(gs, hs, lam, rate)
-                            tree.cover[child] = hs
-                        new_frontier += [a, b_]
-                frontier[g] = new_frontier
-        for g in cuts:
-            tr = cur[g]
-            if leaves is not None:
-                tr = _best_first(tr, leaves)
-            model[g].append(tr)
-    return model
-
-
-def fit_many(train: DataFrame, n_features: int, specs: dict, max_bins: int = 32) -> dict:
-    """Fit several models on the same fit groups in shared passes:
-    ``specs[key] = ("stumps" | "trees", kwargs)``; one set of bin cuts, and
-    every histogram job serves all models still growing.  Returns
-    {key: (cuts, model)}."""
-    cuts = bin_cuts(train, n_features, max_bins)
-    gens = {}
-    for key, (kind, kw) in specs.items():
-        if kind == "stumps":
-            gens[key] = stump_steps(cuts, max_bins=max_bins, **kw)
-        else:
-            gens[key] = tree_steps(cuts, n_features, max_bins=max_bins, **kw)
-    return {key: (cuts, model) for key, model in _drive(train, gens).items()}
+    return fit_many(train, n_features, {0: ("trees", kw)}, max_bins)[0]
 
 
 def _best_first(tree: Tree, n_leaves: int) -> Tree:
@@ -436,7 +675,7 @@ def score_rows(rows: DataFrame, cuts: dict, model: dict, kind: str) -> DataFrame
         for batch in batches:
             outs = []
             for g, part in by_group(iter([batch]), ["g", "row_id", "y"]):
-                bins = _bins(_x(part), cuts[g])
+                bins = _bins(part.attrs["X"], cuts[g])
                 if kind == "stumps":
                     f = np.zeros(len(part))
                     total = sum(a for *_, a in packed[g]) or 1.0

@@ -3,7 +3,6 @@ groups of the same jobs (see operators/boost.py)."""
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from riskfold.plans.assign import assign, dev_and_test
 from riskfold.session import materialize
 
 MODEL_SPECS = {
-    # study configuration (rounds reduced by ``scale`` for quick runs)
+    # study configuration (tests reduce the rounds by ``scale``)
     "adaboost": dict(display="AdaBoost", kind="stumps", rounds=200, rate=0.10),
     "xgboost": dict(display="XGBoost", kind="trees", trees=300, rate=0.05, depth=4, lam=1.0,
                     min_child_weight=1.0, subsample=0.8, colsample=0.8),
@@ -32,6 +31,7 @@ class Matrices:
     apply: DataFrame     # (g, row_id, y, fold, x): validation rows (g = fold) and hold-out rows (g = -1)
     n_features: int
     features: list
+    kept: dict           # {g: positions of the features that the group's selector kept}
 
 
 def matrices(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Settings = Settings(),
@@ -63,7 +63,8 @@ def matrices(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Setting
     app = masked(P.transform_array(rows, fitted, flist, keep=[t, "fold"])).select(
         F.col("g").cast("int").alias("g"), "row_id", F.col(t).cast("int").alias("y"), "fold", "x")
     names = [P.feature_name(*f) for f in flist]
-    return Matrices(materialize(train), materialize(app), len(flist), names)
+    columns = {int(r["g"]): sorted(r["_k"]) for r in kept.collect()}   # at most groups x features
+    return Matrices(materialize(train), materialize(app), len(flist), names, columns)
 
 
 def select_keys(requested, available) -> list[str]:
@@ -88,24 +89,24 @@ def fit_models(m: Matrices, model_keys=("adaboost", "xgboost", "lightgbm"), scal
                seed: int = 42) -> dict:
     """{key: (kind, cuts, model)}: all requested models trained together, so
     each histogram job serves every model that is still growing."""
-    keys = select_keys(model_keys, MODEL_SPECS)
-    began = time.monotonic()
-    fitted = B.fit_many(m.train, m.n_features, {k: _fit_args(MODEL_SPECS[k], scale, seed) for k in keys})
-    return FittedModels({k: (MODEL_SPECS[k]["kind"], *fitted[k]) for k in keys}, time.monotonic() - began)
+    keys, seconds = select_keys(model_keys, MODEL_SPECS), {}
+    fitted = B.fit_many(m.train, m.n_features, {k: _fit_args(MODEL_SPECS[k], scale, seed) for k in keys}, columns=m.kept, seconds=seconds)
+    return FittedModels({k: (MODEL_SPECS[k]["kind"], *fitted[k]) for k in keys}, seconds)
 
 
 class FittedModels(dict):
-    """{key: (kind, cuts, model)} and the seconds of the fit.  All folds and
-    the refit of all models share their passes, so a model's share is the
-    whole divided by the models."""
+    """{key: (kind, cuts, model)} and each model's seconds: passes are shared,
+    so a pass's time belongs to its models by the time that the tasks spent on
+    each of them."""
 
-    def __init__(self, models: dict, seconds: float) -> None:
+    def __init__(self, models: dict, seconds: dict) -> None:
         super().__init__(models)
         self.fit_seconds = seconds
 
 
 def with_fit_seconds(rows: DataFrame, fitted: FittedModels) -> DataFrame:
-    return rows.withColumn("fit_seconds", F.lit(round(fitted.fit_seconds / max(1, len(fitted)), 6)))
+    own = F.create_map(*[x for k, v in fitted.fit_seconds.items() for x in (F.lit(k), F.lit(round(v, 6)))])
+    return rows.withColumn("fit_seconds", own[F.col("model_key")])
 
 
 def fit_model(m: Matrices, model_key: str, scale: float = 1.0, seed: int = 42):

@@ -78,6 +78,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data that this package wrote and no
+    later plan reads; any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _SHIPPED: set = set()
 
 

@@ -37,6 +37,7 @@ LINES = Cohort(
 
 ACCOUNTS = Cohort(
     key="accounts",
+    # planted: the balance falls short of what the orders tie up, so that a model can learn it from n_orders
     name="Customer accounts: negative balance",
     target="negative_balance",
     numeric=("n_orders", "avg_order_value", "total_order_value"),
@@ -100,7 +101,7 @@ def raw_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("c_mktsegment"),
         "n_name", "r_name",
         F.when(_md5_prefix_is("target", "c_custkey", "00"), None)
-         .when(F.col("c_acctbal") < 0, "Yes").otherwise("No").alias("negative_balance"),
+         .when(F.col("c_acctbal") + 1500 < 400 * F.coalesce("n_orders", F.lit(0.0)), "Yes").otherwise("No").alias("negative_balance"),
     )
 
 

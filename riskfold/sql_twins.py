@@ -33,7 +33,7 @@ SELECT c_custkey, n_orders,
             ELSE c_mktsegment END AS c_mktsegment,
        n_name, r_name,
        CASE WHEN substr(md5('target|' || CAST(c_custkey AS VARCHAR)), 1, 2) = '00' THEN NULL
-            WHEN c_acctbal < 0 THEN 'Yes' ELSE 'No' END AS negative_balance
+            WHEN c_acctbal + 1500 < 400 * coalesce(n_orders, 0.0) THEN 'Yes' ELSE 'No' END AS negative_balance
 FROM customer
 LEFT JOIN (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n_orders, avg(o_totalprice) AS avg_order_value,
                   sum(o_totalprice) AS total_order_value FROM orders GROUP BY o_custkey) pc

@@ -1,5 +1,8 @@
 """Attribution contracts: additivity (trees and permutation), signal features first."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +62,74 @@ def test_permutation_telescopes_and_ranks_signal(spark, fitted):
     names = spark.createDataFrame([(j, f"f{j}") for j in range(5)], "j int, feature string")
     top = AT.importance(phi, names).orderBy("rank").first()
     assert top.feature == "f0"
+
+
+def _subset_phi(o, z, v):
+    """Shapley values of one leaf by all subsets."""
+    u, out = len(o), []
+    for i in range(u):
+        others, acc = [j for j in range(u) if j != i], 0.0
+        for r in range(u):
+            for s in itertools.combinations(others, r):
+                acc += math.factorial(r) * math.factorial(u - r - 1) / math.factorial(u) * math.prod(o[j] if j in s else z[j] for j in others)
+        out.append(v * (o[i] - z[i]) * acc)
+    return out
+
+
+@pytest.mark.parametrize("u", [1, 2, 5, 9])
+def test_path_recursion_equals_the_sum_over_subsets(u):
+    rng = np.random.default_rng(u)
+    cons = {j: (int(lo), int(lo) + 8, float(z)) for j, (lo, z) in enumerate(zip(rng.integers(0, 20, u), rng.choice([0.0, 0.2, 0.7, 1.0], u)))}
+    bins = rng.integers(0, 32, (40, u))
+    phi, _ = AT.tree_phi(bins, [[(1.7, cons)]], u)
+    for row, got in zip(bins, phi):
+        o = [float(lo <= b <= hi) for b, (lo, hi, _) in zip(row, cons.values())]
+        assert np.allclose(got, _subset_phi(o, [z for *_, z in cons.values()], 1.7), atol=1e-9)
+
+
+def test_background_patterns_equal_row_by_row():
+    rng = np.random.default_rng(3)
+    cons = {j: (int(lo), int(lo) + 14, 0.5) for j, lo in enumerate(rng.integers(0, 16, 6))}
+    bins, bg = rng.integers(0, 32, (60, 6)), rng.integers(0, 32, (35, 6))
+    phi, base = AT.tree_phi(bins, [[(-0.9, cons)]], 6, bg)
+    inside = lambda rows: np.array([[float(lo <= b <= hi) for b, (lo, hi, _) in zip(r, cons.values())] for r in rows])
+    for row, got in zip(inside(bins), phi):
+        assert np.allclose(got, np.mean([_subset_phi(row, z, -0.9) for z in inside(bg)], axis=0), atol=1e-9)
+    assert np.allclose(base, -0.9 * inside(bg).all(1).mean())
+
+
+def test_a_path_of_twelve_features_is_quick():
+    cons = {j: (4, 27, 0.6) for j in range(12)}
+    bins = np.random.default_rng(1).integers(0, 32, (2000, 12))
+    phi, base = AT.tree_phi(bins, [[(1.0, cons)]] * 20, 12)
+    reached = ((bins >= 4) & (bins <= 27)).all(1)
+    assert np.allclose(phi.sum(1) + base, 20.0 * reached, atol=1e-9)
+
+
+def test_permutation_terms_equal_rescoring_every_step():
+    rng = np.random.default_rng(5)
+    stumps = [(int(j), int(b), int(s), float(a)) for j, b, s, a in zip(rng.integers(0, 4, 30), rng.integers(0, 31, 30), rng.choice([-1, 1], 30), rng.random(30))]
+    bins, bg, order = rng.integers(0, 32, (15, 5)), rng.integers(0, 32, (7, 5)), rng.permutation(5)
+    phi, base = AT.permutation_phi(bins, bg, stumps, 5, order)
+
+    def prob(x):
+        f = sum(a * np.where(x[:, j] <= b, s, -s) for j, b, s, a in stumps)
+        return 1 / (1 + np.exp(-2 * f / sum(a for *_, a in stumps)))
+
+    want = np.zeros((15, 5))
+    for way in (order, order[::-1]):
+        for r, row in enumerate(bins):
+            cur = bg.copy()
+            for j in way:
+                was = prob(cur).mean()
+                cur[:, j] = row[j]
+                want[r, j] += (prob(cur).mean() - was) / 2
+    assert np.allclose(phi, want, atol=1e-9) and np.allclose(base, prob(bg).mean())
+
+
+def test_importance_leaves_out_features_that_the_selector_dropped(spark):
+    phi = spark.createDataFrame([(0, "a", 0, 0.5, 0.0), (0, "a", 1, 0.0, 0.0), (0, "a", 2, -0.1, 0.0), (1, "b", 1, 0.3, 0.0)], AT.PHI_SCHEMA)
+    names = spark.createDataFrame([(j, f"f{j}") for j in range(3)], "j int, feature string")
+    kept = spark.createDataFrame([(0, 0), (0, 2), (1, 1)], "g int, j int")
+    got = {(r.g, r.feature, r["rank"]) for r in AT.importance(phi, names, kept).collect()}
+    assert got == {(0, "f0", 1), (0, "f2", 2), (1, "f1", 1)}

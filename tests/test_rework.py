@@ -3,7 +3,7 @@ disjoint feature sets, CSV scan with NA tokens, one-rank folds."""
 
 import math
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,15 +18,14 @@ from riskfold.sources.files import read_csv
 def test_stump_weight_does_not_depend_on_the_feature_count(p):
     """Weighted error 0.25 and rate 0.1 give 0.1 ln 3, however many features
     the histogram holds."""
-    rows = []
+    hist = np.zeros((3, p, 2), np.int64)
     for j in range(p):
-        good = j == p - 1
-        rows += [(0, 0, j, 0, 3.0 if good else 2.0, 1.0 if good else 2.0, 4.0), (0, 0, j, 1, 1.0 if good else 2.0, 3.0 if good else 2.0, 4.0)]
-    steps = B.stump_steps({0: None}, rounds=1, rate=0.1, max_bins=2)
-    next(steps)
-    with pytest.raises(StopIteration) as end:
-        steps.send(pd.DataFrame(rows, columns=B.HIST_COLS))
-    (j, b, left, alpha), = end.value.value[0]
+        hist[:, j] = [[3, 1], [1, 3], [4, 4]] if j == p - 1 else [[2, 2], [2, 2], [4, 4]]
+    ask = B.Ask("stumps", {0: -1}, np.arange(p))
+    j, b, side, gain, *left = B.best_split(ask, hist, 0, 1.0)
+    grower = B.Stumps([0], {0: np.arange(p)}, rounds=1, rate=0.1)
+    grower.take({(0, 0): B.Found(j, b, side, gain, tuple(left), (4.0, 4.0, 8))})
+    (j, b, left, alpha), = grower.model[0]
     assert (j, b, left) == (p - 1, 0, 1) and abs(alpha - 0.1 * math.log(3)) < 1e-12
 
 
