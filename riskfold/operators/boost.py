@@ -23,6 +23,10 @@ child.  Histograms are exchanged by (model, group, node, tile of features),
 the receiving task adds them, searches the best split by running sums, and
 the driver gets one row per (model, group, node).
 
+Groups whose bin codes fit a task (``TASK_CELLS``, checked) are grown by one
+task a model and group with the same growers, histograms and split search: the
+passes then need no jobs of their own.
+
 * stumps: discrete AdaBoost (SAMME, two classes) of depth-1 trees with weights
   w0 * exp(-y F / 2), the closed form of the multiplicative update, divided by
   the total of the round before.
@@ -35,6 +39,7 @@ the driver gets one row per (model, group, node).
 from __future__ import annotations
 
 import math
+import pickle
 import time
 import uuid
 from contextlib import contextmanager
@@ -58,6 +63,8 @@ SCORE_ARROW = pa.schema([("g", pa.int32()), ("row_id", pa.string()), ("y", pa.in
 BLOCK_ROWS, TILE, TASK_BYTES = 4096, 256, 16_000_000
 #: Cycles between two writes of the state, rows below which a state partition is not worth a task.
 KEEP, PART_ROWS = 25, 16_384
+#: Bin codes that one task may hold for a group (bytes).
+TASK_CELLS = 32_000_000
 _LEVEL = "m int, g int, node int, tile int, hist binary, feat int, bin int, side int, gain double, left_s0 long, left_s1 long, left_n long, s0 long, s1 long, n long, ns long"
 _PART = "m int, g int, parent int, child int, tile int, hist binary, ns long"
 
@@ -249,6 +256,23 @@ def _weights(ask: Ask, margin: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.n
     return np.where(keep, np.rint(w * (p - y) * scale), 0.0), np.where(keep, np.rint(w * p * (1 - p) * scale), 0.0), keep.astype(np.float64)
 
 
+def _histograms(ask: Ask, flat: np.ndarray, codes: np.ndarray, margin: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray,
+                scale: float, p: int, bins: int) -> np.ndarray:
+    """(3, asked nodes, p, bins) whole-number sums of a block's rows; ``flat``
+    are the codes as places in a row of p x bins."""
+    stats = _weights(ask, margin, y, w, h, scale)
+    node = np.zeros(len(y), np.int64) if ask.tree is None else _route(codes, ask.tree, stop_at_depth=ask.depth)
+    slots = np.full(max(int(node.max(initial=0)), *ask.nodes) + 1, -1)
+    slots[list(ask.nodes)] = np.arange(len(ask.nodes))
+    slot = slots[node]
+    at = np.flatnonzero((slot >= 0) & (stats[2] > 0))
+    size = len(ask.nodes) * p * bins
+    key = (flat[at] + (slot[at] * p * bins)[:, None]).ravel()
+    # a block's sums are whole numbers below 2^53
+    sums = [np.bincount(key, np.repeat(v[at], p), size).astype(np.int64) for v in stats[:2]] + [np.bincount(key, minlength=size)]
+    return np.array(sums).reshape(3, len(ask.nodes), p, bins)
+
+
 def _partials(state: DataFrame, asks: dict, n_models: int, p: int, bins: int, scale: float) -> DataFrame:
     """Each task's histograms by (m, g, parent, child, tile)."""
 
@@ -266,27 +290,12 @@ def _partials(state: DataFrame, asks: dict, n_models: int, p: int, bins: int, sc
                         margins = _margins(row, n_models)
                         codes, y, w, h = _open(row, p)
                         flat = codes.astype(np.int64) + np.arange(p) * bins
-                    margin = margins[m]
-                    for one in ask.pending:
-                        margin = margin + _value(codes, one)
-                    stats = _weights(ask, margin, y, w, h, scale)
-                    node = np.zeros(len(y), np.int64) if ask.tree is None else _route(codes, ask.tree, stop_at_depth=ask.depth)
-                    slots = np.full(int(node.max()) + 1, -1)
-                    for s, child in enumerate(ask.nodes):
-                        if child < len(slots):
-                            slots[child] = s
-                    slot = slots[node]
-                    at = np.flatnonzero((slot >= 0) & (stats[2] > 0))
-                    if (m, g) not in total:
-                        total[(m, g)] = np.zeros((3, len(ask.nodes) * p * bins), np.int64)
-                    if len(at):
-                        key = (flat[at] + (slot[at] * p * bins)[:, None]).ravel()
-                        for k in range(3):  # a block's sums are whole numbers below 2^53
-                            total[(m, g)][k] += np.bincount(key, np.repeat(stats[k][at], p), total[(m, g)].shape[1]).astype(np.int64)
+                    margin = sum([_value(codes, one) for one in ask.pending], margins[m])
+                    own = _histograms(ask, flat, codes, margin, y, w, h, scale, p, bins)
+                    total[(m, g)] = total[(m, g)] + own if (m, g) in total else own
                     spent[(m, g)] = spent.get((m, g), 0) + time.perf_counter_ns() - began
         out = {c: [] for c in ("m", "g", "parent", "child", "tile", "hist", "ns")}
         for (m, g), sums in total.items():
-            sums = sums.reshape(3, -1, p, bins)
             for s, (child, parent) in enumerate(asks[(m, g)].nodes.items()):
                 for tile, lo in enumerate(range(0, p, TILE)):
                     values = (m, g, parent, child, tile, np.ascontiguousarray(sums[:, s, lo:lo + TILE]).tobytes(), spent[(m, g)] if s == tile == 0 else 0)
@@ -338,7 +347,7 @@ def _levels(partials: DataFrame, before: DataFrame | None, asks: dict, p: int, b
     split; the larger sibling's histogram is the parent's less the child's.
     ``alone``: the state is one partition, so that there is nothing to exchange."""
     if before is not None:
-        own = before.select("m", "g", F.col("node").alias("parent"), F.lit(-1).alias("child"), "tile", "hist", F.lit(0).cast("long").alias("ns"))
+        own = before.selectExpr("m", "g", "node as parent", "-1 as child", "tile", "hist", "0L as ns")
         partials = partials.unionByName(own)
 
     def task(batches):
@@ -404,10 +413,8 @@ def _plain_plans(spark):
 class Passes:
     """Runs passes over the state and keeps its versions."""
 
-    def __init__(self, written: DataFrame, folder: str, heaviest: float, p: int, bins: int, n_models: int) -> None:
-        self.spark, self.p, self.bins, self.n_models = written.sparkSession, p, bins, n_models
-        # sums of a group's weights stay whole numbers below 2^52
-        self.scale = 2.0 ** min(40, math.floor(51 - math.log2(max(heaviest, 1.0))))
+    def __init__(self, written: DataFrame, folder: str, scale: float, p: int, bins: int, n_models: int) -> None:
+        self.spark, self.p, self.bins, self.n_models, self.scale = written.sparkSession, p, bins, n_models, scale
         self.state, self.folder = written, folder
         self.old: list[DataFrame] = []
         self.old_folder: str | None = None
@@ -438,7 +445,7 @@ class Passes:
         below = any(a.sibling for a in asks.values())
         partials = _partials(self.state, asks, self.n_models, self.p, self.bins, self.scale)
         level = _levels(partials, self.levels if below else None, asks, self.p, self.bins, self.scale, tasks, self.alone and tasks == 1).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = level.select("m", "g", "node", "tile", "feat", "bin", "side", "gain", "left_s0", "left_s1", "left_n", "s0", "s1", "n", "ns")
+        rows = level.drop("hist")
         if self.p > TILE:  # the best of all tiles, found by the tasks
             best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("m", "g", "node", "ns")]),
                             F.struct((F.col("feat") >= 0).alias("any"), "gain", (-F.col("feat")).alias("first")))
@@ -513,6 +520,9 @@ class Stumps:
         self.model[g].append(stump)
         self.pending[g].append(stump)
 
+    def only(self, g: int) -> None:
+        self.model, self.active, self.pending = {g: []}, {g}, {g: []}
+
     def settle(self) -> dict:
         """What the next version of the state adds."""
         out, self.pending = self.pending, {g: [] for g in self.model}
@@ -531,6 +541,9 @@ class Trees:
         self.leaves, self.seed = leaves, seed
         self.cur: dict[int, Tree] = {}
 
+    def only(self, g: int) -> None:
+        self.model, self.groups = {g: []}, [g]
+
     def done(self) -> bool:
         return all(len(v) >= self.trees for v in self.model.values()) and not self.cur
 
@@ -585,14 +598,100 @@ class Trees:
         return out
 
 
+def _grow(passes, growers: list, watch=None) -> None:
+    """Cycles until every grower is done: a level a pass, a tree a cycle."""
+    cycle, levels = 0, max([g.depth for g in growers if isinstance(g, Trees)], default=8)
+    while not all(g.done() for g in growers):
+        for level in range(levels):
+            asks = {(m, g): a for m, grower in enumerate(growers) for g, a in grower.asks(cycle, level).items()}
+            if not asks:
+                break
+            found = passes.run(asks)
+            for m in sorted({m for m, _ in asks}):
+                growers[m].take({(g, n): f for (k, g, n), f in found.items() if k == m})
+        added = {(m, g): v for m, grower in enumerate(growers) for g, v in grower.settle().items() if v}
+        cycle += 1
+        if watch is not None:
+            watch(passes)
+        if not all(g.done() for g in growers):
+            passes.advance(added)
+
+
+class TaskPasses:
+    """Passes over the rows of one group that a task holds."""
+
+    def __init__(self, codes: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, bins: int, scale: float) -> None:
+        self.codes, self.y, self.w, self.h, self.bins, self.scale = codes, y, w, h, bins, scale
+        self.p, self.margin, self.parents = codes.shape[1], np.zeros(len(y)), {}
+        self.flat = codes.astype(np.int64) + np.arange(self.p) * bins
+
+    def advance(self, added: dict) -> None:
+        for values in added.values():
+            for one in values:
+                self.margin = self.margin + _value(self.codes, one)
+
+    def run(self, asks: dict) -> dict:
+        out, held, s = {}, {}, self.scale
+        for (m, g), ask in asks.items():
+            margin = sum([_value(self.codes, one) for one in ask.pending], self.margin)
+            sums = 0   # the same blocks as everywhere, so that sums stay whole numbers
+            for lo in range(0, len(self.y), BLOCK_ROWS):
+                at = slice(lo, lo + BLOCK_ROWS)
+                sums = sums + _histograms(ask, self.flat[at], self.codes[at], margin[at], self.y[at], self.w[at], self.h[at], s, self.p, self.bins)
+            for place, (child, parent) in enumerate(ask.nodes.items()):
+                found = [(child, sums[:, place])]
+                if child in ask.sibling:
+                    found.append((ask.sibling[child], self.parents[parent] - sums[:, place]))
+                for node, hist in found:
+                    held[node] = hist
+                    j, b, side, gain, *left = best_split(ask, hist, 0, s)
+                    whole = hist[:, 0].sum(axis=1).tolist()
+                    out[(m, g, node)] = Found(j, b, side, gain, (left[0] / s, left[1] / s, left[2]), (whole[0] / s, whole[1] / s, whole[2]))
+        self.parents = held
+        return out
+
+
+def _grown_in_tasks(train: DataFrame, cuts: dict, growers: list, heaviest: float, bins: int) -> tuple[list, list]:
+    """Models and seconds of all growers; a task holds one group's codes for
+    one model.  Only for groups of a checked size."""
+    scale, plain = _scale(heaviest), pickle.dumps(growers)
+
+    def task(key, table):
+        g, m = key[0].as_py(), key[1].as_py()
+        began = time.perf_counter()
+        x = np.concatenate([x_block(b) for b in table.to_batches()])
+        y, w, h = (table.column(c).to_numpy() for c in ("y", "w0", "h"))
+        passes = TaskPasses(_bins(x, cuts[g]).astype(np.uint8), y.astype(np.uint8), w.astype(np.float64), h.astype(np.int64), bins, scale)
+        grower = pickle.loads(plain)[m]
+        grower.only(g)
+        _grow(passes, [grower])
+        made = pickle.dumps(grower.model[g])
+        return pa.table({"g": pa.array([g], pa.int32()), "m": pa.array([m], pa.int32()), "model": pa.array([made], pa.binary()), "s": pa.array([time.perf_counter() - began])})
+
+    rows = train.select("g", F.explode(F.array(*[F.lit(m) for m in range(len(growers))])).alias("m"), "y", "w0", "h", "x")
+    rows = rows.repartition(4 * len(cuts) * len(growers), "g", "m")   # small to move, long to work on: not to be coalesced
+    models, seconds = [{} for _ in growers], [0.0] * len(growers)
+    for r in rows.groupBy("g", "m").applyInArrow(task, "g int, m int, model binary, s double").collect():   # a model a row
+        models[r["m"]][r["g"]] = pickle.loads(r["model"])
+        seconds[r["m"]] += r["s"]
+    return [{g: m[g] for g in sorted(m)} for m in models], seconds
+
+
+def _scale(heaviest: float) -> float:
+    """Steps of a unit of weight: a group's sums stay whole numbers below 2^52."""
+    return 2.0 ** min(40, math.floor(51 - math.log2(max(heaviest, 1.0))))
+
+
 def fit_many(train: DataFrame, n_features: int, specs: dict, max_bins: int = 32, columns: dict | None = None, seconds: dict | None = None,
-             watch=None) -> dict:
-    """Fit several models on the same fit groups in shared passes:
-    ``specs[key] = ("stumps" | "trees", kwargs)``; one set of bin cuts, one
-    state, and every pass serves all models still growing.  ``columns`` limits
-    a group's splits to the features it kept.  ``seconds`` receives each
-    model's share of the passes' time, ``watch`` is called with the passes
-    after each cycle.  Returns {key: (cuts, model)}."""
+             watch=None, task_cells: int = TASK_CELLS) -> dict:
+    """Fit several models on the same fit groups: ``specs[key] = ("stumps" |
+    "trees", kwargs)``; one set of bin cuts for all.  Groups of at most
+    ``task_cells`` bin codes (rows x features, one byte each) are grown by one
+    task a model and group; larger ones in passes over the shared state, one
+    job for every model still growing.  Both give the same model.  ``columns``
+    limits a group's splits to the features it kept, ``seconds`` receives each
+    model's seconds (its tasks', or its share of the passes), ``watch`` is
+    called with the passes after each cycle.  Returns {key: (cuts, model)}."""
     if max_bins > 256:
         raise ValueError("bin codes are one byte: at most 256 bins")
     spark = train.sparkSession
@@ -603,29 +702,20 @@ def fit_many(train: DataFrame, n_features: int, specs: dict, max_bins: int = 32,
     if not groups:
         return {key: (cuts, grower.model) for key, grower in zip(specs, growers)}
     ship_package(spark)
-    heaviest = max(float(r["w"]) for r in train.groupBy("g").agg(F.sum("w0").alias("w")).collect())
-    written, folder = _write(_state(train, cuts))
-    with _plain_plans(spark):
-        passes, cycle = Passes(written.persist(StorageLevel.MEMORY_AND_DISK), folder, heaviest, n_features, max_bins, len(growers)), 0
-        levels = max(g.depth for g in growers) if any(isinstance(g, Trees) for g in growers) else 8
-        while not all(g.done() for g in growers):
-            for level in range(levels):
-                asks = {(m, g): a for m, grower in enumerate(growers) for g, a in grower.asks(cycle, level).items()}
-                if not asks:
-                    break
-                found = passes.run(asks)
-                for m in sorted({m for m, _ in asks}):
-                    growers[m].take({(g, n): f for (k, g, n), f in found.items() if k == m})
-            added = {(m, g): v for m, grower in enumerate(growers) for g, v in grower.settle().items() if v}
-            cycle += 1
-            if watch is not None:
-                watch(passes)
-            if not all(g.done() for g in growers):
-                passes.advance(added)
-        passes.close()
-        if seconds is not None:
-            seconds.update(zip(specs, passes.seconds))
-    return {key: (cuts, grower.model) for key, grower in zip(specs, growers)}
+    sizes = train.groupBy("g").agg(F.sum("w0").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    heaviest = max(float(r["w"]) for r in sizes)
+    if max(r["n"] for r in sizes) * n_features <= task_cells and watch is None:
+        models, own_seconds = _grown_in_tasks(train, cuts, growers, heaviest, max_bins)
+    else:
+        written, folder = _write(_state(train, cuts))
+        with _plain_plans(spark):
+            passes = Passes(written.persist(StorageLevel.MEMORY_AND_DISK), folder, _scale(heaviest), n_features, max_bins, len(growers))
+            _grow(passes, growers, watch)
+            passes.close()
+        models, own_seconds = [g.model for g in growers], passes.seconds
+    if seconds is not None:
+        seconds.update(zip(specs, own_seconds))
+    return {key: (cuts, model) for key, model in zip(specs, models)}
 
 
 def fit_stumps(train: DataFrame, n_features: int, rounds: int = 20, rate: float = 0.1,

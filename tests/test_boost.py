@@ -85,7 +85,7 @@ def test_cuts_and_models_do_not_depend_on_the_partitioning(planted):
     specs = {"s": ("stumps", dict(rounds=5, rate=0.5)), "t": ("trees", dict(trees=2, rate=0.3, depth=3)), "l": ("trees", dict(trees=2, rate=0.3, depth=4, leaves=6))}
     found = []
     for parts in (1, 4, 211):
-        made = B.fit_many(planted.repartition(parts, "row_id"), 5, specs)
+        made = B.fit_many(planted.repartition(parts, "row_id"), 5, specs, task_cells=0 if parts != 4 else B.TASK_CELLS)
         found.append(({g: c.tolist() for g, c in made["s"][0].items()}, made["s"][1],
                       {k: {g: [t.arrays() for t in v] for g, v in made[k][1].items()} for k in ("t", "l")}))
     for other in found[1:]:
@@ -99,13 +99,13 @@ def test_state_partitions_exchange_the_same_histograms(planted, monkeypatch):
     """Several state partitions, tiles of two features and a state written
     every second cycle give the model of one partition."""
     specs = {"t": ("trees", dict(trees=5, rate=0.3, depth=3)), "s": ("stumps", dict(rounds=7, rate=0.5))}
-    one = B.fit_many(planted, 5, specs)
+    one = B.fit_many(planted, 5, specs)   # grown by tasks that hold a group each
     monkeypatch.setattr(B, "PART_ROWS", 200)
     monkeypatch.setattr(B, "BLOCK_ROWS", 64)
     monkeypatch.setattr(B, "TILE", 2)
     monkeypatch.setattr(B, "KEEP", 2)
     monkeypatch.setattr(B, "TASK_BYTES", 20_000)
-    many = B.fit_many(planted.repartition(6), 5, specs)
+    many = B.fit_many(planted.repartition(6), 5, specs, task_cells=0)
     assert many["s"][1] == one["s"][1]
     for g, trees in one["t"][1].items():
         for a, b in zip(trees, many["t"][1][g]):
