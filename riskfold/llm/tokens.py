@@ -4,9 +4,9 @@ The ids of all documents (end id appended) are counted over the whole corpus;
 package-merge gives code lengths of at most ``LIMIT`` bits, canonical codes
 follow from the lengths alone.  Documents in ascending id order go to shards.
 
-Format of a shard (little-endian): magic ``HUF1``; uint32 documents, ids,
-blocks, ids per block; int64 ids of the documents (null: smallest int64) and
-uint32 lengths in ids; uint64 bit offset of every block (the checkpoints); the
+Format of a shard (little-endian): magic ``HUF2``; uint32 documents, ids,
+blocks, ids per block, documents without an id (they come first); int64 ids of
+the documents and uint32 lengths in ids; uint64 bit offset of every block (the checkpoints); the
 code bits, most significant first, padded with 8 zero bytes.  Shards are rows
 of a Parquet table, so that Spark's commit protocol covers lost tasks and any
 store will do; the code lengths are a table beside them.  Blocks decode
@@ -15,7 +15,9 @@ id.
 
 Null text is the empty text: only the end id.  Null ids come first; rows with
 equal ids follow each other in the order read (equal rows are alike); an empty
-table gives an empty result.  Extra columns are not carried.
+table gives an empty result.  Extra columns, whatever their names, are not
+read.  A very long text is one row of the exchange, two bytes an id; pieces of
+over ``KEPT_CHARS`` are encoded each time and not held.
 """
 
 from __future__ import annotations
@@ -32,21 +34,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField
 
 from riskfold.llm.bpe import byte_letters
-from riskfold.llm.common import add_columns, documents, shared_folder, slices, stash
+from riskfold.llm.common import documents, shared_folder, slices, stash
 from riskfold.session import ship_package
 
-MAGIC, HEADER = b"HUF1", struct.Struct("<4sIIII")
+MAGIC, HEADER = b"HUF2", struct.Struct("<4sIIIII")
 LIMIT, BLOCK, SHARD_IDS, PART_IDS = 18, 512, 1 << 20, 4_000_000
-CACHED = 900_000
-NO_ID = -(1 << 63)
+#: Pieces that a worker holds, and the longest that it holds.
+CACHED, KEPT_CHARS = 900_000, 48
 SHARDS = "part int, place long, first_id long, n_ids long, shard binary"
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same cut for texts whose letters, digits and white space the faster module classes alike.
-_PLAIN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The same cut for texts up to U+024F without rare white space and numbers, where letters are these ranges.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _RARE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 _RARE_BYTES = [bytes([b]) for b in (0x1c, 0x1d, 0x1e, 0x1f, 0xb2, 0xb3, 0xb9, 0xbc, 0xbd, 0xbe)]
 
@@ -68,10 +70,17 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         found = self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))  # the piece as byte letters
-        made = self[piece] = struct.pack(f"<{len(found)}{self.code}", *[t.id for t in found])
+        made = struct.pack(f"<{len(found)}{self.code}", *[t.id for t in found])
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = made
         return made
 
 
+def cut(text: str) -> list[str]:
+    """Pieces of a text without special tokens."""
+    return (_PLAIN if _is_plain(text) else _SPLIT).findall(text)
+
+
 class Encoder:
     """Ids of texts with the tokenizers library, which sees each piece once
     while it is among those met lately."""
@@ -81,28 +90,21 @@ class Encoder:
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
-        top = max([self.lib.get_vocab_size(), *special.values()])
-        self.code, self.width = ("H", "<u2") if top < 1 << 16 else ("I", "<u4")
+        self.top = max([self.lib.get_vocab_size(), *special.values()])
+        self.code, self.width = ("H", "<u2") if self.top < 1 << 16 else ("I", "<u4")
         self.special = {s: struct.pack(f"<{self.code}", i) for s, i in special.items()}
         self.at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.known = Pieces(self.lib.model, self.code)
-
-    def _pieces(self, text: str) -> list[str]:
-        return (_PLAIN if _is_plain(text) else _SPLIT).findall(text)
+        self.pieces = Pieces(self.lib.model, self.code)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids in little-endian ``width``, with the end id."""
-        known = self.known
+        known, last, out = self.pieces, struct.pack(f"<{self.code}", end), []
         if len(known) > CACHED:
             known.clear()
-        if not known:
-            known.update(self.special)
-        cut = []
         for t in texts:
             parts = self.at.split(t) if t and self.at and "<|" in t else [t or ""]
-            cut.append([p for part in parts for p in ([part] if part in self.special else self._pieces(part))])
-        last = struct.pack(f"<{self.code}", end)
-        return [b"".join(map(known.__getitem__, pieces)) + last for pieces in cut]
+            out.append(b"".join([self.special.get(p) or b"".join(map(known.__getitem__, cut(p))) for p in parts]) + last)
+        return out
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -186,14 +188,15 @@ class Code:
 
 def write_shard(code: Code, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
     offsets, bits = code.pack(ids)
-    head = HEADER.pack(MAGIC, len(sizes), len(ids), len(offsets), BLOCK)
-    names = np.array([NO_ID if i is None else i for i in doc_ids], "<i8")
+    nameless = sum(i is None for i in doc_ids)  # the first ones, by the order of the documents
+    head = HEADER.pack(MAGIC, len(sizes), len(ids), len(offsets), BLOCK, nameless)
+    names = np.array([0 if i is None else i for i in doc_ids], "<i8")
     return b"".join([head, names.tobytes(), np.array(sizes, "<u4").tobytes(), offsets.tobytes(), bits, bytes(8)])
 
 
 def read_shard(code: Code, shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, their lengths and all ids."""
-    magic, docs, n, blocks, block = HEADER.unpack_from(shard)
+    magic, docs, n, blocks, block, nameless = HEADER.unpack_from(shard)
     if magic != MAGIC:
         raise ValueError("not a token shard")
     at = HEADER.size
@@ -201,44 +204,38 @@ def read_shard(code: Code, shard: bytes) -> tuple[list[int | None], np.ndarray,
     sizes = np.frombuffer(shard, "<u4", docs, at + 8 * docs)
     offsets = np.frombuffer(shard, "<u8", blocks, at + 12 * docs)
     ids = code.unpack(shard[at + 12 * docs + 8 * blocks:], offsets, n, block)
-    return [None if i == NO_ID else int(i) for i in names], sizes, ids
+    return [None] * nameless + names[nameless:].tolist(), sizes, ids
 
 
 def tokenize(docs: DataFrame, path: str, end: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n, ids): ids as little-endian uint16, uint32 if the vocabulary needs it."""
+    """Rows (counted, doc_id, n, ids): documents with their number of ids and
+    the ids as little-endian uint16 (uint32 if the vocabulary needs it); and,
+    counted, each task's total of an id: the id in doc_id, its number in n."""
+    ship_package(docs.sparkSession)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
             _LOADED[path] = Encoder(path)
         enc = _LOADED[path]
         size = struct.calcsize(f"<{enc.code}")
+        total = np.zeros(max(enc.top, end) + 1, np.int64)
+        for b in slices(batches, 256):
+            made = enc.encode(b.column(1).to_pylist(), end)
+            total += np.bincount(np.frombuffer(b"".join(made), enc.width), minlength=len(total))
+            yield rows(False, b.column(0), pa.array([len(m) // size for m in made], pa.int64()), pa.array(made, pa.binary()))
+        at = np.flatnonzero(total)
+        yield rows(True, pa.array(at, pa.int64()), pa.array(total[at]), pa.nulls(len(at), pa.binary()))
 
-        def work(texts: list) -> list:
-            made = enc.encode(texts, end)
-            return [[len(m) // size for m in made], made]
-        return work
+    def rows(counted: bool, *columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([counted] * len(columns[0]), pa.bool_()), *columns], ["counted", "doc_id", "n", "ids"])
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
-    return add_columns(own, ["_t"], [StructField("n", LongType()), StructField("ids", BinaryType())], make, rows=256).drop("_t")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return own.mapInArrow(run, "counted boolean, doc_id long, n long, ids binary")
 
 
 def count_ids(coded: DataFrame) -> DataFrame:
-    """(id, n) over all rows; each task sums its own."""
-    ship_package(coded.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in slices(batches, 4096):
-            rows = b.column(1).to_pylist()
-            raw = b"".join(rows)
-            seen = np.bincount(np.frombuffer(raw, f"<u{len(rows[0]) // b.column(0)[0].as_py()}"))
-            if len(seen) > len(total):
-                total = np.pad(total, (0, max(1 << 16, len(seen)) - len(total)))
-            total[:len(seen)] += seen
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
-
-    return coded.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    """(id, n) over all rows, from the tasks' totals."""
+    return coded.where("counted").groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n"))
 
 
 def write_shards(coded: DataFrame, code: Code, folder: str) -> None:
@@ -247,6 +244,7 @@ def write_shards(coded: DataFrame, code: Code, folder: str) -> None:
     spark = coded.sparkSession
     ship_package(spark)
     packed = spark.sparkContext.broadcast(code)
+    coded = coded.where("not counted").select("doc_id", "n", "ids")
     total = coded.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // PART_IDS))
     ranged = coded.withColumn("_k", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "_k").sortWithinPartitions("doc_id", "_k")

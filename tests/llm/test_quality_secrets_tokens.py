@@ -1,3 +1,4 @@
+import random
 import hashlib
 import heapq
 import re
@@ -125,6 +126,25 @@ def test_pieces_equal_the_library():
         assert np.frombuffer(raw, enc.width).tolist() == [*lib.encode(t, add_special_tokens=False).ids, 2], t
 
 
+def test_pieces_equal_the_library_on_any_white_space():
+    enc, lib, rnd = tokens.Encoder(BYTES), Tokenizer.from_file(BYTES), random.Random(8)
+    letters = [" ", " ", " ", "\n", "\t", "\r", "\xa0", "\u2003", "\x1c", "\x85", "a", "Bc", "'s", "'", "é", "１", "12", "_", "-", "東", "\u0301", "😀", "<|endoftext|>"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 14))) for _ in range(4000)]
+    for t, raw in zip(texts, enc.encode(texts, 2)):
+        assert np.frombuffer(raw, enc.width).tolist() == [*lib.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_long_pieces_are_not_held():
+    enc = tokens.Encoder(BYTES)
+    enc.encode(["x" * 5000 + " " + "é" * 5000, "short words"], 2)
+    assert max(map(len, enc.pieces)) <= tokens.KEPT_CHARS
+
+
+def test_the_smallest_id_is_no_null(spark):
+    df = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), (5, None)], "doc_id long, text string")
+    assert [r.doc_id for r in sorted(tokens.round_trip(df, BYTES, 2).collect(), key=lambda r: r.start)] == [None, -(1 << 63), 5]
+
+
 def test_round_trip_edges(spark, clashing, nothing, monkeypatch):
     monkeypatch.setattr(tokens, "SHARD_IDS", 50)
     monkeypatch.setattr(tokens, "PART_IDS", 5000)
