@@ -1182,7 +1182,11 @@ def q_permutation_additivity(spark, sf):
 
 def model_importance(spark, sf) -> DataFrame:
     """Importance frame of the three models (tree attributions for the tree
-    models, permutation attributions for AdaBoost), one fold = one group."""
+    models, permutation attributions for AdaBoost), one fold = one group;
+    settled (models x folds x features rows), since its readers read it often."""
+    memo = ("importance", spark.sparkContext.applicationId, sf)
+    if memo in _MEMO:
+        return _MEMO[memo]
     out = None
     for key in ("adaboost", "xgboost", "lightgbm"):
         imp = AT.importance(_phi(spark, sf, key), _names(spark, sf), _kept(spark, sf)).select(
@@ -1190,7 +1194,8 @@ def model_importance(spark, sf) -> DataFrame:
             F.lit(key).alias("model_key"), F.lit(EX.MODEL_SPECS[key]["display"]).alias("model_name"),
             F.col("g").alias("fold"), "feature", "mean_abs_shap", "rank")
         out = imp if out is None else out.unionByName(imp)
-    return out
+    _MEMO[memo] = settle(out)
+    return _MEMO[memo]
 
 
 @register("model_feature_importance")
