@@ -42,7 +42,7 @@ from riskfold.session import ship_package
 MAGIC, HEADER = b"HUF2", struct.Struct("<4sIIIII")
 LIMIT, BLOCK, SHARD_IDS, PART_IDS = 18, 512, 1 << 20, 4_000_000
 #: Pieces that a worker holds, and the longest that it holds.
-CACHED, KEPT_CHARS = 900_000, 48
+CACHED, KEPT_CHARS = 1_300_000, 48
 SHARDS = "part int, place long, first_id long, n_ids long, shard binary"
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -66,11 +66,16 @@ class Pieces(dict):
 
     def __init__(self, model, code: str) -> None:
         super().__init__()
-        self.model, self.code, self.letters = model, code, byte_letters()
+        self.model, self.letters = model, dict(enumerate(byte_letters()))
+        self.packers = [struct.Struct(f"<{n}{code}").pack for n in range(KEPT_CHARS + 1)]
+        self.code = np.dtype("<u2" if code == "H" else "<u4")
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))  # the piece as byte letters
-        made = struct.pack(f"<{len(found)}{self.code}", *[t.id for t in found])
+        # the piece as byte letters
+        found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        if len(found) > KEPT_CHARS:
+            return np.array(found, self.code).tobytes()
+        made = self.packers[len(found)](*found)
         if len(piece) <= KEPT_CHARS:
             self[piece] = made
         return made
