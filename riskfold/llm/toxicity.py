@@ -3,22 +3,28 @@
 Words (lower case, letter runs) give character ``ORDER``-grams, padded at the
 word's edges.  Pooled counts of both classes form a Kneser-Ney model: absolute
 discount, continuation counts at the lower orders of ``LEVELS``.  Each class
-then has its own counts at the highest order, discounted, with the freed mass
-on the pooled model of the same history, so an expression that a class has
-hardly seen is smoothed by the shared counts and moves its likelihood little;
-a gram that no learning row has says nothing.
+then has its own counts at the highest order, discounted by the amounts that
+its own counts of counts give for one, two and more occurrences (modified
+Kneser-Ney), with the freed mass on the pooled model of the same history: an
+expression that a class has hardly seen is smoothed by the shared counts.  A
+gram that no learning row has, after a history that some has, leaves each class
+only its freed mass, and the shared probability cancels: its ratio belongs to
+the history.  After an unknown history both classes follow the shared model
+and the ratio is zero.
 
 A text is compared by length-normalised log-likelihood ratios: over the whole
-text, over the window of ``WINDOW`` words where the ratio (what exceeds
-``MARGIN`` a word, so that chance does not add up) is highest, and over its
-three strongest words, so that a few words in a long text still show.  A
-logistic link, fitted on
-learning rows that the counts left out (at most ``CALIBRATION_ROWS``, and a
-fifth of all), turns both and the length into a score between 0 and 1.
-
-All counts are gathered over every other learning row.  The model is broadcast while
-it has at most ``BROADCAST_GRAMS`` rows; beyond that words are scored by joins
-(``word_ratios``) and the same formulas run on the joined ratios.
+text, over what its words exceed ``MARGIN`` by (so that chance does not add
+up), and over its ``STRONGEST`` words, so that a few words in a long text still
+show.  A logistic link, fitted on learning rows that the counts left out (at
+most ``CALIBRATION_ROWS``, and a fifth of all), turns these and the length into
+a score between 0 and 1.
+
+All counts are gathered over every other learning row, and no ratio is left
+out.  The model is broadcast while it has at most ``BROADCAST_GRAMS`` rows, as
+64-bit hashes with their ratios (12 bytes a row); beyond that words are scored
+by joins (``word_ratios``) and the same formulas run on the joined ratios.  A
+very long text is one row of the exchange in either case, as it was in the
+input.
 
 Null or empty text has ratios zero and gets the score of the link there.
 Labels other than 0 and 1, null ids and ids without a document teach nothing;
@@ -36,6 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField
@@ -43,15 +50,11 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 from riskfold.llm.common import add_columns, documents, held_out, stash
 from riskfold.session import ship_package
 
-ORDER, DISCOUNT, WINDOW = 9, 0.75, 24
-#: Discount of a class's own counts: what a class has seen that seldom is left to the shared counts.
-CLASS_DISCOUNT = 3.5
-MARGIN = 1.5
+ORDER, DISCOUNT = 9, 0.75
+MARGIN, STRONGEST = 3.0, 5
 #: Orders of the backoff chain.
 LEVELS = (2, 4, 6, ORDER)
-#: Log ratios nearer to zero are taken as zero and not kept.
-LEAST_RATIO = 0.05
-CALIBRATION_ROWS, BROADCAST_GRAMS = 20_000, 1_000_000
+CALIBRATION_ROWS, BROADCAST_GRAMS = 20_000, 12_000_000
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]{1,24}")
 
@@ -134,52 +137,93 @@ def pooled_model(counts: DataFrame) -> DataFrame:
     return _smoothed(table, ORDER, _below(counts), LEVELS[-2]).select("g", "p")
 
 
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Discounts of counts of one, two, and three or more, from the numbers of
+    grams that occur so often; within (0, 1), (0, 2) and (0, 3)."""
+    if not (n1 and n2):
+        return (DISCOUNT,) * 3
+    y = n1 / (n1 + 2 * n2)
+    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2 - 3 * y * n3 / n2)
+    return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
+
+
+def class_discounts(counts: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Discounts of the classes t and o from all grams."""
+    row = counts.agg(*[F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in "to" for k in (1, 2, 3, 4)]).first()
+    return {c: discounts(*[row[f"{c}{k}"] for k in (1, 2, 3, 4)]) for c in "to"}
+
+
 def ratio_table(counts: DataFrame) -> DataFrame:
-    """(g, r): log ratio of the class models for each seen gram.  Totals and
-    freed mass of the pooled and both class models come from all grams, in one
-    exchange by history."""
-    own = {f"{c}_{n}": e for c in "to" for n, e in (("all", F.sum(F.col(c).cast("double"))), ("free", F.sum(F.least(F.col(c), F.lit(CLASS_DISCOUNT)))))}
-    table = _by_history(counts, ORDER, kinds=F.count("*"), **own).withColumn("a", (F.col("t") + F.col("o")).cast("double")).withColumn("all", F.col("t_all") + F.col("o_all"))
+    """(g, r): log ratio of the class models for each seen gram, and for each
+    seen history (one character shorter) the ratio of any other gram after it.
+    Totals and freed mass of the pooled and both class models come from all
+    grams, in one exchange by history."""
+    cut = class_discounts(counts)
+
+    def discount(c: str) -> Column:
+        return F.when(F.col(c) >= 3, cut[c][2]).when(F.col(c) == 2, cut[c][1]).when(F.col(c) == 1, cut[c][0]).otherwise(0.0)
+
+    own = {f"{c}_{n}": e for c in "to" for n, e in (("all", F.sum(F.col(c).cast("double"))), ("free", F.sum(discount(c))))}
+    table = _by_history(counts, ORDER, kinds=F.count("*"), top=F.max("g"), **own).withColumn("a", (F.col("t") + F.col("o")).cast("double")).withColumn("all", F.col("t_all") + F.col("o_all"))
     seen = _smoothed(table, ORDER, _below(counts), LEVELS[-2])
 
     def probability(c: str) -> Column:
-        own = (F.greatest(F.col(c) - CLASS_DISCOUNT, F.lit(0.0)) + F.col(f"{c}_free") * F.col("p")) / F.col(f"{c}_all")
+        own = (F.col(c) - discount(c) + F.col(f"{c}_free") * F.col("p")) / F.col(f"{c}_all")
         return F.when(F.col(f"{c}_all") > 0, own).otherwise(F.col("p"))
 
-    return seen.select("g", (F.log(probability("t")) - F.log(probability("o"))).alias("r")).where(F.abs("r") >= LEAST_RATIO)
+    def left(c: str) -> Column:
+        return F.when(F.col(f"{c}_all") > 0, F.log(F.col(f"{c}_free") / F.col(f"{c}_all"))).otherwise(0.0)
 
+    # one gram of each history also speaks for the history
+    both = seen.select("g", (F.log(probability("t")) - F.log(probability("o"))).alias("r"), (left("t") - left("o")).alias("rest"), (F.col("g") == F.col("top")).alias("last"))
+    rows = F.array(F.struct("g", "r"), F.when(F.col("last"), F.struct(F.expr(f"substring(g, 1, {ORDER - 1})").alias("g"), F.col("rest").alias("r"))))
+    return both.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("x.g", "x.r")
 
-class Ratios:
-    """Ratio of a word from the broadcast table; words seen lately are kept."""
-
-    def __init__(self, table: dict[str, float]) -> None:
-        self.table, self.known = table, {}
-
-    def of(self, word: str) -> float:
-        find = self.table.get
-        return sum([find(g, 0.0) for g in grams(word)])
 
-    def row(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = self.of(w)
-        out = np.fromiter(map(known.__getitem__, words), float, len(words))
-        if len(known) > 200_000:
-            known.clear()
-        return out
+class Ratios:
+    """Ratios of words from the broadcast table (hashes in ascending order and
+    ratios); words seen lately are kept."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray) -> None:
+        self.keys, self.ratios, self.known = keys, ratios, {}
+
+    def _find(self, hashed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        one = xxhash.xxh64_intdigest
+        at = np.fromiter((one(g.encode(), 42) for g in hashed), np.uint64, len(hashed)).view(np.int64)
+        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return (self.keys[place] == at, self.ratios[place]) if len(self.keys) else (np.zeros(len(at), bool), np.zeros(len(at)))
+
+    def learn(self, words: list[str]) -> None:
+        each = [grams(w) for w in words]
+        flat = [g for x in each for g in x]
+        found, r = self._find(flat)
+        r = np.where(found, r, 0.0).astype(np.float64)
+        rest = np.flatnonzero(~found)
+        if len(rest):
+            known, other = self._find([flat[i][:-1] for i in rest])
+            r[rest] = np.where(known, other, 0.0)
+        starts = np.cumsum([0, *map(len, each[:-1])])
+        self.known.update(zip(words, np.add.reduceat(r, starts).tolist()))
+
+    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Ratios of the words of each text."""
+        if len(self.known) > 300_000:
+            self.known.clear()
+        new = list(dict.fromkeys(w for words in texts for w in words if w not in self.known))
+        for lo in range(0, len(new), 20_000):
+            self.learn(new[lo:lo + 20_000])
+        find = self.known.__getitem__
+        return [np.fromiter(map(find, words), float, len(words)) for words in texts]
 
 
 def features(ratios: np.ndarray) -> tuple[float, float, float, float]:
-    """Mean over the text, highest window mean, mean of the three strongest
-    words, log length."""
+    """Mean over the text, log of what exceeds the margin in all, mean of the
+    strongest words, log length."""
     n = len(ratios)
     if not n:
         return 0.0, 0.0, 0.0, 0.0
-    run = np.concatenate([[0.0], np.cumsum(np.maximum(ratios - MARGIN, 0.0))])
-    best = (run[WINDOW:] - run[:-WINDOW]).max() if n > WINDOW else run[-1]
-    top = np.partition(ratios, n - 3)[-3:] if n > 3 else ratios
-    return float(ratios.mean()), float(best / WINDOW), float(np.maximum(top, 0.0).sum() / 3), math.log1p(n)
+    top = np.partition(ratios, n - STRONGEST)[-STRONGEST:] if n > STRONGEST else ratios
+    return float(ratios.mean()), math.log1p(float(np.maximum(ratios - MARGIN, 0.0).sum())), float(np.maximum(top, 0.0).sum() / STRONGEST), math.log1p(n)
 
 
 @dataclass
@@ -192,26 +236,24 @@ class Model:
     packed: object = None
 
 
-_OPEN: dict[int, Ratios] = {}
+_OPEN: dict[str, Ratios] = {}
 
 
 def _opened(packed) -> Ratios:
     """One table per Python worker, however many tasks it runs."""
-    key = packed.value[0]
+    key, keys, ratios = packed.value
     if key not in _OPEN:
         _OPEN.clear()
-        t = pa.ipc.open_stream(packed.value[1]).read_all()
-        _OPEN[key] = Ratios(dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist())))
+        _OPEN[key] = Ratios(np.frombuffer(keys, np.int64), np.frombuffer(ratios, np.float32))
     return _OPEN[key]
 
 
 def _pack(table: DataFrame):
     import uuid
-    found = table.select("g", F.col("r").cast("float")).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, found.schema) as out:
-        out.write_table(found)
-    return table.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes()))
+    found = table.select(F.xxhash64("g").alias("g"), F.col("r").cast("float")).toArrow()
+    keys, ratios = found.column("g").to_numpy(), found.column("r").to_numpy()
+    order = np.argsort(keys)
+    return table.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, keys[order].tobytes(), ratios[order].tobytes()))
 
 
 FEATURES = [StructField("tox_mean", DoubleType()), StructField("tox_peak", DoubleType()), StructField("tox_top", DoubleType()), StructField("tox_length", DoubleType())]
@@ -223,36 +265,40 @@ def with_features(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
         def make():
             ratios = _opened(packed)
-            return lambda texts: [list(x) for x in zip(*[features(ratios.row(tokens(t))) for t in texts])] or [[], [], [], []]
+            return lambda texts: [list(x) for x in zip(*[features(r) for r in ratios.rows([tokens(t) for t in texts])])] or [[], [], [], []]
 
         return add_columns(docs, [text], FEATURES, make, rows=256)
     return _joined_features(docs, model.table, text)
 
 
 def word_ratios(words: DataFrame, table: DataFrame) -> DataFrame:
-    """(w, r) for distinct words (w), by a join with the ratio table."""
+    """(w, r) for distinct words (w), by joins with the ratio table."""
     each = words.select("w", F.explode(_grams_of(F.col("w"))).alias("g"))
-    return each.join(table, "g", "left").groupBy("w").agg(F.sum(F.coalesce("r", F.lit(0.0))).alias("r"))
+    known = each.join(table, "g", "left").select("w", "r", F.when(F.col("r").isNull(), F.expr(f"substring(g, 1, {ORDER - 1})")).alias("g"))
+    rest = known.where("r is null").join(table.withColumnRenamed("r", "other"), "g", "left").select("w", "other")
+    return known.where("r is not null").select("w", "r").unionByName(rest.select("w", F.coalesce("other", F.lit(0.0)).alias("r"))).groupBy("w").agg(F.sum("r").alias("r"))
 
 
 def _joined_features(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
     """The features where the table is too large to broadcast: ratios of the
-    distinct words by joins, then back to the places of each text."""
+    distinct words by joins, then back to the places of each text.  The input
+    row travels as one column, so that no name can clash."""
+
     def cut():
         return lambda texts: [[tokens(t) for t in texts]]
 
     made = {f.name for f in FEATURES}
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
-    keyed = stash(add_columns(own.withColumn("_k", F.monotonically_increasing_id()), [text], [StructField("_words", ArrayType(StringType()))], cut), "tox")
-    # a text is read in blocks of places, so that no row of the exchange holds more than one block
-    places = keyed.select("_k", F.posexplode("_words").alias("_n", "w"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+    own = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("k"))
+    keyed = stash(add_columns(own, ["text"], [StructField("words", ArrayType(StringType()))], cut).drop("text"), "tox")
+    places = keyed.select("k", F.posexplode("words").alias("n", "w"))
     ratios = word_ratios(places.select("w").distinct(), table)
-    back = places.join(ratios, "w").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_n", "r"))).alias("_r"))
+    back = places.join(ratios, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("rs"))
 
     def finish():
         return lambda rows: [list(x) for x in zip(*[features(np.array([p["r"] for p in r or []])) for r in rows])] or [[], [], [], []]
 
-    return add_columns(keyed.drop("_words").join(back, "_k", "left"), ["_r"], FEATURES, finish).drop("_k", "_r")
+    return add_columns(keyed.drop("words").join(back, "k", "left"), ["rs"], FEATURES, finish).select("row.*", *[f.name for f in FEATURES])
 
 
 def fit_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
