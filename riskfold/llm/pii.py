@@ -11,10 +11,14 @@ kinds jointly; an atom outside every segment scores zero, so islands decode
 independently and the decode of a whole text is exact.  Its segments that
 touch no base span and score above ``margin`` are added.
 
-Weights come from a bounded sample: the islands of the ``SAMPLE_DOCS``
-documents with the smallest id hash (at most ``SAMPLE_ISLANDS``), labelled by
-the base patterns, each with altered copies (spelled or spaced variants keep
-their label, broken checksums and out-of-range parts lose it).
+Weights come from a bounded sample: documents in a range of the id hash that
+holds about ``SAMPLE_DOCS``, of each the first ``SAMPLE_PER_DOC`` islands of
+under ``SAMPLE_CHARS`` characters, at most ``SAMPLE_ISLANDS`` distinct ones and
+``SAMPLE_PLAIN`` without a base span; labelled by the base patterns, each with
+altered copies (spelled or spaced variants keep their label, broken checksums
+and out-of-range parts lose it).  Scoring has no such bounds: an island of any
+length is read left to right within a horizon of ``MAX_ATOMS`` atoms, in time
+in proportion to its length and some 30 bytes an atom.
 
 Null or empty text: no spans.  A table without any island gives zero weights,
 and so adds nothing.  Rows are independent: repeated rows and null ids are
@@ -26,8 +30,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +44,9 @@ from riskfold.llm.common import add_columns, documents
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS, REACH = 24, 24
+#: Learning sample: documents, distinct islands; islands of a document, their characters, islands without a base span.
 SAMPLE_DOCS, SAMPLE_ISLANDS = 6000, 240
+SAMPLE_PER_DOC, SAMPLE_CHARS, SAMPLE_PLAIN = 32, 400, 50
 
 Span = tuple[str, int, int]
 
@@ -50,6 +58,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CARRIER = re.compile(r"[0-9@]\S*")
 _SPELLED = re.compile(r"[\[(](?:at|dot)[\])]\S*")
+_DIGITS = frozenset("0123456789")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 
 
@@ -114,96 +123,142 @@ def islands(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-class Island:
-    """Atoms of an island and its candidate segments with their features."""
+class Atoms:
+    """Places of an island's atoms and running sums over them, 16 bytes an atom."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.cuts = [m.start() for m in _ATOM.finditer(text)] + [len(text)]
+        self.cuts = array("i", (m.start() for m in _ATOM.finditer(text)))
+        self.cuts.append(len(text))
         self.n = len(self.cuts) - 1
-        self.atoms = [text[a:b] for a, b in zip(self.cuts, self.cuts[1:])]
-        self.segments: list[list[tuple[int, str, list[str]]]] = [[] for _ in range(self.n + 1)]
-        self._candidates()
-
-    def _candidates(self) -> None:
-        atoms, n = self.atoms, self.n
-        digits = [0] * (n + 1)
-        dots = [0] * (n + 1)
-        ats = [0] * (n + 1)
-        for i, a in enumerate(atoms):
-            digits[i + 1] = digits[i] + (len(a) if a[0] in "0123456789" else 0)
-            dots[i + 1] = dots[i] + (a == "." or a == "dot")
-            ats[i + 1] = ats[i] + (a == "@" or a == "at")
-        for i in range(n):
-            first = atoms[i]
-            if not (first[0].isalnum() or first in "+("):
+        self.digits, self.dots, self.ats = (array("i", [0]) for _ in range(3))
+        for lo, hi in zip(self.cuts, islice(self.cuts, 1, None)):
+            c = text[lo]
+            self.digits.append(self.digits[-1] + (hi - lo if c in _DIGITS else 0))
+            self.dots.append(self.dots[-1] + (c == "." or (c == "d" and text[lo:hi] == "dot")))
+            self.ats.append(self.ats[-1] + (c == "@" or (c == "a" and text[lo:hi] == "at")))
+
+    def segments(self, i: int) -> Iterator[tuple[int, str, list[str]]]:
+        """(end, kind, features) of the candidate segments that start at atom
+        ``i``; what grows with the segment is carried along."""
+        text, cuts, n = self.text, self.cuts, self.n
+        at = cuts[i]
+        c0 = text[at]
+        if not (c0.isalnum() or c0 in "+("):
+            return
+        starts_numeric, shape, marks, gaps, runs, longest = c0 in "0123456789+(", "", set(), 0, [], 0
+        around = None
+        for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
+            lo, hi = cuts[j - 1], cuts[j]
+            last = text[lo:hi]
+            c, alone = last[0], last[-1].isalnum()
+            if c in _DIGITS:
+                shape += "0" * len(last)
+                runs.append(last)
+                longest = max(longest, len(last))
+            elif alone and not c.isdecimal():
+                shape += "a"
+                marks.update(x for x in last if not x.isascii())
+            else:
+                shape += last
+                marks.update(last)
+                gaps += last.count(" ")
+            if not alone:
                 continue
-            for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
-                last = atoms[j - 1]
-                if not last[-1].isalnum():
-                    continue
-                d = digits[j] - digits[i]
-                if d > 24:
-                    break
-                numeric = first[0] in "0123456789+(" and last[-1] in "0123456789"
-                if numeric and 13 <= d <= 19 and first[0] in "0123456789" and luhn("".join(a for a in atoms[i:j] if a[0] in "0123456789")):
-                    self._add("card", i, j)
-                if numeric and 7 <= d <= 15:
-                    self._add("phone", i, j)
-                if numeric and 4 <= d <= 12 and dots[j] - dots[i] == 3:
-                    self._add("ip", i, j)
-                if ats[j] - ats[i] == 1 and dots[j] - dots[i] >= 1 and first[0].isalnum() and not last[0].isdigit():
-                    self._add("email", i, j)
-
-    def _add(self, kind: str, i: int, j: int) -> None:
-        span = self.text[self.cuts[i]:self.cuts[j]]
-        digits = re.sub(r"[^0-9]", "", span)
-        marks = "".join(sorted(set(re.sub(r"[A-Za-z0-9]", "", span))))[:8]
-        shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "0", span)) if kind != "email" else re.sub(r"\w+", "w", re.sub(r"\b(at|dot)\b", r"<\1>", span))
-        before = self.text[max(0, self.cuts[i] - 12):self.cuts[i]]
-        after = self.text[self.cuts[j]:self.cuts[j] + 1]
-        words = before.split()
-        f = ["b", f"n{len(digits)}", f"m{marks}", f"s{shape}", f"l{before[-1:] if not before[-1:].isalnum() else 'w'}",
-             f"r{after if not after.isalnum() else 'w'}", f"g{min(span.count(' '), 6)}", f"w{words[-1].lower() if words else ''}",
-             f"u{max(map(len, re.findall('[0-9]+', span) or ['']))}"]
-        if kind == "ip":
-            f.append(f"range{_byte_parts(re.findall('[0-9]+', span))}")
-        elif kind == "phone":
-            f += [f"plus{span[0] == '+'}", f"last{len(re.findall('[0-9]+', span)[-1])}"]
-        else:
-            head, _, tail = span.partition("@") if "@" in span else span.partition("at")
-            f += [f"tld{min(len(self.atoms[j - 1]), 5)}", f"whole{not before[-1:].isalnum() and before[-1:] not in '._%+-' if before else True}",
-                  f"cut{after in '.-' and after != ''}", f"head{bool(re.fullmatch(r'[A-Za-z0-9._%+-]+ ?[(\\[]?', head))}", f"dots{tail.count('.') + tail.count('dot')}"]
-        self.segments[j].append((i, kind, [f"{kind}|{x}" for x in f]))
+            d = self.digits[j] - self.digits[i]
+            if d > 24:
+                break
+            numeric, kinds = starts_numeric and c in _DIGITS, []
+            if numeric:
+                if 13 <= d <= 19 and c0 in _DIGITS and luhn("".join(runs)):
+                    kinds.append("card")
+                if 7 <= d <= 15:
+                    kinds.append("phone")
+                if 4 <= d <= 12 and self.dots[j] - self.dots[i] == 3:
+                    kinds.append("ip")
+            if self.ats[j] - self.ats[i] == 1 and self.dots[j] - self.dots[i] >= 1 and c0.isalnum() and not c.isdigit():
+                kinds.append("email")
+            if not kinds:
+                continue
+            if around is None:
+                before = text[max(0, at - 12):at]
+                words = before.split()
+                around = (f"l{before[-1:] if not before[-1:].isalnum() else 'w'}", f"w{words[-1].lower() if words else ''}")
+            after = text[hi:hi + 1]
+            common = ["b", f"n{d}", f"m{''.join(sorted(marks))[:8]}", around[0], f"r{after if not after.isalnum() else 'w'}", f"g{min(gaps, 6)}", around[1], f"u{longest}"]
+            for kind in kinds:
+                f = [*common, f"s{shape if kind != 'email' else _email_shape(text[at:hi])}"]
+                if kind == "ip":
+                    f.append(f"range{_byte_parts(runs)}")
+                elif kind == "phone":
+                    f += [f"plus{c0 == '+'}", f"last{len(runs[-1])}"]
+                else:
+                    f += _name_features(text[at:hi], before, after, len(last))
+                yield j, kind, [f"{kind}|{x}" for x in f]
+
+
+def _email_shape(span: str) -> str:
+    return re.sub(r"\w+", "w", re.sub(r"\b(at|dot)\b", r"<\1>", span))
+
+
+def _name_features(span: str, before: str, after: str, last: int) -> list[str]:
+    head, _, tail = span.partition("@") if "@" in span else span.partition("at")
+    return [f"tld{min(last, 5)}", f"whole{not before[-1:].isalnum() and before[-1:] not in '._%+-' if before else True}",
+            f"cut{after in '.-' and after != ''}", f"head{bool(re.fullmatch(r'[A-Za-z0-9._%+-]+ ?[(\[]?', head))}", f"dots{tail.count('.') + tail.count('dot')}"]
+
+
+class Island(Atoms):
+    """Atoms of a (bounded) learning island and all its candidate segments by
+    end, with their features."""
+
+    def __init__(self, text: str) -> None:
+        super().__init__(text)
+        self.by_end: list[list[tuple[int, str, list[str]]]] = [[] for _ in range(self.n + 1)]
+        for i in range(self.n):
+            for j, kind, f in self.segments(i):
+                self.by_end[j].append((i, kind, f))
 
     def scored(self, weights: dict[str, float]) -> list[list[tuple[int, str, float]]]:
         get = weights.get
-        return [[(i, k, sum(get(x, 0.0) for x in f)) for i, k, f in at] for at in self.segments]
+        return [[(i, k, sum(get(x, 0.0) for x in f)) for i, k, f in at] for at in self.by_end]
 
 
-def decode(island: Island, weights: dict[str, float]) -> list[tuple[str, int, int, float]]:
+def decode(island: Atoms, weights: dict[str, float]) -> list[tuple[str, int, int, float]]:
     """Best segmentation: (kind, start, end, score) within the island.  A state
-    is the kind of the segment that ends here (last place: no segment)."""
-    scored, none = island.scored(weights), len(KINDS)
-    trans = [[weights.get(f"{a}>{b}", 0.0) for b in KINDS] for a in (*KINDS, "")]
-    best = [[-math.inf] * (none + 1) for _ in range(island.n + 1)]
-    back: list[list] = [[None] * (none + 1) for _ in range(island.n + 1)]
+    is the kind of the segment that ends here (last place: no segment).  Atoms
+    are read left to right; scores of the last ``MAX_ATOMS`` places and the
+    segments that end within as many are all that is held, besides two bytes a
+    state and place for the way back."""
+    get, none, n = weights.get, len(KINDS), island.n
+    trans = [[get(f"{a}>{b}", 0.0) for b in KINDS] for a in (*KINDS, "")]
+    states, horizon = range(none + 1), MAX_ATOMS + 1
+    best: list[list[float]] = [[-math.inf] * (none + 1) for _ in range(horizon)]
     best[0][none] = 0.0
-    for j in range(1, island.n + 1):
-        p = max(range(none + 1), key=best[j - 1].__getitem__)
-        best[j][none], back[j][none] = best[j - 1][p], (j - 1, p, 0.0)
-        for i, kind, s in scored[j]:
-            k = KINDS.index(kind)
-            for q in range(none + 1):
-                v = best[i][q] + s + trans[q][k]
-                if v > best[j][k]:
-                    best[j][k], back[j][k] = v, (i, q, s)
-    out, j = [], island.n
-    k = max(range(none + 1), key=best[j].__getitem__)
+    ends: list[list] = [[] for _ in range(horizon)]
+    steps, froms = bytearray((n + 1) * (none + 1)), bytearray((n + 1) * (none + 1))
+    for j in range(1, n + 1):
+        for e, kind, f in island.segments(j - 1):
+            ends[e % horizon].append((j - 1, KINDS.index(kind), sum([get(x, 0.0) for x in f])))
+        before, row, place = best[(j - 1) % horizon], [-math.inf] * (none + 1), j * (none + 1)
+        p = max(states, key=before.__getitem__)
+        row[none] = before[p]
+        steps[place + none], froms[place + none] = 1, p
+        for i, k, s in ends[j % horizon]:
+            source = best[i % horizon]
+            for q in states:
+                v = source[q] + s + trans[q][k]
+                if v > row[k]:
+                    row[k] = v
+                    steps[place + k], froms[place + k] = j - i, q
+        ends[j % horizon] = []
+        best[j % horizon] = row
+    out, j = [], n
+    k = max(states, key=best[n % horizon].__getitem__)
     while j:
-        i, q, s = back[j][k]
+        i, q = j - steps[j * (none + 1) + k], froms[j * (none + 1) + k]
         if k != none:
-            out.append((KINDS[k], island.cuts[i], island.cuts[j], s))
+            score = next(sum(get(x, 0.0) for x in f) for e, kind, f in island.segments(i) if e == j and kind == KINDS[k])
+            out.append((KINDS[k], island.cuts[i], island.cuts[j], score))
         j, k = i, q
     return out[::-1]
 
@@ -228,7 +283,7 @@ def _gradient(island: Island, gold: list[Span], weights: dict[str, float]) -> di
     aft[island.n] = 0.0
     starts: dict[int, list] = defaultdict(list)
     for j, at in enumerate(scored):
-        for (i, kind, s), (_, _, f) in zip(at, island.segments[j]):
+        for (i, kind, s), (_, _, f) in zip(at, island.by_end[j]):
             starts[i].append((j, KINDS.index(kind), s, f))
     for i in range(island.n - 1, -1, -1):
         aft[i] = aft[i + 1, none]
@@ -245,7 +300,7 @@ def _gradient(island: Island, gold: list[Span], weights: dict[str, float]) -> di
     index = {c: a for a, c in enumerate(island.cuts)}
     last, end = "", 0
     for kind, s, e in sorted(gold, key=lambda g: g[1]):
-        found = [f for i, k, f in island.segments[index[e]] if k == kind and island.cuts[i] == s] if s in index and e in index else []
+        found = [f for i, k, f in island.by_end[index[e]] if k == kind and island.cuts[i] == s] if s in index and e in index else []
         for f in found[:1]:
             for x in f:
                 grad[x] += 1.0
@@ -306,17 +361,18 @@ def _disjoint(spans: list[Span]) -> list[Span]:
 
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_islands: int = SAMPLE_ISLANDS) -> dict[str, float]:
     """Weights from the islands of a bounded sample of ``docs``."""
-    own = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("_t"))
-    ids = [r[0] for r in own.select("_i").where("_i is not null").orderBy(F.xxhash64("_i"), "_i").limit(sample_docs).collect()]
-    sample = own.where(F.col("_i").isin(ids) & F.col("_t").rlike("[0-9@]")) if ids else own.limit(0)
+    own = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("_t")).where("_i is not null")
+    # ids' hashes spread evenly: the share of the range that holds about sample_docs documents
+    reach = min(int(-2**63 + 2**64 * min(1.0, sample_docs / max(own.count(), 1))), 2**63 - 1)
+    sample = own.where((F.xxhash64("_i") <= F.lit(reach)) & F.col("_t").rlike("[0-9@]"))
     field = StructField("_r", ArrayType(StringType()))
 
     def make():
-        return lambda texts: [[[t[a:b] for a, b in islands(t)[:32] if b - a < 400] for t in texts]]
+        return lambda texts: [[[t[a:b] for a, b in islands(t)[:SAMPLE_PER_DOC] if b - a < SAMPLE_CHARS] for t in texts]]
 
     found = add_columns(sample, ["_t"], [field], make).select(F.explode("_r").alias("r")).distinct()
     rows = [r[0] for r in found.orderBy(F.xxhash64("r"), "r").limit(sample_islands).collect()]
-    return fit([r for r in rows if base_spans(r)] + [r for r in rows if not base_spans(r)][:50])
+    return fit([r for r in rows if base_spans(r)] + [r for r in rows if not base_spans(r)][:SAMPLE_PLAIN])
 
 
 def all_spans(text: str, weights: dict[str, float], margin: float) -> tuple[list[Span], list[Span]]:
@@ -327,7 +383,7 @@ def all_spans(text: str, weights: dict[str, float], margin: float) -> tuple[list
     base, added = base_spans(text), []
     covered = _merged([(s, e) for _, s, e in base])
     for lo, hi in found:
-        for kind, s, e, score in decode(Island(text[lo:hi]), weights):
+        for kind, s, e, score in decode(Atoms(text[lo:hi]), weights):
             if score > margin and not _touches(covered, lo + s, lo + e):
                 added.append((kind, lo + s, lo + e))
     return base, added

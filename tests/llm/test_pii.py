@@ -75,3 +75,53 @@ def test_edges(spark, clashing, nothing):
     assert sorted(r.base_sha256 for r in out) == sorted(pii.base_digest(r.text or "") for r in clashing.collect())
     assert pii.train(nothing) == {}
     assert pii.digests(pii.find(nothing, {})).count() == 0
+
+
+def _whole_table(island, weights):
+    """The same dynamic program over a full table of segments and states."""
+    import math
+    none = len(pii.KINDS)
+    trans = [[weights.get(f"{a}>{b}", 0.0) for b in pii.KINDS] for a in (*pii.KINDS, "")]
+    best = [[(-math.inf, None)] * (none + 1) for _ in range(island.n + 1)]
+    best[0][none] = (0.0, [])
+    for j, at in enumerate(island.scored(weights)):
+        if j:
+            best[j][none] = max(best[j - 1], key=lambda x: x[0])
+        for i, kind, s in at:
+            k = pii.KINDS.index(kind)
+            for q in range(none + 1):
+                if best[i][q][0] + s + trans[q][k] > best[j][k][0]:
+                    best[j][k] = (best[i][q][0] + s + trans[q][k], best[i][q][1] + [(kind, island.cuts[i], island.cuts[j], s)])
+    return max(best[-1], key=lambda x: x[0])[1]
+
+
+def test_horizon_decode_equals_the_whole_table():
+    rnd = random.Random(6)
+    parts = ["1", "22", "333", "4444", ".", "-", " ", "  ", "+", "(", ")", "@", "at", "dot", "a", "bob", "é", "½", "٣", "_", ",", "com", "4532015112830366", "10.2.3.4"]
+    for n in range(400):
+        island = pii.Island("".join(rnd.choices(parts, k=rnd.randint(1, 60))))
+        weights = {}
+        for at in island.by_end:
+            for _, kind, f in at:
+                for x in f:
+                    weights.setdefault(x, rnd.uniform(-1, 1))
+        weights |= {f"{a}>{b}": rnd.uniform(-1, 1) for a in (*pii.KINDS, "") for b in pii.KINDS}
+        assert pii.decode(pii.Atoms(island.text), weights) == _whole_table(island, weights), n
+
+
+def test_a_long_text_of_numbers_is_bounded_in_memory_and_linear_in_time():
+    import time
+    import tracemalloc
+    weights, spent = {"phone|b": 0.1}, []
+    for size in (100_000, 400_000):
+        text = "1,2,3,4.5 " * (size // 10)
+        began = time.process_time()
+        pii.decode(pii.Atoms(text), weights)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 7 * spent[0]
+    text = "1,2,3,4.5 " * 100_000     # a million characters
+    tracemalloc.start()
+    pii.Atoms(text)
+    base = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert base < 20_000_000 and 5 * len(text) * 2 < 100_000_000
