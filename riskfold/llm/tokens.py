@@ -22,6 +22,7 @@ over ``KEPT_CHARS`` are encoded each time and not held.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -158,21 +159,24 @@ class Code:
         first = np.concatenate([[0], np.cumsum(span)[:-1]]) if len(size) else size
         self.codes = np.zeros(len(self.lengths), np.int64)
         self.codes[self.order] = first >> (self.limit - size)
+        self.both = self.codes << 8 | self.lengths  # one look-up when packing
         self.table = np.zeros(1 << self.limit, np.int64)  # id << 8 | length by the next bits
         if len(size):
             self.table[:int(span.sum())] = np.repeat(self.order << 8 | size, span)
 
     def pack(self, ids: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Bit offsets of the blocks, and the code bits."""
-        size = self.lengths[ids].astype(np.int64)
+        both = self.both[ids]
+        size = both & 255
         end = np.cumsum(size)
         start = end - size
-        shifted = self.codes[ids].astype(np.uint64) << (64 - (start & 31) - size).astype(np.uint64)
-        words = int(end[-1] >> 5) + 3
+        shifted = (both >> 8).astype(np.uint64) << (64 - (start & 31) - size).astype(np.uint64)
         word = start >> 5
-        high = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), words)
-        low = np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
-        return start[::BLOCK].astype("<u8"), (high + low).astype(np.uint64).astype(">u4").tobytes()
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))  # codes that begin in the same word
+        out, at = np.zeros(int(end[-1] >> 5) + 3, np.uint64), word[first]
+        out[at] = np.add.reduceat(shifted >> np.uint64(32), first)
+        out[at + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), first)
+        return start[::BLOCK].astype("<u8"), out.astype(">u4").tobytes()
 
     def unpack(self, bits: bytes, offsets: np.ndarray, n: int, block: int) -> np.ndarray:
         """The ``n`` ids: all blocks advance together, an id a step."""
@@ -224,10 +228,12 @@ def tokenize(docs: DataFrame, path: str, end: int, text: str = "text", doc_id: s
         enc = _LOADED[path]
         size = struct.calcsize(f"<{enc.code}")
         total = np.zeros(max(enc.top, end) + 1, np.int64)
+        gc.disable()  # lists of strings only: nothing here can form a cycle
         for b in slices(batches, 256):
             made = enc.encode(b.column(1).to_pylist(), end)
             total += np.bincount(np.frombuffer(b"".join(made), enc.width), minlength=len(total))
             yield rows(False, b.column(0), pa.array([len(m) // size for m in made], pa.int64()), pa.array(made, pa.binary()))
+        gc.enable()
         at = np.flatnonzero(total)
         yield rows(True, pa.array(at, pa.int64()), pa.array(total[at]), pa.nulls(len(at), pa.binary()))
 
