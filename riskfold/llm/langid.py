@@ -9,13 +9,23 @@ the script rules out can't label the word at all.  Viterbi with a
 penalty ``SWITCH`` per change of language labels every word, so a text of
 several languages comes out as spans; the language with most letters wins.
 
+Which language fits best says nothing of whether any fits.  ``lang_evidence``
+is absolute: the mean over the text's trigrams of the log probability under
+the language that labels them, in standard deviations from that language's own
+mean (both follow from the learning counts); trigrams of a script that no
+learning language uses count ``-FOREIGN``.  A text of a learned language lies
+near zero, one of another language or script or of random letters far below
+``LEAST_EVIDENCE``.
+
 Trigram counts cover all learning texts.  They are kept by hash in ``SLOTS``
 places, so the table's size is bounded by SLOTS x languages.
 
-Null text or a text without letters: no spans, ``und``, score 0.  Without any
+Null text or a text without letters: no spans, ``und``, score 0, evidence null.  Without any
 learning language every text is ``und``.  Ties go to the first language in
 alphabetical order.  Null languages and null texts teach nothing.  Rows are
-independent; output columns replace input columns of the same name.
+independent; very long texts are read whole, their words ``BLOCK_WORDS`` and
+those of one text at a time; output columns replace input columns of the same
+name.
 """
 
 from __future__ import annotations
@@ -36,6 +46,7 @@ from riskfold.llm.common import add_columns, documents, held_out
 from riskfold.session import ship_package
 
 SLOTS, FLOOR, SWITCH, SMOOTH, SCRIPT_SHARE = 1 << 17, 6.0, 12.0, 0.5, 0.01
+FOREIGN, LEAST_EVIDENCE = 10.0, -2.5
 #: Words scored and decoded together.
 BLOCK_WORDS = 400_000
 
@@ -51,6 +62,9 @@ SCRIPTS: tuple[tuple[str, int, int], ...] = (
 _NAMES = list(dict.fromkeys(s for s, _, _ in SCRIPTS))
 OTHER = len(_NAMES)
 _WORD = re.compile(r"[^\W\d_]{1,40}")
+#: The same for lower-case texts up to U+024F, which need no test for other numerals.
+_PLAIN_WORD = re.compile("[a-zªµºß-öø-ɏ]{1,40}")
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
 
 
 def script(word: str) -> int:
@@ -118,11 +132,14 @@ def count_trigrams(learn: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     """Languages in alphabetical order, log probabilities (slot, language) and
-    allowed (script, language)."""
+    allowed (script, language); mean and standard deviation of the log
+    probability of each language's own trigrams."""
 
     langs: list[str]
     logs: np.ndarray
     allowed: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
 
 
 def train(learn: DataFrame) -> Model:
@@ -138,7 +155,10 @@ def train(learn: DataFrame) -> Model:
     # each language leans on the shared distribution with the weight of SMOOTH x 1000 trigrams
     logs = np.log((grams + 1000 * SMOOTH * shared) / (total + 1000 * SMOOTH))
     share = scripts / np.maximum(scripts.sum(0, keepdims=True), 1.0)
-    return Model(langs, logs.astype(np.float32), share >= SCRIPT_SHARE)
+    own = grams / np.maximum(total, 1.0)
+    mean = (own * logs).sum(0)
+    spread = np.sqrt(np.maximum((own * (logs - mean) ** 2).sum(0), 0.25))
+    return Model(langs, logs.astype(np.float32), share >= SCRIPT_SHARE, mean, spread)
 
 
 class Scores:
@@ -147,10 +167,12 @@ class Scores:
     def __init__(self, model: Model) -> None:
         self.model, self.place = model, {}
         self.rows = np.zeros((0, len(model.langs)), np.float32)
+        self.evidence = np.zeros((0, len(model.langs) + 1), np.float32)
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score rows and evidence rows (last column: trigrams) of the words."""
         if len(self.place) > 200_000:
-            self.place, self.rows = {}, self.rows[:0]
+            self.place, self.rows, self.evidence = {}, self.rows[:0], self.evidence[:0]
         place = self.place
         new = sorted(set(words).difference(place))
         if new:
@@ -159,11 +181,16 @@ class Scores:
             at = np.fromiter((s for x in every for s in x), np.int64, sum(map(len, every)))
             raw = np.add.reduceat(self.model.logs[at], starts, axis=0)
             allowed = self.model.allowed[[script(w) for w in new]]
-            allowed = allowed | ~allowed.any(1, keepdims=True)  # a script that nobody uses rules nobody out
+            foreign = ~allowed.any(1, keepdims=True)
+            allowed = allowed | foreign  # a script that nobody uses rules nobody out, but speaks for nobody
+            many = np.array([[len(x)] for x in every], np.float32)
+            fits = np.where(foreign, -FOREIGN * many, (raw - many * self.model.mean) / self.model.spread)
+            self.evidence = np.vstack([self.evidence, np.hstack([fits, many]).astype(np.float32)])
             raw = np.where(allowed, raw, -np.inf)
             place.update(zip(new, range(len(place), len(place) + len(new))))
             self.rows = np.vstack([self.rows, np.where(allowed, np.maximum(raw - raw.max(1, keepdims=True), -FLOOR), -np.inf)])
-        return self.rows[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        return self.rows[at], self.evidence[at]
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -211,8 +238,8 @@ def _cut(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def label(texts: list[str | None], known: Scores) -> Iterator[list[tuple[int, int, int, int]]]:
-    """Spans (start, end, language place, letters) of each text, whole texts."""
+def label(texts: list[str | None], known: Scores) -> Iterator[tuple[list[tuple[int, int, int, int]], float]]:
+    """Spans (start, end, language place, letters) and evidence of each text, whole texts."""
     lows: list[str] = []
     lengths: list[int] = []
     words: list[str] = []
@@ -220,9 +247,10 @@ def label(texts: list[str | None], known: Scores) -> Iterator[list[tuple[int, in
         low = (text or "").lower()
         if len(low) != len(text or ""):  # the few letters whose lower case is longer stay, so that places hold
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        found = _WORD.findall(low)
-        if not low.isascii():  # other numerals are word characters, too
-            found = [w for w in found if w[0].isalpha() or any(map(str.isalpha, w))]
+        if _BEYOND.search(low):
+            found = [w for w in _WORD.findall(low) if w[0].isalpha() or any(map(str.isalpha, w))]  # other numerals are word characters, too
+        else:
+            found = _PLAIN_WORD.findall(low)
         lows.append(low)
         lengths.append(len(found))
         words += found
@@ -232,33 +260,42 @@ def label(texts: list[str | None], known: Scores) -> Iterator[list[tuple[int, in
     yield from _flush(lows, lengths, words, known)
 
 
-def _flush(lows: list[str], lengths: list[int], words: list[str], known: Scores) -> Iterator[list[tuple[int, int, int, int]]]:
-    best = viterbi(known.of(words), np.array(lengths, np.int64)) if words else np.zeros(0, np.int16)
+def _flush(lows: list[str], lengths: list[int], words: list[str], known: Scores) -> Iterator[tuple[list[tuple[int, int, int, int]], float]]:
+    best, fits = np.zeros(0, np.int16), np.zeros((0, 2))
+    if words:
+        scores, evidence = known.of(words)
+        best = viterbi(scores, np.array(lengths, np.int64))
+        fits = np.column_stack([evidence[np.arange(len(best)), best], evidence[:, -1]])
+    sums = np.concatenate([[[0.0, 0.0]], np.cumsum(fits, axis=0, dtype=np.float64)])
     before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
     at = 0
     for low, n in zip(lows, lengths):
         lang = best[at:at + n]
         turns = np.flatnonzero(lang[1:] != lang[:-1]) + 1
         if not n:
-            yield []
-        elif not len(turns):  # one language: from the first word to the end of the last
+            yield [], 0.0
+            continue
+        of_text = sums[at + n] - sums[at]
+        fit = float(of_text[0] / max(of_text[1], 1.0))
+        if not len(turns):  # one language: from the first word to the end of the last
             last = words[at + n - 1]
-            yield [(low.find(words[at]), low.rfind(last) + len(last), int(lang[0]), int(before[at + n] - before[at]))]
+            yield [(low.find(words[at]), low.rfind(last) + len(last), int(lang[0]), int(before[at + n] - before[at]))], fit
         else:
             places, cuts = _cut(low), [0, *turns.tolist(), n]
-            yield [(places[a][0], places[b - 1][1], int(lang[a]), int(before[at + b] - before[at + a])) for a, b in zip(cuts, cuts[1:])]
+            yield [(places[a][0], places[b - 1][1], int(lang[a]), int(before[at + b] - before[at + a])) for a, b in zip(cuts, cuts[1:])], fit
         at += n
 
 
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]))
-FIELDS = [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_spans", SPANS)]
+FIELDS = [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_evidence", DoubleType()), StructField("lang_spans", SPANS)]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
     """``docs`` plus ``lang_pred``, ``lang_score`` (share of the letters in that
-    language) and, if asked for, ``lang_spans`` (start, end, lang)."""
+    language), ``lang_evidence`` and, if asked for, ``lang_spans`` (start, end,
+    lang)."""
     packed = docs.sparkSession.sparkContext.broadcast(model)
-    fields = FIELDS if spans else FIELDS[:2]
+    fields = FIELDS if spans else FIELDS[:3]
 
     def make():
         known = Scores(packed.value)
@@ -266,17 +303,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tr
 
         def work(texts: list) -> list:
             if not langs:
-                return [["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]][:len(fields)]
-            pred, share, out = [], [], []
-            for found in label(texts, known):
+                return [["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [[] for _ in texts]][:len(fields)]
+            pred, share, fits, out = [], [], [], []
+            for found, fit in label(texts, known):
                 letters = np.zeros(len(langs))
                 for _, _, k, n in found:
                     letters[k] += n
                 k = int(letters.argmax())
                 pred.append(langs[k] if found else "und")
                 share.append(float(letters[k] / letters.sum()) if found else 0.0)
+                fits.append(fit if found else None)
                 out.append([{"start": s, "end": e, "lang": langs[k]} for s, e, k, _ in found])
-            return [pred, share, out][:len(fields)]
+            return [pred, share, fits, out][:len(fields)]
         return work
 
     return add_columns(docs, [text], fields, make, rows=4096)
@@ -286,4 +324,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.select("doc_id", "text", "lang").where(~held_out("doc_id", 5, 0) & F.col("doc_id").isNotNull()))
     out = identify(docs.select("doc_id", "text"), model, spans=False).drop("text")
-    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    # the share of the letters, as far as the language fits them at all
+    fit = 1 / (1 + F.exp(-2 * (F.coalesce("lang_evidence", F.lit(0.0)) - LEAST_EVIDENCE)))
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", (F.col("lang_score") * fit).alias("score"), "lang_evidence")
