@@ -53,6 +53,14 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(columns: Sequence[str]) -> str:
+    """A prefix that no column begins with, for an operator's own columns."""
+    prefix = "_own_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, chars: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most ``rows`` rows; a batch with
     very long values is cut further so that Python objects stay bounded."""

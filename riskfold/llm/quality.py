@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import BLANKS, documents, words
+from riskfold.llm.common import BLANKS, documents, unused, words
 
 #: Frequent function words of the corpus languages, compared in lower case as written
 #: (a text all in capitals has none).
@@ -60,33 +60,36 @@ BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 def _stages(docs: DataFrame, text: str) -> DataFrame:
     """Statistics in a chain of projections.  An array that a later projection
-    uses twice stays a column of its own, so it is computed once a row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_w", words(t)).withColumn("_l", F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
-    n = F.size("_w")
+    uses twice stays a column of its own, so it is computed once a row; the
+    names of these columns are chosen so that none of the input's can clash."""
+    u = unused(docs.columns)
+    w, lines, h, s, p = (f"{u}{x}" for x in ("words", "lines", "hashes", "sorted", "places"))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    out = docs.withColumn(w, words(t)).withColumn(lines, F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
+    n = F.size(w)
     # a 3-word window is known by its hash and place; sorted, equal windows are neighbours
-    hashed = F.transform(F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, greatest(size(_w) - 2, 0))").alias("b"),
-                                      F.expr("slice(_w, 3, greatest(size(_w) - 2, 0))").alias("c")),
+    hashed = F.transform(F.arrays_zip(F.col(w).alias("a"), F.expr(f"slice({w}, 2, greatest(size({w}) - 2, 0))").alias("b"),
+                                      F.expr(f"slice({w}, 3, greatest(size({w}) - 2, 0))").alias("c")),
                          lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i")))
-    out = out.withColumn("_h", F.when(n >= 3, F.slice(hashed, 1, n - 2)))
+    out = out.withColumn(h, F.when(n >= 3, F.slice(hashed, 1, n - 2)))
     # most texts repeat few windows: sort only where some hash occurs twice
-    out = out.withColumn("_s", F.when(F.size(F.array_distinct(F.col("_h.h"))) < F.size("_h"), F.sort_array("_h")))
-    out = out.withColumn("_p", F.filter(
-        F.zip_with(F.zip_with("_s", F.expr("concat(array(cast(null as struct<h:bigint,i:int>)), slice(_s, 1, size(_s) - 1))"),
+    out = out.withColumn(s, F.when(F.size(F.array_distinct(F.col(f"{h}.h"))) < F.size(h), F.sort_array(h)))
+    out = out.withColumn(p, F.filter(
+        F.zip_with(F.zip_with(s, F.expr(f"concat(array(cast(null as struct<h:bigint,i:int>)), slice({s}, 1, size({s}) - 1))"),
                               lambda x, y: F.struct(x["h"].alias("h"), x["i"].alias("i"), y["h"].alias("p"))),
-                   F.expr("slice(_s, 2, size(_s) - 1)"),
+                   F.expr(f"slice({s}, 2, size({s}) - 1)"),
                    lambda x, y: F.when(x["h"].eqNullSafe(x["p"]) | x["h"].eqNullSafe(y["h"]), x["i"])),
         lambda i: i.isNotNull()))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_p", lambda i: F.array(i, i + 1, i + 2)))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(p, lambda i: F.array(i, i + 1, i + 2)))))
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.size(F.regexp_extract_all(t, F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_p").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_w", lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.when(F.col(p).isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
 
 

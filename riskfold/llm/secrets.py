@@ -194,17 +194,18 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every secret in the text replaced by ``MASK``."""
-    if "_k" in docs.columns:
-        raise ValueError("the column name _k is taken")
-    held = suspects(docs, text)
-    hits = judged(held, docs, text).where("secret").groupBy("_k").agg(F.collect_list("n").alias("_hits"))
-    cut = held.join(hits, "_k", "left")
-    parts = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(_CUT), F.lit(1)).alias("g"), F.regexp_extract_all(F.col(text), F.lit(_CUT), F.lit(2)).alias("v"))
-    cut = cut.withColumn("_parts", F.when(F.col("_hits").isNotNull(), parts))
-    masked = F.array_join(F.transform("_parts", lambda p, i: F.concat(p["g"], F.when(F.array_contains("_hits", i), F.lit(MASK)).otherwise(p["v"]))), "")
-    shown = cut.withColumn(text, F.coalesce(masked, F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.where(~F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))).unionByName(shown)
+    """``docs`` with every secret in the text replaced by ``MASK``.  The input
+    row travels as one column, so that no name can clash."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    held = suspects(own)
+    hits = judged(held, own).where("secret").groupBy("_k").agg(F.collect_list("n").alias("hits"))
+    parts = F.arrays_zip(F.regexp_extract_all(F.col("text"), F.lit(_CUT), F.lit(1)).alias("g"), F.regexp_extract_all(F.col("text"), F.lit(_CUT), F.lit(2)).alias("v"))
+    cut = held.join(hits, "_k", "left").withColumn("parts", F.when(F.col("hits").isNotNull(), parts))
+    masked = F.array_join(F.transform("parts", lambda p, i: F.concat(p["g"], F.when(F.array_contains("hits", i), F.lit(MASK)).otherwise(p["v"]))), "")
+    shown = cut.select("row", F.coalesce(masked, F.col("text")).alias("text"))
+    rest = own.where(~F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False)))
+    both = rest.unionByName(shown)
+    return both.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import Row
 
 #: Columns whose names clash with what the operators add.
-CLASH = ["score", "predicted", "ids", "fp", "component_id", "lang_pred", "lang_score", "base_spans", "n_words", "kept", "rank", "bin_id", "tox_mean", "_row"]
+CLASH = ["score", "predicted", "ids", "fp", "component_id", "lang_pred", "lang_score", "base_spans", "n_words", "kept", "rank", "bin_id", "tox_mean", "_row", "_k", "_t", "_w", "_l", "_s", "_p", "_h", "_b", "_r", "_n", "_words", "_parts", "_hits",
+         "row", "_own_words", "hits", "parts", "word", "lang_evidence"]
 
 
 def edge_rows():
