@@ -26,9 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no learned language is found go; a text of several languages stays."""
+    """Documents in which no learned language is found go: those without a
+    letter, and those whose words fit none of the languages that label them
+    (``lang_evidence``).  A text of several languages stays."""
     model = langid.train(docs.select("doc_id", "text", "lang").where(~held_out("doc_id", 5, 0) & F.col("doc_id").isNotNull()))
-    return langid.identify(_rows(docs), model, spans=False).where("lang_pred != 'und'").select("row.*")
+    return langid.identify(_rows(docs), model, spans=False).where((F.col("lang_pred") != "und") & (F.col("lang_evidence") >= langid.LEAST_EVIDENCE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
