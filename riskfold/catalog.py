@@ -81,7 +81,7 @@ def _fitted(spark, sf, cohort):
     a = materialize(assign(spark, sf, cohort, SET))
     dev, test = dev_and_test(a)
     tr = S.train_view(dev, SET.n_folds)
-    return dev, test, tr, P.fit(tr, cohort.numeric, cohort.categorical, cohort.iqr_columns, SET.iqr_multiplier)
+    return dev, test, tr, P.fit(tr, cohort.numeric, cohort.categorical, cohort.iqr_columns, SET.iqr_multiplier, dev, S.fold_fits(SET.n_folds))
 
 
 # =========================================================================== 2.1 / 2.2 scans and cleaning
@@ -285,8 +285,13 @@ def q_row_weights(spark, sf):
 @register("iqr_bounds", rounded=("q1", "q3", "lower", "upper"),
           sql=Q.with_ctes(LINES, "SELECT g, column, q1, q3, lower, upper FROM bounds", Q.fitted_ctes(LINES)))
 def q_iqr_bounds(spark, sf):
-    _, _, tr = _train(spark, sf, LINES)
-    return P.iqr_bounds(tr, LINES.iqr_columns, SET.iqr_multiplier).select(F.col("g").cast("int").alias("g"), "column", "q1", "q3", "lower", "upper")
+    dev, _, _ = _train(spark, sf, LINES)
+    return _fences(dev).select(F.col("g").cast("int").alias("g"), "column", "q1", "q3", "lower", "upper")
+
+
+def _fences(dev):
+    """Fences of every fit group; each development row is counted once."""
+    return P.iqr_bounds(dev, LINES.iqr_columns, SET.iqr_multiplier, S.fold_fits(SET.n_folds))
 
 
 @register("iqr_clip", rounded=("l_extendedprice", "p_retailprice"), sql=Q.with_ctes(LINES, """
@@ -300,7 +305,7 @@ SELECT a.g, a.row_id,
 FROM applied a JOIN bwide b ON a.g = b.g""", Q.fitted_ctes(LINES)))
 def q_iqr_clip(spark, sf):
     dev, test, tr = _train(spark, sf, LINES)
-    bounds = settle(P.iqr_bounds(tr, LINES.iqr_columns, SET.iqr_multiplier))
+    bounds = settle(_fences(dev))
     rows = S.apply_view(dev, test)
     out = P.iqr_clip(rows, bounds, LINES.iqr_columns)
     return out.select(F.col("g").cast("int").alias("g"), "row_id", "l_extendedprice", "p_retailprice")
@@ -309,23 +314,22 @@ def q_iqr_clip(spark, sf):
 @register("impute_median", rounded=("median",),
           sql=Q.with_ctes(LINES, "SELECT g, column, median FROM med", Q.fitted_ctes(LINES)))
 def q_impute_median(spark, sf):
-    _, _, tr = _train(spark, sf, LINES)
-    bounds = settle(P.iqr_bounds(tr, LINES.iqr_columns, SET.iqr_multiplier))
-    med = P.medians(P.iqr_clip(tr, bounds, LINES.iqr_columns), LINES.numeric)
+    dev, _, _ = _train(spark, sf, LINES)
+    med = P.medians(dev, LINES.numeric, S.fold_fits(SET.n_folds), settle(_fences(dev)))
     return med.select(F.col("g").cast("int").alias("g"), "column", "median")
 
 
 @register("impute_mode", sql=Q.with_ctes(ACCOUNTS, "SELECT g, column, mode FROM catst", Q.fitted_ctes(ACCOUNTS)))
 def q_impute_mode(spark, sf):
-    _, _, tr = _train(spark, sf, ACCOUNTS)
-    return P.category_stats(P.category_counts(tr, ACCOUNTS.categorical)).select(F.col("g").cast("int").alias("g"), "column", "mode")
+    dev, _, _ = _train(spark, sf, ACCOUNTS)
+    return P.category_stats(P.category_counts(dev, ACCOUNTS.categorical, S.fold_fits(SET.n_folds))).select(F.col("g").cast("int").alias("g"), "column", "mode")
 
 
 @register("encode_binary", sql=Q.with_ctes(LINES, """
 SELECT g, column, v0, v1, fallback FROM catst WHERE is_binary""", Q.fitted_ctes(LINES)))
 def q_encode_binary(spark, sf):
-    _, _, tr = _train(spark, sf, LINES)
-    return P.category_stats(P.category_counts(tr, LINES.categorical)).where("is_binary").select(F.col("g").cast("int").alias("g"), "column", "v0", "v1",
+    dev, _, _ = _train(spark, sf, LINES)
+    return P.category_stats(P.category_counts(dev, LINES.categorical, S.fold_fits(SET.n_folds))).where("is_binary").select(F.col("g").cast("int").alias("g"), "column", "v0", "v1",
                                             F.col("fallback").cast("int").alias("fallback"))
 
 
@@ -339,10 +343,10 @@ def q_encode_onehot(spark, sf):
 @register("standardise", rounded=("mean", "sd"),
           sql=Q.with_ctes(LINES, "SELECT g, column, mean, sd FROM numst", Q.fitted_ctes(LINES)))
 def q_standardise(spark, sf):
-    _, _, tr = _train(spark, sf, LINES)
-    bounds = settle(P.iqr_bounds(tr, LINES.iqr_columns, SET.iqr_multiplier))
-    clipped = P.iqr_clip(tr, bounds, LINES.iqr_columns)
-    num = P.numeric_stats(clipped, settle(P.medians(clipped, LINES.numeric)), LINES.numeric)
+    dev, _, tr = _train(spark, sf, LINES)
+    bounds = settle(_fences(dev))
+    med = settle(P.medians(dev, LINES.numeric, S.fold_fits(SET.n_folds), bounds))
+    num = P.numeric_stats(P.iqr_clip(tr, bounds, LINES.iqr_columns), med, LINES.numeric)
     return num.select(F.col("g").cast("int").alias("g"), "column", "mean", "sd")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskfold.functions.quantiles import quantile_columns
+from riskfold.functions.quantiles import column_quantiles, interpolated, of_columns, select_ranks
 from riskfold.functions.batches import by_group, to_batch
 from riskfold.session import materialize, settle, ship_package
 
@@ -43,11 +43,13 @@ def widen(stats: DataFrame, stat_cols: list[str], columns: list[str] | tuple[str
 
 
 # --------------------------------------------------------------------------- fences
-def iqr_bounds(train: DataFrame, columns: tuple[str, ...] | list[str], multiplier: float = 1.5) -> DataFrame:
+def iqr_bounds(train: DataFrame, columns: tuple[str, ...] | list[str], multiplier: float = 1.5,
+               folds: tuple[str, list[int]] | None = None) -> DataFrame:
     """(g, column, q1, q3, lower, upper): Tukey fences from exact, linearly
-    interpolated quartiles of the group's training rows (NULLs ignored)."""
-    q = quantile_columns(long_values(train, ["g"], columns), ["g", "column"], "value",
-                         {"q1": 0.25, "q3": 0.75})
+    interpolated quartiles of the group's training rows (NULLs ignored).
+    ``folds`` = (fold column, fit groups): ``train`` holds each development
+    row once, and a group's rows are all folds less its own."""
+    q = column_quantiles(train, [] if folds else ["g"], columns, {"q1": 0.25, "q3": 0.75}, folds)
     iqr = F.col("q3") - F.col("q1")
     return q.select("g", "column", "q1", "q3",
                     (F.col("q1") - F.lit(multiplier) * iqr).alias("lower"),
@@ -72,19 +74,33 @@ def iqr_clip(rows: DataFrame, bounds: DataFrame, columns: tuple[str, ...] | list
 
 
 # --------------------------------------------------------------------------- imputation
-def medians(train: DataFrame, numeric: tuple[str, ...] | list[str]) -> DataFrame:
-    """(g, column, median) over non-null training values."""
-    q = quantile_columns(long_values(train, ["g"], numeric), ["g", "column"], "value", {"median": 0.5})
-    return q.select("g", "column", "median")
-
-
-def category_counts(train: DataFrame, categorical: tuple[str, ...] | list[str]) -> DataFrame:
+def medians(train: DataFrame, numeric: tuple[str, ...] | list[str], folds: tuple[str, list[int]] | None = None,
+            bounds: DataFrame | None = None) -> DataFrame:
+    """(g, column, median) over non-null training values; with ``bounds`` the
+    median of the clipped values: clipping keeps the order, so the two order
+    statistics in the middle are clipped."""
+    ranks = of_columns(select_ranks(train, [] if folds else ["g"], numeric, [0.5], folds=folds), numeric)
+    if bounds is not None:
+        ranks = ranks.join(F.broadcast(bounds.select("g", "column", "lower", "upper")), ["g", "column"], "left")
+        for c in ("lo", "hi"):
+            ranks = ranks.withColumn(c, clip_expr(c, "lower", "upper"))
+    return interpolated(ranks).select("g", "column", F.col("q").alias("median"))
+
+
+def category_counts(train: DataFrame, categorical: tuple[str, ...] | list[str], folds: tuple[str, list[int]] | None = None) -> DataFrame:
     """(g, column, value, n) for non-null categories (hash aggregate,
-    combined map-side).  No categorical columns: an empty table."""
+    combined map-side); with ``folds`` each row is counted once, under its own
+    fold, and counters of the other folds are added up.  No categorical
+    columns: an empty table."""
     if not categorical:
         return train.sparkSession.createDataFrame([], "g int, column string, value string, n long")
-    lv = long_values(train, ["g"], categorical, cast="string").where(F.col("value").isNotNull())
-    return lv.groupBy("g", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    own = folds[0] if folds else "g"
+    lv = long_values(train, [own], categorical, cast="string").where(F.col("value").isNotNull())
+    counts = lv.groupBy(own, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if not folds:
+        return counts
+    others = F.filter(F.array(*[F.lit(g) for g in folds[1]]), lambda g: g != F.col(own))
+    return counts.withColumn("g", F.explode(others)).groupBy("g", "column", "value").agg(F.sum("n").alias("n"))
 
 
 #: Values that one column may have in one fit group: each becomes a feature.
@@ -193,14 +209,19 @@ def candidate_features(numeric, categorical, cat: DataFrame, counts: DataFrame,
                .select("g", "pos", "feature", "kind", "column", "value")
 
 
-def fit(train: DataFrame, numeric, categorical, iqr_columns=(), multiplier: float = 1.5) -> Fitted:
-    """Fit every group's preprocessor from its training rows (``g`` column)."""
+def fit(train: DataFrame, numeric, categorical, iqr_columns=(), multiplier: float = 1.5,
+        dev: DataFrame | None = None, folds: tuple[str, list[int]] | None = None) -> Fitted:
+    """Fit every group's preprocessor from its training rows (``g`` column).
+    With ``dev`` and ``folds`` (fold column, fit groups) order statistics and
+    counts come from the development rows, each read once, as all folds less
+    the group's own."""
     numeric, categorical, iqr_columns = tuple(numeric), tuple(categorical), tuple(iqr_columns)
-    bounds = settle(iqr_bounds(train, iqr_columns, multiplier)) if iqr_columns else None
+    once = train if folds is None else dev
+    bounds = settle(iqr_bounds(once, iqr_columns, multiplier, folds)) if iqr_columns else None
     clipped = iqr_clip(train, bounds, iqr_columns) if iqr_columns else train
-    med = settle(medians(clipped, numeric))
+    med = settle(medians(once, numeric, folds, bounds))
     num = settle(numeric_stats(clipped, med, numeric))
-    counts = settle(bounded_categories(category_counts(train, categorical)))
+    counts = settle(bounded_categories(category_counts(once, categorical, folds)))
     cat = settle(category_stats(counts))
     # group ids from the (small, settled) statistics: no extra pass over the rows
     groups = num.select("g").unionByName(cat.select("g")).distinct()

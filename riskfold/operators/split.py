@@ -186,6 +186,11 @@ def fit_groups(k: int, include_full: bool = True) -> list[int]:
     return ([-1] if include_full else []) + list(range(k))
 
 
+def fold_fits(k: int, fold: str = "fold") -> tuple[str, list[int]]:
+    """(fold column, fit groups), for statistics as all folds less one."""
+    return fold, fit_groups(k)
+
+
 def train_view(dev: DataFrame, k: int, include_full: bool = True, fold: str = "fold") -> DataFrame:
     """Each development row once per fit group it trains: g != own fold.
     A generator, no join; used inside aggregations it is combined map-side,

@@ -42,7 +42,7 @@ def matrices(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Setting
     a = materialize(assign(spark, sf_dir, cohort, settings))
     dev, test = dev_and_test(a)
     tr = S.train_view(dev, settings.n_folds)
-    fitted = P.fit(tr, cohort.numeric, cohort.categorical, cohort.iqr_columns, settings.iqr_multiplier)
+    fitted = P.fit(tr, cohort.numeric, cohort.categorical, cohort.iqr_columns, settings.iqr_multiplier, dev, S.fold_fits(settings.n_folds))
     flist = P.global_feature_list(fitted)
     sel = P.select_features(fitted, P.transform_array(tr, fitted, flist), flist,
                             settings.variance_threshold, settings.correlation_threshold)

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskfold.functions import quantiles as QN
 from riskfold.functions.quantiles import exact_quantiles
 from riskfold.operators import prep as P
+from riskfold.operators import split as S
 
 
 def test_tukey_fences(spark):
@@ -23,17 +25,47 @@ def test_clip_keeps_nulls(spark):
     assert out == [-3.5, None, 5.0, 14.5]
 
 
-@pytest.mark.parametrize("direct_limit", [250_000, 0])
-def test_exact_quantiles_both_paths(spark, direct_limit):
+@pytest.mark.parametrize("bits", [(20, 36, 52, 64), (2, 9, 30, 64), (64,)])
+def test_exact_quantiles_whatever_the_digits_of_a_pass(spark, monkeypatch, bits):
+    """One pass with all digits, and passes that open buckets of few digits."""
+    monkeypatch.setattr(QN, "BITS", bits)
     rng = np.random.default_rng(3)
-    vals = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])   # a heavy value
+    vals = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), [0.0, -0.0, 1e300, -1e300, 5e-324]])   # a heavy value
     rows = [(int(i % 3), float(v)) for i, v in enumerate(vals)]
-    df = spark.createDataFrame(rows, "g int, v double")
-    out = exact_quantiles(df, ["g"], "v", [0.1, 0.25, 0.5, 0.9], direct_limit=direct_limit, buckets=16).collect()
+    df = spark.createDataFrame([*rows, (0, None), (7, None)], "g int, v double").repartition(5)
+    out = exact_quantiles(df, ["g"], "v", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]).collect()
     for r in out:
         expect = np.quantile(np.array([v for g, v in rows if g == r.g]), r.p)
         assert r.q == pytest.approx(expect, abs=1e-12)
-    assert len(out) == 12
+    assert len(out) == 18
+
+
+def test_quantiles_by_text_and_null_groups_and_weights(spark):
+    rows = [("a", None, 1.0, 3), ("a", None, 2.0, 1), ("b", 1, 5.0, 2), (None, 1, 9.0, 1), (None, 1, 7.0, 1)]
+    df = spark.createDataFrame(rows, "k string, m int, v double, w long")
+    got = {(r.k, r.m): r.q for r in exact_quantiles(df, ["k", "m"], "v", [0.5], weight_col="w").collect()}
+    assert got == {("a", None): 1.0, ("b", 1): 5.0, (None, 1): 8.0}
+
+
+def test_fold_complements_equal_copied_rows(spark):
+    """Fences, medians of clipped values and category counts as all folds less
+    one, against the rows copied into every fit group."""
+    rng = np.random.default_rng(8)
+    rows = [(str(i), int(f), None if i % 11 == 0 else float(round(v, 1)), float(i % 4), str(rng.integers(0, 3)))
+            for i, (f, v) in enumerate(zip(rng.integers(0, 4, 900), rng.standard_cauchy(900)))]
+    dev = spark.createDataFrame(rows, "row_id string, fold int, a double, b double, c string")
+    folds, train = S.fold_fits(4), S.train_view(dev, 4)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    bounds = P.iqr_bounds(dev, ["a", "b"], 1.5, folds)
+    assert key(bounds) == key(P.iqr_bounds(train, ["a", "b"], 1.5).select(*bounds.columns))
+    for r in bounds.where("column = 'a'").collect():
+        own = [v for _, f, v, _, _ in rows if f != r.g and v is not None]
+        assert (r.q1, r.q3) == pytest.approx(tuple(np.quantile(own, [0.25, 0.75])))
+    got = P.medians(dev, ["a", "b"], folds, bounds)
+    assert key(got) == key(P.medians(P.iqr_clip(train, bounds, ["a", "b"]), ["a", "b"]).select(*got.columns))
+    counts = P.category_counts(dev, ["c"], folds)
+    assert key(counts) == key(P.category_counts(train, ["c"]).select(*counts.columns))
+    assert counts.count() == 15
 
 
 def test_scaler_uses_population_std(spark):
