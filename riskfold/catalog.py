@@ -132,6 +132,16 @@ def q_drop_empty_columns(spark, sf):
                        (F.col("non_null") > 0).alias("kept"))
 
 
+@register("empty_columns_dropped", sql="WITH raw AS (" + Q.RAW_SQL["accounts"] + ")\nSELECT row_number() OVER (ORDER BY pos) - 1 AS pos, column FROM ("
+          + " UNION ALL ".join(f"SELECT {i} AS pos, '{c}' AS column, count({c}) AS n FROM raw" for i, c in enumerate(_ACC_COLS)) + ") WHERE n > 0")
+def q_empty_columns_dropped(spark, sf):
+    """Columns that stay after two empty ones were planted among them."""
+    raw = raw_cohort(spark, sf, "accounts")
+    first, *rest = raw.columns
+    planted = raw.select(first, F.lit(None).cast("double").alias("empty_number"), *rest, F.lit(None).cast("string").alias("empty_text"))
+    return spark.createDataFrame(list(enumerate(C.drop_empty_columns(planted).columns)), "pos long, column string")
+
+
 _LINE_RAW = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice", "l_linestatus",
              "o_orderstatus", "o_orderpriority", "p_brand"]
 
@@ -255,6 +265,22 @@ def q_inner_folds(spark, sf):
     return S.inner_folds(dev.drop("fold"), "negative_balance", SET.seed).select("row_id", "inner_fold")
 
 
+@register("nested_inner_folds", sql=Q.with_ctes(ACCOUNTS, """
+SELECT r.o AS outer_fold, r.row_id, CAST((f.off + r.r) % (SELECT least(3, min(n) // 2) FROM oc) AS INTEGER) AS inner_fold
+FROM (SELECT o, dev.*, row_number() OVER (PARTITION BY o, negative_balance ORDER BY md5(row_id || '|42'), row_id) - 1 AS r
+      FROM dev JOIN outers ON dev.fold <> o) r
+JOIN (SELECT o, cls, coalesce(sum(n) OVER (PARTITION BY o ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM oc) f
+  ON r.o = f.o AND r.negative_balance = f.cls""", """
+outers AS (SELECT DISTINCT CAST(fold AS INTEGER) AS o FROM dev),
+oc AS (SELECT o, negative_balance AS cls, count(*) AS n FROM dev JOIN outers ON dev.fold <> o GROUP BY ALL)"""))
+def q_nested_inner_folds(spark, sf):
+    """Inner folds of every outer fold's training rows."""
+    from riskfold.plans.nested import inner_assignment
+    dev, _ = dev_and_test(assign(spark, sf, ACCOUNTS, SET))
+    inner, _ = inner_assignment(dev, "negative_balance", SET.seed, SET.n_folds)
+    return inner.select(F.col("outer").alias("outer_fold"), "row_id", "inner_fold")
+
+
 @register("clean_and_split", rounded=("avg_order_value", "total_order_value"),
           sql=Q.with_ctes(ACCOUNTS, "SELECT * FROM split"))
 def q_clean_and_split(spark, sf):
@@ -369,13 +395,39 @@ def q_preprocess_apply(spark, sf):
 _PT = "ptrain AS (" + Q.transform_long_sql(ACCOUNTS, "train") + ")"
 
 
+_PLANTED = {"a": "l_extendedprice", "b": "2 * l_extendedprice + 1000 * l_tax", "c": "l_quantity", "d": "l_quantity + 5 * l_discount", "e": "l_tax", "f": "-l_tax"}
+
+
+def _planted_prune_sql() -> str:
+    """The walk in column order, one step a column."""
+    names = list(_PLANTED)
+    pairs = ", ".join(f"corr({a}, {b}) AS r_{a}{b}" for i, a in enumerate(names) for b in names[i + 1:])
+    steps = [f"x AS (SELECT {', '.join(f'{e}::DOUBLE AS {n}' for n, e in _PLANTED.items())} FROM lineitem)", f"s_ AS (SELECT {pairs} FROM x)"]
+    last = "s_"
+    for i, n in enumerate(names):
+        near = " OR ".join(f"(kept_{m} AND abs(r_{m}{n}) > 0.9)" for m in names[:i]) or "false"
+        steps.append(f"s_{n} AS (SELECT *, NOT ({near}) AS kept_{n} FROM {last})")
+        last = f"s_{n}"
+    return "WITH " + ",\n".join(steps) + "\n" + " UNION ALL ".join(f"SELECT '{n}' AS feature, kept_{n} AS kept FROM {last}" for n in names)
+
+
+@register("correlation_prune_planted", sql=_planted_prune_sql())
+def q_correlation_prune_planted(spark, sf):
+    """Columns of which three repeat others but for noise or sign: the walk
+    must drop them."""
+    rows = table(spark, sf, "lineitem").select(F.lit(0).alias("g"), F.array(*[F.expr(e).cast("double") for e in _PLANTED.values()]).alias("x"))
+    found = P.correlated_pairs(rows, P.variances(rows).collect(), {0: list(range(len(_PLANTED)))}, SET.correlation_threshold, tile=2).collect()
+    dropped = P.greedy_prune(list(range(len(_PLANTED))), set(), {(r["i"], r["j"]) for r in found})
+    return spark.createDataFrame([(n, i not in dropped) for i, n in enumerate(_PLANTED)], "feature string, kept boolean")
+
+
 @register("variance_filter", rounded=("var_samp",), sql=Q.with_ctes(ACCOUNTS, """
 SELECT g, feature, var_samp(value) AS var_samp, var_samp(value) < 0.0001 AS low_variance
 FROM ptrain GROUP BY g, feature""", Q.fitted_ctes(ACCOUNTS) + "," + _PT))
 def q_variance_filter(spark, sf):
     dev, test, tr, f = _fitted(spark, sf, ACCOUNTS)
     flist = P.global_feature_list(f)
-    var, _ = P.moments(P.gram(P.transform_array(tr, f, flist)))
+    var = P.variances(P.transform_array(tr, f, flist))
     names = spark.createDataFrame([(i, P.feature_name(*t)) for i, t in enumerate(flist)], "j int, feature string")
     cand = f.features.select("g", "feature")
     return (var.join(F.broadcast(names), "j").join(cand, ["g", "feature"])
@@ -901,6 +953,15 @@ def q_duplicate_count(spark, sf):
     return PR.duplicate_count(raw_cohort(spark, sf, "docs"))
 
 
+@register("duplicate_documents", rounded=("pct_duplicates",), sql="""
+SELECT count(*) AS n_rows, count(*) - count(DISTINCT h) AS n_duplicates, 100.0 * (count(*) - count(DISTINCT h)) / count(*) AS pct_duplicates
+FROM (SELECT md5(coalesce(text, '') || '|' || (text IS NULL) || '|' || coalesce(lang, '') || '|' || (lang IS NULL) || '|' || coalesce(source, '') || '|' || (source IS NULL)) AS h
+      FROM documents)""")
+def q_duplicate_documents(spark, sf):
+    """All documents, whole texts: rows that repeat an earlier text, language and source."""
+    return PR.duplicate_count(table(spark, sf, "documents", ["text", "lang", "source"]))
+
+
 # =========================================================================== 2.9 declared with a test
 from riskfold.operators import checks as CK  # noqa: E402
 
@@ -1090,6 +1151,14 @@ def q_cv_fold_metrics(spark, sf):
     return EX.with_fit_seconds(rows.withColumn("fold", F.col("fold") + 1), fitted)
 
 
+@register("nested_cv")
+def q_nested_cv(spark, sf):
+    """Configuration chosen on inner folds of each outer fold's training rows,
+    and its metrics on the outer fold's rows."""
+    from riskfold.plans.nested import nested_cv
+    return nested_cv(spark, sf, ACCOUNTS, SET)
+
+
 def _all_models(spark, sf):
     _model(spark, sf, "adaboost")
     return _MEMO[("models", spark.sparkContext.applicationId, sf)]

@@ -168,6 +168,83 @@ def q_model_holdout_metrics(spark, sf):
     return EX.with_fit_seconds(sizes.join(M.binary_metrics(sc.where("g = -1"), M.KEYS, SET.threshold), M.KEYS), C._all_models(spark, sf))
 
 
+_SIDES = """SELECT '{key}' AS dataset_key, count(*) FILTER (WHERE split = 'train') AS n_development, count(*) FILTER (WHERE split = 'test') AS n_test,
+       avg(CASE WHEN split = 'train' THEN CAST({t} AS DOUBLE) END) AS development_positive_rate,
+       avg(CASE WHEN split = 'test' THEN CAST({t} AS DOUBLE) END) AS test_positive_rate FROM split"""
+
+
+@register("model_holdout_sizes", rounded=("development_positive_rate", "test_positive_rate"),
+          sql=Q.with_ctes(ACCOUNTS, "SELECT m.model_key, s.* FROM (" + _SIDES.format(key=ACCOUNTS.key, t=ACCOUNTS.target)
+                          + ") s, (VALUES ('adaboost'), ('xgboost'), ('lightgbm')) m(model_key)"))
+def q_model_holdout_sizes(spark, sf):
+    """Sizes and positive rates of the boosted models' hold-out rows."""
+    rows = q_model_holdout_metrics(spark, sf)
+    return rows.select("model_key", "dataset_key", "n_development", "n_test", "development_positive_rate", "test_positive_rate")
+
+
+@register("model_score_guards", sql=Q.with_ctes(ACCOUNTS, """
+SELECT m.model_key, fold, n, n_pos, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_repeated
+FROM (SELECT fold, count(*) AS n, count(*) FILTER (WHERE negative_balance = 1) AS n_pos FROM dev GROUP BY fold
+      UNION ALL SELECT -1, count(*), count(*) FILTER (WHERE negative_balance = 1) FROM test) s,
+     (VALUES ('adaboost'), ('xgboost'), ('lightgbm')) m(model_key)"""))
+def q_model_score_guards(spark, sf):
+    """Every validation and hold-out row is scored once by each model, with a
+    probability between 0 and 1."""
+    each = _model_scores(spark, sf).groupBy("model_key", F.col("g").alias("fold"), "row_id").agg(
+        F.count(F.lit(1)).alias("c"), F.max("y").alias("y"), F.max((~F.coalesce(F.col("score").between(0, 1), F.lit(False))).cast("int")).alias("bad"))
+    return each.groupBy("model_key", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"),
+                                                 F.sum("bad").alias("n_outside"), F.count_if(F.col("c") > 1).alias("n_repeated"))
+
+
+@register("validate_columns", sql=Q.with_ctes(ACCOUNTS, """
+SELECT * FROM (VALUES ('no_target', 0::BIGINT, true), ('unshared_column', 0::BIGINT, true), ('other_order', 0::BIGINT, true), ('not_numeric', 0::BIGINT, true))
+  v("check", n_violations, ok) WHERE EXISTS (SELECT 1 FROM dev)"""))
+def q_validate_columns(spark, sf):
+    """Schemas of the processed splits as they are written."""
+    from riskfold.plans.process import process
+    wide = process(spark, sf, ACCOUNTS, SET).wide()
+    return CK.validate_columns(wide.where("split = 'train'"), wide.where("split = 'test'"), ACCOUNTS.target)
+
+
+@register("validate_columns_planted", sql=Q.with_ctes(ACCOUNTS, """
+SELECT * FROM (VALUES ('no_target', 1::BIGINT, false), ('unshared_column', 2::BIGINT, false), ('other_order', 2::BIGINT, false), ('not_numeric', 1::BIGINT, false))
+  v("check", n_violations, ok) WHERE EXISTS (SELECT 1 FROM dev)"""))
+def q_validate_columns_planted(spark, sf):
+    """A test split without the target, with a text column and two columns in
+    exchanged places."""
+    from riskfold.plans.process import process
+    wide = process(spark, sf, ACCOUNTS, SET).wide()
+    test = wide.where("split = 'test'")
+    a, b = "n_orders", "avg_order_value"
+    swapped = [b if c == a else a if c == b else c for c in test.columns if c != ACCOUNTS.target]
+    return CK.validate_columns(wide.where("split = 'train'"), test.select(*swapped, F.lit("text").alias("note")), ACCOUNTS.target)
+
+
+@register("importance_sink", rounded=("mean_abs_shap",), sql=C._IMP("SELECT * FROM imp"))
+def q_importance_sink(spark, sf):
+    """The importance frame written as a result table and read back."""
+    import uuid
+
+    from riskfold.sources.files import write_table
+    folder = f"{C.ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-importance-{uuid.uuid4().hex}"
+    write_table(C.importance_frame(spark, sf), folder)
+    return spark.read.parquet(folder)
+
+
+@register("holdout_sink", rounded=("development_positive_rate", "test_positive_rate"),
+          sql=Q.with_ctes(ACCOUNTS, "SELECT m.model_key, s.* FROM (" + _SIDES.format(key=ACCOUNTS.key, t=ACCOUNTS.target)
+                          + ") s, (VALUES ('adaboost'), ('xgboost'), ('lightgbm')) m(model_key)"))
+def q_holdout_sink(spark, sf):
+    """The hold-out rows of the models written as a result table and read back."""
+    import uuid
+
+    from riskfold.sources.files import write_table
+    folder = f"{C.ensure_checkpoint_dir(spark).rstrip('/')}/riskfold-holdout-{uuid.uuid4().hex}"
+    write_table(q_model_holdout_metrics(spark, sf), folder)
+    back = spark.read.parquet(folder)
+    return back.select("model_key", "dataset_key", "n_development", "n_test", "development_positive_rate", "test_positive_rate")
+
+
 @register("model_experiment")
 def q_model_experiment(spark, sf):
     """CV summary, rank and hold-out metrics of the boosted models."""

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 ID_LIKE = re.compile(r"^(id|patient_id|record_id|.*_id)$")
 
@@ -66,6 +67,21 @@ def validate_split(processed: DataFrame, target: str) -> DataFrame:
         ("null_value", processed.agg(F.count_if(F.col("value").isNull()))))
 
 
+def validate_columns(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
+    """Violations of the schemas of two processed splits: a split without the
+    target, columns of one split only, columns in another order, columns that
+    are no numbers (row ids and fold numbers aside)."""
+    sides = [[f for f in df.schema.fields if f.name not in ("row_id", "fold", "split")] for df in (train, test)]
+    names = [[f.name for f in side] for side in sides]
+    shared = [[n for n in side if n in names[1 - i]] for i, side in enumerate(names)]
+    found = {"no_target": sum(target not in side for side in names),
+             "unshared_column": len(set(names[0]) ^ set(names[1])),
+             "other_order": sum(a != b for a, b in zip(*shared)),
+             "not_numeric": len({f.name for side in sides for f in side if not isinstance(f.dataType, NumericType)})}
+    rows = [(name, n, n == 0) for name, n in found.items()]
+    return train.sparkSession.createDataFrame(rows, "check string, n_violations long, ok boolean")
+
+
 def validate_folds(rows: DataFrame, manifest: DataFrame, k: int) -> DataFrame:
     """Fold manifest ``(row_id, fold)`` against the training rows: every row
     has exactly one non-null fold, no manifest row is unknown, exactly k fold

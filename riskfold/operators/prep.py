@@ -352,6 +352,38 @@ def gram(x_rows: DataFrame) -> DataFrame:
     return parts.groupBy("g", "i", "j").agg(F.sum("s").alias("s"))
 
 
+def variances(x_rows: DataFrame) -> DataFrame:
+    """(g, j, n, var_samp) from counts, sums and squares alone: p numbers a
+    group and task, no products of columns.  Values are shifted by the task's
+    own means before they are squared; partial sums are merged pairwise exact
+    to rounding (sum of squares within plus between tasks)."""
+    ship_package(x_rows.sparkSession)
+
+    def run(batches):
+        acc: dict[int, list] = {}
+        for g, part in by_group(batches, ["g"]):
+            x = part.attrs["X"]
+            n, mean = x.shape[0], x.mean(axis=0)
+            m2 = ((x - mean) ** 2).sum(axis=0)
+            if g in acc:
+                n0, mean0, m20 = acc[g]
+                both, delta = n0 + n, mean - mean0
+                acc[g] = [both, mean0 + delta * n / both, m20 + m2 + delta ** 2 * n0 * n / both]
+            else:
+                acc[g] = [n, mean, m2]
+        for g, (n, mean, m2) in acc.items():
+            p = len(mean)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(p, g, np.int32)), pa.array(np.arange(p, dtype=np.int32)), pa.array(np.full(p, n, np.int64)),
+                                              pa.array(mean), pa.array(m2)], ["g", "j", "n", "mean", "m2"])
+
+    parts = x_rows.select(F.col("g").cast("int").alias("g"), "x").mapInArrow(run, "g int, j int, n long, mean double, m2 double")
+    whole = Window.partitionBy("g", "j")   # a row a task
+    parts = parts.withColumn("all", F.sum("n").over(whole)).withColumn("centre", F.sum(F.col("n") * F.col("mean")).over(whole) / F.col("all"))
+    within = F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("centre"), F.lit(2.0)))
+    return parts.groupBy("g", "j").agg(F.max("all").cast("double").alias("n"), F.max("centre").alias("mean"),
+                                       F.when(F.max("all") > 1, within / (F.max("all") - 1)).alias("var_samp"))
+
+
 def moments(gr: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From Gram sums: variances (g, j, n, var_samp) and correlations
     (g, i, j, r) for i<j (NULL when a side is constant)."""
@@ -372,6 +404,85 @@ def moments(gr: DataFrame) -> tuple[DataFrame, DataFrame]:
     return var.select("g", "j", "n", "var_samp"), cor
 
 
+#: Columns of a correlation tile; cells (numbers) of rows that a task gathers before it multiplies, and of tiles that it holds.
+TILE, BUFFER_CELLS, TILE_CELLS = 256, 4_000_000, 4_000_000
+
+
+def correlated_pairs(x_rows: DataFrame, var: list, columns: dict[int, list[int]], threshold: float, tile: int = TILE,
+                     buffer_cells: int = BUFFER_CELLS, tile_cells: int = TILE_CELLS) -> DataFrame:
+    """(g, i, j, r) for the pairs i < j of each group's ``columns`` whose
+    |correlation| exceeds ``threshold``; ``var`` are the rows of ``variances``.
+    Tasks standardise blocks of rows and multiply tile by tile; what they hold
+    of tiles is handed on when it exceeds ``tile_cells``.  Tiles are exchanged
+    by (group, tile, tile) and added one at a time, so no task holds p^2
+    numbers, and only pairs above the threshold leave."""
+    p = 1 + max([r["j"] for r in var], default=-1)
+    centre, norm = {}, {}
+    for r in var:
+        centre.setdefault(r["g"], np.zeros(p))[r["j"]] = r["mean"]
+        norm.setdefault(r["g"], np.ones(p))[r["j"]] = max((r["var_samp"] or 0.0) * (r["n"] - 1), 0.0) ** 0.5 or 1.0
+    picked = {g: np.asarray(at, dtype=np.int64) for g, at in columns.items() if len(at) > 1}
+
+    def multiply(batches):
+        rows: dict[int, list] = {}
+        held: dict[tuple, np.ndarray] = {}
+
+        def settle(g):
+            z = (np.concatenate(rows.pop(g))[:, picked[g]] - centre[g][picked[g]]) / norm[g][picked[g]]
+            cuts = range(0, z.shape[1], tile)
+            for a, lo in enumerate(cuts):
+                for b, at in enumerate(cuts):
+                    if b >= a:
+                        part = z[:, lo:lo + tile].T @ z[:, at:at + tile]
+                        held[(g, a, b)] = held[(g, a, b)] + part if (g, a, b) in held else part
+                        if sum(v.size for v in held.values()) > tile_cells:
+                            yield flush()
+
+        def flush():
+            keys = list(held)
+            out = pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.int32()) for i in range(3)], pa.array([held[k].tobytes() for k in keys], pa.binary())],
+                                             ["g", "a", "b", "part"])
+            held.clear()
+            return out
+
+        for g, part in by_group(batches, ["g"]):
+            if g in picked:
+                rows.setdefault(g, []).append(part.attrs["X"])
+                if sum(x.size for x in rows[g]) >= buffer_cells:
+                    yield from settle(g)
+        for g in list(rows):
+            yield from settle(g)
+        if held:
+            yield flush()
+
+    def add(batches):
+        key, total = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                part = np.frombuffer(r["part"])
+                if (r["g"], r["a"], r["b"]) == key:
+                    total = total + part
+                else:
+                    yield above(key, total)
+                    key, total = (r["g"], r["a"], r["b"]), part
+        yield above(key, total)
+
+    def above(key, total):
+        if key is None:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.float64())], ["g", "i", "j", "r"])
+        g, a, b = key
+        at = picked[g]
+        left, right = at[a * tile:(a + 1) * tile], at[b * tile:(b + 1) * tile]
+        i, j = np.nonzero((np.abs(total) > threshold).reshape(len(left), len(right)) & (left[:, None] < right[None, :]))
+        found = total.reshape(len(left), len(right))[i, j]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), g, np.int32)), pa.array(left[i].astype(np.int32)), pa.array(right[j].astype(np.int32)),
+                                           pa.array(found)], ["g", "i", "j", "r"])
+
+    ship_package(x_rows.sparkSession)
+    parts = x_rows.select(F.col("g").cast("int").alias("g"), "x").mapInArrow(multiply, "g int, a int, b int, part binary")
+    return parts.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b").mapInArrow(add, "g int, i int, j int, r double")
+
+
 def greedy_prune(order: list[int], low_var: set[int], edges: set[tuple[int, int]]) -> dict[int, str]:
     """One walk in column order: a column joins the kept set unless its
     variance is low or a column kept before it is its neighbour (|r| above the
@@ -394,15 +505,18 @@ def greedy_prune(order: list[int], low_var: set[int], edges: set[tuple[int, int]
 
 def select_features(fitted: Fitted, train_x: DataFrame, flist, variance_threshold: float = 1e-4,
                     correlation_threshold: float = 0.9) -> DataFrame:
-    """(g, gpos, pos, feature, var_samp, kept, reason) per group.  The heavy
-    part (Gram sums over the training rows of all groups) is distributed; the
-    greedy pass runs on the driver over at most p^2 edges per group."""
+    """(g, gpos, pos, feature, var_samp, kept, reason) per group.  Variances
+    come from sums alone, correlations from tiles of columns; the greedy pass
+    runs on the driver over the pairs above the threshold."""
     spark = train_x.sparkSession
-    var, cor = moments(materialize(gram(train_x), keep_cached=False))   # edges are filtered before they are collected
+    var = variances(train_x).collect()   # groups x features
     gidx = {(k, c, v): i for i, (k, c, v) in enumerate(flist)}
     cand = fitted.features.select("g", "pos", "feature", "kind", "column", "value").collect()
-    var_map = {(r["g"], r["j"]): r["var_samp"] for r in var.collect()}
-    edges_rows = cor.where(F.abs(F.col("r")) > F.lit(correlation_threshold)).collect()
+    var_map = {(r["g"], r["j"]): r["var_samp"] for r in var}
+    # what the variance filter drops is no one's neighbour
+    wanted = {g: [i for i in sorted(gidx[(r["kind"], r["column"], r["value"])] for r in cand if r["g"] == g)
+                  if (var_map.get((g, i)) or 0.0) >= variance_threshold] for g in {r["g"] for r in cand}}
+    edges_rows = correlated_pairs(train_x, var, wanted, correlation_threshold).collect()
     by_g: dict[int, list] = {}
     for r in cand:
         by_g.setdefault(r["g"], []).append(r)

@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfold.functions.quantiles import quantile_columns
+from riskfold.functions.quantiles import column_quantiles, quantile_columns
+from riskfold.session import materialize
 
 
 def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,11 +21,12 @@ def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column."""
-    lv = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    narrow = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))   # read by the moments and the quantiles
+    lv = narrow.unpivot([], columns, "column", "value")
     base = lv.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
                                     F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
                                     F.max("value").alias("max"))
-    q = quantile_columns(lv, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    q = column_quantiles(narrow, [], columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return base.join(q, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -65,10 +67,10 @@ def rate_by_category(df: DataFrame, category: str, target: str, positive="Yes",
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles and whiskers (furthest values inside 1.5 IQR) per group."""
-    x = df.select(F.col(by), F.col(value).cast("double").alias("v")).where(F.col(by).isNotNull())
+    x = materialize(df.select(F.col(by), F.col(value).cast("double").alias("v")).where(F.col(by).isNotNull()))
     q = quantile_columns(x, [by], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    j = x.join(F.broadcast(q), by)
+    j = x.join(q, by)   # a row a group: broadcast by the planner while it is small
     return j.groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(F.col("v") >= F.col("q1") - 1.5 * iqr, F.col("v"))).alias("whisker_low"),
         F.max(F.when(F.col("v") <= F.col("q3") + 1.5 * iqr, F.col("v"))).alias("whisker_high"),
@@ -86,15 +88,12 @@ def outlier_counts(df: DataFrame, columns: list[str], multiplier: float = 1.5, f
     """Tukey fences of each column over all rows (or those where ``fit``
     holds), and how many rows fall outside (per value of ``by``)."""
     ids = [by] if by else []
-
-    def long(rows: DataFrame) -> DataFrame:
-        return rows.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(ids, columns, "column", "value")
-
-    lv = long(df)
-    q = quantile_columns(long(df.where(fit)) if fit else lv, ["column"], "value", {"q1": 0.25, "q3": 0.75})
+    rows = materialize(df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns], *([F.expr(fit).alias("_fit")] if fit else [])))
+    q = column_quantiles(rows.where("_fit") if fit else rows, [], columns, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     q = q.select("column", (F.col("q1") - multiplier * iqr).alias("lower"), (F.col("q3") + multiplier * iqr).alias("upper"))
-    j = lv.join(F.broadcast(q), "column")
+    lv = rows.unpivot(ids, columns, "column", "value")
+    j = lv.join(F.broadcast(q), "column")   # a row a column
     return j.groupBy("column", "lower", "upper", *ids).agg(
         F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("n_outliers"))
 

@@ -9,9 +9,13 @@ never by the data rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfold.session import ship_package
+
 GK = ["dataset_key", "dataset_name", "model_key", "model_name"]
 REQUIRED = set(GK + ["fold", "feature", "mean_abs_shap", "rank"])
 
@@ -82,20 +86,51 @@ def spearman_of_given_ranks(pairs: DataFrame) -> DataFrame:
     return agg.select(*GK, "fold_a", "fold_b", F.when(F.col("_n") >= 2, F.col("_r")).alias("spearman_rho"))
 
 
+def _inversions(v: np.ndarray) -> int:
+    """Pairs i < j with v[i] > v[j], by merging sorted halves."""
+    count, n = 0, len(v)
+    if n < 2:
+        return 0
+    runs = [v[i:i + 1] for i in range(n)]
+    while len(runs) > 1:
+        merged = []
+        for left, right in zip(runs[::2], runs[1::2]):
+            count += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            merged.append(np.sort(np.concatenate([left, right]), kind="stable"))
+        runs = merged + ([runs[-1]] if len(runs) % 2 else [])
+    return count
+
+
+def _tied(*columns: np.ndarray) -> int:
+    """Pairs that agree in all columns."""
+    _, n = np.unique(np.stack(columns), axis=1, return_counts=True)
+    return int((n * (n - 1) // 2).sum())
+
+
+def kendall_tau(a: np.ndarray, b: np.ndarray) -> float:
+    """tau-b in O(n log n): concordant less discordant pairs from the number
+    of pairs, the ties and the inversions of b in the order of (a, b)."""
+    n = len(a)
+    pairs = n * (n - 1) // 2
+    untied_a, untied_b = pairs - _tied(a), pairs - _tied(b)
+    if untied_a == 0 or untied_b == 0:
+        return 1.0 if untied_a == untied_b else 0.0
+    surplus = pairs - (pairs - untied_a) - (pairs - untied_b) + _tied(a, b) - 2 * _inversions(b[np.lexsort((b, a))])
+    return surplus / float(np.sqrt(float(untied_a) * float(untied_b)))
+
+
 def pairwise_kendall(pairs: DataFrame) -> DataFrame:
-    """(GK, fold_a, fold_b, kendall_tau): tau-b over feature pairs j < j'."""
-    left = pairs.select(*GK, "fold_a", "fold_b", F.col("feature").alias("f1"), F.col("ra").alias("a1"),
-                        F.col("rb").alias("b1"))
-    right = pairs.select(*GK, "fold_a", "fold_b", F.col("feature").alias("f2"), F.col("ra").alias("a2"),
-                         F.col("rb").alias("b2"))
-    fp = left.join(right, [*GK, "fold_a", "fold_b"]).where(F.col("f1") < F.col("f2"))
-    sx, sy = F.signum(F.col("a1") - F.col("a2")), F.signum(F.col("b1") - F.col("b2"))
-    agg = fp.groupBy(*GK, "fold_a", "fold_b").agg(F.sum(sx * sy).alias("_s"), F.sum(F.abs(sx)).alias("_x"),
-                                                  F.sum(F.abs(sy)).alias("_y"),
-                                                  F.min(sx == sy).alias("_same"))
-    tau = F.when((F.col("_x") == 0) | (F.col("_y") == 0), F.when(F.col("_same"), 1.0).otherwise(0.0)) \
-           .otherwise(F.col("_s") / F.sqrt(F.col("_x") * F.col("_y")))
-    return agg.select(*GK, "fold_a", "fold_b", tau.alias("kendall_tau"))
+    """(GK, fold_a, fold_b, kendall_tau): tau-b of the features' ranks; fold
+    pairs with fewer than two shared features have no row.  A fold pair's two
+    rankings (one number a feature) are one task's arrays."""
+    ship_package(pairs.sparkSession)
+
+    @F.pandas_udf("double")
+    def tau(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([kendall_tau(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)], dtype=float)
+
+    both = pairs.groupBy(*GK, "fold_a", "fold_b").agg(F.collect_list(F.struct("ra", "rb")).alias("_r")).where(F.size("_r") >= 2)
+    return both.select(*GK, "fold_a", "fold_b", tau(F.col("_r.ra"), F.col("_r.rb")).alias("kendall_tau"))
 
 
 def topk_jaccard(pairs: DataFrame, top_k: int) -> DataFrame:

@@ -41,8 +41,14 @@ def matrices(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Setting
     every boosting step re-reads them."""
     a = materialize(assign(spark, sf_dir, cohort, settings))
     dev, test = dev_and_test(a)
-    tr = S.train_view(dev, settings.n_folds)
-    fitted = P.fit(tr, cohort.numeric, cohort.categorical, cohort.iqr_columns, settings.iqr_multiplier, dev, S.fold_fits(settings.n_folds))
+    return model_matrices(S.train_view(dev, settings.n_folds), S.apply_view(dev, test), cohort, settings, balance, dev, S.fold_fits(settings.n_folds))
+
+
+def model_matrices(tr: DataFrame, rows: DataFrame, cohort: Cohort, settings: Settings, balance: bool = True,
+                   dev: DataFrame | None = None, folds=None) -> Matrices:
+    """Matrices of any fit groups: ``tr`` holds each group's training rows,
+    ``rows`` the rows that it scores, both with ``g`` and ``fold``."""
+    fitted = P.fit(tr, cohort.numeric, cohort.categorical, cohort.iqr_columns, settings.iqr_multiplier, dev, folds)
     flist = P.global_feature_list(fitted)
     sel = P.select_features(fitted, P.transform_array(tr, fitted, flist), flist,
                             settings.variance_threshold, settings.correlation_threshold)
@@ -59,7 +65,6 @@ def matrices(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Setting
         train = train.withColumn("w0", F.lit(1.0))
     train = train.select(F.col("g").cast("int").alias("g"), "row_id", F.col(t).cast("int").alias("y"), "w0",
                          F.xxhash64("row_id").alias("h"), "x")
-    rows = S.apply_view(dev, test)
     app = masked(P.transform_array(rows, fitted, flist, keep=[t, "fold"])).select(
         F.col("g").cast("int").alias("g"), "row_id", F.col(t).cast("int").alias("y"), "fold", "x")
     names = [P.feature_name(*f) for f in flist]
