@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.llm import langid, packing, secrets, simhash, toxicity
-from riskfold.llm.common import held_out, stash
+from riskfold.llm.common import held_out, shared_folder
+from riskfold.session import discard
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -62,7 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage wrote goes when its successor is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        folder = shared_folder(spark, f"stage-{name}")
+        made.write.option("compression", "zstd").parquet(folder)
+        docs = spark.read.schema(made.schema).parquet(folder)
+        if before is not None:
+            discard(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
