@@ -25,7 +25,6 @@ import hashlib
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,9 +39,10 @@ LEAF, PART = 64, 1 << 20
 NEVER = 1 << 60
 CACHED = 100_000
 _LATE = re.compile("[\u0558-\U0010ffff]")
+_MARKS = re.compile("[\u0300-\U0010ffff]")
 
-#: The library's tables are those of Unicode 16.  (first, count) of the letters that later versions
-#: assigned; they count as marks.
+#: The library's tables are those of Unicode 16.  (first, count) of the letters and numbers that later
+#: versions assigned; they count as marks.
 LATER = (
     (0x558, 1), (0x58b, 2), (0x88f, 1), (0xc5c, 1), (0xcdc, 1), (0x208f, 1), (0x209d, 3), (0xa7ce, 2), (0xa7d2, 1), (0xa7d4, 1),
     (0xa7dd, 1), (0xa7e2, 1), (0xa7f1, 1), (0xab6c, 2), (0x107bb, 5), (0x10940, 26), (0x10ec5, 3), (0x10ed9, 22), (0x11b0a, 1),
@@ -50,6 +50,7 @@ LATER = (
     (0x18d80, 115), (0x18e00, 914), (0x191a0, 51), (0x1b123, 6), (0x1b168, 1), (0x1d6a6, 1), (0x1df1f, 6), (0x1df2b, 87),
     (0x1df90, 7), (0x1dfcd, 51), (0x1e6c0, 31), (0x1e6e0, 3), (0x1e6e4, 2), (0x1e6e7, 7), (0x1e6f0, 5), (0x1e6fe, 2),
     (0x2b73a, 6), (0x2b81e, 1), (0x2cea2, 12), (0x323b0, 4298), (0x3d000, 11328),
+    (0x11de0, 10), (0x1246f, 1), (0x12475, 11), (0x12550, 311), (0x16ff4, 3),
 )
 #: Lower-case letters that the library knows and Python's tables lack.
 LOWER = {
@@ -88,6 +89,8 @@ class WordBpe:
         self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.cache = Pieces(self)
+        from tokenizers import normalizers
+        self.compose = normalizers.NFC().normalize_str
 
     def pieces(self, text: str) -> Iterator[list[str] | int]:
         """Lists of pieces between special tokens, and the ids of those."""
@@ -96,8 +99,8 @@ class WordBpe:
             if part in self.special:
                 yield self.special[part]
             elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final-letter rule
+                if _MARKS.search(part):  # letters before U+0300 are composed already; the library knows its own marks
+                    part = self.compose(part).replace("Σ", "σ")  # no final-letter rule
                 yield self._cut(part.lower())
 
     def _cut(self, text: str) -> list[str]:

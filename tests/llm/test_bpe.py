@@ -59,3 +59,16 @@ def test_edges(clashing, nothing, both):
     out = bpe.encode(clashing, PATH).collect()
     assert len(out) == clashing.count() and all(r.ids == ids(lib, r.text or "") and r.score == "mine" for r in out)
     assert bpe.digests(nothing.select("doc_id", "text"), PATH).count() == 0
+
+
+def test_every_code_point_equals_the_library():
+    """All code points up to U+33480 between letters, after a blank and after a
+    letter that marks combine with."""
+    ours, lib = bpe.WordBpe(PATH), Tokenizer.from_file(PATH)
+    points = [chr(i) for i in range(1, 0x33480) if not 0xD800 <= i < 0xE000]
+    for form in ("a{0}b", " {0}", "é{0}̣x"):
+        for lo in range(0, len(points), 512):
+            block = points[lo:lo + 512]
+            texts = [form.format(c) for c in block]
+            want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+            assert [ours.encode(t) for t in texts] == want, form
