@@ -31,6 +31,8 @@ from riskfold.session import ship_package
 
 BUCKET, GROUP, FOCUS, COORDINATE_FROM, SLACK = 1024, 512, 4, 0.3, 1e-9
 EXACT = float(1 << 53)
+#: Dimensions up to which the first buckets (one each) are broadcast.
+MOST_DIMS = 16
 _BLOCK = "bucket long, dim int, ids binary, data binary, longest double, shortest double"
 
 
@@ -135,6 +137,21 @@ def _longest_first(ids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     return ids[by], data[by], norms[by]
 
 
+def shortest_useful(q: np.ndarray, least: np.ndarray) -> float:
+    """The norm that a candidate needs to reach the threshold of some query of
+    the group, even if parallel to it."""
+    size = np.sqrt((q * q).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where(least <= 0, 0.0, np.where(size > 0, least / size, np.inf))
+    return float(need.min(initial=np.inf))
+
+
+def visited(groups: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(at, bucket): query groups (at, dim, need) and the buckets (dim,
+    bucket, longest) whose longest vector may be long enough."""
+    return groups.join(buckets, "dim").where(F.col("longest") * (1 + 2 * SLACK) >= F.col("need")).select("at", "bucket")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, column: str = "embedding", vec_id: str = "vec_id", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` (over
     vec_id) holds, against all rows."""
@@ -159,10 +176,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, column: str = "embe
                     if len(scores) >= k:
                         least[n] = np.partition(scores, len(scores) - k)[len(scores) - k]
                 yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([q_ids], pa.binary()), pa.array([q_data], pa.binary()),
-                                                  pa.array([least.tobytes()], pa.binary())], ["dim", "q_ids", "q_data", "least"])
-
-    asked_rows = stash(groups.join(F.broadcast(first), "dim").mapInArrow(bound, "dim int, q_ids binary, q_data binary, least binary"), "topk-queries")
-    visits = asked_rows.join(buckets.select("dim", "bucket"), "dim").join(buckets.select("bucket", "ids", "data"), "bucket")
+                                                  pa.array([least.tobytes()], pa.binary()), pa.array([shortest_useful(q, least)])],
+                                                 ["dim", "q_ids", "q_data", "least", "need"])
+
+    few = buckets.select("dim").distinct().limit(MOST_DIMS + 1).count() <= MOST_DIMS  # a bucket a dimension
+    met = groups.join(F.broadcast(first) if few else first, "dim").mapInArrow(bound, "dim int, q_ids binary, q_data binary, least binary, need double")
+    asked_rows = stash(met.withColumn("at", F.monotonically_increasing_id()), "topk-queries")
+    # which group must see which bucket is settled on the norms alone, before any block moves
+    pairs = visited(asked_rows.select("at", "dim", "need"), buckets.select("dim", "bucket", "longest"))
+    visits = pairs.join(asked_rows.drop("need", "dim"), "at").join(buckets.select("bucket", "dim", "ids", "data"), "bucket")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

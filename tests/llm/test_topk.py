@@ -59,3 +59,15 @@ def test_edges(spark):
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 6, 512 * 1024), (0, 2, 6, 512 * 1024)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_buckets_too_short_for_a_group_are_not_visited(spark):
+    import numpy as np
+    q = np.array([[3.0, 4.0], [0.0, 2.0]])
+    assert topk.shortest_useful(q, np.array([50.0, 8.0])) == 4.0
+    assert topk.shortest_useful(q, np.array([50.0, -np.inf])) == 0.0
+    assert topk.shortest_useful(np.zeros((1, 2)), np.array([1.0])) == np.inf
+    groups = spark.createDataFrame([(0, 2, 4.0), (1, 2, 0.0), (2, 3, 9.0)], "at long, dim int, need double")
+    buckets = spark.createDataFrame([(2, 10, 9.0), (2, 11, 4.0), (2, 12, 3.9), (3, 13, 8.0)], "dim int, bucket long, longest double")
+    got = sorted((r.at, r.bucket) for r in topk.visited(groups, buckets).collect())
+    assert got == [(0, 10), (0, 11), (1, 10), (1, 11), (1, 12)]   # 5 of 7 visits
