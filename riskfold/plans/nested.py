@@ -60,7 +60,7 @@ def nested_matrices(spark: SparkSession, dev: DataFrame, cohort: Cohort, setting
     inner = materialize(inner)
     place = F.col("outer") * (k + 1)
     trains = F.filter(F.sequence(F.lit(0), F.lit(k)), lambda i: i != F.col("inner_fold"))
-    train = inner.withColumn("g", (place + F.explode(trains)).cast("int")).drop("outer", "inner_fold")
+    train = inner.withColumn("g", F.explode(F.transform(trains, lambda i: (place + i).cast("int")))).drop("outer", "inner_fold")
     validate = inner.withColumn("g", (place + F.col("inner_fold")).cast("int")).drop("outer", "inner_fold")
     refit = dev.withColumn("g", (F.col("fold") * (k + 1) + k).cast("int"))
     return model_matrices(train, validate.unionByName(refit), cohort, settings), k
