@@ -15,7 +15,9 @@ the language that labels them, in standard deviations from that language's own
 mean (both follow from the learning counts); trigrams of a script that no
 learning language uses count ``-FOREIGN``.  A text of a learned language lies
 near zero, one of another language or script or of random letters far below
-``LEAST_EVIDENCE``.
+``LEAST_EVIDENCE``.  A language learnt from fewer than ``LEAST_KNOWN`` distinct
+trigrams is too little known to speak against a text: words in its own script
+count zero.
 
 Trigram counts cover all learning texts.  They are kept by hash in ``SLOTS``
 places, so the table's size is bounded by SLOTS x languages.
@@ -46,7 +48,7 @@ from riskfold.llm.common import add_columns, documents, held_out
 from riskfold.session import ship_package
 
 SLOTS, FLOOR, SWITCH, SMOOTH, SCRIPT_SHARE = 1 << 17, 6.0, 12.0, 0.5, 0.01
-FOREIGN, LEAST_EVIDENCE = 10.0, -2.5
+FOREIGN, LEAST_EVIDENCE, LEAST_KNOWN = 10.0, -2.5, 1000
 #: Words scored and decoded together.
 BLOCK_WORDS = 400_000
 
@@ -133,7 +135,7 @@ def count_trigrams(learn: DataFrame) -> DataFrame:
 class Model:
     """Languages in alphabetical order, log probabilities (slot, language) and
     allowed (script, language); mean and standard deviation of the log
-    probability of each language's own trigrams."""
+    probability of each language's own trigrams (infinite: too few known)."""
 
     langs: list[str]
     logs: np.ndarray
@@ -158,6 +160,7 @@ def train(learn: DataFrame) -> Model:
     own = grams / np.maximum(total, 1.0)
     mean = (own * logs).sum(0)
     spread = np.sqrt(np.maximum((own * (logs - mean) ** 2).sum(0), 0.25))
+    spread = np.where((grams > 0).sum(0) >= LEAST_KNOWN, spread, np.inf)
     return Model(langs, logs.astype(np.float32), share >= SCRIPT_SHARE, mean, spread)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from riskfold.llm import langid
 
-EN = "the of and that house river people walked through green hills because they wanted water from another place where children were playing".split()
-DE = "der die das und nicht haus fluss menschen gingen durch grüne hügel weil sie wasser aus einem anderen ort wollten kinder spielten".split()
+_made = random.Random(9)
+EN = sorted({"".join(_made.choice("bcdfghlmnprstw") + _made.choice("aeiou") for _ in range(_made.randint(2, 4))) for _ in range(1500)})
+DE = sorted({"".join(_made.choice("bcdfghklmnprstvwz") + _made.choice("äöüyßj") for _ in range(_made.randint(2, 5))) for _ in range(3000)})
 JA, RU = "日本語の文章はここにあります 東京は大きい都市です".split(), "привет как дела сегодня хорошая погода".split()
 
 
@@ -37,7 +38,7 @@ def test_learned_languages_stay_and_others_go(spark):
 
 def test_evidence_is_the_mean_in_standard_deviations(spark):
     model = learnt(spark)
-    text = "the house und das wasser"
+    text = " ".join(EN[:3] + DE[:3])
     spans = next(langid.label([text], langid.Scores(model)))
     fits, grams = 0.0, 0
     for s, e, k, _ in spans[0]:
@@ -60,6 +61,13 @@ def test_means_follow_from_the_learning_counts(spark):
         assert abs(model.mean[k] - np.mean(own[lang])) < 1e-4 and abs(model.spread[k] - max(0.5, np.std(own[lang]))) < 1e-4
 
 
+def test_a_hardly_known_language_rejects_nothing_in_its_script(spark):
+    model = langid.train(spark.createDataFrame([("one text of few words " * 50, "en")], "text string, lang string"))
+    df = spark.createDataFrame([(1, "quite other phrases here"), (2, "привет как дела")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_evidence for r in langid.identify(df, model, spans=False).collect()}
+    assert got[1] == 0.0 and got[2] == -langid.FOREIGN
+
+
 def test_plain_words_equal_the_general_cut():
     rnd = random.Random(5)
     for _ in range(2000):

@@ -2,6 +2,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from riskfold.llm import langid, packing, simhash, toxicity
+from riskfold.llm.common import stash
 
 
 def test_stages_against_their_operators(spark, sf):
@@ -13,10 +14,10 @@ def test_stages_against_their_operators(spark, sf):
     bad = {r.doc_id for r in toxicity.score(docs.select("doc_id", "text"), model).where("predicted = 1").collect()}
     ids = {r.doc_id for r in tox.collect()}
     assert tox.columns == columns and ids == {r.doc_id for r in docs.collect()} - bad
-    docs = corpus_pipeline.stash(tox, "t")
+    docs = stash(tox, "t")
     lang = corpus_pipeline.drop_unknown_language(spark, docs, sf)
     assert lang.columns == columns and lang.count() >= 0.98 * docs.count()
-    docs = corpus_pipeline.stash(lang, "t")
+    docs = stash(lang, "t")
     rows = docs.collect()
     prints = {r.doc_id: simhash.fingerprint(r.text) for r in rows}
     root = {i: i for i in prints}
@@ -32,7 +33,7 @@ def test_stages_against_their_operators(spark, sf):
             if (prints[i] ^ prints[j]).bit_count() <= 3:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    once = corpus_pipeline.stash(corpus_pipeline.drop_near_duplicates(spark, docs, sf), "t")
+    once = stash(corpus_pipeline.drop_near_duplicates(spark, docs, sf), "t")
     assert once.columns == columns and {r.doc_id for r in once.collect()} == {find(i) for i in order}
     masked = corpus_pipeline.mask_secrets(spark, once, sf)
     assert masked.columns == columns and masked.count() == once.count() and masked.where(F.col("n_chars") != F.length("text")).count() == 0
