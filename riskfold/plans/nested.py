@@ -87,7 +87,7 @@ def nested_cv(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Settin
     m, k = nested_matrices(spark, dev, cohort, settings, requested)
     inner = [g for g in m.kept if g % (k + 1) < k]
     primary = settings.primary_metric
-    searched = B.fit_many(m.train.where(F.col("g") % (k + 1) < k), m.n_features, grid, columns=m.kept)
+    searched = B.fit_many(m.train.where(F.col("g") % (k + 1) < k), m.n_features, grid, columns=m.kept, blocks=m.blocks)
     found = _metrics(m, searched, grid, lambda key: inner, settings.threshold)
     means = found.groupBy(F.floor(F.col("g") / (k + 1)).cast("int").alias("fold"), "config").agg(
         F.count(F.lit(1)).alias("n_inner"), F.avg(primary).alias(f"inner_{primary}"))
@@ -96,7 +96,7 @@ def nested_cv(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Settin
     chosen: dict[str, list[int]] = {}
     for r in ranked.where("chosen").collect():
         chosen.setdefault(r["config"], []).append(r["fold"] * (k + 1) + k)
-    refits = {key: B.fit_many(m.train.where(F.col("g").isin(groups)), m.n_features, {key: grid[key]}, columns=m.kept)[key] for key, groups in sorted(chosen.items())}
+    refits = {key: B.fit_many(m.train.where(F.col("g").isin(groups)), m.n_features, {key: grid[key]}, columns=m.kept, blocks=m.blocks)[key] for key, groups in sorted(chosen.items())}
     outer = _metrics(m, refits, grid, lambda key: chosen[key], settings.threshold)
     outer = outer.withColumn("fold", F.floor(F.col("g") / (k + 1)).cast("int")).drop("g")
     return ranked.join(outer, ["fold", "config"], "left")
