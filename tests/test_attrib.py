@@ -133,3 +133,31 @@ def test_importance_leaves_out_features_that_the_selector_dropped(spark):
     kept = spark.createDataFrame([(0, 0), (0, 2), (1, 1)], "g int, j int")
     got = {(r.g, r.feature, r["rank"]) for r in AT.importance(phi, names, kept).collect()}
     assert got == {(0, "f0", 1), (0, "f2", 2), (1, "f1", 1)}
+
+
+def test_tabled_leaves_equal_the_walk_over_rows():
+    """The table of patterns gives what each row's own passes give, with and without a background."""
+    rng = np.random.default_rng(8)
+    bins, bg = rng.integers(0, 32, (300, 7)), rng.integers(0, 32, (40, 7))
+    cons = {j: (int(lo), int(lo) + 14, float(z)) for j, lo, z in zip((5, 0, 3, 6), rng.integers(0, 16, 4), (0.4, 0.0, 1.0, 0.7))}
+    for back in (None, bg):
+        phi, base = AT.tree_phi(bins, [[(0.8, cons), (-0.3, {2: (0, 9, 0.5)})]], 7, back)
+        own, whole = np.zeros((300, 7)), 0.0
+        for v, c in ((0.8, cons), (-0.3, {2: (0, 9, 0.5)})):
+            if back is None:
+                AT._path_leaf(v, c, AT._passes(bins, c), own)
+                whole += v * math.prod(z for _, _, z in c.values())
+            else:
+                whole += AT._background_leaf(v, c, AT._passes(bins, c), AT._passes(bg, c), own)
+        assert np.allclose(phi, own, atol=1e-13) and np.allclose(base, whole)
+
+
+def test_values_travel_with_the_attributions(spark, fitted):
+    df, x, cuts, trees, scuts, stumps = fitted
+    sample = df.where(F.expr("cast(substring(row_id, 2) as int) % 11 = 0"))
+    for whole, some in ((AT.tree_attributions(sample, cuts, trees, 5), AT.tree_attributions(sample, cuts, trees, 5, values=[3, 1])),
+                        (AT.permutation_attributions(sample, scuts, stumps, 5, {0: x[:9]}), AT.permutation_attributions(sample, scuts, stumps, 5, {0: x[:9]}, values=[3, 1]))):
+        want = {(r.row_id, r.j): r.phi for r in whole.collect() if r.j in (1, 3)}
+        got = some.collect()
+        assert {(r.row_id, r.j): r.phi for r in got} == want and len(got) == len(want)
+        assert all(r.value == x[int(r.row_id[1:]), r.j] for r in got)
