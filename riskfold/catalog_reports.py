@@ -136,7 +136,7 @@ man AS (SELECT row_id, fold FROM dev WHERE row_id >= '1' UNION ALL SELECT row_id
         UNION ALL SELECT 'stranger', 7)"""))
 def q_validate_folds_planted(spark, sf):
     """A manifest that lacks rows, repeats rows, knows a stranger and a sixth fold."""
-    dev, _ = C._lines_split(spark, sf)
+    dev = C._lines_folds(spark, sf)
     own = dev.select("row_id", "fold")
     stranger = spark.createDataFrame([("stranger", 7)], "row_id string, fold int")
     bad = own.where("row_id >= '1'").unionByName(own.where("row_id >= 'f'")).unionByName(stranger)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from riskfold.session import materialize, settle
+
 ID_LIKE = re.compile(r"^(id|patient_id|record_id|.*_id)$")
 
 
@@ -57,14 +59,17 @@ def validate_split(processed: DataFrame, target: str) -> DataFrame:
     """Violations of a processed long split table ``(split, row_id, target,
     feature, value)``: NULL targets, labels outside {0, 1}, features present
     in one split only, NULL feature values; zeros everywhere when clean."""
-    per_row = processed.groupBy("split", "row_id").agg(F.first(target).alias("_t"))
-    n_split = processed.select("split").distinct().count()    # two rows
-    feats = processed.groupBy("feature").agg(F.countDistinct("split").alias("_s"))
+    t = F.col(target)
+    # only the rows at fault are gathered by row; features and null values are counted inside the tasks
+    faults = processed.where(t.isNull() | ~t.isin(0, 1)).groupBy("split", "row_id").agg(F.first(target).alias("_t"))
+    seen = settle(processed.groupBy("split", "feature").agg(F.count_if(F.col("value").isNull()).alias("_null")))   # splits x features
+    n_split = seen.select("split").distinct().count()    # two rows
+    feats = seen.groupBy("feature").agg(F.countDistinct("split").alias("_s"))
     return _violations(
-        ("null_target", per_row.agg(F.count_if(F.col("_t").isNull()))),
-        ("bad_label", per_row.agg(F.count_if(~F.col("_t").isin(0, 1)))),
+        ("null_target", faults.agg(F.count_if(F.col("_t").isNull()))),
+        ("bad_label", faults.agg(F.count_if(~F.col("_t").isin(0, 1)))),
         ("feature_mismatch", feats.agg(F.count_if(F.col("_s") != n_split))),
-        ("null_value", processed.agg(F.count_if(F.col("value").isNull()))))
+        ("null_value", seen.agg(F.coalesce(F.sum("_null"), F.lit(0)))))
 
 
 def validate_columns(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
@@ -86,12 +91,19 @@ def validate_folds(rows: DataFrame, manifest: DataFrame, k: int) -> DataFrame:
     """Fold manifest ``(row_id, fold)`` against the training rows: every row
     has exactly one non-null fold, no manifest row is unknown, exactly k fold
     ids, no fold leaves an empty training or validation side."""
-    ids = rows.select("row_id").withColumn("_r", F.lit(True))
-    j = ids.join(manifest.select("row_id", "fold").withColumn("_m", F.lit(True)), "row_id", "full_outer")
-    sizes = manifest.groupBy("fold").count()
+    sides = rows.select("row_id", F.lit(1).alias("_r"), F.lit(0).alias("_m"), F.lit(0).alias("_null")).unionByName(
+        manifest.select("row_id", F.lit(0).alias("_r"), F.lit(1).alias("_m"), F.col("fold").isNull().cast("int").alias("_null")))
+    each = sides.groupBy("row_id").agg(F.sum("_r").alias("r"), F.sum("_m").alias("m"), F.sum("_null").alias("null"))
+    r, m, null = F.col("r"), F.col("m"), F.col("null")
+    # one exchange by row id; a row of both sides stands for r x m pairs, as a join of the two would give
+    ids = settle(each.agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(c) for c, e in (
+        ("missing", F.when(F.col("row_id").isNull(), r + null).when(m == 0, r).when(r == 0, null).otherwise(r * null)),
+        ("unknown", F.when((r == 0) | F.col("row_id").isNull(), m).otherwise(0)),
+        ("repeated", F.when(m > 1, 1).otherwise(0)))]))
+    sizes = materialize(manifest.groupBy("fold").count(), keep_cached=False)
     return _violations(
-        ("missing_fold", j.agg(F.count_if(F.col("fold").isNull()))),
-        ("unknown_row", j.agg(F.count_if(F.col("_r").isNull()))),
-        ("duplicate_row", manifest.groupBy("row_id").count().agg(F.count_if(F.col("count") > 1))),
-        ("fold_count_off", manifest.agg(F.abs(F.countDistinct("fold") - F.lit(k)))),
+        ("missing_fold", ids.select("missing")),
+        ("unknown_row", ids.select("unknown")),
+        ("duplicate_row", ids.select("repeated")),
+        ("fold_count_off", sizes.agg(F.abs(F.countDistinct("fold") - F.lit(k)))),
         ("empty_side", sizes.agg(F.when(F.count(F.lit(1)) < 2, 1).otherwise(0))))
