@@ -154,14 +154,10 @@ def q_pairwise_spearman_given(spark, sf):
 
 
 # --------------------------------------------------------------------------- the models end to end
-def _model_scores(spark, sf):
-    return EX.cv_scores(spark, C._mats(spark, sf), ACCOUNTS, fitted=C._all_models(spark, sf))
-
-
 @register("model_holdout_metrics")
 def q_model_holdout_metrics(spark, sf):
     """Hold-out row of each boosted model: sizes, positive rates, metrics, fit seconds."""
-    sc = _model_scores(spark, sf)
+    sc = C._held_scores(spark, sf)
     sizes = sc.groupBy(*M.KEYS).agg(F.count_if(F.col("g") >= 0).alias("n_development"), F.count_if(F.col("g") == -1).alias("n_test"),
                                     F.avg(F.when(F.col("g") >= 0, F.col("y"))).alias("development_positive_rate"),
                                     F.avg(F.when(F.col("g") == -1, F.col("y"))).alias("test_positive_rate"))
@@ -190,7 +186,7 @@ FROM (SELECT fold, count(*) AS n, count(*) FILTER (WHERE negative_balance = 1) A
 def q_model_score_guards(spark, sf):
     """Every validation and hold-out row is scored once by each model, with a
     probability between 0 and 1."""
-    each = _model_scores(spark, sf).groupBy("model_key", F.col("g").alias("fold"), "row_id").agg(
+    each = C._scores_of(spark, sf).groupBy("model_key", F.col("g").alias("fold"), "row_id").agg(
         F.count(F.lit(1)).alias("c"), F.max("y").alias("y"), F.max((~F.coalesce(F.col("score").between(0, 1), F.lit(False))).cast("int")).alias("bad"))
     return each.groupBy("model_key", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"),
                                                  F.sum("bad").alias("n_outside"), F.count_if(F.col("c") > 1).alias("n_repeated"))
@@ -248,7 +244,7 @@ def q_holdout_sink(spark, sf):
 @register("model_experiment")
 def q_model_experiment(spark, sf):
     """CV summary, rank and hold-out metrics of the boosted models."""
-    sc = _model_scores(spark, sf)
+    sc = C._held_scores(spark, sf)
     ranked = M.dataset_ranks(M.cv_summary(M.fold_metrics(sc.where("g >= 0"), SET.threshold)), SET.primary_metric)
     return M.model_comparison(ranked, M.binary_metrics(sc.where("g = -1"), M.KEYS, SET.threshold))
 

@@ -72,9 +72,10 @@ def _metrics(m: Matrices, fitted: dict, grid: dict, groups, threshold: float) ->
     for key in fitted:
         cuts, model = fitted[key]
         rows = m.apply.where(F.col("g").isin([int(g) for g in groups(key)]))
-        sc = B.score_rows(rows, cuts, model, "stumps" if grid[key][0] == "stumps" else "trees").withColumn("config", F.lit(key))
+        sc = B.score_rows(rows, cuts, model, "stumps" if grid[key][0] == "stumps" else "trees", m.blocks) \
+            .select(F.lit(key).alias("config"), "g", "y", "score")
         out = sc if out is None else out.unionByName(sc)
-    return M.binary_metrics(out, ["config", "g"], threshold)
+    return M.binary_metrics(materialize(out), ["config", "g"], threshold)   # scored once
 
 
 def nested_cv(spark: SparkSession, sf_dir: str, cohort: Cohort, settings: Settings = Settings(), grid: dict | None = None, requested: int = 3,

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskfold.functions.packs import Packs
+from riskfold.functions.packs import Packs, leaf_bits
 from riskfold.operators import boost as B
 
 
@@ -47,3 +47,46 @@ def test_models_with_blocks_equal_those_without(spark):
     for other in made[1:]:
         assert other["s"][1] == made[0]["s"][1]
         assert all(np.array_equal(a, b) for s, t in zip(made[0]["l"][1][0], other["l"][1][0]) for a, b in zip(s.arrays(), t.arrays()))
+
+
+def _grown(rng, p, bins, leaves):
+    tree, open_ = B.Tree(), [0]
+    for _ in range(leaves - 1):
+        open_ += tree.split(open_.pop(int(rng.integers(len(open_)))), int(rng.integers(p)), int(rng.integers(bins - 1)), 1.0)
+    tree.value = [float(v) for v in rng.normal(size=len(tree.feat))]
+    return tree
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 16, 32, 33, 64, 65])
+def test_leaves_as_bits_are_the_leaves_that_rows_reach(leaves):
+    x, blocks, rng = _rows()
+    cuts = np.array([np.quantile(c, np.linspace(0, 1, 33)[1:-1], method="lower") for c in x.T])
+    packs, trees = Packs(cuts, 32, blocks), [_grown(rng, 28, 32, leaves) for _ in range(6)]
+    bins, direct = B._bins(x, cuts), np.zeros(len(x))
+    for t in trees:
+        direct += t.arrays()[4][B._route(bins, t.arrays())]
+    assert (packs.margin(packs.encode(x), [leaf_bits(t.arrays(), 32) for t in trees]) == direct).all()
+
+
+def test_metrics_of_all_models_score_a_row_once(spark, monkeypatch):
+    from riskfold import catalog as C
+    from riskfold.plans.experiments import FittedModels, Matrices
+    x, blocks, rng = _rows(240)
+    y = (x[:, 0] + 0.3 * rng.normal(size=len(x)) > 0).astype(int)
+    rows = [(g, f"r{i}", int(y[i]), x[i].tolist()) for i in range(len(x)) for g in [i % 3 - 1]]
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    apply = spark.createDataFrame(rows, "g int, row_id string, y int, x array<double>").mapInArrow(counted, "g int, row_id string, y int, x array<double>")
+    cuts = {g: np.array([np.quantile(c, np.linspace(0, 1, 33)[1:-1], method="lower") for c in x.T]) for g in (-1, 0, 1)}
+    trees = {g: [_grown(rng, 28, 32, 8) for _ in range(3)] for g in cuts}
+    models = {"adaboost": ("stumps", cuts, {g: [(0, 9, -1, 0.5), (1, 4, 1, 0.25)] for g in cuts}), "xgboost": ("trees", cuts, trees), "lightgbm": ("trees", cuts, trees)}
+    monkeypatch.setattr(C, "_mats", lambda spark, sf: Matrices(None, apply, 28, [], {}, blocks))
+    monkeypatch.setattr(C, "_all_models", lambda spark, sf: FittedModels(models, {k: 0.0 for k in models}))
+    assert C.REGISTRY["cv_fold_metrics"].fn(spark, "").count() == 6
+    assert passes.value == len(rows)                   # three models, sizes, curves and thresholds: one reading
+    assert "MapInArrow" not in C._held_scores(spark, "")._jdf.queryExecution().executedPlan().toString()
