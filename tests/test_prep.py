@@ -115,3 +115,25 @@ def test_selector_drops_duplicate_and_constant(spark):
     assert sel["duplicate"] == "correlated" and sel["signal"] is None and sel["noise"] is None
     # a standardised rare column keeps unit variance: only exact constants are low-variance here
     assert sel["constant_like"] is None
+
+
+def test_selection_by_sums_of_categories_equals_that_of_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        a, c = float(rng.normal()), "pqrs"[int(rng.integers(4))]
+        rows.append((i % 3, f"r{i}", a, 2 * a + 0.1 * float(rng.normal()), None if i % 7 == 0 else float("pqrs".index(c)), 5.0,
+                     None if i % 11 == 0 else c, "xy"[i % 2], "yes" if c == "q" else "no"))
+    train = spark.createDataFrame(rows, "g int, row_id string, a double, b double, d double, flat double, c string, two string, same string")
+    f = P.fit(train, ("a", "b", "d", "flat"), ("c", "two", "same"), ("a",))
+    flist = P.global_feature_list(f)
+    x = P.transform_array(train, f, flist)
+    by_rows = P.select_features(f, x, flist, 1e-4, 0.8).toPandas()
+    # the rows themselves are not read as features: a table without any gives the same
+    by_sums = P.select_features(f, x.limit(0), flist, 1e-4, 0.8, rows=train).toPandas()
+    keys = ["g", "gpos", "pos", "feature"]
+    by_rows, by_sums = (t.sort_values(keys).reset_index(drop=True) for t in (by_rows, by_sums))
+    assert {"low_variance", "correlated"} <= set(by_rows.reason.dropna())
+    assert (by_rows[[*keys, "kept"]] == by_sums[[*keys, "kept"]]).all().all() and (by_rows.reason.fillna("") == by_sums.reason.fillna("")).all()
+    assert np.allclose(by_rows.var_samp, by_sums.var_samp, rtol=1e-9, atol=1e-12)
+    assert P.category_sums(train, f, flist).count() <= 3 * 5 * 2 * 2   # groups x combinations, not rows
