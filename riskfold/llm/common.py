@@ -35,6 +35,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join by exchange, never by broadcast.  Spark sizes
+    the rows of an explode as one a row, and Parquet by its compressed bytes, so
+    a table that grows with the input can look small enough to collect."""
+    return df.hint("merge")
+
+
 def held_out(id_col: str, folds: int, remainder: int) -> Column:
     """crc32(id as text) mod ``folds`` equals ``remainder``; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == remainder, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import stash
+from riskfold.llm.common import exchanged, stash
 
 
 def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -23,8 +23,8 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
         before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(exchanged(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(exchanged(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)

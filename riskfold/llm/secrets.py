@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import documents, stash
+from riskfold.llm.common import documents, exchanged, stash
 
 SAMPLE, TREES, DEPTH, SEED, THRESHOLD = 5000, 20, 6, 11, 0.5
 #: Pieces of candidates are broadcast as a filter up to this count, joined by exchange beyond it.
@@ -95,7 +95,7 @@ def coverage(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame
     spoken = docs.select(whole.alias("h"), F.explode(F.array_distinct(F.split(F.lower(prose), "[^a-z]+"))).alias("w"))
     spoken = spoken.join(F.broadcast(named) if few else named, "w", "left_semi")
     common = spoken.groupBy("w").agg(F.count_distinct("h").alias("c")).where(F.col("c") >= least).select("w")
-    return pieces.join(common, "w").groupBy("value").agg(F.sum(F.length("w")).alias("covered"))
+    return pieces.join(F.broadcast(common) if few else exchanged(common), "w").groupBy("value").agg(F.sum(F.length("w")).alias("covered"))
 
 
 def _count(of: Column, pattern: str) -> Column:

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from riskfold.llm.common import add_columns, documents, stash, without
+from riskfold.llm.common import add_columns, documents, exchanged, stash, without
 from riskfold.llm.components import connected_components
 
 SHINGLE, BITS, SEGMENTS = 3, 3, 2
 #: Rows to drop are broadcast up to this count, joined by exchange beyond it.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 _BLOCK = 1 << 16
 
 
@@ -88,7 +88,7 @@ def links(prints: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> Data
     table = prints.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("u"))
     probe = prints.select(F.explode(F.array(*probes)).alias("key"), F.col("fp").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits
-    return table.join(probe, "key").where(near & (F.col("u") < F.col("v"))).select("u", "v")
+    return table.join(exchanged(probe), "key").where(near & (F.col("u") < F.col("v"))).select("u", "v")
 
 
 def classes(rows: DataFrame, bits: int = BITS) -> DataFrame:
@@ -97,9 +97,9 @@ def classes(rows: DataFrame, bits: int = BITS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")).alias("first")
     each = stash(rows.groupBy("fp").agg(first), "simhash-prints")
     roots = connected_components(links(each.select("fp"), bits), "simhash-links")
-    rooted = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = each.join(exchanged(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    return rooted.join(best, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best._k").alias("keeper"))
+    return rooted.join(exchanged(best), "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best._k").alias("keeper"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     row number."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"), F.monotonically_increasing_id().alias("_k"))
     rows = stash(fingerprints(own, "_t", shingle).drop("_t"), "simhash-rows")
-    return rows.join(classes(rows, bits), "fp").select("doc_id", "_k", "fp", "component_id", "keeper")
+    return rows.join(exchanged(classes(rows, bits)), "fp").select("doc_id", "_k", "fp", "component_id", "keeper")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -116,8 +116,8 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
                       F.monotonically_increasing_id().alias("_k"))
     held = stash(fingerprints(own, "_t", shingle).drop("_t"), "simhash-docs")
     rows = held.select("doc_id", "_k", "fp")
-    drop = stash(rows.join(classes(rows, bits), "fp").where("_k <> keeper").select("_k"), "simhash-drop")
-    gone = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    drop = stash(rows.join(exchanged(classes(rows, bits)), "fp").where("_k <> keeper").select("_k"), "simhash-drop")
+    gone = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else exchanged(drop)
     return held.join(gone, "_k", "left_anti").select("row.*")
 
 

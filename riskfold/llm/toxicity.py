@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField
 
-from riskfold.llm.common import add_columns, documents, held_out, stash
+from riskfold.llm.common import add_columns, documents, exchanged, held_out, stash
 from riskfold.session import ship_package
 
 ORDER, DISCOUNT = 9, 0.75
@@ -113,7 +113,7 @@ def _smoothed(table: DataFrame, order: int, below: DataFrame | None, last: int)
     if below is None:
         lower = F.lit(1.0) / F.col("kinds")
     else:
-        table = table.withColumn("s", F.expr(f"substring(g, {order - last + 1})")).join(below.select(F.col("g").alias("s"), F.col("p").alias("q")), "s").drop("s")
+        table = table.withColumn("s", F.expr(f"substring(g, {order - last + 1})")).join(exchanged(below.select(F.col("g").alias("s"), F.col("p").alias("q"))), "s").drop("s")
         lower = F.col("q")
     return table.withColumn("p", (F.greatest(F.col("a") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * lower) / F.col("all"))
 
@@ -293,7 +293,7 @@ def _joined_features(docs: DataFrame, table: DataFrame, text: str) -> DataFrame:
     keyed = stash(add_columns(own, ["text"], [StructField("words", ArrayType(StringType()))], cut).drop("text"), "tox")
     places = keyed.select("k", F.posexplode("words").alias("n", "w"))
     ratios = word_ratios(places.select("w").distinct(), table)
-    back = places.join(ratios, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("rs"))
+    back = places.join(exchanged(ratios), "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("rs"))
 
     def finish():
         return lambda rows: [list(x) for x in zip(*[features(np.array([p["r"] for p in r or []])) for r in rows])] or [[], [], [], []]

@@ -57,3 +57,17 @@ def test_edges(clashing, nothing):
     ids = [r.doc_id for r in kept.collect()]
     assert 8 not in ids and ids.count(11) == 1 and ids.count(1) == 1 and ids.count(2) == 1 and None in ids
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_first(nothing).count() == 0
+
+
+def test_nothing_that_grows_with_the_texts_is_broadcast(spark, tmp_path):
+    """Spark sizes the 66 probes of a fingerprint as one row: under its default
+    threshold they used to be collected and broadcast."""
+    path = str(tmp_path / "prints")
+    spark.range(2000).selectExpr("id * 1000003 as fp").write.parquet(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        found = simhash.links(spark.read.parquet(path))
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
