@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from riskfold.session import ensure_checkpoint_dir, ship_package
+from riskfold.session import shared_folder, ship_package
 
 #: ASCII white space that separates words: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,12 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the checkpoint folder, which driver and executors
-    share; Spark's writers create it."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
     lineage, computes the plan once and survives the loss of executors."""
