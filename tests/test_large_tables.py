@@ -51,6 +51,28 @@ def test_sample_ranks_only_rows_before_the_cut(spark, monkeypatch):
     assert S.bounded_sample(rows.limit(30), ["fold"], 100, 7).count() == 30
 
 
+def test_sinks_are_joined_by_parts(spark, tmp_path):
+    """All wide rows used to go through one exchange whose files stayed, beside the assigned rows."""
+    from riskfold.plans.process import Processed, read_back, write_outputs
+    held, folder = str(tmp_path / "assigned"), str(tmp_path / "sinks")
+    rows = spark.range(200).select(F.when(F.col("id") < 40, "test").otherwise("train").alias("split"), F.when(F.col("id") >= 40, (F.col("id") % 5).cast("int")).alias("fold"),
+                                   F.md5(F.col("id").cast("string")).alias("row_id"), (F.col("id") % 2).cast("int").alias("returned"),
+                                   F.array(F.col("id") / 7, (F.col("id") % 3 == 0).cast("double")).alias("x"))
+    rows.write.parquet(held)
+    done = Processed(spark.read.parquet(held), [(0, 0, "a"), (1, 1, "b_c")], "returned", 1, held)
+    write_outputs(done, folder)
+    assert os.path.isdir(held)
+    found = read_back(spark, done, folder, parts=3)
+    assert not os.path.isdir(held)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    one = found.where("out_pos = 0").select("row_id", "fold", "split", F.col("value").alias("v"))
+    name = next(n for _, pos, n in done.kept if pos == 0)
+    rows = spark.read.parquet(f"{folder}/processed").join(spark.read.parquet(f"{folder}/folds"), "row_id", "left")
+    want = rows.select("row_id", "fold", "split", F.col(f"`{name}`").alias("v"))
+    assert one.exceptAll(want).isEmpty() and one.count() == want.count() and found.count() == want.count() * len(done.kept)
+
+
 def test_shuffle_files_go_with_their_query(spark, tmp_path):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key)
